@@ -32,9 +32,18 @@ def pct2(x) -> Column:
     return F.format_string("%.2f", _c(x) * F.lit(100.0))
 
 
+# The characters Python's str.strip() removes (str.isspace), as a regex class
+# that Java and RE2 read the same way.
+WHITESPACE_CLASS = (
+    r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+)
+STRIP_PATTERN = f"^{WHITESPACE_CLASS}+|{WHITESPACE_CLASS}+$"
+
+
 def py_strip(x) -> Column:
-    """Strip Unicode whitespace at both ends (``trim`` only removes spaces)."""
-    return F.regexp_replace(_c(x), r"(?U)^\s+|\s+$", "")
+    """Strip whitespace at both ends exactly like str.strip() (``trim`` only removes spaces)."""
+    return F.regexp_replace(_c(x), STRIP_PATTERN, "")
 
 
 def is_blank(x) -> Column:

@@ -1,0 +1,26 @@
+"""Join helpers: broadcast only behind a proven size bound."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A dimension side is broadcast only when a bounded count proves it has at most this many rows
+# (narrow rows of an id and a name or a handful of numbers: tens of MB at most).
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def fits_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
+    """True when ``small`` has at most ``max_rows`` rows.  ``limit(max_rows + 1)`` bounds the
+    work of the check: no partition contributes more than max_rows + 1 rows."""
+    return small.limit(max_rows + 1).count() <= max_rows
+
+
+def join_dimension(big: DataFrame, small: DataFrame, on, how: str = "left",
+                   max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Equi-join against a dimension: broadcast hash join when the dimension is proven small,
+    otherwise a shuffle join (which AQE may still turn into a broadcast from runtime sizes, and
+    whose skewed partitions AQE splits)."""
+    if fits_broadcast(small, max_rows):
+        small = F.broadcast(small)
+    return big.join(small, on, how)

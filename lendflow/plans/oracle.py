@@ -100,12 +100,12 @@ pol AS (
            || ' vs Actual $' || {act} END,
       CASE WHEN serviceability_status = 'BREACH' THEN 'Net Serviceability Deficit: Stressed surplus is -$'
            || {surp} || '/mo at stressed rate of ' || printf('%.2f', stressed_interest_rate * CAST(100 AS DOUBLE)) || '%' END
-    ], x -> x IS NOT NULL) AS policy_breaches,
+    ], lambda x: x IS NOT NULL) AS policy_breaches,
     list_filter([
       CASE WHEN dti_status = 'BREACH' THEN 'DTI' END,
       CASE WHEN expense_status = 'BREACH' THEN 'EXPENSE' END,
       CASE WHEN serviceability_status = 'BREACH' THEN 'SERVICEABILITY' END
-    ], x -> x IS NOT NULL) AS breach_codes
+    ], lambda x: x IS NOT NULL) AS breach_codes
   FROM m),
 assessed AS (
   SELECT *, CASE WHEN len(policy_breaches) > 0 THEN 'ESCALATED_REFERRAL' ELSE 'AUTO_APPROVE' END
@@ -124,9 +124,157 @@ def with_ctes(*ctes: str, body: str) -> str:
 ASSESSED = (APPS, metrics_cte(), POLICY)
 
 
+# --- ledger, decisions, directory, completions, chat ---------------------------------------------
+def _case(col: str, pairs) -> str:
+    return "CASE " + " ".join(f"WHEN {col} = {_q(k)} THEN {_q(v)}" for k, v in pairs) + " END"
+
+
+LEDGER = f"""
+led AS (
+  SELECT event_id,
+    CASE WHEN event_type IN ('purchase', 'view') THEN 'SYSTEM' ELSE 'HUMAN' END AS event_type,
+    'APP-' || CAST(user_id AS VARCHAR) AS application_id,
+    '{P.MASKED_PERSON}' AS applicant_name,
+    CASE WHEN event_type = 'purchase' THEN 'AUTO_APPROVE' ELSE 'ESCALATED_REFERRAL' END AS system_recommendation,
+    round(value / CAST(5 AS DOUBLE), 2) AS calculated_dti,
+    round(CAST(1500 AS DOUBLE) - value * CAST(40 AS DOUBLE), 2) AS net_monthly_surplus,
+    CASE WHEN event_type = 'purchase' THEN 'NONE' ELSE 'Net Serviceability Deficit' END AS policy_breaches,
+    CASE WHEN event_type = 'purchase' THEN 'SYSTEM_AUTO_EXECUTION' WHEN event_type = 'view' THEN 'PENDING_REVIEW'
+         ELSE 'uw_' || CAST(event_id % 7 AS VARCHAR) END AS underwriter_id,
+    {_case("event_type", EVENT_DECISIONS)} AS underwriter_decision,
+    CASE WHEN event_type = 'purchase' THEN {_q(P.AUTO_NOTES)} WHEN event_type = 'view' THEN 'N/A'
+         ELSE props END AS underwriter_notes,
+    ts AS "timestamp",
+    CAST(ts AS DATE) AS dt
+  FROM events)"""
+
+LATEST = """
+lat AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY application_id ORDER BY "timestamp" DESC, event_id DESC) AS rn
+    FROM led) WHERE rn = 1)"""
+
+LEDGER_OUT = ('event_id, event_type, application_id, applicant_name, system_recommendation, calculated_dti, '
+              'net_monthly_surplus, policy_breaches, underwriter_id, underwriter_decision, underwriter_notes, '
+              '"timestamp"')
+STATE_OUT = ('application_id, system_recommendation, calculated_dti, net_monthly_surplus, policy_breaches, '
+             'underwriter_id, underwriter_decision, underwriter_notes')
+
+DECISIONS = """
+dec AS (
+  SELECT event_id AS decision_id, 'APP-' || CAST(user_id AS VARCHAR) AS application_id,
+    CASE WHEN event_type = 'signup' THEN 'APPROVED_OVERRIDE' ELSE 'DECLINED' END AS decision,
+    CASE event_id % 3 WHEN 0 THEN props WHEN 1 THEN '    ' || props || '  '
+         ELSE event_type || ' ' || props END AS notes,
+    'uw_' || CAST(user_id % 5 AS VARCHAR) AS underwriter_id,
+    ts AS event_ts
+  FROM events WHERE event_type IN ('signup', 'error'))"""
+
+
+def strip(x: str) -> str:
+    from lendflow.functions.text import STRIP_PATTERN
+    return f"regexp_replace({x}, {_q(STRIP_PATTERN)}, '', 'g')"
+
+
+GATE = f"""
+dv AS (
+  SELECT *, CASE WHEN decision = 'APPROVED_OVERRIDE' THEN 'APPROVE' ELSE 'DECLINE' END AS action,
+         {strip("notes")} AS clean_notes
+  FROM dec),
+dv2 AS (SELECT *, coalesce(length(clean_notes) >= {P.MIN_NOTE_CHARS}, false) AS notes_valid FROM dv),
+pend AS (SELECT application_id FROM lat WHERE underwriter_decision = 'PENDING_REVIEW'),
+passed AS (SELECT * FROM dv2 WHERE notes_valid AND application_id IN (SELECT application_id FROM pend)),
+acc AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY application_id ORDER BY event_ts, decision_id) AS rn FROM passed)
+  WHERE rn = 1),
+upd AS (
+  SELECT l.event_id, l.event_type, l.application_id, l.applicant_name, l.system_recommendation,
+         l.calculated_dti, l.net_monthly_surplus, l.policy_breaches,
+         CASE WHEN a.decision IS NOT NULL THEN a.underwriter_id ELSE l.underwriter_id END AS underwriter_id,
+         coalesce(a.decision, l.underwriter_decision) AS underwriter_decision,
+         CASE WHEN a.decision IS NOT NULL THEN a.clean_notes ELSE l.underwriter_notes END AS underwriter_notes,
+         l."timestamp"
+  FROM led l LEFT JOIN acc a ON l.application_id = a.application_id)"""
+
+RESET = """
+rst AS (
+  SELECT event_id, event_type, application_id, applicant_name, system_recommendation, calculated_dti,
+    net_monthly_surplus, policy_breaches,
+    CASE WHEN system_recommendation != 'AUTO_APPROVE' THEN 'PENDING_REVIEW' ELSE underwriter_id END AS underwriter_id,
+    CASE WHEN system_recommendation != 'AUTO_APPROVE' THEN 'PENDING_REVIEW' ELSE underwriter_decision END
+      AS underwriter_decision,
+    CASE WHEN system_recommendation != 'AUTO_APPROVE' THEN 'N/A' ELSE underwriter_notes END AS underwriter_notes,
+    "timestamp"
+  FROM led)"""
+
+DIRECTORY = """
+dir AS (
+  SELECT 'APP-' || CAST(o_orderkey AS VARCHAR) AS application_id,
+         CASE WHEN o_orderkey % 11 = 0 THEN c_name || ' Jr' ELSE c_name END AS real_name
+  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 7 != 0)"""
+
+DIRTY = """
+dirty AS (
+  SELECT * REPLACE (
+    CASE WHEN okey % 97 = 0 THEN NULL WHEN okey % 89 = 0 THEN CAST(0 AS DECIMAL(18,2))
+         ELSE gross_annual_income END AS gross_annual_income,
+    CASE WHEN okey % 83 = 0 THEN '   ' WHEN okey % 79 = 0 THEN NULL ELSE applicant_name END AS applicant_name,
+    CASE WHEN okey % 73 = 0 THEN CAST(-0.03 AS DECIMAL(9,6)) ELSE base_interest_rate END AS base_interest_rate)
+  FROM apps)"""
+
+
+def is_blank(x: str) -> str:
+    return f"({x} IS NULL OR length({strip(x)}) = 0)"
+
+
+def mask_pii(x: str) -> str:
+    out = x
+    for _, pattern, token in PII_PATTERNS:
+        out = f"regexp_replace({out}, {_q(pattern)}, {_q(token)}, 'g')"
+    return out
+
+
+def mask_name(x: str) -> str:
+    return f"CASE WHEN {is_blank(x)} THEN {_q(P.REDACTED_PERSON)} ELSE {_q(P.MASKED_PERSON)} END"
+
+
+def mask_text(text: str, name: str) -> str:
+    return mask_pii(f"CASE WHEN {is_blank(name)} THEN {text} ELSE replace({text}, {name}, {_q(P.MASKED_PERSON)}) END")
+
+
+def scope_family(x: str, mode: str) -> str:
+    parts = " ".join(f"WHEN regexp_matches(lower({x}), {_q(p)}) THEN {_q(n)}" for n, p in scope_patterns(mode))
+    return f"CASE {parts} END"
+
+
+CHAT = "chat AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN text || ' ' || ({probes})[" \
+       "CAST((conv_id + turn) % {n} AS INTEGER) + 1] ELSE text END AS text FROM conversations)".format(
+           probes="[" + ", ".join(_q(p) for p in PROBE_PROMPTS) + "]", n=len(PROBE_PROMPTS))
+
+COMPLETIONS = """
+comp AS (
+  SELECT 'APP-' || CAST(doc_id AS VARCHAR) AS application_id,
+    CASE WHEN doc_id % 5 = 1 THEN list_transform(string_split(text, chr(10) || chr(10)), lambda x: {'text': x}) END
+      AS blocks,
+    CASE WHEN doc_id % 5 >= 2 THEN text END AS plain,
+    CASE WHEN doc_id % 5 = 0 THEN 'DeadlineExceeded: model call timed out' END AS error
+  FROM documents)"""
+
+
+def flatten(blocks: str, plain: str, sep: str = "") -> str:
+    joined = f"array_to_string(list_transform({blocks}, lambda b: coalesce(b.text, '')), {_q(sep)})"
+    return strip(f"coalesce({plain}, {joined})")
+
+
+SCENARIO_VALUES = None  # filled in oracle_sql from queries.SCENARIOS
+
+
 # --- queries -------------------------------------------------------------------------------------
 def oracle_sql() -> dict[str, str]:
+    from lendflow.plans.queries import POINT_ID, RUN_TS, SCENARIOS
     q: dict[str, str] = {}
+    run_ts = f"TIMESTAMP '{RUN_TS.isoformat(sep=' ')}'"
 
     q["app_metrics"] = with_ctes(APPS, metrics_cte(), body="""
 SELECT application_id, calculated_dti, dti_status, applicable_monthly_expense, expense_discrepancy,
@@ -134,4 +282,197 @@ SELECT application_id, calculated_dti, dti_status, applicable_monthly_expense, e
        serviceability_status
 FROM m""")
 
+    q["breach_messages"] = with_ctes(*ASSESSED, body="SELECT application_id, breach_codes, policy_breaches FROM assessed")
+
+    q["recommendation_counts"] = with_ctes(*ASSESSED, body="""
+SELECT system_recommendation, array_to_string(breach_codes, ',') AS breach_key, CAST(count(*) AS BIGINT) AS n_applications
+FROM assessed GROUP BY ALL""")
+
+    q["auto_approve_rows"] = with_ctes(*ASSESSED, body=f"""
+SELECT application_id,
+  'Application ' || application_id || ' meets all APRA and ASIC credit policies. Clean auto-approval granted.' AS ai_risk_memo,
+  '{P.SYSTEM_UNDERWRITER}' AS underwriter_id, '{P.AUTO_APPROVED}' AS underwriter_decision,
+  {_q(P.AUTO_NOTES)} AS underwriter_notes
+FROM assessed WHERE len(policy_breaches) = 0""")
+
+    q["audit_rows"] = with_ctes(*ASSESSED, body=f"""
+SELECT application_id, {mask_name("applicant_name")} AS applicant_name, system_recommendation, calculated_dti,
+  net_monthly_surplus,
+  CASE WHEN len(policy_breaches) > 0 THEN array_to_string(policy_breaches, '; ') ELSE 'NONE' END AS policy_breaches,
+  CASE WHEN len(policy_breaches) = 0 THEN '{P.SYSTEM_UNDERWRITER}' ELSE 'PENDING_REVIEW' END AS underwriter_id,
+  CASE WHEN len(policy_breaches) = 0 THEN '{P.AUTO_APPROVED}' ELSE 'PENDING_REVIEW' END AS underwriter_decision,
+  CASE WHEN len(policy_breaches) = 0 THEN {_q(P.AUTO_NOTES)} ELSE 'N/A' END AS underwriter_notes,
+  {run_ts} AS "timestamp"
+FROM assessed""")
+
+    rep = ("CASE WHEN ({r}) = 0 THEN CAST(requested_loan_amount AS DOUBLE) / CAST({n} AS DOUBLE) ELSE "
+           "CAST(requested_loan_amount AS DOUBLE) * (({r}) * pow(CAST(1 AS DOUBLE) + ({r}), CAST({n} AS DOUBLE))) / "
+           "(pow(CAST(1 AS DOUBLE) + ({r}), CAST({n} AS DOUBLE)) - CAST(1 AS DOUBLE)) END")
+    base_r = "CAST(base_interest_rate AS DOUBLE) / CAST(12 AS DOUBLE)"
+    str_r = "(CAST(base_interest_rate AS DOUBLE) + CAST(0.03 AS DOUBLE)) / CAST(12 AS DOUBLE)"
+    q["repayment_grid"] = with_ctes(APPS, body=f"""
+SELECT application_id,
+  round({rep.format(r=base_r, n=360)}, 2) AS repay_base_360,
+  round({rep.format(r=str_r, n=240)}, 2) AS repay_stressed_240,
+  round({rep.format(r="CAST(0 AS DOUBLE) / CAST(12 AS DOUBLE)", n=360)}, 2) AS repay_zero_rate
+FROM apps""")
+
+    reasons = [
+        ("application_id IS NULL", "missing:application_id"),
+        ("gross_annual_income IS NULL", "missing:gross_annual_income"),
+        ("declared_living_expenses IS NULL", "missing:declared_living_expenses"),
+        ("requested_loan_amount IS NULL", "missing:requested_loan_amount"),
+        ("base_interest_rate IS NULL", "missing:base_interest_rate"),
+        ("existing_debts_monthly IS NULL", "missing:existing_debts_monthly"),
+        ("cdr_verified_expenses_monthly IS NULL", "missing:cdr_verified_expenses_monthly"),
+        ("gross_annual_income <= 0", "non_positive_income"),
+        ("requested_loan_amount <= 0", "non_positive_loan"),
+        ("declared_living_expenses < 0", "negative:declared_living_expenses"),
+        ("existing_debts_monthly < 0", "negative:existing_debts_monthly"),
+        ("cdr_verified_expenses_monthly < 0", "negative:cdr_verified_expenses_monthly"),
+        (f"CAST(base_interest_rate AS DOUBLE) + CAST({P.DEFAULT_POLICY.buffer} AS DOUBLE) = 0", "zero_stressed_rate"),
+    ]
+    arr = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN {_q(r)} END" for c, r in reasons) + "], lambda x: x IS NOT NULL)"
+    q["quarantine"] = with_ctes(APPS, DIRTY, body=f"""
+SELECT application_id, array_to_string(r, ',') AS reject_reasons
+FROM (SELECT application_id, {arr} AS r FROM dirty) WHERE len(r) > 0""")
+
+    q["notes_default"] = with_ctes(APPS, body=f"""
+SELECT application_id, coalesce(applicant_notes, {_q(P.DEFAULT_NOTES)}) AS applicant_notes FROM apps""")
+
+    q["masked_names"] = with_ctes(APPS, DIRTY, body=f"""
+SELECT application_id, {mask_name("applicant_name")} AS masked_name,
+       {mask_text("applicant_notes", "applicant_name")} AS masked_notes
+FROM dirty""")
+
+    q["masked_documents"] = f"SELECT doc_id, {mask_pii('text')} AS masked_text FROM documents"
+
+    q["reidentified"] = with_ctes(LEDGER, LATEST, DIRECTORY, body=f"""
+SELECT l.application_id, coalesce(d.real_name, l.applicant_name, {_q(P.UNKNOWN_APPLICANT)}) AS display_name,
+       coalesce(d.real_name, {_q(P.UNKNOWN_APPLICANT)}) AS detail_name
+FROM lat l LEFT JOIN dir d ON l.application_id = d.application_id""")
+
+    cols = ("raw_notes", "masked_notes", "masked_name")
+    checks = []
+    for c in cols:
+        for kind, pattern, _ in PII_PATTERNS:
+            checks.append(f"SELECT '{c}' AS column_name, '{kind}' AS leak_kind, "
+                          f"coalesce(regexp_matches({c}, {_q(pattern)}), false) AS hit FROM r")
+        checks.append(f"SELECT '{c}' AS column_name, 'NAME' AS leak_kind, "
+                      f"coalesce(NOT {is_blank('real_name')} AND contains({c}, real_name), false) AS hit FROM r")
+    q["leak_audit"] = with_ctes(APPS, DIRECTORY, f"""
+r AS (SELECT a.application_id, a.applicant_notes AS raw_notes,
+             {mask_text("a.applicant_notes", "a.applicant_name")} AS masked_notes,
+             {mask_name("a.applicant_name")} AS masked_name, d.real_name
+      FROM apps a LEFT JOIN dir d ON a.application_id = d.application_id)""", body=f"""
+SELECT column_name, leak_kind, CAST(count(*) FILTER (WHERE hit) AS BIGINT) AS n_rows, CAST(count(*) AS BIGINT) AS n_checked
+FROM ({' UNION ALL '.join(checks)}) GROUP BY ALL""")
+
+    q["directory_mismatch"] = with_ctes(APPS, DIRECTORY, body="""
+SELECT a.application_id, a.applicant_name, d.real_name
+FROM apps a JOIN dir d ON a.application_id = d.application_id
+WHERE a.applicant_name IS DISTINCT FROM d.real_name""")
+
+    q["ledger_latest"] = with_ctes(LEDGER, LATEST, body=f"SELECT {LEDGER_OUT} FROM lat")
+    q["ledger_latest_agg"] = q["ledger_latest"]
+    q["ledger_point"] = with_ctes(LEDGER, body=f"""
+SELECT {LEDGER_OUT} FROM led WHERE application_id = {_q(POINT_ID)} ORDER BY "timestamp" DESC, event_id DESC LIMIT 1""")
+    q["ledger_newest"] = with_ctes(LEDGER, body=f"""
+SELECT {LEDGER_OUT} FROM led ORDER BY "timestamp" DESC, event_id DESC LIMIT 1""")
+    q["dashboard_scan"] = with_ctes(LEDGER, body="""
+SELECT application_id, system_recommendation, underwriter_decision, "timestamp" FROM led""")
+    q["dashboard_counts"] = with_ctes(LEDGER, LATEST, body="""
+SELECT CAST(count(*) AS BIGINT) AS total,
+       CAST(count(*) FILTER (WHERE underwriter_decision = 'PENDING_REVIEW') AS BIGINT) AS pending,
+       CAST(count(*) FILTER (WHERE underwriter_decision IN ('APPROVED_OVERRIDE', 'AUTO_APPROVED')) AS BIGINT) AS approved,
+       CAST(count(*) FILTER (WHERE underwriter_decision = 'DECLINED') AS BIGINT) AS declined
+FROM lat""")
+    for name, cond in (("pending", "underwriter_decision = 'PENDING_REVIEW'"),
+                       ("approved", "contains(underwriter_decision, 'APPROVED')"),
+                       ("declined", "underwriter_decision = 'DECLINED'")):
+        q[f"queue_{name}"] = with_ctes(LEDGER, LATEST, body=f"""
+SELECT application_id, system_recommendation, underwriter_decision FROM lat WHERE {cond}""")
+
+    q["hidden_decisions"] = with_ctes(LEDGER, body="""
+SELECT application_id, event_id, "timestamp", underwriter_decision AS latest_decision, hidden_decision
+FROM (SELECT *, row_number() OVER w AS rn, lead(underwriter_decision) OVER w AS hidden_decision
+      FROM led WINDOW w AS (PARTITION BY application_id ORDER BY "timestamp" DESC, event_id DESC))
+WHERE rn = 1 AND underwriter_decision = 'PENDING_REVIEW' AND hidden_decision IN ('APPROVED_OVERRIDE', 'DECLINED')""")
+
+    q["decision_valid"] = with_ctes(LEDGER, LATEST, DECISIONS, GATE, body="""
+SELECT decision_id, application_id, action, clean_notes, notes_valid FROM dv2""")
+    q["decision_gate"] = with_ctes(LEDGER, LATEST, DECISIONS, GATE, body="""
+SELECT decision_id, application_id, decision, clean_notes FROM passed""")
+    q["decision_rejected"] = with_ctes(LEDGER, LATEST, DECISIONS, GATE, body="""
+SELECT decision_id, application_id, 'notes_too_short' AS reject_reason FROM dv2 WHERE NOT notes_valid
+UNION ALL
+SELECT decision_id, application_id, 'not_pending' AS reject_reason FROM dv2
+WHERE notes_valid AND application_id NOT IN (SELECT application_id FROM pend)""")
+    q["ledger_update"] = with_ctes(LEDGER, LATEST, DECISIONS, GATE, body=f"SELECT {LEDGER_OUT} FROM upd")
+    q["ledger_decided_state"] = with_ctes(LEDGER, LATEST, DECISIONS, GATE, body=f"""
+SELECT {STATE_OUT} FROM (
+  SELECT *, row_number() OVER (PARTITION BY application_id ORDER BY "timestamp" DESC, event_id DESC) AS rn FROM upd)
+WHERE rn = 1""")
+    q["ledger_reset"] = with_ctes(LEDGER, RESET, body=f"SELECT {LEDGER_OUT} FROM rst")
+    q["ledger_reset_state"] = with_ctes(LEDGER, RESET, body=f"""
+SELECT {STATE_OUT} FROM (
+  SELECT *, row_number() OVER (PARTITION BY application_id ORDER BY "timestamp" DESC, event_id DESC) AS rn FROM rst)
+WHERE rn = 1""")
+    q["decisions_daily"] = with_ctes(LEDGER, body="""
+SELECT date_trunc('day', "timestamp") AS window_start, date_trunc('day', "timestamp") + INTERVAL 1 DAY AS window_end,
+       underwriter_decision, CAST(count(*) AS BIGINT) AS n
+FROM led GROUP BY ALL""")
+
+    q["scope_guard"] = with_ctes(CHAT, body=f"""
+SELECT conv_id, turn, {scope_family("text", "strict")} AS family_strict, {scope_family("text", "fixed")} AS family_fixed
+FROM chat WHERE role = 'user'""")
+    q["guarded_answers"] = with_ctes(CHAT, body=f"""
+SELECT u.conv_id, u.turn, ({scope_family("u.text", "strict")}) IS NOT NULL AS blocked,
+       CASE WHEN ({scope_family("u.text", "strict")}) IS NOT NULL THEN {_q(P.SCOPE_REFUSAL)} ELSE a.text END AS reply
+FROM chat u LEFT JOIN chat a ON a.role = 'assistant' AND a.conv_id = u.conv_id AND a.turn - 1 = u.turn
+WHERE u.role = 'user'""")
+
+    q["completion_fallback"] = with_ctes(*ASSESSED, COMPLETIONS, body=f"""
+SELECT a.application_id,
+  CASE WHEN c.error IS NOT NULL OR ({flatten("c.blocks", "c.plain")}) IS NULL THEN {_q(P.MEMO_FALLBACK)}
+       ELSE {flatten("c.blocks", "c.plain")} END AS ai_risk_memo,
+  (c.error IS NOT NULL OR ({flatten("c.blocks", "c.plain")}) IS NULL) AS completion_failed
+FROM assessed a LEFT JOIN comp c ON a.application_id = c.application_id
+WHERE len(a.policy_breaches) > 0""")
+
+    q["cdr_expenses"] = with_ctes(APPS, body="SELECT application_id, cdr_verified_expenses_monthly FROM apps")
+
+    values = ", ".join(f"({sid}, CAST({b} AS DOUBLE), CAST({lim} AS DOUBLE))" for sid, b, lim in SCENARIOS)
+    p = P.DEFAULT_POLICY
+    q["stress_grid"] = with_ctes(APPS, f"""
+sc(scenario_id, buffer, dti_limit) AS (VALUES {values}),
+x AS (
+  SELECT sc.scenario_id, sc.buffer, sc.dti_limit,
+    (CAST(requested_loan_amount AS DOUBLE) + CAST(existing_debts_monthly AS DOUBLE) * CAST(12 AS DOUBLE)
+       * CAST({p.debt_years} AS DOUBLE)) / CAST(gross_annual_income AS DOUBLE) >= sc.dti_limit AS d,
+    CAST(cdr_verified_expenses_monthly - declared_living_expenses AS DECIMAL(18,2)) > CAST({p.expense_tolerance} AS DECIMAL(18,2)) AS e,
+    CAST(greatest(declared_living_expenses, cdr_verified_expenses_monthly, CAST({p.hem} AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS appl,
+    (CAST(base_interest_rate AS DOUBLE) + sc.buffer) / CAST(12 AS DOUBLE) AS r,
+    gross_annual_income, existing_debts_monthly, requested_loan_amount
+  FROM apps, sc),
+y AS (
+  SELECT *, CAST(gross_annual_income AS DOUBLE) * CAST({p.net_ratio} AS DOUBLE) / CAST(12 AS DOUBLE)
+     - CAST(appl AS DOUBLE) - CAST(existing_debts_monthly AS DOUBLE)
+     - CAST(requested_loan_amount AS DOUBLE) * (r * pow(CAST(1 AS DOUBLE) + r, CAST({p.months} AS DOUBLE)))
+       / (pow(CAST(1 AS DOUBLE) + r, CAST({p.months} AS DOUBLE)) - CAST(1 AS DOUBLE)) < 0 AS s
+  FROM x)""", body="""
+SELECT scenario_id, buffer, dti_limit,
+  CAST(count(*) FILTER (WHERE d) AS BIGINT) AS n_dti_breach,
+  CAST(count(*) FILTER (WHERE e) AS BIGINT) AS n_expense_breach,
+  CAST(count(*) FILTER (WHERE s) AS BIGINT) AS n_serviceability_breach,
+  CAST(count(*) FILTER (WHERE d OR e OR s) AS BIGINT) AS n_referred,
+  CAST(count(*) AS BIGINT) AS n_apps,
+  round(CAST(count(*) FILTER (WHERE d OR e OR s) AS DOUBLE) / CAST(count(*) AS DOUBLE), 4) AS referral_rate
+FROM y GROUP BY ALL""")
+
+    q["breach_mix"] = with_ctes(*ASSESSED, body="""
+SELECT segment, breach_code, CAST(count(*) AS BIGINT) AS n
+FROM (SELECT segment, unnest(breach_codes) AS breach_code FROM assessed)
+GROUP BY ROLLUP (segment, breach_code)""")
+
     return q

@@ -6,17 +6,30 @@ aliased to the same names as the DuckDB oracle in ``lendflow.plans.oracle``.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendflow.functions.metrics import flat_metrics, with_metrics
+from lendflow import params as P
+from lendflow.functions.metrics import amortised_repayment, dti_raw, flat_metrics, serviceability_raw, with_metrics
+from lendflow.functions.text import mask_pii
+from lendflow.operators import dashboard, decisions, guard, ledger, memo, policy, privacy
 from lendflow.sources import derived as D
+from lendflow.sources.payloads import quarantine as split_quarantine, with_notes_default
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
+# The run timestamp stamped on audit rows in the registered (checkable) queries,
+# and the application used for the point lookup.
+RUN_TS = dt.datetime(2024, 2, 1, 0, 0, 0)
+POINT_ID = "APP-42"
+LEDGER_OUT = ("event_id", "event_type") + tuple(c for c in ledger.LEDGER_VIEW_COLUMNS if c != "event_id")
+STATE_OUT = ("application_id", "system_recommendation", "calculated_dti", "net_monthly_surplus",
+             "policy_breaches", "underwriter_id", "underwriter_decision", "underwriter_notes")
+
 
 def query(name: str):
     def deco(fn: Query) -> Query:
@@ -25,6 +38,11 @@ def query(name: str):
     return deco
 
 
+def assessed(spark, sf_dir, p=P.DEFAULT_POLICY) -> DataFrame:
+    """Applications -> masked -> metrics -> policy (one narrow stage after the derivation)."""
+    return policy.assess(privacy.mask_applications(D.applications(spark, sf_dir)), p)
+
+
 # --- deterministic core --------------------------------------------------------------------------
 @query("app_metrics")
 def app_metrics(spark, sf_dir):
@@ -35,5 +53,284 @@ def app_metrics(spark, sf_dir):
                     "stressed_monthly_repayment", "net_monthly_surplus", "serviceability_status")
 
 
+@query("breach_messages")
+def breach_messages(spark, sf_dir):
+    """P5 (a-c): ordered breach messages and codes per application."""
+    return assessed(spark, sf_dir).select("application_id", "breach_codes", "policy_breaches")
+
+
+@query("recommendation_counts")
+def recommendation_counts(spark, sf_dir):
+    """P6 + P7: applications per recommendation and breach-code combination (flagship)."""
+    a = assessed(spark, sf_dir)
+    return (a.groupBy("system_recommendation", F.array_join("breach_codes", ",").alias("breach_key"))
+            .agg(F.count(F.lit(1)).alias("n_applications")))
+
+
+@query("auto_approve_rows")
+def auto_approve_rows(spark, sf_dir):
+    """P7 + P8: the clean branch with its fixed memo and system decision."""
+    clean, _ = policy.route(assessed(spark, sf_dir))
+    return policy.auto_approve(clean).select(
+        "application_id", "ai_risk_memo", "underwriter_id", "underwriter_decision", "underwriter_notes")
+
+
+@query("audit_rows")
+def audit_rows(spark, sf_dir):
+    """K2 + A3 + U1: the ledger rows one run appends (branches re-joined without a split)."""
+    rows = ledger.audit_rows(policy.with_outcome(assessed(spark, sf_dir)), RUN_TS)
+    return rows.select(*ledger.LEDGER_VIEW_COLUMNS[1:])
+
+
+@query("repayment_grid")
+def repayment_grid(spark, sf_dir):
+    """Level repayment per application at its base rate (360 months), stressed over 240
+    months, and at a zero rate (principal / n)."""
+    a = D.applications(spark, sf_dir)
+    loan, rate = F.col("requested_loan_amount"), F.col("base_interest_rate").cast("double")
+    return a.select(
+        "application_id",
+        F.round(amortised_repayment(loan, rate, 360), 2).alias("repay_base_360"),
+        F.round(amortised_repayment(loan, rate + F.lit(0.03), 240), 2).alias("repay_stressed_240"),
+        F.round(amortised_repayment(loan, F.lit(0.0), 360), 2).alias("repay_zero_rate"),
+    )
+
+
+@query("quarantine")
+def quarantine(spark, sf_dir):
+    """Rows that cannot be assessed, with every reason."""
+    _, rejected = split_quarantine(D.dirty_applications(spark, sf_dir))
+    return rejected.select("application_id", F.array_join("reject_reasons", ",").alias("reject_reasons"))
+
+
+@query("notes_default")
+def notes_default(spark, sf_dir):
+    """Absent notes take the default sentence."""
+    return with_notes_default(D.applications(spark, sf_dir)).select("application_id", "applicant_notes")
+
+
+# --- privacy -------------------------------------------------------------------------------------
+@query("masked_names")
+def masked_names(spark, sf_dir):
+    """P9 + P10 on applications with planted blank / null names."""
+    a = D.dirty_applications(spark, sf_dir)
+    return a.select("application_id", privacy.mask_name("applicant_name").alias("masked_name"),
+                    privacy.mask_text("applicant_notes", "applicant_name").alias("masked_notes"))
+
+
+@query("masked_documents")
+def masked_documents(spark, sf_dir):
+    """P10: structured PII masked in whole documents."""
+    d = D.read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return d.select("doc_id", mask_pii("text").alias("masked_text"))
+
+
+@query("reidentified")
+def reidentified(spark, sf_dir):
+    """J1 + P12: console names for the latest ledger rows."""
+    r = privacy.reidentify(ledger.latest(D.ledger(spark, sf_dir)), D.directory(spark, sf_dir))
+    return r.select("application_id", "display_name", "detail_name")
+
+
+@query("leak_audit")
+def leak_audit(spark, sf_dir):
+    """Raw vs masked text columns checked for names and PII patterns."""
+    a = D.applications(spark, sf_dir)
+    rows = a.select("application_id", F.col("applicant_notes").alias("raw_notes"),
+                    privacy.mask_text("applicant_notes", "applicant_name").alias("masked_notes"),
+                    privacy.mask_name("applicant_name").alias("masked_name"))
+    return privacy.leak_audit(rows, D.directory(spark, sf_dir), ["raw_notes", "masked_notes", "masked_name"])
+
+
+@query("directory_mismatch")
+def directory_mismatch(spark, sf_dir):
+    """Payload name differs from the directory's."""
+    return privacy.directory_mismatch(D.applications(spark, sf_dir), D.directory(spark, sf_dir)).select(
+        "application_id", "applicant_name", "real_name")
+
+
+# --- ledger --------------------------------------------------------------------------------------
+@query("ledger_latest")
+def ledger_latest(spark, sf_dir):
+    """Newest row per application (window, partial WindowGroupLimit)."""
+    return ledger.latest(D.ledger(spark, sf_dir)).select(*LEDGER_OUT)
+
+
+@query("ledger_latest_agg")
+def ledger_latest_agg(spark, sf_dir):
+    """A2: the same rows by max_by aggregation."""
+    return ledger.latest_agg(D.ledger(spark, sf_dir)).select(*LEDGER_OUT)
+
+
+@query("ledger_point")
+def ledger_point(spark, sf_dir):
+    """S10 + T1: newest row of one application."""
+    return ledger.point(D.ledger(spark, sf_dir), POINT_ID).select(*LEDGER_OUT)
+
+
+@query("ledger_newest")
+def ledger_newest(spark, sf_dir):
+    """Newest row of the whole ledger."""
+    return ledger.newest_overall(D.ledger(spark, sf_dir)).select(*LEDGER_OUT)
+
+
+@query("dashboard_scan")
+def dashboard_scan(spark, sf_dir):
+    """The console's narrow ledger scan."""
+    return ledger.dashboard_scan(D.ledger(spark, sf_dir))
+
+
+@query("dashboard_counts")
+def dashboard_counts(spark, sf_dir):
+    """A1: counts over the latest state."""
+    return dashboard.counts(ledger.latest_agg(D.ledger(spark, sf_dir)))
+
+
+def _queue(which):
+    def q(spark, sf_dir):
+        return dashboard.queue(ledger.latest_agg(D.ledger(spark, sf_dir)), which)
+    q.__doc__ = f"F2: the {which} queue over the latest state."
+    return q
+
+
+for _w in ("PENDING", "APPROVED", "DECLINED"):
+    query(f"queue_{_w.lower()}")(_queue(_w))
+
+
+@query("hidden_decisions")
+def hidden_decisions(spark, sf_dir):
+    """Human decisions hidden by a later system re-run."""
+    return ledger.hidden_decisions(D.ledger(spark, sf_dir))
+
+
+@query("decision_valid")
+def decision_valid(spark, sf_dir):
+    """P13 + P14: label and note validation of every decision."""
+    return decisions.validate(D.decisions(spark, sf_dir)).select(
+        "decision_id", "application_id", "action", "clean_notes", "notes_valid")
+
+
+@query("decision_gate")
+def decision_gate(spark, sf_dir):
+    """J3 (semi-join): valid decisions on applications pending review."""
+    passed, _ = decisions.gate(D.decisions(spark, sf_dir), D.ledger(spark, sf_dir))
+    return passed.select("decision_id", "application_id", "decision", "clean_notes")
+
+
+@query("decision_rejected")
+def decision_rejected(spark, sf_dir):
+    """J3 (anti-join) + P14: decisions that cannot land, with the reason."""
+    _, rejected = decisions.gate(D.decisions(spark, sf_dir), D.ledger(spark, sf_dir))
+    return rejected.select("decision_id", "application_id", "reject_reason")
+
+
+@query("ledger_update")
+def ledger_update(spark, sf_dir):
+    """K3(a) + J5: accepted decisions applied to every row of their application."""
+    led = D.ledger(spark, sf_dir)
+    acc = decisions.accepted(D.decisions(spark, sf_dir), led)
+    return ledger.update_in_place(led, acc).select(*LEDGER_OUT)
+
+
+@query("ledger_decided_state")
+def ledger_decided_state(spark, sf_dir):
+    """K3(b): latest state after appending HUMAN decision events (checked against the latest
+    state of the in-place update)."""
+    led = D.ledger(spark, sf_dir)
+    acc = decisions.accepted(D.decisions(spark, sf_dir), led)
+    ev = ledger.decision_events(led, acc, base_event_id=10**12)
+    return ledger.latest_agg(led.unionByName(ev)).select(*STATE_OUT)
+
+
+@query("ledger_reset")
+def ledger_reset(spark, sf_dir):
+    """K4(a): every non-AUTO_APPROVE row back to pending."""
+    return ledger.reset_in_place(D.ledger(spark, sf_dir)).select(*LEDGER_OUT)
+
+
+@query("ledger_reset_state")
+def ledger_reset_state(spark, sf_dir):
+    """K4(b): latest state after RESET events (checked against the in-place reset)."""
+    led = D.ledger(spark, sf_dir)
+    ev = ledger.reset_events(led, RUN_TS, base_event_id=10**12)
+    return ledger.latest_agg(led.unionByName(ev)).select(*STATE_OUT)
+
+
+@query("decisions_daily")
+def decisions_daily(spark, sf_dir):
+    """Z3 (batch form): decision counts per day."""
+    return dashboard.decisions_per_window(D.ledger(spark, sf_dir), "1 day")
+
+
+# --- guard ---------------------------------------------------------------------------------------
+@query("scope_guard")
+def scope_guard(spark, sf_dir):
+    """Scope family of every user turn, strict and fixed pattern sets."""
+    return guard.classify(D.chat(spark, sf_dir)).select("conv_id", "turn", "family_strict", "family_fixed")
+
+
+@query("guarded_answers")
+def guarded_answers(spark, sf_dir):
+    """Refusal for blocked prompts, the following answer otherwise."""
+    return guard.guarded_answers(D.chat(spark, sf_dir))
+
+
+# --- memo ----------------------------------------------------------------------------------------
+@query("completion_fallback")
+def completion_fallback(spark, sf_dir):
+    """J4 + P21 + P23: breached applications joined to their completions, with fallback."""
+    _, breached = policy.route(assessed(spark, sf_dir))
+    m = memo.attach_completions(breached.select("application_id"), D.completions(spark, sf_dir))
+    return m.select("application_id", "ai_risk_memo", "completion_failed")
+
+
+# --- portfolio jobs ------------------------------------------------------------------------------
+@query("cdr_expenses")
+def cdr_expenses(spark, sf_dir):
+    """Verified expense derived from line-item spend."""
+    return D.applications(spark, sf_dir).select("application_id", "cdr_verified_expenses_monthly")
+
+
+# Stress scenarios (id, serviceability buffer, DTI ceiling).
+SCENARIOS = tuple(
+    (i + 1, b, lim) for i, (b, lim) in enumerate(
+        (b, lim) for b in (0.01, 0.02, 0.03, 0.04, 0.05) for lim in (6.0, 7.0))
+)
+
+
+@query("stress_grid")
+def stress_grid(spark, sf_dir):
+    """Breach counts per scenario.  All scenarios are evaluated as columns of one projection
+    and counted by one global aggregate (partial on the map side); the small result is then
+    unpivoted.  No join and no row replication: work is one pass over the applications."""
+    a = D.applications(spark, sf_dir)
+    exp = with_metrics(a).select("*")  # expense result does not depend on the scenario
+    aggs = [F.count(F.lit(1)).alias("n_apps")]
+    for sid, buf, lim in SCENARIOS:
+        p = P.PolicyParams(buffer=buf, dti_limit=lim)
+        d = dti_raw("gross_annual_income", "requested_loan_amount", "existing_debts_monthly", p) >= F.lit(lim)
+        e = F.col("expense_result.status") == P.BREACH
+        _, _, s = serviceability_raw("gross_annual_income", F.col("expense_result.applicable_monthly_expense"),
+                                     "existing_debts_monthly", "requested_loan_amount", "base_interest_rate", p)
+        s = s < 0
+        aggs += [F.count_if(d).alias(f"d{sid}"), F.count_if(s).alias(f"s{sid}"),
+                 F.count_if(d | e | s).alias(f"r{sid}")]
+    aggs.append(F.count_if(F.col("expense_result.status") == P.BREACH).alias("e_all"))
+    tot = exp.agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(sid).alias("scenario_id"), F.lit(buf).alias("buffer"),
+                              F.lit(lim).alias("dti_limit"), F.col(f"d{sid}").alias("n_dti_breach"),
+                              F.col("e_all").alias("n_expense_breach"), F.col(f"s{sid}").alias("n_serviceability_breach"),
+                              F.col(f"r{sid}").alias("n_referred"), F.col("n_apps").alias("n_apps"))
+                     for sid, buf, lim in SCENARIOS])
+    out = tot.select(F.inline(rows))
+    return out.withColumn("referral_rate", F.round(F.col("n_referred") / F.col("n_apps"), 4))
+
+
+@query("breach_mix")
+def breach_mix(spark, sf_dir):
+    """Breach codes by segment with rollup subtotals."""
+    return dashboard.breach_mix(assessed(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)

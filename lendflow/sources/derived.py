@@ -123,7 +123,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(P.MASKED_PERSON).alias("applicant_name"),
         F.when(et == "purchase", F.lit(P.AUTO_APPROVE)).otherwise(F.lit(P.ESCALATED_REFERRAL))
         .alias("system_recommendation"),
-        F.round(F.col("value") / F.lit(8.0), 2).alias("calculated_dti"),
+        F.round(F.col("value") / F.lit(5.0), 2).alias("calculated_dti"),
         F.round(F.lit(1500.0) - F.col("value") * F.lit(40.0), 2).alias("net_monthly_surplus"),
         F.when(et == "purchase", F.lit(P.NO_BREACHES))
         .otherwise(F.lit("Net Serviceability Deficit")).alias("policy_breaches"),
