@@ -272,7 +272,7 @@ SCENARIO_VALUES = None  # filled in oracle_sql from queries.SCENARIOS
 
 # --- queries -------------------------------------------------------------------------------------
 def oracle_sql() -> dict[str, str]:
-    from lendflow.plans.queries import POINT_ID, RUN_TS, SCENARIOS
+    from lendflow.plans.queries import KNN_K, POINT_ID, RUN_TS, SCENARIOS
     q: dict[str, str] = {}
     run_ts = f"TIMESTAMP '{RUN_TS.isoformat(sep=' ')}'"
 
@@ -475,4 +475,37 @@ SELECT segment, breach_code, CAST(count(*) AS BIGINT) AS n
 FROM (SELECT segment, unnest(breach_codes) AS breach_code FROM assessed)
 GROUP BY ROLLUP (segment, breach_code)""")
 
+    q["chunks_fixed"] = f"""
+SELECT page, CAST(i AS INTEGER) AS chunk_no, substring(content, CAST(i AS BIGINT) * {P.CHUNK_SIZE - P.CHUNK_OVERLAP} + 1, {P.CHUNK_SIZE}) AS chunk
+FROM (SELECT doc_id AS page, text AS content,
+             unnest(range(0, CAST(greatest(ceil((length(text) - {P.CHUNK_OVERLAP}) / {P.CHUNK_SIZE - P.CHUNK_OVERLAP}), 1) AS BIGINT))) AS i
+      FROM documents)
+WHERE length(substring(content, CAST(i AS BIGINT) * {P.CHUNK_SIZE - P.CHUNK_OVERLAP} + 1, {P.CHUNK_SIZE})) > 0"""
+
+    q["knn_exact"] = knn_sql(KNN_K, body="""
+SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbor_id, round(d, 6) AS distance FROM top""")
+
+    q["citations"] = knn_sql(P.RETRIEVAL_K_DEFAULT, body=f"""
+SELECT t.query_id,
+  string_agg('[Citation ' || CAST(t.rank AS VARCHAR) || ' - '
+             || coalesce(string_split(pg.source, '/')[-1], {_q(P.UNKNOWN_SOURCE)}) || ', Page '
+             || coalesce(CAST(pg.page AS VARCHAR), {_q(P.UNKNOWN_PAGE)}) || ']' || chr(10)
+             || coalesce(pg.content, '') || chr(10), chr(10) ORDER BY t.rank) AS regulatory_citations
+FROM top t LEFT JOIN (SELECT '/regulations/' || source || '.pdf' AS source, doc_id AS page, text AS content
+                      FROM documents) pg ON t.neighbor_id = pg.page
+GROUP BY t.query_id""")
+
     return q
+
+
+def knn_sql(k: int, body: str) -> str:
+    """Brute-force exact k-NN over embeddings (self excluded), squared L2, ties by id."""
+    return f"""
+WITH pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS neighbor_id,
+         list_sum(list_transform(range(1, len(q.embedding) + 1),
+                  lambda i: (CAST(q.embedding[i] AS DOUBLE) - CAST(c.embedding[i] AS DOUBLE)) ** 2)) AS d
+  FROM embeddings q, embeddings c WHERE q.vec_id != c.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, neighbor_id) AS rank FROM pairs),
+top AS (SELECT * FROM ranked WHERE rank <= {k})
+{body}"""

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from lendflow import params as P
 from lendflow.functions.metrics import amortised_repayment, dti_raw, flat_metrics, serviceability_raw, with_metrics
 from lendflow.functions.text import mask_pii
-from lendflow.operators import dashboard, decisions, guard, ledger, memo, policy, privacy
+from lendflow.operators import chunking, dashboard, decisions, guard, ledger, memo, policy, privacy, retrieval
+from lendflow.operators.knn import knn
 from lendflow.sources import derived as D
 from lendflow.sources.payloads import quarantine as split_quarantine, with_notes_default
 
@@ -332,5 +333,55 @@ def breach_mix(spark, sf_dir):
     return dashboard.breach_mix(assessed(spark, sf_dir))
 
 
+# --- retrieval -----------------------------------------------------------------------------------
+KNN_K = 10
+
+
+@query("chunks_fixed")
+def chunks_fixed(spark, sf_dir):
+    """R2: fixed-stride chunks of every corpus page."""
+    c = chunking.chunk_fixed(D.corpus(spark, sf_dir))
+    return c.select("page", "chunk_no", "chunk")
+
+
+@query("chunks_recursive")
+def chunks_recursive(spark, sf_dir):
+    """Recursive-separator chunks of every corpus page (Arrow UDF; rows-only check)."""
+    c = chunking.chunk_recursive(D.corpus(spark, sf_dir))
+    return c.select("page", "chunk_no", "chunk")
+
+
+@query("knn_exact")
+def knn_exact(spark, sf_dir):
+    """J2 + T2: exact 10 nearest other vectors of every vector (blocked top-k, squared L2)."""
+    v = D.vectors(spark, sf_dir)
+    hits = knn(v, v, KNN_K, query_id="vec_id", query_vec="embedding", corpus_id="vec_id",
+               corpus_vec="embedding", exclude_self=True)
+    return hits.withColumn("distance", F.round("distance", 6))
+
+
+@query("citations")
+def citations(spark, sf_dir):
+    """Top-3 neighbours of every vector rendered as citation text (vector i indexes
+    corpus page i; a vector without a page renders the Unknown defaults)."""
+    v = D.vectors(spark, sf_dir)
+    hits = knn(v, v, P.RETRIEVAL_K_DEFAULT, query_id="vec_id", query_vec="embedding", corpus_id="vec_id",
+               corpus_vec="embedding", exclude_self=True)
+    pages = D.corpus(spark, sf_dir)
+    h = hits.join(pages, hits.neighbor_id == pages.page, "left")
+    return retrieval.render_citations(h)
+
+
+@query("retrieve_text")
+def retrieve_text(spark, sf_dir):
+    """R3 + R4 + P11: every breached application's breach text retrieves its 2 best corpus
+    chunks (recursive chunks, TF-IDF vectors, exact k-NN) as citation text (rows-only check)."""
+    _, breached = policy.route(assessed(spark, sf_dir))
+    q = breached.select("application_id", retrieval.query_text().alias("query_text"))
+    chunks, model = retrieval.build_index(D.corpus(spark, sf_dir))
+    out = retrieval.retrieve_for_texts(q, chunks, model, k=P.RETRIEVAL_K)
+    return out.select("application_id", "regulatory_citations")
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
