@@ -31,7 +31,7 @@ def payload_stream(spark: SparkSession, payload_dir: str, max_files: int | None
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
     df = r.json(payload_dir)
-    return df.withColumn("submitted_at", F.col("_metadata.file_modification_time").cast("timestamp_ntz"))
+    return df.withColumn("submitted_at", F.col("_metadata.file_modification_time"))
 
 
 def dedupe_submissions(stream: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -55,7 +55,7 @@ def assess_stream(spark: SparkSession, payload_dir: str, ledger_root: str, rejec
         batch = batch.persist()
         try:
             out, rejected = assess_applications(batch.drop("submitted_at"), p)
-            ts = F.coalesce(F.col("submitted_at"), F.current_timestamp().cast("timestamp_ntz"))
+            ts = F.coalesce(F.col("submitted_at"), F.current_timestamp()).cast("timestamp_ntz")
             out = out.join(batch.select("application_id", "submitted_at"), "application_id", "left")
             rows = ledger.audit_rows(out, ts, F.lit(batch_id) * F.lit(1 << 40) + F.monotonically_increasing_id())
             rows.write.mode("overwrite").partitionBy("dt").parquet(_batch_dir(ledger_root, batch_id))
@@ -80,8 +80,14 @@ def ledger_stream(spark: SparkSession, ledger_dir: str) -> DataFrame:
 
 
 def windowed_decisions(stream: DataFrame, width: str = "1 day", delay: str = "1 day") -> DataFrame:
-    """Z3: decision counts per tumbling window; a window is final once the watermark passes it."""
-    return dashboard.decisions_per_window(stream.withWatermark("timestamp", delay), width)
+    """Z3: decision counts per tumbling window; a window is final once the watermark passes it.
+    Watermarks need a zoned timestamp: the ledger's wall-clock time is read in the session zone
+    (UTC) and the window bounds are turned back into wall-clock values."""
+    s = stream.withColumn("_event_time", F.col("timestamp").cast("timestamp")).withWatermark("_event_time", delay)
+    out = (s.groupBy(F.window("_event_time", width).alias("w"), "underwriter_decision")
+           .agg(F.count(F.lit(1)).alias("n")))
+    return out.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+                      F.col("w.end").cast("timestamp_ntz").alias("window_end"), "underwriter_decision", "n")
 
 
 # --- Z4 -----------------------------------------------------------------------------------------
