@@ -35,6 +35,7 @@ HEADLINE = (
     "citations",              # P24
     "stress_grid",            # X2
     "breach_mix",             # X3
+    "retrieve_lexical",       # R5
 )
 
 

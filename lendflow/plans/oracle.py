@@ -272,7 +272,7 @@ SCENARIO_VALUES = None  # filled in oracle_sql from queries.SCENARIOS
 
 # --- queries -------------------------------------------------------------------------------------
 def oracle_sql() -> dict[str, str]:
-    from lendflow.plans.queries import KNN_K, POINT_ID, RUN_TS, SCENARIOS
+    from lendflow.plans.queries import KNN_K, LEXICAL_K, POINT_ID, RUN_TS, SCENARIOS
     q: dict[str, str] = {}
     run_ts = f"TIMESTAMP '{RUN_TS.isoformat(sep=' ')}'"
 
@@ -495,6 +495,21 @@ FROM top t LEFT JOIN (SELECT '/regulations/' || source || '.pdf' AS source, doc_
                       FROM documents) pg ON t.neighbor_id = pg.page
 GROUP BY t.query_id""")
 
+    split = "'[^\\pL\\pN]+'"
+    q["retrieve_lexical"] = f"""
+WITH dt AS (SELECT doc_id AS id, unnest(regexp_split_to_array(lower(text), {split})) AS term FROM documents),
+dtf AS (SELECT id, term, count(*) AS tf FROM dt WHERE term <> '' GROUP BY ALL),
+n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents),
+idf AS (SELECT term, ln((SELECT n FROM n) / CAST(count(*) AS DOUBLE)) AS idf FROM dtf GROUP BY term),
+dw AS (SELECT id, dtf.term, CAST(tf AS DOUBLE) * idf AS w FROM dtf JOIN idf ON dtf.term = idf.term),
+qt AS (SELECT item_id AS id, unnest(regexp_split_to_array(lower(text), {split})) AS term FROM benchmark),
+qtf AS (SELECT id, term, count(*) AS tf FROM qt WHERE term <> '' GROUP BY ALL),
+qw AS (SELECT id, qtf.term, CAST(tf AS DOUBLE) * idf AS w FROM qtf JOIN idf ON qtf.term = idf.term),
+s AS (SELECT qw.id AS query_id, dw.id AS neighbor_id, round(sum(qw.w * dw.w), 6) AS score
+      FROM qw JOIN dw ON qw.term = dw.term GROUP BY ALL HAVING sum(qw.w * dw.w) > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbor_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbor_id, score FROM r WHERE rank <= {LEXICAL_K}"""
+
     return q
 
 

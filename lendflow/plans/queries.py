@@ -17,6 +17,7 @@ from lendflow.functions.metrics import amortised_repayment, dti_raw, flat_metric
 from lendflow.functions.text import mask_pii
 from lendflow.operators import chunking, dashboard, decisions, guard, ledger, memo, policy, privacy, retrieval
 from lendflow.operators.knn import knn
+from lendflow.operators.lexical import lexical_topk
 from lendflow.sources import derived as D
 from lendflow.sources.payloads import quarantine as split_quarantine, with_notes_default
 
@@ -383,5 +384,16 @@ def retrieve_text(spark, sf_dir):
     return out.select("application_id", "regulatory_citations")
 
 
+LEXICAL_K = 3
+
+
+@query("retrieve_lexical")
+def retrieve_lexical(spark, sf_dir):
+    """Every benchmark passage ranks the corpus pages by TF-IDF dot product; top 3."""
+    b = D.read_table(spark, sf_dir, "benchmark", "item_id", "text")
+    d = D.read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return lexical_topk(b, d, LEXICAL_K, query_id="item_id", query_text="text", doc_id="doc_id", doc_text="text")
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
