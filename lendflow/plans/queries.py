@@ -18,6 +18,7 @@ from lendflow.functions.text import mask_pii
 from lendflow.operators import chunking, dashboard, decisions, guard, ledger, memo, policy, privacy, retrieval
 from lendflow.operators.knn import knn
 from lendflow.operators.lexical import lexical_topk
+from lendflow.operators.lsh import lsh_knn
 from lendflow.sources import derived as D
 from lendflow.sources.payloads import quarantine as split_quarantine, with_notes_default
 
@@ -361,6 +362,16 @@ def knn_exact(spark, sf_dir):
     return hits.withColumn("distance", F.round("distance", 6))
 
 
+@query("knn_lsh")
+def knn_lsh(spark, sf_dir):
+    """J2 at scale: approximate 10 nearest other vectors by random-projection LSH with exact
+    re-ranking of candidates (rows-only check; recall against knn_exact in the tests)."""
+    v = D.vectors(spark, sf_dir)
+    hits = lsh_knn(v, v, KNN_K, query_id="vec_id", query_vec="embedding", corpus_id="vec_id",
+                   corpus_vec="embedding", exclude_self=True)
+    return hits.withColumn("distance", F.round("distance", 6))
+
+
 @query("citations")
 def citations(spark, sf_dir):
     """Top-3 neighbours of every vector rendered as citation text (vector i indexes
