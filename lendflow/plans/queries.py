@@ -395,6 +395,43 @@ def retrieve_text(spark, sf_dir):
     return out.select("application_id", "regulatory_citations")
 
 
+@query("memo_prompts")
+def memo_prompts(spark, sf_dir):
+    """P11 + P18 + P19 + J4 + R4: for every breached application, the notes-summary prompt and
+    the credit-memo prompt (narrative = summary completion or its fallback sentence; citations =
+    the 2 best corpus chunks for the breach text).  Rows-only check."""
+    _, breached = policy.route(assessed(spark, sf_dir))
+    summaries = memo.attach_completions(breached.select("application_id"), D.completions(spark, sf_dir),
+                                        fallback=P.SUMMARY_FALLBACK, out="applicant_narrative_summary")
+    b = breached.join(summaries, "application_id", "left").withColumn("query_text", retrieval.query_text())
+    chunks, model = retrieval.build_index(D.corpus(spark, sf_dir))
+    b = retrieval.retrieve_for_texts(b, chunks, model, k=P.RETRIEVAL_K)
+    return b.select("application_id", memo.summary_prompt().alias("summary_prompt"),
+                    memo.memo_prompt(b).alias("memo_prompt"))
+
+
+@query("copilot_prompts")
+def copilot_prompts(spark, sf_dir):
+    """P16 + P17 + P20 + J1 + S10 + T2: every user turn is guarded; allowed questions get the
+    copilot prompt (latest ledger row of the conversation's application, directory name, the 2
+    best corpus chunks for the question).  Rows-only check."""
+    c = guard.classify(D.chat(spark, sf_dir)).withColumn("application_id", D.app_id("conv_id"))
+    lat = ledger.latest_agg(D.ledger(spark, sf_dir)).drop("event_id", "event_type", "timestamp", "dt")
+    dirn = D.directory(spark, sf_dir)
+    j = c.join(lat, "application_id", "left").join(dirn, "application_id", "left")
+    j = j.withColumn("display_name", F.coalesce("real_name", "applicant_name", F.lit(P.UNKNOWN_APPLICANT)))
+    allowed = j.filter(~F.col("blocked_strict")).withColumn("query_text", F.col("text"))
+    chunks, model = retrieval.build_index(D.corpus(spark, sf_dir))
+    allowed = retrieval.retrieve_for_texts(allowed, chunks, model, k=P.RETRIEVAL_K)
+    allowed = allowed.withColumn("question", F.col("text"))
+    ok = allowed.select("conv_id", "turn", F.lit(False).alias("blocked"),
+                        memo.copilot_prompt().alias("prompt"), F.lit(None).cast("string").alias("reply"))
+    refused = j.filter(F.col("blocked_strict")).select(
+        "conv_id", "turn", F.lit(True).alias("blocked"), F.lit(None).cast("string").alias("prompt"),
+        F.lit(P.SCOPE_REFUSAL).alias("reply"))
+    return ok.unionByName(refused)
+
+
 LEXICAL_K = 3
 
 

@@ -45,6 +45,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     folder of its own.  A cluster session without the setting is an error: a machine-local
     folder would not survive the loss of an executor.
     """
+    current = spark.sparkContext.getCheckpointDir()
+    if current:
+        return current
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         master = spark.sparkContext.master
