@@ -50,19 +50,21 @@ def reidentify(rows: DataFrame, directory: DataFrame) -> DataFrame:
 
 def leak_audit(rows: DataFrame, directory: DataFrame, text_columns) -> DataFrame:
     """Per text column, rows that still contain the application's real name or match a PII
-    pattern.  Result (column_name, leak_kind, n_rows) over every row; unpivot + one aggregate."""
+    pattern.  One pass: every (column, kind) check is a ``count_if`` of a single global
+    aggregate (partial on the map side); only the small result is unpivoted to
+    (column_name, leak_kind, n_rows, n_checked)."""
     j = join_dimension(rows, directory.select("application_id", "real_name"), "application_id", "left")
     checks = []
     for c in text_columns:
         for kind, pattern, _ in PII_PATTERNS:
-            checks.append(F.struct(F.lit(c).alias("column_name"), F.lit(kind).alias("leak_kind"),
-                                   F.coalesce(F.col(c).rlike(pattern), F.lit(False)).alias("hit")))
-        checks.append(F.struct(F.lit(c).alias("column_name"), F.lit("NAME").alias("leak_kind"),
-                               F.coalesce(~is_blank("real_name") & F.col(c).contains(F.col("real_name")),
-                                          F.lit(False)).alias("hit")))
-    u = j.select(F.inline(F.array(*checks)))
-    return (u.groupBy("column_name", "leak_kind")
-            .agg(F.count_if("hit").alias("n_rows"), F.count(F.lit(1)).alias("n_checked")))
+            checks.append((c, kind, F.col(c).rlike(pattern)))
+        checks.append((c, "NAME", ~is_blank("real_name") & F.col(c).contains(F.col("real_name"))))
+    aggs = [F.count_if(F.coalesce(cond, F.lit(False))).alias(f"_h{i}") for i, (_, _, cond) in enumerate(checks)]
+    tot = j.agg(F.count(F.lit(1)).alias("_n"), *aggs)
+    out = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(kind).alias("leak_kind"),
+                             F.col(f"_h{i}").alias("n_rows"), F.col("_n").alias("n_checked"))
+                    for i, (c, kind, _) in enumerate(checks)])
+    return tot.select(F.inline(out))
 
 
 def directory_mismatch(apps: DataFrame, directory: DataFrame) -> DataFrame:
