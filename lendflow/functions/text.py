@@ -27,6 +27,19 @@ def fmt_calc(x) -> Column:
     return F.regexp_replace(money_str(x), r"([.][0-9])0$", "$1")
 
 
+def render(template: str, values: dict) -> Column:
+    """Fill a ``{name}`` template with Columns: one ``concat`` of literal pieces and values
+    (callers default null values first: concat of a null is null)."""
+    import string
+    parts = []
+    for literal, field, _, _ in string.Formatter().parse(template):
+        if literal:
+            parts.append(F.lit(literal))
+        if field is not None:
+            parts.append(values[field])
+    return F.concat(*parts)
+
+
 def pct2(x) -> Column:
     """A rate as a percentage with two decimals: 0.0935 -> 9.35."""
     return F.format_string("%.2f", _c(x) * F.lit(100.0))

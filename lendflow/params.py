@@ -83,3 +83,52 @@ CHUNK_OVERLAP = 150
 CHUNK_SEPARATORS = ("\n\n", "\n", ".", " ")
 RETRIEVAL_K = 2
 RETRIEVAL_K_DEFAULT = 3
+
+# Prompt texts.  {name} marks a value filled in per row.
+MEMO_SYSTEM_PROMPT = "You are an expert Australian banking credit risk officer."
+MEMO_PROMPT_TEMPLATE = """You are a Senior Risk Officer at an Australian ADI.
+Draft a concise, auditable Credit Memorandum for Application ID: {application_id}.
+
+Applicant: {applicant_name}
+Gross Annual Income: ${gross_annual_income}
+Loan Requested: ${requested_loan_amount}
+
+Narrative Context:
+{narrative}
+
+Deterministic Metrics:
+- Debt-to-Income (DTI): {calculated_dti}x
+- Stressed Monthly Repayment: ${stressed_monthly_repayment}
+- Stressed Monthly Net Surplus: ${net_monthly_surplus}
+
+Identified Breaches:
+{breaches}
+
+Regulatory Citations (Grounding Context):
+{citations}
+
+Summarize the risks, reference the exact APRA/ASIC citations, and recommend why this file must be halted for human underwriter review.
+Keep the output under 150 words."""
+SUMMARY_PROMPT_TEMPLATE = """You are an underwriting assistant. Summarize the following applicant notes into a brief, 
+professional 2-sentence narrative context for a credit officer. Focus purely on facts.
+
+Applicant Notes: {notes}"""
+COPILOT_SYSTEM_PROMPT = (
+    "You are an auditable Senior Credit AI Copilot for Australian residential mortgage underwriting. "
+    "Answer the underwriter's question using the active applicant record and the retrieved regulatory policy excerpts.\n"
+    "Cite the exact document title, page number, and paragraph whenever explaining policy breaches or decision rules.\n"
+    "Keep the response concise, professional, and directly relevant to the question."
+)
+COPILOT_PROMPT_TEMPLATE = """[Active Application Record: {application_id}]
+- Applicant Name: {name}
+- Calculated DTI: {calculated_dti}x
+- Net Monthly Surplus: ${net_monthly_surplus}
+- System Recommendation: {system_recommendation}
+- Identified Policy Breaches: {policy_breaches}
+- Underwriter Status: {underwriter_decision}
+
+[Retrieved APRA / ASIC Policy Documentation]
+{citations}
+
+[Underwriter Question]
+{question}"""

@@ -407,7 +407,7 @@ def memo_prompts(spark, sf_dir):
     chunks, model = retrieval.build_index(D.corpus(spark, sf_dir))
     b = retrieval.retrieve_for_texts(b, chunks, model, k=P.RETRIEVAL_K)
     return b.select("application_id", memo.summary_prompt().alias("summary_prompt"),
-                    memo.memo_prompt(b).alias("memo_prompt"))
+                    F.lit(P.MEMO_SYSTEM_PROMPT).alias("system_prompt"), memo.memo_prompt().alias("memo_prompt"))
 
 
 @query("copilot_prompts")
@@ -425,10 +425,11 @@ def copilot_prompts(spark, sf_dir):
     allowed = retrieval.retrieve_for_texts(allowed, chunks, model, k=P.RETRIEVAL_K)
     allowed = allowed.withColumn("question", F.col("text"))
     ok = allowed.select("conv_id", "turn", F.lit(False).alias("blocked"),
+                        F.lit(P.COPILOT_SYSTEM_PROMPT).alias("system_prompt"),
                         memo.copilot_prompt().alias("prompt"), F.lit(None).cast("string").alias("reply"))
     refused = j.filter(F.col("blocked_strict")).select(
-        "conv_id", "turn", F.lit(True).alias("blocked"), F.lit(None).cast("string").alias("prompt"),
-        F.lit(P.SCOPE_REFUSAL).alias("reply"))
+        "conv_id", "turn", F.lit(True).alias("blocked"), F.lit(None).cast("string").alias("system_prompt"),
+        F.lit(None).cast("string").alias("prompt"), F.lit(P.SCOPE_REFUSAL).alias("reply"))
     return ok.unionByName(refused)
 
 
