@@ -277,12 +277,16 @@ def oracle_sql() -> dict[str, str]:
     run_ts = f"TIMESTAMP '{RUN_TS.isoformat(sep=' ')}'"
 
     q["app_metrics"] = with_ctes(APPS, metrics_cte(), body="""
-SELECT application_id, calculated_dti, dti_status, applicable_monthly_expense, expense_discrepancy,
+SELECT application_id, calculated_dti, dti_status, CAST(applicable_monthly_expense AS DOUBLE) AS applicable_monthly_expense,
+       CAST(expense_discrepancy AS DOUBLE) AS expense_discrepancy,
        expense_status, stressed_interest_rate, stressed_monthly_repayment, net_monthly_surplus,
        serviceability_status
 FROM m""")
 
-    q["breach_messages"] = with_ctes(*ASSESSED, body="SELECT application_id, breach_codes, policy_breaches FROM assessed")
+    q["breach_messages"] = with_ctes(*ASSESSED, body="""
+SELECT application_id, CAST(len(breach_codes) AS INTEGER) AS n_breaches, array_to_string(breach_codes, ',') AS breach_codes,
+       array_to_string(policy_breaches, chr(10)) AS policy_breaches
+FROM assessed""")
 
     q["recommendation_counts"] = with_ctes(*ASSESSED, body="""
 SELECT system_recommendation, array_to_string(breach_codes, ',') AS breach_key, CAST(count(*) AS BIGINT) AS n_applications
@@ -440,7 +444,8 @@ SELECT a.application_id,
 FROM assessed a LEFT JOIN comp c ON a.application_id = c.application_id
 WHERE len(a.policy_breaches) > 0""")
 
-    q["cdr_expenses"] = with_ctes(APPS, body="SELECT application_id, cdr_verified_expenses_monthly FROM apps")
+    q["cdr_expenses"] = with_ctes(APPS, body="""
+SELECT application_id, CAST(cdr_verified_expenses_monthly AS DOUBLE) AS cdr_verified_expenses_monthly FROM apps""")
 
     values = ", ".join(f"({sid}, CAST({b} AS DOUBLE), CAST({lim} AS DOUBLE))" for sid, b, lim in SCENARIOS)
     p = P.DEFAULT_POLICY

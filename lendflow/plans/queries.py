@@ -51,15 +51,22 @@ def assessed(spark, sf_dir, p=P.DEFAULT_POLICY) -> DataFrame:
 def app_metrics(spark, sf_dir):
     """The three metrics per application."""
     m = flat_metrics(with_metrics(D.applications(spark, sf_dir)))
-    return m.select("application_id", "calculated_dti", "dti_status", "applicable_monthly_expense",
-                    "expense_discrepancy", "expense_status", "stressed_interest_rate",
+    # Expense amounts are computed in decimal(18,2); the output is double so both engines' clients
+    # render the values alike (decimal -> double is correctly rounded in both).
+    return m.select("application_id", "calculated_dti", "dti_status",
+                    F.col("applicable_monthly_expense").cast("double").alias("applicable_monthly_expense"),
+                    F.col("expense_discrepancy").cast("double").alias("expense_discrepancy"),
+                    "expense_status", "stressed_interest_rate",
                     "stressed_monthly_repayment", "net_monthly_surplus", "serviceability_status")
 
 
 @query("breach_messages")
 def breach_messages(spark, sf_dir):
     """P5 (a-c): ordered breach messages and codes per application."""
-    return assessed(spark, sf_dir).select("application_id", "breach_codes", "policy_breaches")
+    a = assessed(spark, sf_dir)
+    return a.select("application_id", F.size("breach_codes").alias("n_breaches"),
+                    F.array_join("breach_codes", ",").alias("breach_codes"),
+                    F.array_join("policy_breaches", "\n").alias("policy_breaches"))
 
 
 @query("recommendation_counts")
@@ -291,7 +298,8 @@ def completion_fallback(spark, sf_dir):
 @query("cdr_expenses")
 def cdr_expenses(spark, sf_dir):
     """Verified expense derived from line-item spend."""
-    return D.applications(spark, sf_dir).select("application_id", "cdr_verified_expenses_monthly")
+    return D.applications(spark, sf_dir).select(
+        "application_id", F.col("cdr_verified_expenses_monthly").cast("double").alias("cdr_verified_expenses_monthly"))
 
 
 # Stress scenarios (id, serviceability buffer, DTI ceiling).
