@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A dimension side is broadcast only when a bounded count proves it has at most this many rows
-# (narrow rows of an id and a name or a handful of numbers: tens of MB at most).
-BROADCAST_MAX_ROWS = 1_000_000
+# A dimension side is broadcast only when a bounded check proves it has at most this many rows
+# (narrow rows of an id and a name or a handful of numbers: a few tens of MB at most).
+BROADCAST_MAX_ROWS = 500_000
 
 
 def fits_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """True when ``small`` has at most ``max_rows`` rows.  ``limit(max_rows + 1)`` bounds the
-    work of the check: no partition contributes more than max_rows + 1 rows."""
-    return small.limit(max_rows + 1).count() <= max_rows
+    """True when ``small`` has at most ``max_rows`` rows.
+
+    ``take`` scans partitions incrementally and stops as soon as ``max_rows + 1`` rows are found,
+    so a large side costs about one partition prefix, not a full scan (a ``limit().count()``
+    would run the limit in every partition).  Only a constant column is fetched."""
+    return len(small.select(F.lit(1).alias("_one")).take(max_rows + 1)) <= max_rows
 
 
 def join_dimension(big: DataFrame, small: DataFrame, on, how: str = "left",
