@@ -87,7 +87,9 @@ def latest(ledger: DataFrame) -> DataFrame:
 
 def latest_agg(ledger: DataFrame) -> DataFrame:
     """A2: the same rows by aggregation: ``max_by(row, (timestamp, event_id))`` combines
-    partially on the map side, no sort."""
+    partially on the map side, so a hot application ships one row per map task.  The kept row
+    holds strings, so Spark runs it as a sort-based aggregate (each map partition is sorted by
+    application; the window form sorts as well)."""
     cols = [c for c in ledger.columns if c != "application_id"]
     agg = ledger.groupBy("application_id").agg(
         F.max_by(F.struct(*cols), F.struct(*[F.col(c) for c in ORDER_KEY])).alias("_row"))
