@@ -62,3 +62,33 @@ def run(spark: SparkSession, payload_dir: str, ledger_path: str, rejects_path: s
         return {"ledger_path": ledger_path, "rejects_path": rejects_path, "run_ts": run_ts.isoformat()}
     finally:
         apps.unpersist()
+
+
+def main(argv=None) -> None:
+    """``python -m lendflow.plans.assess PAYLOADS LEDGER REJECTS [--corpus DIR --index DIR]
+    [--completions PARQUET]``: assess every payload and append to the ledger."""
+    import argparse
+    import json
+
+    from lendflow.session import build_session, checkpoint_dir
+    ap = argparse.ArgumentParser(prog="lendflow.plans.assess")
+    ap.add_argument("payloads")
+    ap.add_argument("ledger")
+    ap.add_argument("rejects")
+    ap.add_argument("--corpus", help="folder of regulation text exports (pages split by form feeds)")
+    ap.add_argument("--index", help="folder of the persisted retrieval index (built if absent)")
+    ap.add_argument("--completions", help="parquet table of model completions per application")
+    ap.add_argument("--master", default=None)
+    a = ap.parse_args(argv)
+    spark = build_session(a.master)
+    checkpoint_dir(spark)
+    index = None
+    if a.index:
+        corpus = retrieval.read_corpus_dir(spark, a.corpus) if a.corpus else None
+        index = retrieval.open_or_build_index(spark, corpus, a.index)
+    comps = spark.read.parquet(a.completions) if a.completions else None
+    print(json.dumps(run(spark, a.payloads, a.ledger, a.rejects, index=index, completions=comps)))
+
+
+if __name__ == "__main__":
+    main()

@@ -11,6 +11,7 @@ import datetime as _dt
 import decimal
 import json
 import math
+import os
 import sys
 import time
 
@@ -18,6 +19,9 @@ import numpy as np
 
 from lendflow.sources.tables import TABLES, table_path
 
+# CHECK_STRICT=1 compares doubles exactly instead of rounded to 9 places.
+STRICT = os.environ.get("CHECK_STRICT", "0") == "1"
+
 
 def canon(v):
     if v is None:
@@ -26,7 +30,7 @@ def canon(v):
         return None
     if isinstance(v, (decimal.Decimal, np.floating, float)):
         f = float(v)
-        return None if math.isnan(f) else round(f, 9)
+        return None if math.isnan(f) else (f if STRICT else round(f, 9))
     if isinstance(v, (np.integer, int)) and not isinstance(v, bool):
         return int(v)
     if isinstance(v, (np.bool_, bool)):

@@ -66,3 +66,28 @@ def test_windowed_counts_and_latest_state_stream(spark, tmp_path):
     st = stream.read_state(spark, str(tmp_path / "state"))
     cols = batch.columns
     assert sorted(map(tuple, st.select(*cols).collect())) == sorted(map(tuple, ledger.latest(batch).select(*cols).collect()))
+
+
+def test_assessment_with_index_and_completions(spark, tmp_path):
+    from conftest import PERSONAS
+    from lendflow import params as P
+    from lendflow.operators import retrieval
+    from lendflow.sources.payloads import read_applications
+    regs = tmp_path / "regs"
+    regs.mkdir()
+    (regs / "apg.txt").write_text("Serviceability is assessed at a buffer above the loan rate. Net surplus must be positive.")
+    (regs / "rg.txt").write_text("Living expenses must be verified against the HEM benchmark and declared expenses.")
+    index = retrieval.open_or_build_index(spark, retrieval.read_corpus_dir(spark, str(regs)), str(tmp_path / "idx"))
+    comps = spark.createDataFrame([("APP-102", None, "  Memo for 102. ", None), ("APP-103", None, None, "boom")],
+                                  "application_id string, blocks array<struct<text:string>>, plain string, error string")
+    apps = read_applications(spark, write_payloads(tmp_path / "raw", PERSONAS))
+    out, rejected = assess.assess_applications(apps, index=index, completions=comps)
+    rows = {r.application_id: r for r in out.collect()}
+    assert rejected.count() == 0
+    assert rows["APP-101"].regulatory_citations is None                      # clean: no retrieval
+    assert rows["APP-101"].ai_risk_memo.startswith("Application APP-101 meets all")
+    assert rows["APP-103"].regulatory_citations.startswith("[Citation 1 - ")
+    assert rows["APP-103"].regulatory_citations.count("[Citation ") == 2     # k = 2
+    assert rows["APP-102"].ai_risk_memo == "Memo for 102."
+    assert rows["APP-103"].ai_risk_memo == P.MEMO_FALLBACK                   # failed call
+    assert rows["APP-104"].ai_risk_memo == P.MEMO_FALLBACK                   # no completion
