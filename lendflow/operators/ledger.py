@@ -21,6 +21,12 @@ ORDER_KEY = ("timestamp", "event_id")  # newest first: timestamp, then event id
 DECISION_FIELDS = ("underwriter_id", "underwriter_decision", "underwriter_notes")
 
 
+def wall_clock(ts: dt.datetime) -> Column:
+    """A naive datetime as a ``timestamp_ntz`` literal, independent of any time zone setting
+    (a datetime literal would be read in the Python process's zone, then shifted by the cast)."""
+    return F.lit(ts.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def newest_first() -> list[Column]:
     return [F.col(c).desc() for c in ORDER_KEY]
 
@@ -34,7 +40,7 @@ def breaches_text(col="policy_breaches") -> Column:
 def audit_rows(outcome: DataFrame, run_ts: dt.datetime | Column, event_id: Column | None = None) -> DataFrame:
     """K2: one ledger row per assessed application.  Decision fields default to
     PENDING_REVIEW / PENDING_REVIEW / N/A; the timestamp is one value for the whole run."""
-    ts = run_ts if isinstance(run_ts, Column) else F.lit(run_ts).cast("timestamp_ntz")
+    ts = run_ts if isinstance(run_ts, Column) else wall_clock(run_ts)
     return outcome.select(
         (event_id if event_id is not None else F.lit(None).cast("long")).alias("event_id"),
         F.lit("SYSTEM").alias("event_type"),
@@ -198,7 +204,7 @@ def reset_events(ledger: DataFrame, reset_ts: dt.datetime, base_event_id: int) -
     """K4(b): a RESET event for each application whose *latest* row is not AUTO_APPROVE
     (resetting older rows would never show)."""
     cur = latest_agg(ledger).filter(F.col("system_recommendation") != P.AUTO_APPROVE)
-    ts = F.greatest(F.lit(reset_ts).cast("timestamp_ntz"), F.col("timestamp"))
+    ts = F.greatest(wall_clock(reset_ts), F.col("timestamp"))
     return cur.withColumns(_reset_values(F.lit(True))).withColumns({
         "event_id": F.lit(base_event_id) + F.monotonically_increasing_id(),
         "event_type": F.lit("RESET"),

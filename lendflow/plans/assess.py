@@ -57,7 +57,7 @@ def run(spark: SparkSession, payload_dir: str, ledger_path: str, rejects_path: s
         base = ledger.next_event_base(led)
         rows = ledger.audit_rows(out, run_ts, F.lit(base) + F.monotonically_increasing_id())
         ledger.append(rows, ledger_path)
-        (rejected.withColumn("rejected_at", F.lit(run_ts).cast("timestamp_ntz"))
+        (rejected.withColumn("rejected_at", ledger.wall_clock(run_ts))
          .write.mode("append").parquet(rejects_path))
         return {"ledger_path": ledger_path, "rejects_path": rejects_path, "run_ts": run_ts.isoformat()}
     finally:
