@@ -73,6 +73,18 @@ def ensure_ledger(spark: SparkSession, path: str) -> DataFrame:
         return read_ledger(spark, path)
 
 
+def create_table(spark: SparkSession, path: str, name: str = "audit_trail") -> DataFrame:
+    """K1 in SQL form: a catalog table over the ledger folder, so console SQL runs as written
+    (``SELECT ... FROM audit_trail ORDER BY timestamp DESC``).  Idempotent; call it again after
+    ``append`` to register new ``dt`` partitions (partition recovery lists the folder)."""
+    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in LEDGER_SCHEMA.fields)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({cols}) USING parquet PARTITIONED BY (dt) "
+              f"LOCATION '{path}'")
+    spark.sql(f"MSCK REPAIR TABLE {name}")
+    spark.sql(f"REFRESH TABLE {name}")
+    return spark.table(name)
+
+
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.schema(LEDGER_SCHEMA).parquet(path)
     return df.select(*[f.name for f in LEDGER_SCHEMA.fields])

@@ -132,3 +132,15 @@ def test_append_and_reopen(spark, tmp_path):
 
 def test_decision_schema_has_no_sql_text():
     assert [f.name for f in DECISION_SCHEMA.fields] == ["application_id", "decision", "notes", "underwriter_id", "event_ts"]
+
+
+def test_ledger_as_sql_table(spark, tmp_path):
+    path = str(tmp_path / "sql_ledger")
+    ledger.append(_ledger(spark), path)
+    ledger.create_table(spark, path, "audit_trail_t")
+    ledger.create_table(spark, path, "audit_trail_t")            # IF NOT EXISTS: idempotent
+    top = spark.sql("SELECT application_id, system_recommendation, underwriter_decision FROM audit_trail_t "
+                    "ORDER BY timestamp DESC, event_id DESC LIMIT 1").first()
+    assert top.application_id == "A" and top.underwriter_decision == "PENDING_REVIEW"
+    assert spark.sql("SELECT count(*) FROM audit_trail_t WHERE dt = DATE'2024-01-01'").first()[0] == 8
+    spark.sql("DROP TABLE audit_trail_t")
