@@ -26,6 +26,10 @@ def build_session(master: str | None = None, app_name: str = "lendflow",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Streaming state (Z2 dedupe, Z3 windows, Z4 latest state) in RocksDB: off-heap, spills to
+        # disk, checkpointed incrementally.
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         # Arrow batches for the few Python operators (recursive chunking, k-NN blocks)
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
     }

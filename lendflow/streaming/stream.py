@@ -91,38 +91,39 @@ def windowed_decisions(stream: DataFrame, width: str = "1 day", delay: str = "1
 
 
 # --- Z4 -----------------------------------------------------------------------------------------
-def read_state(spark: SparkSession, state_root: str) -> DataFrame | None:
-    """Newest snapshot of the latest-state table, or None before the first batch."""
-    try:
-        snaps = spark.read.parquet(state_root)
-    except Exception:  # noqa: BLE001 - nothing written yet
-        return None
-    v = snaps.agg(F.max("v")).first()[0]
-    return snaps.filter(F.col("v") == v).drop("v")
-
-
-def upsert_latest(spark: SparkSession, state_root: str):
-    """Z4 foreachBatch function: new snapshot = latest rows of (previous snapshot ∪ batch),
-    written as version ``v=<batch id>`` (overwrite: idempotent).  Writing the snapshot cuts the
-    lineage, so the plan never grows with the number of batches."""
-    cols = [f.name for f in LEDGER_SCHEMA.fields]
-
-    def fn(batch: DataFrame, batch_id: int) -> None:
-        prev = read_state(spark, state_root)
-        rows = batch.select(*cols)
-        if prev is not None:
-            rows = prev.select(*cols).unionByName(rows)
-        ledger.latest_agg(rows).write.mode("overwrite").parquet(f"{state_root.rstrip('/')}/v={batch_id}")
-    return fn
+def latest_changes(stream: DataFrame) -> DataFrame:
+    """Newest row per application as a stateful streaming aggregation.  The state store keeps
+    one row per application; in ``update`` mode each micro-batch emits only the applications it
+    touched, so the work per batch follows the batch, not the size of the state."""
+    cols = [c for c in stream.columns if c != "application_id"]
+    agg = stream.groupBy("application_id").agg(
+        F.max_by(F.struct(*cols), F.struct(*[F.col(c) for c in ledger.ORDER_KEY])).alias("_row"))
+    return agg.select("application_id", "_row.*")
 
 
-def latest_state_stream(spark: SparkSession, ledger_dir: str, state_root: str, checkpoint: str,
+def latest_state_stream(spark: SparkSession, ledger_dir: str, changes_root: str, checkpoint: str,
                         once: bool = True) -> StreamingQuery:
-    w = ledger_stream(spark, ledger_dir).writeStream.foreachBatch(upsert_latest(spark, state_root))
-    w = w.option("checkpointLocation", checkpoint)
+    """Z4 sink: each batch's changed states go to ``<changes_root>/batch=<id>`` (overwrite:
+    idempotent on retry).  ``read_state`` folds the change log into the current state."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(_batch_dir(changes_root, batch_id))
+
+    w = (latest_changes(ledger_stream(spark, ledger_dir)).writeStream.outputMode("update")
+         .foreachBatch(write).option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if once else w.trigger(processingTime="30 seconds")
     return w.start()
 
 
+def read_state(spark: SparkSession, changes_root: str) -> DataFrame | None:
+    """Current latest state: the newest change per application (one partial aggregate over the
+    change log, which holds one row per touched application per batch), or None before the
+    first batch."""
+    try:
+        changes = spark.read.parquet(changes_root)
+    except Exception:  # noqa: BLE001 - nothing written yet
+        return None
+    return ledger.latest_agg(changes.drop("batch"))
+
+
 def now_ntz() -> dt.datetime:
     return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)

@@ -63,9 +63,19 @@ def test_windowed_counts_and_latest_state_stream(spark, tmp_path):
     assert got == want
     q = stream.latest_state_stream(spark, led_dir, str(tmp_path / "state"), str(tmp_path / "ckpt4"))
     q.awaitTermination(120)
+    # a second batch of events arrives: only the applications it touches are emitted
+    more = batch.filter(F.col("application_id").isin("APP-1", "APP-2")).withColumns(
+        {"event_id": F.col("event_id") + 10**6, "timestamp": F.col("timestamp") + F.expr("INTERVAL 60 DAYS"),
+         "underwriter_decision": F.lit("DECLINED")})
+    more.write.mode("append").parquet(led_dir)
+    q = stream.latest_state_stream(spark, led_dir, str(tmp_path / "state"), str(tmp_path / "ckpt4"))
+    q.awaitTermination(120)
+    changes = spark.read.parquet(str(tmp_path / "state"))
+    assert changes.filter("batch = 1").select("application_id").distinct().count() == 2
     st = stream.read_state(spark, str(tmp_path / "state"))
+    full = batch.unionByName(more)
     cols = batch.columns
-    assert sorted(map(tuple, st.select(*cols).collect())) == sorted(map(tuple, ledger.latest(batch).select(*cols).collect()))
+    assert sorted(map(tuple, st.select(*cols).collect())) == sorted(map(tuple, ledger.latest(full).select(*cols).collect()))
 
 
 def test_assessment_with_index_and_completions(spark, tmp_path):
