@@ -21,9 +21,13 @@ def fits_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool
 
 def join_dimension(big: DataFrame, small: DataFrame, on, how: str = "left",
                    max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Equi-join against a dimension: broadcast hash join when the dimension is proven small,
-    otherwise a shuffle join (which AQE may still turn into a broadcast from runtime sizes, and
-    whose skewed partitions AQE splits)."""
+    """Equi-join against a stored dimension: broadcast hash join when the dimension is proven
+    small, otherwise a shuffle join (which AQE may still turn into a broadcast from runtime sizes,
+    and whose skewed partitions AQE splits).
+
+    Use it for a side that is a scan or a projection of one: the check then reads one partition
+    prefix.  A derived side (aggregate, join) would be computed once for the check and again for
+    the join; join those plainly and let AQE decide from the sizes it measures anyway."""
     if fits_broadcast(small, max_rows):
         small = F.broadcast(small)
     return big.join(small, on, how)

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lendflow import params as P
-from lendflow.operators.joins import join_dimension
 from lendflow.sources.schemas import LEDGER_COLUMNS, LEDGER_SCHEMA
 
 ORDER_KEY = ("timestamp", "event_id")  # newest first: timestamp, then event id as tie-break
@@ -141,8 +140,9 @@ def hidden_decisions(ledger: DataFrame) -> DataFrame:
     last = last.select("application_id", F.col("timestamp").alias("l_ts"), F.col("event_id").alias("l_id"),
                        F.col("underwriter_decision").alias("latest_decision"))
     last = last.filter(F.col("latest_decision") == P.PENDING_REVIEW)
-    older = join_dimension(
-        ledger.select("application_id", "timestamp", "event_id", "underwriter_decision"),
+    # Plain join: the pending set is an aggregate, so checking its size up front would compute it
+    # twice; AQE broadcasts it from the measured shuffle size or splits a hot application.
+    older = ledger.select("application_id", "timestamp", "event_id", "underwriter_decision").join(
         last, "application_id", "inner",
     ).filter(F.struct("timestamp", "event_id") < F.struct("l_ts", "l_id"))
     prev = older.groupBy("application_id", "l_ts", "l_id", "latest_decision").agg(
@@ -170,7 +170,7 @@ def update_in_place(ledger: DataFrame, accepted: DataFrame) -> DataFrame:
     one decision per application (``decisions.accepted``)."""
     d = accepted.select("application_id", F.col("decision").alias("_d"),
                         F.col("clean_notes").alias("_n"), F.col("underwriter_id").alias("_u"))
-    j = join_dimension(ledger, d, "application_id", "left")
+    j = ledger.join(d, "application_id", "left")   # derived side: AQE sizes it at runtime
     return j.withColumns({
         "underwriter_decision": F.coalesce("_d", "underwriter_decision"),
         "underwriter_notes": F.when(F.col("_d").isNotNull(), F.col("_n")).otherwise(F.col("underwriter_notes")),

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from lendflow import params as P
 from lendflow.functions.text import PII_PATTERNS, is_blank, mask_pii
-from lendflow.operators.joins import join_dimension
 
 
 def _c(x) -> Column:
@@ -38,10 +37,11 @@ def mask_applications(apps: DataFrame) -> DataFrame:
 
 
 def reidentify(rows: DataFrame, directory: DataFrame) -> DataFrame:
-    """J1 + P12: console names.  ``display_name`` = directory name, else the ledger's name,
+    """J1 + P12: console names.  Plain equi-join: the directory grows with the book, so Spark
+    broadcasts it only when its measured size allows (static estimate, then AQE at runtime).  ``display_name`` = directory name, else the ledger's name,
     else ``Unknown Applicant`` (copilot); ``detail_name`` = directory name else
     ``Unknown Applicant`` (detail view).  An access-controlled view, never written back."""
-    j = join_dimension(rows, directory.select("application_id", "real_name"), "application_id", "left")
+    j = rows.join(directory.select("application_id", "real_name"), "application_id", "left")
     return j.withColumns({
         "display_name": F.coalesce(F.col("real_name"), F.col("applicant_name"), F.lit(P.UNKNOWN_APPLICANT)),
         "detail_name": F.coalesce(F.col("real_name"), F.lit(P.UNKNOWN_APPLICANT)),
@@ -53,7 +53,7 @@ def leak_audit(rows: DataFrame, directory: DataFrame, text_columns) -> DataFrame
     pattern.  One pass: every (column, kind) check is a ``count_if`` of a single global
     aggregate (partial on the map side); only the small result is unpivoted to
     (column_name, leak_kind, n_rows, n_checked)."""
-    j = join_dimension(rows, directory.select("application_id", "real_name"), "application_id", "left")
+    j = rows.join(directory.select("application_id", "real_name"), "application_id", "left")
     checks = []
     for c in text_columns:
         for kind, pattern, _ in PII_PATTERNS:
@@ -69,6 +69,6 @@ def leak_audit(rows: DataFrame, directory: DataFrame, text_columns) -> DataFrame
 
 def directory_mismatch(apps: DataFrame, directory: DataFrame) -> DataFrame:
     """Applications whose payload name differs from the directory's (null-safe)."""
-    j = join_dimension(apps.select("application_id", "applicant_name"),
-                       directory.select("application_id", "real_name"), "application_id", "inner")
+    j = apps.select("application_id", "applicant_name").join(
+        directory.select("application_id", "real_name"), "application_id", "inner")
     return j.filter(~F.col("applicant_name").eqNullSafe(F.col("real_name")))

@@ -26,6 +26,8 @@ def build_session(master: str | None = None, app_name: str = "lendflow",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Remove checkpoint files once the checkpointed data is no longer referenced.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # Streaming state (Z2 dedupe, Z3 windows, Z4 latest state) in RocksDB: off-heap, spills to
         # disk, checkpointed incrementally.
         "spark.sql.streaming.stateStore.providerClass":
