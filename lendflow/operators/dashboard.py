@@ -44,6 +44,14 @@ def decisions_per_window(ledger: DataFrame, width: str = "1 day") -> DataFrame:
 
 
 def breach_mix(assessed: DataFrame) -> DataFrame:
-    """Breach codes by segment with subtotals (rollup), over breached applications."""
-    e = assessed.select("segment", F.explode("breach_codes").alias("breach_code"))
-    return e.rollup("segment", "breach_code").agg(F.count(F.lit(1)).alias("n"))
+    """Breach codes by segment with rollup subtotals.
+
+    Aggregate first: one ``count_if`` per code and segment (partial on the map side), so no
+    application row is exploded or expanded; the rollup then runs over at most
+    segments x codes rows."""
+    per = assessed.groupBy("segment").agg(
+        *[F.count_if(F.array_contains("breach_codes", c)).alias(c) for c in P.BREACH_CODES])
+    cells = per.select("segment", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("breach_code"), F.col(c).alias("n")) for c in P.BREACH_CODES])))
+    cells = cells.filter(F.col("n") > 0)
+    return cells.rollup("segment", "breach_code").agg(F.sum("n").cast("long").alias("n"))
