@@ -26,13 +26,16 @@ def app_id(col) -> F.Column:
 
 # --- applications --------------------------------------------------------------------------------
 def card_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verified spend per application = exact decimal sum of its line items.
+    """Verified spend per application = exact sum of its line items, in cents.
 
-    Partial (map-side) aggregation before the shuffle on l_orderkey, so a hot order costs one
-    partial row per input split, not its line count."""
+    Each amount is rounded to cents exactly as ``decimal(18,2)`` and summed as a ``long`` (a
+    decimal sum widens to ``decimal(28,2)``, which Spark adds through BigDecimal).  Partial
+    (map-side) aggregation before the shuffle on l_orderkey, so a hot order costs one partial row
+    per input split, not its line count."""
     li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_extendedprice")
-    return li.groupBy("l_orderkey").agg(
-        F.sum(F.col("l_extendedprice").cast(MONEY)).cast(MONEY).alias("spend"))
+    cents = (F.col("l_extendedprice").cast(MONEY) * F.lit(100)).cast("long")
+    agg = li.groupBy("l_orderkey").agg(F.sum(cents).alias("_cents"))
+    return agg.select("l_orderkey", (F.col("_cents").cast("decimal(20,0)") / F.lit(100)).cast(MONEY).alias("spend"))
 
 
 def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
