@@ -54,9 +54,10 @@ def assess_stream(spark: SparkSession, payload_dir: str, ledger_root: str, rejec
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            out, rejected = assess_applications(batch.drop("submitted_at"), p)
+            # submitted_at rides along through the assessment (no join back by id, which would
+            # multiply rows when an application is submitted twice in one batch)
+            out, rejected = assess_applications(batch, p)
             ts = F.coalesce(F.col("submitted_at"), F.current_timestamp()).cast("timestamp_ntz")
-            out = out.join(batch.select("application_id", "submitted_at"), "application_id", "left")
             rows = ledger.audit_rows(out, ts, F.lit(batch_id) * F.lit(1 << 40) + F.monotonically_increasing_id())
             rows.write.mode("overwrite").partitionBy("dt").parquet(_batch_dir(ledger_root, batch_id))
             rejected.write.mode("overwrite").parquet(_batch_dir(rejects_root, batch_id))

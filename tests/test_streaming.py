@@ -101,3 +101,14 @@ def test_assessment_with_index_and_completions(spark, tmp_path):
     assert rows["APP-102"].ai_risk_memo == "Memo for 102."
     assert rows["APP-103"].ai_risk_memo == P.MEMO_FALLBACK                   # failed call
     assert rows["APP-104"].ai_risk_memo == P.MEMO_FALLBACK                   # no completion
+
+
+def test_stream_without_dedupe_keeps_each_submission_once(spark, tmp_path):
+    raw = write_payloads(tmp_path / "raw", PERSONAS[:2])
+    with open(os.path.join(raw, "APP-102-again.json"), "w") as f:
+        json.dump(PERSONAS[1], f, indent=4)
+    q = stream.assess_stream(spark, raw, str(tmp_path / "sled"), str(tmp_path / "srej"), str(tmp_path / "ckpt"),
+                             dedupe=False)
+    q.awaitTermination(120)
+    s = stream.read_stream_ledger(spark, str(tmp_path / "sled"))
+    assert sorted(r.application_id for r in s.collect()) == ["APP-101", "APP-102", "APP-102"]
