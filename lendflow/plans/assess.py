@@ -30,16 +30,18 @@ def assess_applications(apps: DataFrame, p=P.DEFAULT_POLICY, index=None, complet
     valid, rejected = quarantine(apps, p)
     out = policy.with_outcome(policy.assess(privacy.mask_applications(with_notes_default(valid)), p))
     breached = ~policy.is_clean()
+    # Both attachments keep one output row per input row: citations join on the (distinct)
+    # query text, null for clean files; completions join on the id (one completion per call).
     if index is not None:
         chunks, model = index
-        q = out.filter(breached).select("application_id", retrieval.query_text().alias("query_text"))
-        cites = retrieval.retrieve_for_texts(q, chunks, model, k=k).select("application_id", "regulatory_citations")
-        out = out.join(cites, "application_id", "left")
+        out = out.withColumn("query_text", F.when(breached, retrieval.query_text()))
+        out = retrieval.retrieve_for_texts(out, chunks, model, k=k).drop("query_text")
     if completions is not None:
-        memos = memo.attach_completions(out.filter(breached).select("application_id"), completions,
-                                        out="_memo")
-        out = out.join(memos, "application_id", "left").withColumn(
-            "ai_risk_memo", F.coalesce("ai_risk_memo", "_memo")).drop("_memo")
+        out = memo.attach_completions(out, completions, out="_memo")
+        out = out.withColumns({
+            "ai_risk_memo": F.coalesce("ai_risk_memo", F.when(breached, F.col("_memo"))),
+            "completion_failed": F.when(breached, F.col("completion_failed")),
+        }).drop("_memo")
     return out, rejected
 
 

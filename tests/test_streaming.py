@@ -90,9 +90,14 @@ def test_assessment_with_index_and_completions(spark, tmp_path):
     index = retrieval.open_or_build_index(spark, retrieval.read_corpus_dir(spark, str(regs)), str(tmp_path / "idx"))
     comps = spark.createDataFrame([("APP-102", None, "  Memo for 102. ", None), ("APP-103", None, None, "boom")],
                                   "application_id string, blocks array<struct<text:string>>, plain string, error string")
-    apps = read_applications(spark, write_payloads(tmp_path / "raw", PERSONAS))
+    raw = write_payloads(tmp_path / "raw", PERSONAS)
+    with open(os.path.join(raw, "APP-103-again.json"), "w") as f:    # duplicate submission
+        json.dump(PERSONAS[2], f, indent=4)
+    apps = read_applications(spark, raw)
     out, rejected = assess.assess_applications(apps, index=index, completions=comps)
-    rows = {r.application_id: r for r in out.collect()}
+    collected = out.collect()
+    assert sorted(r.application_id for r in collected) == ["APP-101", "APP-102", "APP-103", "APP-103", "APP-104"]
+    rows = {r.application_id: r for r in collected}
     assert rejected.count() == 0
     assert rows["APP-101"].regulatory_citations is None                      # clean: no retrieval
     assert rows["APP-101"].ai_risk_memo.startswith("Application APP-101 meets all")
