@@ -17,7 +17,6 @@ from lendflow import params as P
 from lendflow.sources.schemas import LEDGER_COLUMNS, LEDGER_SCHEMA
 
 ORDER_KEY = ("timestamp", "event_id")  # newest first: timestamp, then event id as tie-break
-DECISION_FIELDS = ("underwriter_id", "underwriter_decision", "underwriter_notes")
 
 
 def wall_clock(ts: dt.datetime) -> Column:

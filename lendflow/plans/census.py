@@ -28,11 +28,17 @@ NODES = (
 
 
 def physical_plan(df) -> str:
+    """``explain()`` text of the static physical plan (AQE switched off while planning)."""
+    import contextlib
+    import io
     spark = df.sparkSession
     old = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        return df._jdf.queryExecution().executedPlan().toString()
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            df.explain()
+        return buf.getvalue()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", old)
 

@@ -11,8 +11,6 @@ executor or driver restart never appends a batch twice.
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -125,6 +123,3 @@ def read_state(spark: SparkSession, changes_root: str) -> DataFrame | None:
         return None
     return ledger.latest_agg(changes.drop("batch"))
 
-
-def now_ntz() -> dt.datetime:
-    return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)

@@ -6,10 +6,6 @@ from lendflow.plans import queries as Q
 from lendflow.sources import derived as D
 
 
-def plan(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
-
-
 def explain(df) -> str:
     """Static (non-adaptive) formatted plan, so codegen stages and join choices are visible."""
     import contextlib

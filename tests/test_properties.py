@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lendflow.functions.metrics import flat_metrics, with_metrics
+from lendflow.functions.metrics import flat_metrics
 from lendflow.operators import policy
 from lendflow.sources.payloads import quarantine
 from lendflow.sources.schemas import APP_SCHEMA
