@@ -32,6 +32,7 @@ HEADLINE = (
     "chunks_fixed",           # R2
     "chunks_recursive",       # R1 (Arrow UDF)
     "knn_exact",              # J2 / T2
+    "knn_lsh",                # J2 at scale (approximate)
     "citations",              # P24
     "stress_grid",            # X2
     "breach_mix",             # X3
