@@ -63,3 +63,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def materialize(df, tag: str):
+    """Cut lineage with a Parquet table written under the shared checkpoint folder and read back
+    (columnar, so consumers prune and filter it like any table).  Used where one intermediate
+    feeds several consumers and recomputing it would be costly."""
+    import uuid
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
