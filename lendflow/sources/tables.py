@@ -10,6 +10,29 @@ TABLES = (
 )
 
 
+# The driver tables' schemas, declared rather than inferred from Parquet footers (which costs a
+# footer read per table per query and can drift silently).
+TABLE_SCHEMAS = {
+    "region": "r_regionkey INT,r_name STRING",
+    "nation": "n_nationkey INT,n_name STRING,n_regionkey INT",
+    "customer": "c_custkey BIGINT,c_name STRING,c_nationkey INT,c_acctbal DOUBLE,c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT,s_name STRING,s_nationkey INT,s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT,p_name STRING,p_brand STRING,p_type STRING,p_size INT,p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT,o_custkey BIGINT,o_orderstatus STRING,o_totalprice DOUBLE,"
+              "o_orderdate TIMESTAMP_NTZ,o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT,l_partkey BIGINT,l_suppkey BIGINT,l_linenumber INT,l_quantity DOUBLE,"
+                "l_extendedprice DOUBLE,l_discount DOUBLE,l_tax DOUBLE,l_returnflag STRING,l_linestatus STRING,"
+                "l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT,ts TIMESTAMP_NTZ,user_id BIGINT,event_type STRING,value DOUBLE,props STRING",
+    "documents": "doc_id BIGINT,text STRING,lang STRING,source STRING,n_chars BIGINT",
+    "embeddings": "vec_id BIGINT,embedding ARRAY<FLOAT>,label INT",
+    "pages": "page_id BIGINT,url STRING,html STRING",
+    "benchmark": "item_id BIGINT,text STRING",
+    "labels": "doc_id BIGINT,quality INT,toxic INT",
+    "conversations": "conv_id BIGINT,turn BIGINT,role STRING,text STRING",
+}
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
@@ -17,7 +40,8 @@ def table_path(sf_dir: str, name: str) -> str:
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Parquet scan; naming the columns up front keeps the ReadSchema narrow even before
     Catalyst prunes (it would anyway)."""
-    df = spark.read.parquet(table_path(sf_dir, name))
+    reader = spark.read.schema(TABLE_SCHEMAS[name]) if name in TABLE_SCHEMAS else spark.read
+    df = reader.parquet(table_path(sf_dir, name))
     return df.select(*columns) if columns else df
 
 

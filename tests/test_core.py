@@ -201,3 +201,13 @@ def test_sql_functions_inline(spark):
     r = spark.sql("SELECT dti_of(100000D, 600000D, 0D) AS d, dti_status_of(100000D, 599600D, 0D) AS s, "
                   "round(repayment_of(100000D, 0.06D, 360), 2) AS r").first()
     assert (r.d, r.s, r.r) == (6.0, "PASS", 599.55)
+
+
+def test_declared_table_schemas_match_files(spark):
+    from lendflow.sources.tables import TABLE_SCHEMAS, TABLES, table_path
+    from pyspark.sql.types import _parse_datatype_string
+    for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1"):
+        for t in TABLES:
+            inferred = spark.read.parquet(table_path(sf, t)).schema
+            declared = _parse_datatype_string(TABLE_SCHEMAS[t])
+            assert [(f.name, f.dataType) for f in inferred] == [(f.name, f.dataType) for f in declared], (sf, t)
