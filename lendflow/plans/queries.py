@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendflow import params as P
-from lendflow.functions.metrics import amortised_repayment, dti_raw, flat_metrics, serviceability_raw, with_metrics
+from lendflow.functions.metrics import amortised_repayment, flat_metrics, with_metrics
 from lendflow.functions.text import mask_pii
-from lendflow.operators import chunking, dashboard, decisions, guard, ledger, memo, policy, privacy, retrieval
+from lendflow.operators import (chunking, dashboard, decisions, guard, ledger, memo, policy, portfolio, privacy,
+                                retrieval)
 from lendflow.operators.knn import knn
 from lendflow.operators.lexical import lexical_topk
 from lendflow.operators.lsh import lsh_knn
@@ -311,30 +312,8 @@ SCENARIOS = tuple(
 
 @query("stress_grid")
 def stress_grid(spark, sf_dir):
-    """Breach counts per scenario.  All scenarios are evaluated as columns of one projection
-    and counted by one global aggregate (partial on the map side); the small result is then
-    unpivoted.  No join and no row replication: work is one pass over the applications."""
-    a = D.applications(spark, sf_dir)
-    exp = with_metrics(a).select("*")  # expense result does not depend on the scenario
-    aggs = [F.count(F.lit(1)).alias("n_apps")]
-    for sid, buf, lim in SCENARIOS:
-        p = P.PolicyParams(buffer=buf, dti_limit=lim)
-        d = dti_raw("gross_annual_income", "requested_loan_amount", "existing_debts_monthly", p) >= F.lit(lim)
-        e = F.col("expense_result.status") == P.BREACH
-        _, _, s = serviceability_raw("gross_annual_income", F.col("expense_result.applicable_monthly_expense"),
-                                     "existing_debts_monthly", "requested_loan_amount", "base_interest_rate", p)
-        s = s < 0
-        aggs += [F.count_if(d).alias(f"d{sid}"), F.count_if(s).alias(f"s{sid}"),
-                 F.count_if(d | e | s).alias(f"r{sid}")]
-    aggs.append(F.count_if(F.col("expense_result.status") == P.BREACH).alias("e_all"))
-    tot = exp.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(sid).alias("scenario_id"), F.lit(buf).alias("buffer"),
-                              F.lit(lim).alias("dti_limit"), F.col(f"d{sid}").alias("n_dti_breach"),
-                              F.col("e_all").alias("n_expense_breach"), F.col(f"s{sid}").alias("n_serviceability_breach"),
-                              F.col(f"r{sid}").alias("n_referred"), F.col("n_apps").alias("n_apps"))
-                     for sid, buf, lim in SCENARIOS])
-    out = tot.select(F.inline(rows))
-    return out.withColumn("referral_rate", F.round(F.col("n_referred") / F.col("n_apps"), 4))
+    """Breach counts per stress scenario, one pass over the applications."""
+    return portfolio.stress_grid(D.applications(spark, sf_dir), SCENARIOS)
 
 
 @query("breach_mix")
