@@ -45,9 +45,11 @@ def with_policy(df: DataFrame) -> DataFrame:
         "policy_breaches": F.array_compact(F.array(*[F.when(c, m) for c, m, _ in flags])),
         "breach_codes": F.array_compact(F.array(*[F.when(c, F.lit(code)) for c, _, code in flags])),
     })
+    # The recommendation reads the codes, not the messages (both are empty together), so a query
+    # that never selects the messages does not pay for formatting them.
     return df.withColumn(
         "system_recommendation",
-        F.when(F.size("policy_breaches") > 0, F.lit(P.ESCALATED_REFERRAL)).otherwise(F.lit(P.AUTO_APPROVE)),
+        F.when(F.size("breach_codes") > 0, F.lit(P.ESCALATED_REFERRAL)).otherwise(F.lit(P.AUTO_APPROVE)),
     )
 
 
@@ -58,7 +60,7 @@ def assess(apps: DataFrame, p=P.DEFAULT_POLICY) -> DataFrame:
 
 # --- P7 / P8 / U1 --------------------------------------------------------------------------------
 def is_clean() -> F.Column:
-    return F.size("policy_breaches") == 0
+    return F.size("breach_codes") == 0
 
 
 def route(assessed: DataFrame):
