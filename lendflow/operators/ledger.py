@@ -93,6 +93,21 @@ def append(rows: DataFrame, path: str) -> None:
     rows.select(*[f.name for f in LEDGER_SCHEMA.fields]).write.mode("append").partitionBy("dt").parquet(path)
 
 
+def compact(spark: SparkSession, path: str, day: dt.date, files: int = 1) -> None:
+    """Rewrite one ``dt`` partition of the ledger into ``files`` files (appends, above all
+    streaming ones, leave many small files).
+
+    The partition is first written as a table in the shared folder (``session.materialize``), so
+    the rewrite does not read the files it replaces, and that copy survives a failed rewrite;
+    then only this partition is overwritten (dynamic partition overwrite), the others untouched.
+    Rows and values are unchanged."""
+    from lendflow.session import materialize
+    part = read_ledger(spark, path).filter(F.col("dt") == F.lit(day))
+    staged = materialize(part, f"ledger-dt={day.isoformat()}")
+    (staged.repartition(files).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("dt").parquet(path))
+
+
 # --- W1 / A2 / S9 / S10 / T1 ---------------------------------------------------------------------
 def latest(ledger: DataFrame) -> DataFrame:
     """Newest row per application.  ``row_number() = 1`` lets Spark add a partial

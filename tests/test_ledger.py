@@ -144,3 +144,18 @@ def test_ledger_as_sql_table(spark, tmp_path):
     assert top.application_id == "A" and top.underwriter_decision == "PENDING_REVIEW"
     assert spark.sql("SELECT count(*) FROM audit_trail_t WHERE dt = DATE'2024-01-01'").first()[0] == 8
     spark.sql("DROP TABLE audit_trail_t")
+
+
+def test_compact_one_partition(spark, tmp_path):
+    import os
+    path = str(tmp_path / "ledger_c")
+    for i in range(4):                                             # four small appends
+        ledger.append(_ledger(spark).repartition(3), path)
+    before = sorted(map(tuple, ledger.read_ledger(spark, path).collect()))
+    day_dir = os.path.join(path, "dt=2024-01-01")
+    n_before = len([f for f in os.listdir(day_dir) if f.endswith(".parquet")])
+    ledger.compact(spark, path, T0.date(), files=1)
+    n_after = len([f for f in os.listdir(day_dir) if f.endswith(".parquet")])
+    after = sorted(map(tuple, ledger.read_ledger(spark, path).collect()))
+    assert n_before > 1 and n_after == 1
+    assert before == after
