@@ -262,6 +262,18 @@ comp AS (
   FROM documents)"""
 
 
+def render_sql(template: str, values: dict) -> str:
+    """SQL concatenation of a ``{name}`` template (the same fixed text the Spark side renders)."""
+    import string
+    parts = []
+    for literal, field, _, _ in string.Formatter().parse(template):
+        if literal:
+            parts.append(_q(literal))
+        if field is not None:
+            parts.append(f"({values[field]})")
+    return " || ".join(parts)
+
+
 def flatten(blocks: str, plain: str, sep: str = "") -> str:
     joined = f"array_to_string(list_transform({blocks}, lambda b: coalesce(b.text, '')), {_q(sep)})"
     return strip(f"coalesce({plain}, {joined})")
@@ -444,6 +456,10 @@ SELECT a.application_id,
 FROM assessed a LEFT JOIN comp c ON a.application_id = c.application_id
 WHERE len(a.policy_breaches) > 0""")
 
+    notes = f"coalesce({mask_text('applicant_notes', 'applicant_name')}, {_q(P.DEFAULT_NOTES)})"
+    q["summary_prompts"] = with_ctes(APPS, body=f"""
+SELECT application_id, {render_sql(P.SUMMARY_PROMPT_TEMPLATE, {"notes": notes})} AS summary_prompt FROM apps""")
+
     q["cdr_expenses"] = with_ctes(APPS, body="""
 SELECT application_id, CAST(cdr_verified_expenses_monthly AS DOUBLE) AS cdr_verified_expenses_monthly FROM apps""")
 

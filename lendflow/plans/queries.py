@@ -397,6 +397,14 @@ def memo_prompts(spark, sf_dir):
                     F.lit(P.MEMO_SYSTEM_PROMPT).alias("system_prompt"), memo.memo_prompt().alias("memo_prompt"))
 
 
+@query("summary_prompts")
+def summary_prompts(spark, sf_dir):
+    """P19 + P10 + S2: the notes-summary prompt of every application (notes masked, absent
+    notes defaulted)."""
+    a = privacy.mask_applications(D.applications(spark, sf_dir))
+    return a.select("application_id", memo.summary_prompt().alias("summary_prompt"))
+
+
 @query("copilot_prompts")
 def copilot_prompts(spark, sf_dir):
     """P16 + P17 + P20 + J1 + S10 + T2: every user turn is guarded; allowed questions get the
