@@ -284,7 +284,7 @@ SCENARIO_VALUES = None  # filled in oracle_sql from queries.SCENARIOS
 
 # --- queries -------------------------------------------------------------------------------------
 def oracle_sql() -> dict[str, str]:
-    from lendflow.plans.queries import KNN_K, LEXICAL_K, POINT_ID, RUN_TS, SCENARIOS
+    from lendflow.plans.queries import ID_STRIDE, KNN_K, LEXICAL_K, POINT_ID, RUN_TS, SCENARIOS
     q: dict[str, str] = {}
     run_ts = f"TIMESTAMP '{RUN_TS.isoformat(sep=' ')}'"
 
@@ -516,24 +516,84 @@ FROM top t LEFT JOIN (SELECT '/regulations/' || source || '.pdf' AS source, doc_
                       FROM documents) pg ON t.neighbor_id = pg.page
 GROUP BY t.query_id""")
 
-    split = "'[^\\pL\\pN]+'"
-    q["retrieve_lexical"] = f"""
-WITH dt AS (SELECT doc_id AS id, unnest(regexp_split_to_array(lower(text), {split})) AS term FROM documents),
-dtf AS (SELECT id, term, count(*) AS tf FROM dt WHERE term <> '' GROUP BY ALL),
-n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents),
-idf AS (SELECT term, ln((SELECT n FROM n) / CAST(count(*) AS DOUBLE)) AS idf FROM dtf GROUP BY term),
-dw AS (SELECT id, dtf.term, CAST(tf AS DOUBLE) * idf AS w FROM dtf JOIN idf ON dtf.term = idf.term),
-qt AS (SELECT item_id AS id, unnest(regexp_split_to_array(lower(text), {split})) AS term FROM benchmark),
-qtf AS (SELECT id, term, count(*) AS tf FROM qt WHERE term <> '' GROUP BY ALL),
-qw AS (SELECT id, qtf.term, CAST(tf AS DOUBLE) * idf AS w FROM qtf JOIN idf ON qtf.term = idf.term),
-s AS (SELECT qw.id AS query_id, dw.id AS neighbor_id, round(sum(qw.w * dw.w), 6) AS score
-      FROM qw JOIN dw ON qw.term = dw.term GROUP BY ALL HAVING sum(qw.w * dw.w) > 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbor_id) AS rank FROM s)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbor_id, score FROM r WHERE rank <= {LEXICAL_K}"""
+    q["retrieve_lexical"] = "WITH " + lexical_ctes("SELECT doc_id AS id, text FROM documents",
+                                                   "SELECT item_id AS id, text FROM benchmark", LEXICAL_K) + """
+SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbor_id, score FROM lx_top"""
+
+    fixed_chunks = f"""
+ch AS (
+  SELECT page * {ID_STRIDE} + chunk_no AS chunk_id, source, page, chunk_no, chunk FROM (
+    SELECT source, page, CAST(i AS INTEGER) AS chunk_no,
+           substring(content, CAST(i AS BIGINT) * {P.CHUNK_SIZE - P.CHUNK_OVERLAP} + 1, {P.CHUNK_SIZE}) AS chunk
+    FROM (SELECT '/regulations/' || source || '.pdf' AS source, doc_id AS page, text AS content,
+                 unnest(range(0, CAST(greatest(ceil((length(text) - {P.CHUNK_OVERLAP}) / {P.CHUNK_SIZE - P.CHUNK_OVERLAP}), 1) AS BIGINT))) AS i
+          FROM documents))
+  WHERE length(chunk) > 0)"""
+    users = f"""
+u AS (
+  SELECT conv_id, turn, text, conv_id * {ID_STRIDE} + turn AS qid, 'APP-' || CAST(conv_id AS VARCHAR) AS application_id,
+         ({scope_family("text", "strict")}) IS NOT NULL AS blocked
+  FROM chat WHERE role = 'user')"""
+    cites = f"""
+cites AS (
+  SELECT t.query_id AS qid,
+    string_agg('[Citation ' || CAST(t.rank AS VARCHAR) || ' - '
+               || coalesce(string_split(ch.source, '/')[-1], {_q(P.UNKNOWN_SOURCE)}) || ', Page '
+               || coalesce(CAST(ch.page AS VARCHAR), {_q(P.UNKNOWN_PAGE)}) || ']' || chr(10)
+               || coalesce(ch.chunk, '') || chr(10), chr(10) ORDER BY t.rank) AS regulatory_citations
+  FROM lx_top t JOIN ch ON t.neighbor_id = ch.chunk_id GROUP BY t.query_id),
+ctx AS (
+  SELECT u.*, l.calculated_dti, l.net_monthly_surplus, l.system_recommendation, l.policy_breaches,
+         l.underwriter_decision, coalesce(d.real_name, l.applicant_name, {_q(P.UNKNOWN_APPLICANT)}) AS display_name,
+         c.regulatory_citations
+  FROM u LEFT JOIN lat l ON u.application_id = l.application_id
+         LEFT JOIN dir d ON u.application_id = d.application_id
+         LEFT JOIN cites c ON u.qid = c.qid)"""
+    prompt = render_sql(P.COPILOT_PROMPT_TEMPLATE, {
+        "application_id": "application_id",
+        "name": f"coalesce(display_name, {_q(P.UNKNOWN_APPLICANT)})",
+        "calculated_dti": f"coalesce({fmt_calc('calculated_dti')}, {_q(P.NOT_AVAILABLE)})",
+        "net_monthly_surplus": f"coalesce({fmt_calc('net_monthly_surplus')}, {_q(P.NOT_AVAILABLE)})",
+        "system_recommendation": f"coalesce(system_recommendation, {_q(P.NOT_AVAILABLE)})",
+        "policy_breaches": "coalesce(policy_breaches, 'None')",
+        "underwriter_decision": f"coalesce(underwriter_decision, {_q(P.PENDING_REVIEW)})",
+        "citations": "coalesce(regulatory_citations, '')",
+        "question": "coalesce(text, '')",
+    })
+    lx = lexical_ctes("SELECT chunk_id AS id, chunk AS text FROM ch",
+                      "SELECT qid AS id, text FROM u WHERE NOT blocked", P.RETRIEVAL_K)
+    q["copilot_prompts_lexical"] = with_ctes(CHAT, LEDGER, LATEST, DIRECTORY, users, fixed_chunks, lx, cites, body=f"""
+SELECT conv_id, turn, blocked,
+  CASE WHEN blocked THEN NULL ELSE {_q(P.COPILOT_SYSTEM_PROMPT)} END AS system_prompt,
+  CASE WHEN blocked THEN NULL ELSE {prompt} END AS prompt,
+  CASE WHEN blocked THEN {_q(P.SCOPE_REFUSAL)} END AS reply
+FROM ctx""")
 
     return q
 
 
+def lexical_ctes(docs: str, queries: str, k: int) -> str:
+    """CTEs ending in ``lx_top(query_id, rank, neighbor_id, score)``: TF-IDF dot products of
+    lower-cased terms split on non-letters/digits, idf = ln(N / df), score rounded to 6 places,
+    ranked by score then id.  ``docs`` / ``queries`` are subqueries yielding (id, text)."""
+    split = "'[^\\pL\\pN]+'"
+    return f"""
+lx_d AS ({docs}),
+lx_q AS ({queries}),
+lx_dt AS (SELECT id, unnest(regexp_split_to_array(lower(text), {split})) AS term FROM lx_d),
+lx_dtf AS (SELECT id, term, count(*) AS tf FROM lx_dt WHERE term <> '' GROUP BY ALL),
+lx_n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM lx_d),
+lx_idf AS (SELECT term, ln((SELECT n FROM lx_n) / CAST(count(*) AS DOUBLE)) AS idf FROM lx_dtf GROUP BY term),
+lx_dw AS (SELECT id, lx_dtf.term, CAST(tf AS DOUBLE) * idf AS w FROM lx_dtf JOIN lx_idf ON lx_dtf.term = lx_idf.term),
+lx_qt AS (SELECT id, unnest(regexp_split_to_array(lower(text), {split})) AS term FROM lx_q),
+lx_qtf AS (SELECT id, term, count(*) AS tf FROM lx_qt WHERE term <> '' GROUP BY ALL),
+lx_qw AS (SELECT id, lx_qtf.term, CAST(tf AS DOUBLE) * idf AS w FROM lx_qtf JOIN lx_idf ON lx_qtf.term = lx_idf.term),
+lx_s AS (SELECT lx_qw.id AS query_id, lx_dw.id AS neighbor_id, round(sum(lx_qw.w * lx_dw.w), 6) AS score
+         FROM lx_qw JOIN lx_dw ON lx_qw.term = lx_dw.term GROUP BY ALL HAVING sum(lx_qw.w * lx_dw.w) > 0),
+lx_r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbor_id) AS rank FROM lx_s),
+lx_top AS (SELECT * FROM lx_r WHERE rank <= {k})"""
+
+
 def knn_sql(k: int, body: str) -> str:
     """Brute-force exact k-NN over embeddings (self excluded), squared L2, ties by id."""
     return f"""

@@ -429,6 +429,34 @@ def copilot_prompts(spark, sf_dir):
 
 
 LEXICAL_K = 3
+ID_STRIDE = 4096   # packs (page, chunk_no) and (conv_id, turn) into one long id
+
+
+@query("copilot_prompts_lexical")
+def copilot_prompts_lexical(spark, sf_dir):
+    """P16 + P17 + P20 + J1 + S10 + R2 + R5 + P24: the copilot flow with lexical retrieval - each
+    allowed question ranks the fixed-stride chunks by TF-IDF and cites the best 2."""
+    c = guard.classify(D.chat(spark, sf_dir)).withColumns({
+        "application_id": D.app_id("conv_id"),
+        "qid": F.col("conv_id") * ID_STRIDE + F.col("turn")})
+    lat = ledger.latest_agg(D.ledger(spark, sf_dir)).drop("event_id", "event_type", "timestamp", "dt")
+    j = c.join(lat, "application_id", "left").join(D.directory(spark, sf_dir), "application_id", "left")
+    j = j.withColumn("display_name", F.coalesce("real_name", "applicant_name", F.lit(P.UNKNOWN_APPLICANT)))
+    allowed = j.filter(~F.col("blocked_strict"))
+    chunks = chunking.chunk_fixed(D.corpus(spark, sf_dir)).withColumn(
+        "chunk_id", F.col("page") * ID_STRIDE + F.col("chunk_no"))
+    hits = lexical_topk(allowed.select("qid", "text"), chunks.select("chunk_id", "chunk"), P.RETRIEVAL_K,
+                        query_id="qid", query_text="text", doc_id="chunk_id", doc_text="chunk")
+    hits = hits.join(chunks.select("chunk_id", "source", "page", F.col("chunk").alias("content")),
+                     hits.neighbor_id == chunks.chunk_id, "inner")
+    cites = retrieval.render_citations(hits).withColumnRenamed("query_id", "qid")
+    ok = allowed.join(cites, "qid", "left").withColumn("question", F.col("text")).select(
+        "conv_id", "turn", F.lit(False).alias("blocked"), F.lit(P.COPILOT_SYSTEM_PROMPT).alias("system_prompt"),
+        memo.copilot_prompt().alias("prompt"), F.lit(None).cast("string").alias("reply"))
+    refused = j.filter(F.col("blocked_strict")).select(
+        "conv_id", "turn", F.lit(True).alias("blocked"), F.lit(None).cast("string").alias("system_prompt"),
+        F.lit(None).cast("string").alias("prompt"), F.lit(P.SCOPE_REFUSAL).alias("reply"))
+    return ok.unionByName(refused)
 
 
 @query("retrieve_lexical")
