@@ -534,14 +534,7 @@ u AS (
   SELECT conv_id, turn, text, conv_id * {ID_STRIDE} + turn AS qid, 'APP-' || CAST(conv_id AS VARCHAR) AS application_id,
          ({scope_family("text", "strict")}) IS NOT NULL AS blocked
   FROM chat WHERE role = 'user')"""
-    cites = f"""
-cites AS (
-  SELECT t.query_id AS qid,
-    string_agg('[Citation ' || CAST(t.rank AS VARCHAR) || ' - '
-               || coalesce(string_split(ch.source, '/')[-1], {_q(P.UNKNOWN_SOURCE)}) || ', Page '
-               || coalesce(CAST(ch.page AS VARCHAR), {_q(P.UNKNOWN_PAGE)}) || ']' || chr(10)
-               || coalesce(ch.chunk, '') || chr(10), chr(10) ORDER BY t.rank) AS regulatory_citations
-  FROM lx_top t JOIN ch ON t.neighbor_id = ch.chunk_id GROUP BY t.query_id),
+    cites = citations_cte("cites") + f""",
 ctx AS (
   SELECT u.*, l.calculated_dti, l.net_monthly_surplus, l.system_recommendation, l.policy_breaches,
          l.underwriter_decision, coalesce(d.real_name, l.applicant_name, {_q(P.UNKNOWN_APPLICANT)}) AS display_name,
@@ -562,6 +555,30 @@ ctx AS (
     })
     lx = lexical_ctes("SELECT chunk_id AS id, chunk AS text FROM ch",
                       "SELECT qid AS id, text FROM u WHERE NOT blocked", P.RETRIEVAL_K)
+    narrative = (f"CASE WHEN c.error IS NOT NULL OR ({flatten('c.blocks', 'c.plain')}) IS NULL "
+                 f"THEN {_q(P.SUMMARY_FALLBACK)} ELSE {flatten('c.blocks', 'c.plain')} END")
+    memo_prompt = render_sql(P.MEMO_PROMPT_TEMPLATE, {
+        "application_id": "a.application_id",
+        "applicant_name": mask_name("a.applicant_name"),
+        "gross_annual_income": fmt_in("a.gross_annual_income"),
+        "requested_loan_amount": fmt_in("a.requested_loan_amount"),
+        "narrative": narrative,
+        "calculated_dti": fmt_calc("a.calculated_dti"),
+        "stressed_monthly_repayment": fmt_calc("a.stressed_monthly_repayment"),
+        "net_monthly_surplus": fmt_calc("a.net_monthly_surplus"),
+        "breaches": "array_to_string(a.policy_breaches, chr(10))",
+        "citations": "coalesce(mc.regulatory_citations, '')",
+    })
+    memo_cites = citations_cte("mc")
+    lx_memo = lexical_ctes("SELECT chunk_id AS id, chunk AS text FROM ch",
+                           "SELECT okey AS id, array_to_string(policy_breaches, ' ') AS text FROM assessed "
+                           "WHERE len(breach_codes) > 0", P.RETRIEVAL_K)
+    q["memo_prompts_lexical"] = with_ctes(*ASSESSED, COMPLETIONS, fixed_chunks, lx_memo, memo_cites, body=f"""
+SELECT a.application_id, {memo_prompt} AS memo_prompt
+FROM assessed a LEFT JOIN comp c ON a.application_id = c.application_id
+     LEFT JOIN mc ON a.okey = mc.qid
+WHERE len(a.breach_codes) > 0""")
+
     q["copilot_prompts_lexical"] = with_ctes(CHAT, LEDGER, LATEST, DIRECTORY, users, fixed_chunks, lx, cites, body=f"""
 SELECT conv_id, turn, blocked,
   CASE WHEN blocked THEN NULL ELSE {_q(P.COPILOT_SYSTEM_PROMPT)} END AS system_prompt,
@@ -572,6 +589,19 @@ FROM ctx""")
     return q
 
 
+def citations_cte(name: str) -> str:
+    """CTE ``name(qid, regulatory_citations)``: the ``lx_top`` hits over chunks ``ch`` rendered as
+    citation blocks in rank order, joined by a newline."""
+    return f"""
+{name} AS (
+  SELECT t.query_id AS qid,
+    string_agg('[Citation ' || CAST(t.rank AS VARCHAR) || ' - '
+               || coalesce(string_split(ch.source, '/')[-1], {_q(P.UNKNOWN_SOURCE)}) || ', Page '
+               || coalesce(CAST(ch.page AS VARCHAR), {_q(P.UNKNOWN_PAGE)}) || ']' || chr(10)
+               || coalesce(ch.chunk, '') || chr(10), chr(10) ORDER BY t.rank) AS regulatory_citations
+  FROM lx_top t JOIN ch ON t.neighbor_id = ch.chunk_id GROUP BY t.query_id)"""
+
+
 def lexical_ctes(docs: str, queries: str, k: int) -> str:
     """CTEs ending in ``lx_top(query_id, rank, neighbor_id, score)``: TF-IDF dot products of
     lower-cased terms split on non-letters/digits, idf = ln(N / df), score rounded to 6 places,

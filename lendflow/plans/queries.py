@@ -432,6 +432,26 @@ LEXICAL_K = 3
 ID_STRIDE = 4096   # packs (page, chunk_no) and (conv_id, turn) into one long id
 
 
+@query("memo_prompts_lexical")
+def memo_prompts_lexical(spark, sf_dir):
+    """P11 + P18 + J4 + P23 + R2 + R5 + P24: every breached application's memo prompt, its breach
+    text ranking the fixed-stride chunks by TF-IDF (best 2 cited) and its narrative taken from the
+    summary completion or the fallback sentence."""
+    _, breached = policy.route(assessed(spark, sf_dir))
+    summaries = memo.attach_completions(breached.select("application_id"), D.completions(spark, sf_dir),
+                                        fallback=P.SUMMARY_FALLBACK, out="applicant_narrative_summary")
+    b = breached.join(summaries.select("application_id", "applicant_narrative_summary"), "application_id", "left")
+    b = b.withColumn("qid", F.substring("application_id", len(D.APP_PREFIX) + 1, 20).cast("long"))
+    chunks = chunking.chunk_fixed(D.corpus(spark, sf_dir)).withColumn(
+        "chunk_id", F.col("page") * ID_STRIDE + F.col("chunk_no"))
+    hits = lexical_topk(b.select("qid", retrieval.query_text().alias("text")), chunks.select("chunk_id", "chunk"),
+                        P.RETRIEVAL_K, query_id="qid", query_text="text", doc_id="chunk_id", doc_text="chunk")
+    hits = hits.join(chunks.select("chunk_id", "source", "page", F.col("chunk").alias("content")),
+                     hits.neighbor_id == chunks.chunk_id, "inner")
+    cites = retrieval.render_citations(hits).withColumnRenamed("query_id", "qid")
+    return b.join(cites, "qid", "left").select("application_id", memo.memo_prompt().alias("memo_prompt"))
+
+
 @query("copilot_prompts_lexical")
 def copilot_prompts_lexical(spark, sf_dir):
     """P16 + P17 + P20 + J1 + S10 + R2 + R5 + P24: the copilot flow with lexical retrieval - each
