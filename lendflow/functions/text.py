@@ -17,14 +17,23 @@ def money_str(x) -> Column:
     return _c(x).cast(MONEY).cast("string")
 
 
+def _drop_last(s: Column, n: int) -> Column:
+    return F.substring(s, F.lit(1), F.length(s) - n)
+
+
 def fmt_in(x) -> Column:
-    """Echo an input amount the way it was submitted: 1600.00 -> 1600, 1600.50 -> 1600.5."""
-    return F.regexp_replace(money_str(x), r"[.]?0+$", "")
+    """Echo an input amount the way it was submitted: 1600.00 -> 1600, 1600.50 -> 1600.5.
+    On the two-decimal rendering this is suffix trimming (same result as removing ``[.]?0+$``)."""
+    s = money_str(x)
+    return (F.when(s.endswith(".00"), _drop_last(s, 3))
+            .when(s.endswith("0"), _drop_last(s, 1)).otherwise(s))
 
 
 def fmt_calc(x) -> Column:
-    """Echo a value rounded to 2 places as a float prints: 6.00 -> 6.0, 6.50 -> 6.5, 6.71 -> 6.71."""
-    return F.regexp_replace(money_str(x), r"([.][0-9])0$", "$1")
+    """Echo a value rounded to 2 places as a float prints: 6.00 -> 6.0, 6.50 -> 6.5, 6.71 -> 6.71.
+    On the two-decimal rendering: drop one trailing zero (same as ``([.][0-9])0$`` -> ``$1``)."""
+    s = money_str(x)
+    return F.when(s.endswith("0"), _drop_last(s, 1)).otherwise(s)
 
 
 def render(template: str, values: dict) -> Column:
