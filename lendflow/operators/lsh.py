@@ -6,6 +6,13 @@ within a key, OR across keys).  Candidates are the corpus rows sharing at least
 query; they are scored exactly, so every returned distance is exact and only recall is
 approximate (measured against the exact join in the tests).
 
+Tuning: a projection of a unit vector in d dimensions spreads with sigma ~ 1/sqrt(d), so
+``bucket_length`` should be a fraction of a unit there (not 1.0 and up, which leaves a couple of
+buckets per projection).  Pruning depends on the data: on clustered embeddings buckets are
+selective; on near-uniform vectors (like the driver's 64-d test embeddings) every setting with
+recall@10 >= 0.9 scores more pairs than the exact join (measured: recall 0.85 at 0.91x the pairs,
+0.98 at ~1.9x), and ``knn`` is the better choice.  Measure recall and the candidate count first.
+
 Skew: a bucket may hold a large share of either side.  Per-bucket counts decide how many
 sub-blocks each side of the bucket is cut into (``block_rows`` rows each); every task then holds
 one query sub-block and one corpus sub-block, never a whole hot bucket, and emits only k rows per
