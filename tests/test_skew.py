@@ -49,3 +49,49 @@ def test_hot_lsh_bucket_is_split_and_exact(spark):
     hot = {k: x for k, x in want.items() if k[0] < 300}
     assert all(got.get(k) == x for k, x in hot.items())            # duplicates: all found, ties by id
     assert got[(0, 1)] == (1, 0.0) and got[(299, 5)] == (4, 0.0)
+
+
+def test_lexical_hot_term_matches_brute_force(spark):
+    import math
+    import re
+    from collections import Counter
+    from lendflow.operators.lexical import lexical_topk
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(60)]
+    docs = [(i, "the " + " ".join(rng.choice(words, size=int(rng.integers(3, 30))))) for i in range(300)]
+    queries = [(i, "the " + " ".join(rng.choice(words, size=4))) for i in range(40)]
+    got = lexical_topk(spark.createDataFrame(queries, "qid long, text string"),
+                       spark.createDataFrame(docs, "did long, text string"), 3,
+                       query_id="qid", query_text="text", doc_id="did", doc_text="text", block_rows=64).collect()
+    toks = lambda t: [w for w in re.split(r"[^\w]+", t.lower()) if w]
+    dtf = {d: Counter(toks(t)) for d, t in docs}
+    df = Counter(w for c in dtf.values() for w in c)
+    idf = {w: math.log(len(docs) / n) for w, n in df.items()}
+    want = []
+    for q, t in queries:
+        qtf = Counter(toks(t))
+        scores = []
+        for d, c in dtf.items():
+            s = sum(qtf[w] * idf[w] * c[w] * idf[w] for w in qtf if w in c)
+            if s > 0:
+                scores.append((round(s, 6), d))
+        scores.sort(key=lambda x: (-x[0], x[1]))
+        want += [(q, r + 1, d, s) for r, (s, d) in enumerate(scores[:3])]
+    got = sorted((r.query_id, r.rank, r.neighbor_id, r.score) for r in got)
+    assert [(a, b, c) for a, b, c, _ in got] == [(a, b, c) for a, b, c, _ in sorted(want)]
+    assert all(abs(x[3] - y[3]) < 1e-6 for x, y in zip(got, sorted(want)))
+
+
+def test_decision_burst_on_one_application(spark):
+    from lendflow.operators import decisions
+    led = D.ledger(spark, SF01)
+    pend = ledger.latest(led).filter(F.col("underwriter_decision") == "PENDING_REVIEW").first().application_id
+    base = D.decisions(spark, SF01)
+    burst = base.withColumn("application_id", F.when(F.col("decision_id") % 3 == 0, F.lit(pend))
+                            .otherwise(F.col("application_id")))
+    acc = decisions.accepted(burst, led)
+    rows = acc.filter(F.col("application_id") == pend).collect()
+    assert len(rows) == 1                                          # one decision lands per file
+    passed, _ = decisions.gate(burst, led)
+    first = passed.filter(F.col("application_id") == pend).orderBy("event_ts", "decision_id").first()
+    assert rows[0].decision_id == first.decision_id               # the earliest valid one
