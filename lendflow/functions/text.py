@@ -50,8 +50,9 @@ def render(template: str, values: dict) -> Column:
 
 
 def pct2(x) -> Column:
-    """A rate as a percentage with two decimals: 0.0935 -> 9.35."""
-    return F.format_string("%.2f", _c(x) * F.lit(100.0))
+    """A rate as a percentage with two decimals: 0.0935 -> 9.35 (as ``%.2f`` prints it: HALF_UP on
+    the value's decimal form, which is what ``round`` does; rendered through decimal(20,2))."""
+    return F.round(_c(x) * F.lit(100.0), 2).cast("decimal(20,2)").cast("string")
 
 
 # The characters Python's str.strip() removes (str.isspace), as a regex class
@@ -69,7 +70,8 @@ def py_strip(x) -> Column:
 
 
 def is_blank(x) -> Column:
-    return _c(x).isNull() | (F.length(py_strip(x)) == 0)
+    """Null, empty or whitespace only (one anchored match; nothing is rebuilt)."""
+    return _c(x).isNull() | _c(x).rlike(f"^{WHITESPACE_CLASS}*$")
 
 
 # ---------------------------------------------------------------------------------------------
