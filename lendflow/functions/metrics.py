@@ -33,6 +33,18 @@ def _status(breach: Column) -> Column:
     return F.when(breach, F.lit(BREACH)).otherwise(F.lit(PASS))
 
 
+def exact_cents(x) -> Column:
+    """A double amount in whole cents as a long, exactly ``cast(x as decimal(18,2)) * 100``.
+
+    Fast path: for |x*100| < 1e9 the product's rounding error is below 1e-7 and the double's
+    distance to its decimal form below 1e-9; so when x*100 is within 1e-6 of an integer n, the
+    amount's decimal form is nowhere near a half-cent tie and the cast's rounding gives n.  Larger
+    or off-cent amounts take the cast (which goes through BigDecimal for every row)."""
+    x100 = _dbl(x) * F.lit(100.0)
+    fast = (F.abs(x100) < F.lit(1e9)) & (F.abs(x100 - F.rint(x100)) < F.lit(1e-6))
+    return F.when(fast, F.rint(x100).cast("long")).otherwise((_c(x).cast(MONEY) * F.lit(100)).cast("long"))
+
+
 # --- P1 ---------------------------------------------------------------------------------------
 def dti_raw(income, loan, debts, p=DEFAULT_POLICY) -> Column:
     """(loan + monthly debts capitalised over ``debt_years``) / gross income, unrounded."""

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendflow import params as P
+from lendflow.functions.metrics import exact_cents
 from lendflow.sources.schemas import MONEY, RATE
 from lendflow.sources.tables import read_table
 
@@ -33,7 +34,7 @@ def card_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
     (map-side) aggregation before the shuffle on l_orderkey, so a hot order costs one partial row
     per input split, not its line count."""
     li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_extendedprice")
-    cents = (F.col("l_extendedprice").cast(MONEY) * F.lit(100)).cast("long")
+    cents = exact_cents("l_extendedprice")
     agg = li.groupBy("l_orderkey").agg(F.sum(cents).alias("_cents"))
     return agg.select("l_orderkey", (F.col("_cents").cast("decimal(20,0)") / F.lit(100)).cast(MONEY).alias("spend"))
 

@@ -211,3 +211,12 @@ def test_declared_table_schemas_match_files(spark):
             inferred = spark.read.parquet(table_path(sf, t)).schema
             declared = _parse_datatype_string(TABLE_SCHEMAS[t])
             assert [(f.name, f.dataType) for f in inferred] == [(f.name, f.dataType) for f in declared], (sf, t)
+
+
+def test_exact_cents_equals_decimal_cast(spark):
+    from lendflow.functions.metrics import exact_cents
+    vals = [1.005, 2.675, 0.125, 1e13 + 0.01, 123456.78, -4.335, 0.0, 1.0000000001, 99.995, 7.1e-7, 5e14 + 0.5,
+            9999999.99, 10000000.01, 0.1 + 0.2, 3.3 * 3, 1234567.895]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = df.select(exact_cents("x").alias("a"), (F.col("x").cast("decimal(18,2)") * 100).cast("long").alias("b")).collect()
+    assert all(r.a == r.b for r in got), [(v, r.a, r.b) for v, r in zip(vals, got)]

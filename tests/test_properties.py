@@ -59,3 +59,14 @@ def test_metrics_match_formulas_and_partitions_hold(spark, rows):
     clean, breached = policy.route(a)
     assert clean.count() + breached.count() == n_valid
     assert clean.filter(F.size("policy_breaches") > 0).count() == 0
+
+
+def test_exact_cents_random_amounts(spark):
+    import numpy as np
+    from lendflow.functions.metrics import exact_cents
+    rng = np.random.default_rng(11)
+    mags = 10.0 ** rng.integers(-3, 16, size=200_000)
+    vals = np.round(rng.uniform(-1, 1, size=200_000) * mags, rng.integers(0, 5, size=200_000)).tolist()
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double").filter("abs(x) < 1e15")
+    bad = df.filter(exact_cents("x") != (F.col("x").cast("decimal(18,2)") * 100).cast("long")).count()
+    assert bad == 0
