@@ -66,7 +66,8 @@ def test_exact_cents_random_amounts(spark):
     from lendflow.functions.metrics import exact_cents
     rng = np.random.default_rng(11)
     mags = 10.0 ** rng.integers(-3, 16, size=200_000)
-    vals = np.round(rng.uniform(-1, 1, size=200_000) * mags, rng.integers(0, 5, size=200_000)).tolist()
+    raw = rng.uniform(-1, 1, size=200_000) * mags
+    vals = [round(float(v), int(d)) for v, d in zip(raw, rng.integers(0, 5, size=200_000))]
     df = spark.createDataFrame([(float(v),) for v in vals], "x double").filter("abs(x) < 1e15")
     bad = df.filter(exact_cents("x") != (F.col("x").cast("decimal(18,2)") * 100).cast("long")).count()
     assert bad == 0
