@@ -117,3 +117,14 @@ def test_stream_without_dedupe_keeps_each_submission_once(spark, tmp_path):
     q.awaitTermination(120)
     s = stream.read_stream_ledger(spark, str(tmp_path / "sled"))
     assert sorted(r.application_id for r in s.collect()) == ["APP-101", "APP-102", "APP-102"]
+
+
+def test_stream_quarantines_malformed_payload(spark, tmp_path):
+    raw = write_payloads(tmp_path / "raw", PERSONAS[:1])
+    (tmp_path / "raw" / "BROKEN.json").write_text('{ "application_id": "APP-900", ')
+    q = stream.assess_stream(spark, raw, str(tmp_path / "sled"), str(tmp_path / "srej"), str(tmp_path / "ckpt"),
+                             dedupe=False)
+    q.awaitTermination(120)
+    assert [r.application_id for r in stream.read_stream_ledger(spark, str(tmp_path / "sled")).collect()] == ["APP-101"]
+    rej = spark.read.parquet(str(tmp_path / "srej")).select("reject_reasons", "_corrupt_record").collect()
+    assert len(rej) == 1 and rej[0].reject_reasons[0] == "malformed_json" and rej[0]._corrupt_record
