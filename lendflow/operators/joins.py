@@ -5,22 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A dimension side is broadcast only when a bounded check proves it has at most this many rows
-# (narrow rows of an id and a name or a handful of numbers: a few tens of MB at most).
+# A dimension side is broadcast only when a bounded check proves both its row count and its size
+# in bytes are small (wide rows - texts, vectors - make a row bound alone meaningless).
 BROADCAST_MAX_ROWS = 500_000
+BROADCAST_MAX_BYTES = 64 << 20
 
 
-def fits_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """True when ``small`` has at most ``max_rows`` rows.
+def _row_bytes(df: DataFrame) -> F.Column:
+    """Approximate serialized size of a row: the byte length of every column's string form."""
+    return sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns),
+               F.lit(0))
+
+
+def fits_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                   max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
+    """True when ``small`` has at most ``max_rows`` rows and about ``max_bytes`` bytes.
 
     ``take`` scans partitions incrementally and stops as soon as ``max_rows + 1`` rows are found,
     so a large side costs about one partition prefix, not a full scan (a ``limit().count()``
-    would run the limit in every partition).  Only a constant column is fetched."""
-    return len(small.select(F.lit(1).alias("_one")).take(max_rows + 1)) <= max_rows
+    would run the limit in every partition).  Only one number per row reaches the driver."""
+    sizes = [r[0] for r in small.select(_row_bytes(small).alias("_b")).take(max_rows + 1)]
+    return len(sizes) <= max_rows and sum(sizes) <= max_bytes
 
 
 def join_dimension(big: DataFrame, small: DataFrame, on, how: str = "left",
-                   max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                   max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """Equi-join against a stored dimension: broadcast hash join when the dimension is proven
     small, otherwise a shuffle join (which AQE may still turn into a broadcast from runtime sizes,
     and whose skewed partitions AQE splits).
@@ -28,6 +37,6 @@ def join_dimension(big: DataFrame, small: DataFrame, on, how: str = "left",
     Use it for a side that is a scan or a projection of one: the check then reads one partition
     prefix.  A derived side (aggregate, join) would be computed once for the check and again for
     the join; join those plainly and let AQE decide from the sizes it measures anyway."""
-    if fits_broadcast(small, max_rows):
+    if fits_broadcast(small, max_rows, max_bytes):
         small = F.broadcast(small)
     return big.join(small, on, how)

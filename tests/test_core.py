@@ -220,3 +220,12 @@ def test_exact_cents_equals_decimal_cast(spark):
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     got = df.select(exact_cents("x").alias("a"), (F.col("x").cast("decimal(18,2)") * 100).cast("long").alias("b")).collect()
     assert all(r.a == r.b for r in got), [(v, r.a, r.b) for v, r in zip(vals, got)]
+
+
+def test_broadcast_check_bounds_rows_and_bytes(spark):
+    from lendflow.operators.joins import fits_broadcast
+    narrow = spark.range(1000).select(F.col("id"), F.lit("x").alias("name"))
+    wide = spark.range(1000).select(F.col("id"), F.repeat(F.lit("y"), 10_000).alias("text"))
+    assert fits_broadcast(narrow, max_rows=1000)
+    assert not fits_broadcast(narrow, max_rows=999)
+    assert not fits_broadcast(wide, max_rows=1000, max_bytes=1 << 20)    # ~10 MB of text
