@@ -99,12 +99,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and for each row the index of its first word (+ the total)."""
+def word_spans(raw: np.ndarray, offsets: np.ndarray,
+               letters: np.ndarray = ~_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word (run of ``letters`` bytes), and for each row the index of its
+    first word (+ the total)."""
     n = len(raw)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    ink = ~_SPACE[raw]
+    ink = letters[raw]
     cut = np.zeros(n + 1, dtype=bool)
     cut[offsets] = True                                    # rows never share a word
     first = ink.copy()
@@ -123,6 +125,16 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
     return mix64((total[ends] - total[starts]) * down[starts])
 
 
+def word_prefix_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray,
+                       lengths: tuple[int, ...]) -> list[np.ndarray]:
+    """Hashes of the whole words and of their first ``lengths`` bytes, A-Z folded."""
+    up, down = _powers(len(raw) + 1)
+    total = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum(_LOWER[raw].astype(np.uint64) * up[:-1] + up[:-1], out=total[1:])
+    before, scale = total[starts], down[starts]
+    return [(total[e] - before) * scale for e in (ends, *(np.minimum(starts + k, ends) for k in lengths))]
+
+
 def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each row's runs of ``width`` words (one for a shorter, non-empty row) and each row's
     first index among them (+ the total)."""

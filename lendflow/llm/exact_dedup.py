@@ -62,7 +62,8 @@ def directory(entries: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX
     levels = levels.withColumn("bucket", start)
     sizes = levels.groupBy("depth", "bucket").agg(F.sum("n").alias("size"))
     fits = (F.col("size") <= capacity) | (F.col("depth") == max_depth)
-    return (levels.join(sizes.where(fits), ["depth", "bucket"])
+    leaves = F.broadcast(sizes.where(fits))                             # at most 2^(max_depth + 1) rows
+    return (levels.join(leaves, ["depth", "bucket"])
             .groupBy("prefix").agg(F.min(F.struct("depth", "bucket")).alias("leaf"))
             .select("prefix", "leaf.depth", "leaf.bucket"))
 

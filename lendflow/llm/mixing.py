@@ -22,7 +22,7 @@ from lendflow.llm.common import WORD, bucket_count, stored
 WEIGHTS = (3, 1, 2)                  # of the sources in code-point order, repeating
 SHARE = 1.5                          # budget: share of all sizes
 MAX_EPOCHS = 2                       # a source's target stops at so many times its size
-PER_BUCKET = 8192                    # rows of a bucket of a running total, about
+PER_BUCKET = 1024                    # rows of a bucket of a running total, about
 _ORDER_BITS = 60
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lendflow.llm import exact_dedup, mixing, oracle
+from lendflow.llm import exact_dedup, mixing, near_dedup, oracle, packing, toxicity
 from lendflow.sources.tables import read_table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,12 +20,33 @@ def query(name: str):
     return deco
 
 
+@query("op2_packing")
+def op2_packing(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return packing.pack_documents(docs)
+
+
+@query("op3_near_dedup")
+def op3_near_dedup(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return near_dedup.near_dedup(docs, width=3, threshold=0.85)
+
+
 @query("op4_exact_dedup")
 def op4_exact_dedup(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return exact_dedup.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query("op6_toxicity")
+def op6_toxicity(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    scored = toxicity.score(docs, model, out="score").drop("text")
+    return scored.select("doc_id", (toxicity.fold(F.col("doc_id")) == 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query("op9_mixing")
 def op9_mixing(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "source")
