@@ -105,11 +105,27 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     Other columns of ``docs`` are ignored.  An empty input gives an empty result.
     """
     index = build_index(docs, text, doc_id, capacity, max_depth)
+    found = probe(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), index)
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"),
+                        "bucket", "chain")
+
+
+def probe(docs: DataFrame, index: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` with its entry's columns in place of the text: the key finds the chain, the digest the
+    entry of the chain."""
+    rows = docs.withColumn("body", normalise(F.col(text))).drop(text)
+    rows = rows.withColumn("key", F.xxhash64("body")).withColumn("sha", F.unhex(F.sha2("body", 256))).drop("body")
+    return rows.join(index, ["key", "sha"]).withColumn("kept", F.col(doc_id).eqNullSafe(F.col("keep_id")))
+
+
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY,
+             max_depth: int = MAX_DEPTH) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns whatever these are called.  Rows that repeat
+    a doc_id with an equal text are one document: they stay or go together."""
+    index = build_index(docs, text, doc_id, capacity, max_depth)
     body = normalise(F.col(text))
-    probes = docs.select(F.col(doc_id).alias("doc_id"), body.alias("body")).select(
-        "doc_id", F.xxhash64("body").alias("key"), F.unhex(F.sha2("body", 256)).alias("sha"))
-    # Probe: the key finds the chain, the digest picks the entry of the chain.
-    return (probes.join(index, ["key", "sha"])
-            .select("doc_id", "keep_id", "group_size",
-                    F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-                    F.lower(F.hex("sha")).alias("text_sha256"), "bucket", "chain"))
+    # One packed column beside the probe's own, so that no name can clash.
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("doc_id"),
+                         F.xxhash64(body).alias("key"), F.unhex(F.sha2(body, 256)).alias("sha"))
+    found = packed.join(index, ["key", "sha"]).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    return found.select("row.*")
