@@ -50,3 +50,13 @@ m AS (SELECT doc_id, count(*) AS copies FROM w WHERE total <= (SELECT sum(target
 SELECT q.doc_id, q.size, q.source_size, q.target, (coalesce(copies, 0) * q.size)::BIGINT AS taken
 FROM q LEFT JOIN m ON q.doc_id = m.doc_id
 """
+
+SQL["op10_archives"] = r"""
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS body, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS holder FROM p)
+SELECT page_id, n AS payload_bytes, sha1(body) AS payload_digest,
+       CASE WHEN n >= 1000 AND holder <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND holder <> page_id THEN holder END AS refers_to
+FROM g
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendflow.llm import exact_dedup, mixing, near_dedup, oracle, packing, toxicity
+from lendflow.llm import (archives, exact_dedup, mixing, near_dedup, neighbours, oracle, packing, toxicity)
 from lendflow.sources.tables import read_table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,12 +47,22 @@ def op6_toxicity(spark, sf_dir):
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query("op8_neighbours")
+def op8_neighbours(spark, sf_dir):
+    return neighbours.search(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 @query("op9_mixing")
 def op9_mixing(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op10_archives")
+def op10_archives(spark, sf_dir):
+    return archives.round_trip(read_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(REGISTRY)
 
