@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendflow.llm import (archives, exact_dedup, mixing, near_dedup, neighbours, oracle, packing, toxicity)
+from lendflow.llm import (archives, exact_dedup, mixing, near_dedup, neighbours, oracle, packing, suffix_dedup,
+                          toxicity)
 from lendflow.sources.tables import read_table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +48,11 @@ def op6_toxicity(spark, sf_dir):
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query("op7_suffix_dedup")
+def op7_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeated_bytes(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query("op8_neighbours")
 def op8_neighbours(spark, sf_dir):
     return neighbours.search(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
