@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendflow.llm import (archives, exact_dedup, mixing, near_dedup, neighbours, oracle, packing, suffix_dedup,
-                          toxicity)
+from lendflow.llm import (archives, exact_dedup, mixing, near_dedup, neighbours, oracle, packing,
+                          substring_dedup, suffix_dedup, toxicity)
 from lendflow.sources.tables import read_table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,11 @@ def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query("op5_substring_dedup")
+def op5_substring_dedup(spark, sf_dir):
+    return substring_dedup.remove_repeated_words(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query("op6_toxicity")
 def op6_toxicity(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
