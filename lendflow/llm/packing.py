@@ -8,8 +8,8 @@ first bin that still holds a piece in logarithmic time.  Groups are bounded and
 
 from __future__ import annotations
 
+import base64
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,91 +24,75 @@ from lendflow.llm.common import bucket_count, stored
 LENGTH = 2048                        # ids of a sequence
 END_ID = 1                           # appended to every document
 PER_GROUP = 4096                     # pieces of a packing group, about
-CACHE_WORDS = 300_000                # words whose ids a task remembers; then it starts afresh
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
-# A space between two characters that are not white space starts a new pre-token wherever it stands, so
-# the words on its two sides can be encoded apart.  (Python's white space includes the tokenizer's.)
-_SEAM = re.compile(r"(?<=\S) (?=\S)")
-_LOADED: dict[str, WordEncoder] = {}
+_LOADED: dict[tuple[str, str | None], Encoder] = {}
 
 
-def tokenizer_path(name: str = TOKENIZER) -> str:
+def vocabulary_path(name: str) -> str:
     import public_tokenizers
     return str(public_tokenizers.path(name))
 
 
-class WordEncoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes; each distinct word is encoded once."""
+class Encoder:
+    """Ids of a text by a tokenizer file.  With the ranks of the same vocabulary, its pair merging runs in
+    a faster library; texts that library refuses (white space runs of some 100,000) go to the tokenizer."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"       # Spark runs one task per core already
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes | None] = {}
+        self.fast = None
+        if ranks:
+            import public_tokenizers
+            import tiktoken
+            with open(ranks, "rb") as lines:
+                merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+            if len(merges) + len(special) != self.tokenizer.get_vocab_size():
+                raise ValueError(f"{ranks} is not the vocabulary of {path}")
+            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges,
+                                          special_tokens=special)
 
     @classmethod
-    def of(cls, path: str) -> WordEncoder:
-        if path not in _LOADED:
-            _LOADED[path] = cls(path)
-        return _LOADED[path]
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
-
-    def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = list(words)
-        # Empty words and words with white space at an end stand beside a space that is no seam.
-        plain = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
-        self.known.update(dict.fromkeys(new))
-        self.known.update(zip(plain, self._ids([" " + w for w in plain]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        self._learn({w for ws in split for w in ws[1:]})
-        first = self._ids([ws[0] for ws in split])
-        out = []
-        for text, ws, head in zip(texts, split, first, strict=True):
-            ids = [self.known[w] for w in ws[1:]]
-            irregular = None in ids or (len(ws) > 1 and (not ws[0] or ws[0][-1].isspace()))
-            out.append(self._by_seams(text) if irregular else head + b"".join(ids))
-        return out
-
-    def _by_seams(self, text: str) -> bytes:
-        words = _SEAM.split(text)
-        return b"".join(self._ids(words[:1] + [" " + w for w in words[1:]]))
+    def of(cls, path: str, ranks: str | None) -> Encoder:
+        """The task's own copy, kept for the next task of the same worker."""
+        if (path, ranks) not in _LOADED:
+            _LOADED[path, ranks] = cls(path, ranks)
+        return _LOADED[path, ranks]
+
+    def ids(self, text: str) -> np.ndarray:
+        if self.fast is not None:
+            try:
+                return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
+            except ValueError:
+                pass
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
 def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tokenizer: str | None = None,
-           length: int = LENGTH, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+           ranks: str | None = None, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Pieces of every document: doc_id, start, length, ids_crc32, doc_tokens (and ids: binary, unsigned
-    32-bit little-endian, ``with_ids``).  A null or empty text has the one id ``end_id``."""
-    path = tokenizer or tokenizer_path()
+    32-bit little-endian, ``with_ids``).  A null or empty text has the one id ``end_id``.  Without a
+    ``tokenizer`` the public one of ``TOKENIZER`` is taken, with its ranks."""
+    path, ranks = (tokenizer, ranks) if tokenizer else (vocabulary_path(TOKENIZER), vocabulary_path(RANKS))
     names = [f.split()[0] for f in PIECES.split(", ")] + ["ids"] * with_ids
-    width = 4 * length
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tail = WordEncoder.of(path), np.asarray([end_id], dtype="<u4").tobytes()
+        encoder, end = Encoder.of(path, ranks), np.asarray([end_id], dtype="<u4")
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for lo in range(0, batch.num_rows, 256):
-                part = [t or "" for t in texts.slice(lo, 256).to_pylist()]
-                rows: list[tuple] = []
-                for key, body in zip(keys[lo:lo + 256], encoder.encode(part), strict=True):
-                    body += tail
-                    for at in range(0, len(body), width):
-                        piece = body[at:at + width]
-                        rows.append((key, at // 4, len(piece) // 4, zlib.crc32(piece), len(body) // 4,
-                                     *([piece] * with_ids)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, type=pa.binary() if n == "ids" else pa.int64())
-                     for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
+            rows: list[tuple] = []
+            for key, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = np.concatenate([encoder.ids(body.as_py() or ""), end])
+                for at in range(0, len(ids), length):
+                    piece = ids[at:at + length].tobytes()
+                    rows.append((key, at, len(piece) // 4, zlib.crc32(piece), len(ids), *([piece] * with_ids)))
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, type=pa.binary() if n == "ids" else pa.int64())
+                 for n, c in zip(names, columns, strict=True)], names=names)
 
     schema = PIECES + (", ids binary" if with_ids else "")
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(cut, schema)
@@ -188,11 +172,12 @@ def sequences(packed: DataFrame, length: int = LENGTH, pad_id: int = 0) -> DataF
 
 
 def pack_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tokenizer: str | None = None,
-                   length: int = LENGTH, end_id: int = END_ID, per_group: int = PER_GROUP) -> DataFrame:
+                   ranks: str | None = None, length: int = LENGTH, end_id: int = END_ID,
+                   per_group: int = PER_GROUP) -> DataFrame:
     """Tokenise, cut and pack: one row per piece with doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset.
 
     A null or empty text is its end id alone; null and repeated doc_ids are packed like any other; other
     columns are ignored; an empty input gives an empty result.
     """
-    return pack(encode(docs, text, doc_id, tokenizer, length, end_id), length, per_group)
+    return pack(encode(docs, text, doc_id, tokenizer, ranks, length, end_id), length, per_group)
