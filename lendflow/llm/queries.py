@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendflow.llm import (archives, exact_dedup, mixing, near_dedup, neighbours, oracle, packing,
+from lendflow.llm import (archives, exact_dedup, license_scan, mixing, near_dedup, neighbours, oracle, packing,
                           substring_dedup, suffix_dedup, toxicity)
 from lendflow.sources.tables import read_table
 
@@ -21,6 +21,11 @@ def query(name: str):
     return deco
 
 
+@query("op1_license_scan")
+def op1_license_scan(spark, sf_dir):
+    return license_scan.scan(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query("op2_packing")
 def op2_packing(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
