@@ -105,6 +105,8 @@ def occurrences(docs: DataFrame, scheme: Scheme) -> DataFrame:
                 a, b = context(at, first[row], first[row + 1], scheme)
                 parts.append((digest(total, down, at, at + scheme.width), digest(total, down, a, b),
                               ids[lo + row], at - first[row]))
+            if not parts:
+                continue
             gram, ctx, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((place, doc, ctx, gram))
             gram, ctx, doc, place = gram[order], ctx[order], doc[order], place[order]

@@ -134,7 +134,8 @@ def repeats(doc: np.ndarray, place: np.ndarray, bodies: list[bytes],
     text[np.arange(len(codes)) + row] = codes + 2
     text[-1] = 0
     index = Index(text, len(words) + 2, span)
-    owner = np.append(np.repeat(doc, size + 1), np.iinfo(np.int64).max)[index.order]
+    none = np.iinfo(np.int64).max                          # one more at the end closes the last range
+    owner = np.append(np.append(np.repeat(doc, size + 1), none)[index.order], none)
     many = np.maximum(size - span + 1, 0)
     of = np.repeat(np.arange(len(size)), many)
     at = begin[of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
