@@ -222,7 +222,8 @@ def convert(spark, arc_path: str, warc_path: str, least: int = LEAST_REVISIT) ->
             for content, refers in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 held = {r["at"]: r for r in refers or []}
                 out = b"".join(warc_record(h, block, held.get(at)) for at, h, block in parse_arc(_inflate(content)))
-                yield pa.RecordBatch.from_arrays([pa.array([out[:-1].decode("utf-8")])], names=["value"])
+                if out:                                     # an empty table leaves an empty file
+                    yield pa.RecordBatch.from_arrays([pa.array([out[:-1].decode("utf-8")])], names=["value"])
 
     # A file's revisits are at most its records, and a file is at most an archive.
     files = _files(spark, arc_path).join(revisits, "path", "left").select("content", "revisits")
