@@ -12,10 +12,13 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lendflow import params as P
 from lendflow.sources.schemas import LEDGER_COLUMNS, LEDGER_SCHEMA
 
+LEDGER_NAMES = tuple(LEDGER_SCHEMA.names)
+FILE_SCHEMA = T.StructType([*LEDGER_SCHEMA.fields, T.StructField("batch", T.LongType())])
 ORDER_KEY = ("timestamp", "event_id")  # newest first: timestamp, then event id as tie-break
 
 
@@ -56,56 +59,98 @@ def audit_rows(outcome: DataFrame, run_ts: dt.datetime | Column, event_id: Colum
     )
 
 
-def next_event_base(ledger: DataFrame) -> int:
-    """First free event id (one pruned aggregate over the ledger)."""
-    m = ledger.agg(F.max("event_id")).first()[0]
-    return 0 if m is None else int(m) + 1
+RUN_EVENTS = 1 << 32                  # event ids of one run or micro-batch
+
+
+def run_base(run: int | Column) -> Column:
+    """First event id of a run (or micro-batch): runs own ``RUN_EVENTS`` consecutive ids each."""
+    return (run if isinstance(run, Column) else F.lit(run)).cast("long") * F.lit(RUN_EVENTS)
+
+
+def numbered(rows: DataFrame, base: int | Column) -> DataFrame:
+    """``rows`` with consecutive event ids from ``base``, however many partitions there are.
+
+    The rows are written once to the shared folder, so both passes over them see the same partitions;
+    the table of partition sizes has one row per partition and stays small."""
+    from lendflow.session import materialize
+    staged = materialize(rows.withColumn("_m", F.monotonically_increasing_id()), "numbered")
+    part, place = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = staged.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    ahead = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select("_p", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_first"))
+    start = base if isinstance(base, Column) else F.lit(base).cast("long")
+    return (staged.withColumn("_p", part).join(F.broadcast(first), "_p")
+            .withColumn("event_id", start + F.col("_first") + place).drop("_m", "_p", "_first"))
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at ``path``; any other fault of the file system is raised."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def ensure_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """K1: create the ledger if it does not exist (an empty, dt-partitioned Parquet table)."""
-    try:
-        return read_ledger(spark, path)
-    except Exception:  # noqa: BLE001 - path absent
-        spark.createDataFrame([], LEDGER_SCHEMA).write.mode("append").partitionBy("dt").parquet(path)
-        return read_ledger(spark, path)
+    """K1: create the ledger if it does not exist (an empty Parquet table partitioned by run and day)."""
+    if not path_exists(spark, path):
+        empty = spark.createDataFrame([], LEDGER_SCHEMA).withColumn("batch", F.lit(0).cast("long"))
+        empty.write.mode("append").partitionBy("batch", "dt").parquet(path)
+    return read_ledger(spark, path)
 
 
 def create_table(spark: SparkSession, path: str, name: str = "audit_trail") -> DataFrame:
     """K1 in SQL form: a catalog table over the ledger folder, so console SQL runs as written
     (``SELECT ... FROM audit_trail ORDER BY timestamp DESC``).  Idempotent; call it again after
-    ``append`` to register new ``dt`` partitions (partition recovery lists the folder)."""
+    ``append`` to register new partitions (partition recovery lists the folder)."""
     cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in LEDGER_SCHEMA.fields)
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({cols}) USING parquet PARTITIONED BY (dt) "
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({cols}, batch BIGINT) USING parquet PARTITIONED BY (batch, dt) "
               f"LOCATION '{path}'")
     spark.sql(f"MSCK REPAIR TABLE {name}")
     spark.sql(f"REFRESH TABLE {name}")
     return spark.table(name)
 
 
+def _ledger_files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(FILE_SCHEMA).parquet(path)
+
+
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.schema(LEDGER_SCHEMA).parquet(path)
-    return df.select(*[f.name for f in LEDGER_SCHEMA.fields])
+    return _ledger_files(spark, path).select(*LEDGER_NAMES)
 
 
-def append(rows: DataFrame, path: str) -> None:
-    """One distributed append, partitioned by day."""
-    rows.select(*[f.name for f in LEDGER_SCHEMA.fields]).write.mode("append").partitionBy("dt").parquet(path)
+def write_run(rows: DataFrame, path: str, run: int) -> None:
+    """The rows of one run under ``batch=<run>/dt=...``.  A retry overwrites the run's own
+    folder and nothing else, so no row is ever appended twice."""
+    (rows.select(*LEDGER_NAMES).write.mode("overwrite").partitionBy("dt")
+     .parquet(f"{path.rstrip('/')}/batch={run}"))
 
 
-def compact(spark: SparkSession, path: str, day: dt.date, files: int = 1) -> None:
-    """Rewrite one ``dt`` partition of the ledger into ``files`` files (appends, above all
-    streaming ones, leave many small files).
+def append(rows: DataFrame, path: str, run: int) -> DataFrame:
+    """Number the rows and write them as one run."""
+    write_run(numbered(rows.drop("event_id"), run_base(run)), path, run)
+    return read_ledger(rows.sparkSession, path)
 
-    The partition is first written as a table in the shared folder (``session.materialize``), so
-    the rewrite does not read the files it replaces, and that copy survives a failed rewrite;
-    then only this partition is overwritten (dynamic partition overwrite), the others untouched.
-    Rows and values are unchanged."""
+
+def compact(spark: SparkSession, path: str, day: dt.date, before: int, files: int = 8) -> None:
+    """Rewrite one day of all runs below ``before`` into ``files`` files of the newest of these runs
+    (streaming appends leave many small files).
+
+    Runs from ``before`` on are not touched, so a stream may go on writing.  The rows are first
+    written as a table in the shared folder and the small files are deleted last; event ids are
+    unique, so a rewrite that died in between is mended by running it again."""
     from lendflow.session import materialize
-    part = read_ledger(spark, path).filter(F.col("dt") == F.lit(day))
-    staged = materialize(part, f"ledger-dt={day.isoformat()}")
-    (staged.repartition(files).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("dt").parquet(path))
+    root = path.rstrip("/")
+    part = _ledger_files(spark, root).filter((F.col("dt") == F.lit(day)) & (F.col("batch") < before))
+    runs = sorted(r[0] for r in part.select("batch").distinct().collect())         # one row per run
+    if len(runs) < 2:
+        return
+    staged = materialize(part.drop("batch").dropDuplicates(["event_id"]), f"ledger-dt={day.isoformat()}")
+    target = runs[-1]
+    (staged.drop("dt").repartition(files).write.mode("overwrite")
+     .parquet(f"{root}/batch={target}/dt={day.isoformat()}"))
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for run in runs[:-1]:
+        old = hadoop(f"{root}/batch={run}/dt={day.isoformat()}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
 
 # --- W1 / A2 / S9 / S10 / T1 ---------------------------------------------------------------------
@@ -127,9 +172,9 @@ def latest_agg(ledger: DataFrame) -> DataFrame:
     return agg.select("application_id", "_row.*").select(*ledger.columns)
 
 
-def dashboard_scan(ledger: DataFrame) -> DataFrame:
-    """The console's three columns (Catalyst prunes the scan to them)."""
-    return ledger.select("application_id", "system_recommendation", "underwriter_decision", "timestamp")
+def dashboard_scan(ledger: DataFrame, *more: str) -> DataFrame:
+    """The console's columns (Catalyst prunes the scan to them)."""
+    return ledger.select("application_id", "system_recommendation", "underwriter_decision", "timestamp", *more)
 
 
 def point(ledger: DataFrame, application_id: str) -> DataFrame:
@@ -148,67 +193,52 @@ HUMAN_DECISIONS = (P.APPROVED_OVERRIDE, P.DECLINED)
 
 def hidden_decisions(ledger: DataFrame) -> DataFrame:
     """Applications whose latest row is PENDING_REVIEW directly after a human decision
-    (a system re-run hid it).  Skew-safe form: latest by partial aggregation, then the previous
-    row by a second partial aggregation over the rows older than the latest."""
-    last = latest_agg(ledger.select("application_id", "timestamp", "event_id", "underwriter_decision"))
-    last = last.select("application_id", F.col("timestamp").alias("l_ts"), F.col("event_id").alias("l_id"),
-                       F.col("underwriter_decision").alias("latest_decision"))
-    last = last.filter(F.col("latest_decision") == P.PENDING_REVIEW)
-    # Plain join: the pending set is an aggregate, so checking its size up front would compute it
-    # twice; AQE broadcasts it from the measured shuffle size or splits a hot application.
-    older = ledger.select("application_id", "timestamp", "event_id", "underwriter_decision").join(
-        last, "application_id", "inner",
-    ).filter(F.struct("timestamp", "event_id") < F.struct("l_ts", "l_id"))
-    prev = older.groupBy("application_id", "l_ts", "l_id", "latest_decision").agg(
-        F.max_by("underwriter_decision", F.struct("timestamp", "event_id")).alias("hidden_decision"))
-    return prev.filter(F.col("hidden_decision").isin(*HUMAN_DECISIONS)).select(
-        "application_id", F.col("l_id").alias("event_id"), F.col("l_ts").alias("timestamp"),
-        "latest_decision", "hidden_decision")
-
-
-def hidden_decisions_window(ledger: DataFrame) -> DataFrame:
-    """W2 as a window: ``lead`` over the newest-first window (sorts each application whole)."""
+    (a system re-run hid it).  One scan and one shuffle: ``row_number() <= 2`` becomes a partial
+    WindowGroupLimit, so at most two rows of an application leave a map task."""
     w = Window.partitionBy("application_id").orderBy(*newest_first())
-    x = ledger.select("application_id", "event_id", "timestamp", "underwriter_decision").withColumns({
-        "_rn": F.row_number().over(w), "hidden_decision": F.lead("underwriter_decision").over(w)})
-    return x.filter((F.col("_rn") == 1) & (F.col("underwriter_decision") == P.PENDING_REVIEW)
-                    & F.col("hidden_decision").isin(*HUMAN_DECISIONS)).select(
-        "application_id", "event_id", "timestamp",
-        F.col("underwriter_decision").alias("latest_decision"), "hidden_decision")
+    two = (ledger.select("application_id", "event_id", "timestamp", "underwriter_decision")
+           .withColumn("_rn", F.row_number().over(w)).filter("_rn <= 2"))
+    pair = two.groupBy("application_id").agg(
+        F.min_by(F.struct("event_id", "timestamp", "underwriter_decision"), "_rn").alias("_l"),
+        F.max(F.when(F.col("_rn") == 2, F.col("underwriter_decision"))).alias("hidden_decision"))
+    return pair.filter((F.col("_l.underwriter_decision") == P.PENDING_REVIEW)
+                       & F.col("hidden_decision").isin(*HUMAN_DECISIONS)).select(
+        "application_id", "_l.event_id", "_l.timestamp", F.col("_l.underwriter_decision").alias("latest_decision"),
+        "hidden_decision")
 
 
 # --- K3 / J5: human decisions --------------------------------------------------------------------
 def update_in_place(ledger: DataFrame, accepted: DataFrame) -> DataFrame:
-    """K3(a) / J5: the reference's UPDATE as a join: every row of a decided application takes
-    the decision, notes and underwriter id; timestamps are unchanged.  ``accepted`` holds at most
-    one decision per application (``decisions.accepted``)."""
-    d = accepted.select("application_id", F.col("decision").alias("_d"),
-                        F.col("clean_notes").alias("_n"), F.col("underwriter_id").alias("_u"))
-    j = ledger.join(d, "application_id", "left")   # derived side: AQE sizes it at runtime
+    """K3(a) / J5: the reference's UPDATE as a join: every row an application has when it is decided
+    takes the decision, notes and underwriter id; timestamps are unchanged, and rows appended
+    later keep their own.  Of several decisions of one application the newest was written last."""
+    newest = accepted.groupBy("application_id").agg(F.max(
+        F.struct("event_ts", "decision_id", "decision", "clean_notes", "underwriter_id")).alias("_d"))
+    j = ledger.join(newest, "application_id", "left")   # derived side: AQE sizes it at runtime
+    there = F.struct("timestamp", "event_id") < F.struct("_d.event_ts", "_d.decision_id")
+    decided = F.coalesce(there, F.lit(False))
     return j.withColumns({
-        "underwriter_decision": F.coalesce("_d", "underwriter_decision"),
-        "underwriter_notes": F.when(F.col("_d").isNotNull(), F.col("_n")).otherwise(F.col("underwriter_notes")),
-        "underwriter_id": F.when(F.col("_d").isNotNull(), F.col("_u")).otherwise(F.col("underwriter_id")),
-    }).drop("_d", "_n", "_u")
+        "underwriter_decision": F.when(decided, F.col("_d.decision")).otherwise(F.col("underwriter_decision")),
+        "underwriter_notes": F.when(decided, F.col("_d.clean_notes")).otherwise(F.col("underwriter_notes")),
+        "underwriter_id": F.when(decided, F.col("_d.underwriter_id")).otherwise(F.col("underwriter_id")),
+    }).drop("_d")
 
 
 def decision_events(ledger: DataFrame, accepted: DataFrame, base_event_id: int) -> DataFrame:
-    """K3(b): one HUMAN event per accepted decision, carrying the latest row's metric columns
-    forward.  Its timestamp is never older than the row it supersedes, so the latest view of
-    ledger + events equals the latest view of the in-place update (apart from timestamp/ids)."""
-    cur = latest_agg(ledger)
-    d = accepted.select("application_id", "decision", "clean_notes", F.col("underwriter_id").alias("_u"),
-                        "event_ts")
-    j = cur.join(d, "application_id", "inner")
-    ts = F.greatest(F.col("event_ts"), F.col("timestamp"))
-    return j.select(
-        (F.lit(base_event_id) + F.monotonically_increasing_id()).alias("event_id"),
+    """K3(b): one HUMAN event per accepted decision at the decision's own time, carrying the metric
+    columns of the pending row it answers.  It supersedes that row and nothing newer, so the
+    latest view of ledger + events equals the latest view of the in-place update (apart from
+    timestamp and ids)."""
+    d = accepted.select("application_id", F.col("seen_event_id").alias("event_id"), "decision", "clean_notes",
+                        F.col("underwriter_id").alias("_u"), "event_ts")
+    j = ledger.join(d, ["application_id", "event_id"], "inner")
+    return numbered(j.select(
         F.lit("HUMAN").alias("event_type"),
         "application_id", "applicant_name", "system_recommendation", "calculated_dti",
         "net_monthly_surplus", "policy_breaches",
         F.col("_u").alias("underwriter_id"), F.col("decision").alias("underwriter_decision"),
-        F.col("clean_notes").alias("underwriter_notes"), ts.alias("timestamp"), F.to_date(ts).alias("dt"),
-    )
+        F.col("clean_notes").alias("underwriter_notes"), F.col("event_ts").alias("timestamp"),
+        F.to_date("event_ts").alias("dt")), base_event_id)
 
 
 # --- K4: reset -----------------------------------------------------------------------------------
@@ -231,12 +261,12 @@ def reset_events(ledger: DataFrame, reset_ts: dt.datetime, base_event_id: int) -
     (resetting older rows would never show)."""
     cur = latest_agg(ledger).filter(F.col("system_recommendation") != P.AUTO_APPROVE)
     ts = F.greatest(wall_clock(reset_ts), F.col("timestamp"))
-    return cur.withColumns(_reset_values(F.lit(True))).withColumns({
-        "event_id": F.lit(base_event_id) + F.monotonically_increasing_id(),
+    rows = cur.withColumns(_reset_values(F.lit(True))).withColumns({
         "event_type": F.lit("RESET"),
         "timestamp": ts,
         "dt": F.to_date(ts),
-    }).select(*ledger.columns)
+    }).drop("event_id")
+    return numbered(rows, base_event_id).select(*ledger.columns)
 
 
 LEDGER_VIEW_COLUMNS = ("event_id",) + LEDGER_COLUMNS

@@ -46,22 +46,25 @@ def assess_applications(apps: DataFrame, p=P.DEFAULT_POLICY, index=None, complet
 
 
 def run(spark: SparkSession, payload_dir: str, ledger_path: str, rejects_path: str,
-        run_ts: dt.datetime | None = None, p=P.DEFAULT_POLICY, index=None, completions=None) -> dict:
-    """Assess every payload in ``payload_dir``; append ledger rows and quarantined rows.
-
-    The payload read is persisted once because both halves of the quarantine split and the
-    write consume it."""
+        run_ts: dt.datetime | None = None, p=P.DEFAULT_POLICY, index=None, completions=None,
+        run_id: int | None = None) -> dict:
+    """Assess every payload in ``payload_dir`` as one run: its ledger rows go to
+    ``<ledger>/batch=<run_id>`` and its quarantined rows to ``<rejects>/batch=<run_id>``.
+
+    Both writes overwrite that run's own folders, so a run that died is repeated with its
+    ``run_id`` (default: the run's second) and leaves nothing twice.  The payload read is persisted once
+    because both halves of the quarantine split consume it."""
     run_ts = run_ts or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    if run_id is None:
+        run_id = int((run_ts - dt.datetime(1970, 1, 1)).total_seconds())
     apps = read_applications(spark, payload_dir).persist()
     try:
         out, rejected = assess_applications(apps, p, index, completions)
-        led = ledger.ensure_ledger(spark, ledger_path)
-        base = ledger.next_event_base(led)
-        rows = ledger.audit_rows(out, run_ts, F.lit(base) + F.monotonically_increasing_id())
-        ledger.append(rows, ledger_path)
+        ledger.ensure_ledger(spark, ledger_path)
+        ledger.append(ledger.audit_rows(out, run_ts), ledger_path, run_id)
         (rejected.withColumn("rejected_at", ledger.wall_clock(run_ts))
-         .write.mode("append").parquet(rejects_path))
-        return {"ledger_path": ledger_path, "rejects_path": rejects_path, "run_ts": run_ts.isoformat()}
+         .write.mode("overwrite").parquet(f"{rejects_path.rstrip('/')}/batch={run_id}"))
+        return {"ledger_path": ledger_path, "rejects_path": rejects_path, "run_ts": run_ts.isoformat(), "run_id": run_id}
     finally:
         apps.unpersist()
 

@@ -163,11 +163,12 @@ STATE_OUT = ('application_id, system_recommendation, calculated_dti, net_monthly
 DECISIONS = """
 dec AS (
   SELECT event_id AS decision_id, 'APP-' || CAST(user_id AS VARCHAR) AS application_id,
-    CASE WHEN event_type = 'signup' THEN 'APPROVED_OVERRIDE' ELSE 'DECLINED' END AS decision,
+    CASE WHEN event_id % 11 = 0 THEN 'MAYBE' WHEN event_type = 'signup' THEN 'APPROVED_OVERRIDE'
+         ELSE 'DECLINED' END AS decision,
     CASE event_id % 3 WHEN 0 THEN props WHEN 1 THEN '    ' || props || '  '
          ELSE event_type || ' ' || props END AS notes,
     'uw_' || CAST(user_id % 5 AS VARCHAR) AS underwriter_id,
-    ts AS event_ts
+    CASE WHEN event_id % 2 = 0 THEN ts - INTERVAL 2 HOUR ELSE ts + INTERVAL 2 HOUR END AS event_ts
   FROM events WHERE event_type IN ('signup', 'error'))"""
 
 
@@ -181,21 +182,39 @@ dv AS (
   SELECT *, CASE WHEN decision = 'APPROVED_OVERRIDE' THEN 'APPROVE' ELSE 'DECLINE' END AS action,
          {strip("notes")} AS clean_notes
   FROM dec),
-dv2 AS (SELECT *, coalesce(length(clean_notes) >= {P.MIN_NOTE_CHARS}, false) AS notes_valid FROM dv),
-pend AS (SELECT application_id FROM lat WHERE underwriter_decision = 'PENDING_REVIEW'),
-passed AS (SELECT * FROM dv2 WHERE notes_valid AND application_id IN (SELECT application_id FROM pend)),
+seen AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT d.decision_id, l.event_id AS seen_event_id, l.underwriter_decision AS seen_decision,
+           row_number() OVER (PARTITION BY d.decision_id ORDER BY l."timestamp" DESC, l.event_id DESC) AS rn
+    FROM dec d JOIN led l ON l.application_id = d.application_id
+         AND (l."timestamp" < d.event_ts OR (l."timestamp" = d.event_ts AND l.event_id < d.decision_id)))
+  WHERE rn = 1),
+dv2 AS (
+  SELECT dv.*, seen_event_id, coalesce(length(clean_notes) >= 10, false) AS notes_valid,
+    CASE WHEN NOT coalesce(length(clean_notes) >= 10, false) THEN 'notes_too_short'
+         WHEN decision NOT IN ('AUTO_APPROVED', 'PENDING_REVIEW', 'APPROVED_OVERRIDE', 'DECLINED',
+                               'APPROVED_WITH_EXCEPTION', 'INFO_REQUESTED') THEN 'unknown_decision'
+         WHEN coalesce(seen_decision, '') <> 'PENDING_REVIEW' THEN 'not_pending' END AS reject_reason
+  FROM dv LEFT JOIN seen ON dv.decision_id = seen.decision_id),
+passed AS (SELECT * FROM dv2 WHERE reject_reason IS NULL),
 acc AS (
   SELECT * EXCLUDE (rn) FROM (
-    SELECT *, row_number() OVER (PARTITION BY application_id ORDER BY event_ts, decision_id) AS rn FROM passed)
+    SELECT *, row_number() OVER (PARTITION BY application_id, seen_event_id ORDER BY event_ts, decision_id) AS rn
+    FROM passed)
+  WHERE rn = 1),
+new AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY application_id ORDER BY event_ts DESC, decision_id DESC) AS rn FROM acc)
   WHERE rn = 1),
 upd AS (
   SELECT l.event_id, l.event_type, l.application_id, l.applicant_name, l.system_recommendation,
          l.calculated_dti, l.net_monthly_surplus, l.policy_breaches,
-         CASE WHEN a.decision IS NOT NULL THEN a.underwriter_id ELSE l.underwriter_id END AS underwriter_id,
-         coalesce(a.decision, l.underwriter_decision) AS underwriter_decision,
-         CASE WHEN a.decision IS NOT NULL THEN a.clean_notes ELSE l.underwriter_notes END AS underwriter_notes,
+         CASE WHEN a.hit THEN a.underwriter_id ELSE l.underwriter_id END AS underwriter_id,
+         CASE WHEN a.hit THEN a.decision ELSE l.underwriter_decision END AS underwriter_decision,
+         CASE WHEN a.hit THEN a.clean_notes ELSE l.underwriter_notes END AS underwriter_notes,
          l."timestamp"
-  FROM led l LEFT JOIN acc a ON l.application_id = a.application_id)"""
+  FROM led l LEFT JOIN (SELECT *, true AS hit FROM new) a ON l.application_id = a.application_id
+       AND (l."timestamp" < a.event_ts OR (l."timestamp" = a.event_ts AND l.event_id < a.decision_id)))"""
 
 RESET = """
 rst AS (
@@ -420,10 +439,7 @@ SELECT decision_id, application_id, action, clean_notes, notes_valid FROM dv2"""
     q["decision_gate"] = with_ctes(LEDGER, LATEST, DECISIONS, GATE, body="""
 SELECT decision_id, application_id, decision, clean_notes FROM passed""")
     q["decision_rejected"] = with_ctes(LEDGER, LATEST, DECISIONS, GATE, body="""
-SELECT decision_id, application_id, 'notes_too_short' AS reject_reason FROM dv2 WHERE NOT notes_valid
-UNION ALL
-SELECT decision_id, application_id, 'not_pending' AS reject_reason FROM dv2
-WHERE notes_valid AND application_id NOT IN (SELECT application_id FROM pend)""")
+SELECT decision_id, application_id, reject_reason FROM dv2 WHERE reject_reason IS NOT NULL""")
     q["ledger_update"] = with_ctes(LEDGER, LATEST, DECISIONS, GATE, body=f"SELECT {LEDGER_OUT} FROM upd")
     q["ledger_decided_state"] = with_ctes(LEDGER, LATEST, DECISIONS, GATE, body=f"""
 SELECT {STATE_OUT} FROM (

@@ -35,6 +35,10 @@ STATE_OUT = ("application_id", "system_recommendation", "calculated_dti", "net_m
              "policy_breaches", "underwriter_id", "underwriter_decision", "underwriter_notes")
 
 
+PROMPT_COLUMNS = ("applicant_name", "calculated_dti", "net_monthly_surplus", "system_recommendation", "policy_breaches",
+                  "underwriter_decision")
+
+
 def query(name: str):
     def deco(fn: Query) -> Query:
         REGISTRY[name] = fn
@@ -191,15 +195,20 @@ def dashboard_scan(spark, sf_dir):
     return ledger.dashboard_scan(D.ledger(spark, sf_dir))
 
 
+def _console_rows(spark, sf_dir):
+    """The columns the console needs of a row and of its order: the scan reads no others."""
+    return ledger.dashboard_scan(D.ledger(spark, sf_dir), "event_id")
+
+
 @query("dashboard_counts")
 def dashboard_counts(spark, sf_dir):
     """A1: counts over the latest state."""
-    return dashboard.counts(ledger.latest_agg(D.ledger(spark, sf_dir)))
+    return dashboard.counts(ledger.latest(_console_rows(spark, sf_dir)))
 
 
 def _queue(which):
     def q(spark, sf_dir):
-        return dashboard.queue(ledger.latest_agg(D.ledger(spark, sf_dir)), which)
+        return dashboard.queue(ledger.latest(_console_rows(spark, sf_dir)), which)
     q.__doc__ = f"F2: the {which} queue over the latest state."
     return q
 
@@ -221,17 +230,21 @@ def decision_valid(spark, sf_dir):
         "decision_id", "application_id", "action", "clean_notes", "notes_valid")
 
 
+def _gate_rows(spark, sf_dir):
+    return D.ledger(spark, sf_dir).select("application_id", "event_id", "timestamp", "underwriter_decision")
+
+
 @query("decision_gate")
 def decision_gate(spark, sf_dir):
-    """J3 (semi-join): valid decisions on applications pending review."""
-    passed, _ = decisions.gate(D.decisions(spark, sf_dir), D.ledger(spark, sf_dir))
+    """Valid decisions whose application's newest row before them is pending review."""
+    passed, _ = decisions.gate(D.decisions(spark, sf_dir), _gate_rows(spark, sf_dir))
     return passed.select("decision_id", "application_id", "decision", "clean_notes")
 
 
 @query("decision_rejected")
 def decision_rejected(spark, sf_dir):
-    """J3 (anti-join) + P14: decisions that cannot land, with the reason."""
-    _, rejected = decisions.gate(D.decisions(spark, sf_dir), D.ledger(spark, sf_dir))
+    """J3 + P14: decisions that cannot land, with the reason."""
+    _, rejected = decisions.gate(D.decisions(spark, sf_dir), _gate_rows(spark, sf_dir))
     return rejected.select("decision_id", "application_id", "reject_reason")
 
 
@@ -239,7 +252,7 @@ def decision_rejected(spark, sf_dir):
 def ledger_update(spark, sf_dir):
     """K3(a) + J5: accepted decisions applied to every row of their application."""
     led = D.ledger(spark, sf_dir)
-    acc = decisions.accepted(D.decisions(spark, sf_dir), led)
+    acc = decisions.accepted(D.decisions(spark, sf_dir), _gate_rows(spark, sf_dir))
     return ledger.update_in_place(led, acc).select(*LEDGER_OUT)
 
 
@@ -248,7 +261,7 @@ def ledger_decided_state(spark, sf_dir):
     """K3(b): latest state after appending HUMAN decision events (checked against the latest
     state of the in-place update)."""
     led = D.ledger(spark, sf_dir)
-    acc = decisions.accepted(D.decisions(spark, sf_dir), led)
+    acc = decisions.accepted(D.decisions(spark, sf_dir), _gate_rows(spark, sf_dir))
     ev = ledger.decision_events(led, acc, base_event_id=10**12)
     return ledger.latest_agg(led.unionByName(ev)).select(*STATE_OUT)
 
@@ -411,7 +424,8 @@ def copilot_prompts(spark, sf_dir):
     copilot prompt (latest ledger row of the conversation's application, directory name, the 2
     best corpus chunks for the question).  Rows-only check."""
     c = guard.classify(D.chat(spark, sf_dir)).withColumn("application_id", D.app_id("conv_id"))
-    lat = ledger.latest_agg(D.ledger(spark, sf_dir)).drop("event_id", "event_type", "timestamp", "dt")
+    lat = ledger.latest(D.ledger(spark, sf_dir).select("application_id", "event_id", "timestamp", *PROMPT_COLUMNS))
+    lat = lat.drop("event_id", "timestamp")
     dirn = D.directory(spark, sf_dir)
     j = c.join(lat, "application_id", "left").join(dirn, "application_id", "left")
     j = j.withColumn("display_name", F.coalesce("real_name", "applicant_name", F.lit(P.UNKNOWN_APPLICANT)))
@@ -459,7 +473,8 @@ def copilot_prompts_lexical(spark, sf_dir):
     c = guard.classify(D.chat(spark, sf_dir)).withColumns({
         "application_id": D.app_id("conv_id"),
         "qid": F.col("conv_id") * ID_STRIDE + F.col("turn")})
-    lat = ledger.latest_agg(D.ledger(spark, sf_dir)).drop("event_id", "event_type", "timestamp", "dt")
+    lat = ledger.latest(D.ledger(spark, sf_dir).select("application_id", "event_id", "timestamp", *PROMPT_COLUMNS))
+    lat = lat.drop("event_id", "timestamp")
     j = c.join(lat, "application_id", "left").join(D.directory(spark, sf_dir), "application_id", "left")
     j = j.withColumn("display_name", F.coalesce("real_name", "applicant_name", F.lit(P.UNKNOWN_APPLICANT)))
     allowed = j.filter(~F.col("blocked_strict"))

@@ -145,20 +145,24 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Human decisions from signup (approve) and error (decline) events.  Notes come in three
     shapes: bare ``props`` (too short), ``props`` padded with spaces (too short once stripped)
-    and ``event_type props`` (long enough)."""
+    and ``event_type props`` (long enough).  Even ids decide two hours before the event's own
+    ledger row, so what they see is the row before it (some of these are pending); odd ids two hours
+    after it.  Every eleventh carries a value no console sends."""
     ev = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "props")
     ev = ev.filter(F.col("event_type").isin("signup", "error"))
     m = F.col("event_id") % 3
     return ev.select(
         F.col("event_id").alias("decision_id"),
         app_id("user_id").alias("application_id"),
-        F.when(F.col("event_type") == "signup", F.lit(P.APPROVED_OVERRIDE))
+        F.when(F.col("event_id") % 11 == 0, F.lit("MAYBE"))
+        .when(F.col("event_type") == "signup", F.lit(P.APPROVED_OVERRIDE))
         .otherwise(F.lit(P.DECLINED)).alias("decision"),
         F.when(m == 0, F.col("props"))
         .when(m == 1, F.concat(F.lit("    "), F.col("props"), F.lit("  ")))
         .otherwise(F.concat(F.col("event_type"), F.lit(" "), F.col("props"))).alias("notes"),
         F.concat(F.lit("uw_"), (F.col("user_id") % 5).cast("string")).alias("underwriter_id"),
-        F.col("ts").alias("event_ts"),
+        (F.col("ts") + F.when(F.col("event_id") % 2 == 0, F.expr("INTERVAL -2 HOURS"))
+         .otherwise(F.expr("INTERVAL 2 HOURS"))).alias("event_ts"),
     )
 
 

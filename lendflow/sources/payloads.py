@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,3 +63,30 @@ def quarantine(df: DataFrame, p=P.DEFAULT_POLICY):
         valid = valid.drop(CORRUPT)
     rejected = tagged.filter(F.size("reject_reasons") > 0)
     return valid, rejected
+
+
+# --- Z2: repeated submissions ----------------------------------------------------------------------
+DUPLICATE = "duplicate_submission"
+
+
+def submission_key() -> F.Column:
+    """What makes two submissions the same: the application and everything it says."""
+    return F.sha2(F.to_json(F.struct(*APP_SCHEMA.names)), 256)
+
+
+def split_duplicates(valid: DataFrame, seen: DataFrame | None = None, order=()):
+    """(first, repeated): the first row (by ``order``) of each submission that ``seen`` (column
+    submission_key) does not hold, and the rest with reject_reasons.  first + repeated = input; a changed
+    resubmission of an application is not a repeat."""
+    keyed = valid.withColumn("submission_key", submission_key())
+    rank = F.row_number().over(Window.partitionBy("submission_key").orderBy(*order or ["submission_key"]))
+    keyed = keyed.withColumn("_rank", rank)
+    if seen is None:
+        keyed = keyed.withColumn("_seen", F.lit(False))
+    else:
+        known = seen.select("submission_key").distinct().withColumn("_seen", F.lit(True))
+        keyed = keyed.join(known, "submission_key", "left")
+    repeat = (F.col("_rank") > 1) | F.coalesce("_seen", F.lit(False))
+    first = keyed.filter(~repeat).drop("_rank", "_seen")
+    repeated = keyed.filter(repeat).drop("_rank", "_seen").withColumn("reject_reasons", F.array(F.lit(DUPLICATE)))
+    return first, repeated

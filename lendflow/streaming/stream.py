@@ -1,12 +1,13 @@
 """Structured Streaming forms of the assessment and ledger jobs.
 
-Z1  payload files land in a directory -> assess -> ledger rows, per micro-batch.
-Z2  duplicate submissions of one application dropped within a watermark.
+Z1  payload files land in a directory -> quarantine -> assess -> ledger rows, per micro-batch.
+Z2  repeated submissions go to the rejects with a reason.
 Z3  decision counts per event-time window with a watermark (the live dashboard).
-Z4  latest state per application kept as a versioned snapshot table, upserted per batch.
+Z4  latest state per application kept as a change log that is folded into a snapshot.
 
-Sinks are idempotent by batch id: a retried batch overwrites its own output directory, so an
-executor or driver restart never appends a batch twice.
+Every payload that lands is accounted for: ledger rows + rejects = payloads.  Nothing is dropped by a
+watermark: a file counts when it arrives, however old it is.  Sinks are idempotent by batch id: a
+retried batch overwrites its own output directories, so a restart never adds a batch twice.
 """
 
 from __future__ import annotations
@@ -18,47 +19,67 @@ from pyspark.sql.streaming import StreamingQuery
 from lendflow import params as P
 from lendflow.operators import dashboard, ledger
 from lendflow.plans.assess import assess_applications
-from lendflow.sources.payloads import READ_SCHEMA
+from lendflow.sources.payloads import READ_SCHEMA, quarantine, split_duplicates
 from lendflow.sources.schemas import LEDGER_SCHEMA
 
 
 def payload_stream(spark: SparkSession, payload_dir: str, max_files: int | None = None) -> DataFrame:
     """Payload files as a stream (explicit schema, multiLine).  ``submitted_at`` is the file's
-    modification time: the event time of a submission."""
-    r = spark.readStream.schema(READ_SCHEMA).option("multiLine", True)
+    modification time and ``payload_file`` its path.  The source would ignore files more than a week
+    older than the newest it has seen; ten years take in backfilled ones."""
+    r = spark.readStream.schema(READ_SCHEMA).option("multiLine", True).option("maxFileAge", "3650d")
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
     df = r.json(payload_dir)
-    return df.withColumn("submitted_at", F.col("_metadata.file_modification_time"))
-
-
-def dedupe_submissions(stream: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Keep the first submission of an application seen within the watermark delay."""
-    return stream.withWatermark("submitted_at", delay).dropDuplicatesWithinWatermark(["application_id"])
+    return df.withColumns({"submitted_at": F.col("_metadata.file_modification_time"),
+                           "payload_file": F.col("_metadata.file_path")})
 
 
 def _batch_dir(root: str, batch_id: int) -> str:
     return f"{root.rstrip('/')}/batch={batch_id}"
 
 
+def seen_submissions(spark: SparkSession, keys_root: str, batch_id: int, days: int) -> DataFrame | None:
+    """Keys of submissions that earlier batches took within ``days`` (of arrival), or None."""
+    if not ledger.path_exists(spark, keys_root):
+        return None
+    keys = spark.read.schema("submission_key string, arrived_at timestamp, batch long").parquet(keys_root)
+    return keys.filter((F.col("batch") < batch_id)
+                       & (F.col("arrived_at") >= F.current_timestamp() - F.expr(f"INTERVAL {days} DAYS")))
+
+
 def assess_stream(spark: SparkSession, payload_dir: str, ledger_root: str, rejects_root: str,
-                  checkpoint: str, p=P.DEFAULT_POLICY, once: bool = True, dedupe: bool = True) -> StreamingQuery:
-    """Every micro-batch is assessed with the batch plan and written under
-    ``<root>/batch=<id>/dt=...`` (overwrite: idempotent on retry)."""
-    src = payload_stream(spark, payload_dir)
-    if dedupe:
-        src = dedupe_submissions(src)
+                  checkpoint: str, p=P.DEFAULT_POLICY, once: bool = True, dedupe: bool = True,
+                  repeat_days: int = 30, max_files: int | None = 10_000, index=None,
+                  completions: DataFrame | None = None) -> StreamingQuery:
+    """Z1 + Z2: every micro-batch of at most ``max_files`` payloads is assessed with the batch plan.
+
+    A batch is quarantined first (S4).  Of the valid rows, a submission that repeats one of the same
+    batch or of a batch of the last ``repeat_days`` goes to the rejects as well.  The rest is assessed
+    (with ``index`` and ``completions`` as in the batch job) and written under
+    ``<ledger>/batch=<id>/dt=...``; ids are ``batch id * 2^32`` plus the row's number."""
+    src = payload_stream(spark, payload_dir, max_files)
+    keys_root = f"{rejects_root.rstrip('/')}_submission_keys"
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
         batch = batch.persist()
         try:
-            # submitted_at rides along through the assessment (no join back by id, which would
-            # multiply rows when an application is submitted twice in one batch)
-            out, rejected = assess_applications(batch, p)
+            valid, rejected = quarantine(batch, p)
+            if dedupe:
+                seen = seen_submissions(session, keys_root, batch_id, repeat_days)
+                valid, repeated = split_duplicates(valid, seen, ["submitted_at", "payload_file"])
+                rejected = rejected.unionByName(repeated, allowMissingColumns=True)
+                (valid.select("submission_key", F.current_timestamp().alias("arrived_at"))
+                 .write.mode("overwrite").parquet(_batch_dir(keys_root, batch_id)))
+                valid = valid.drop("submission_key")
+            # submitted_at rides along through the assessment: no join back by id
+            out, none = assess_applications(valid, p, index, completions)
             ts = F.coalesce(F.col("submitted_at"), F.current_timestamp()).cast("timestamp_ntz")
-            rows = ledger.audit_rows(out, ts, F.lit(batch_id) * F.lit(1 << 40) + F.monotonically_increasing_id())
-            rows.write.mode("overwrite").partitionBy("dt").parquet(_batch_dir(ledger_root, batch_id))
-            rejected.write.mode("overwrite").parquet(_batch_dir(rejects_root, batch_id))
+            rows = ledger.numbered(ledger.audit_rows(out, ts).drop("event_id"), ledger.run_base(batch_id))
+            ledger.write_run(rows, ledger_root, batch_id)
+            (rejected.unionByName(none, allowMissingColumns=True)
+             .write.mode("overwrite").parquet(_batch_dir(rejects_root, batch_id)))
         finally:
             batch.unpersist()
 
@@ -68,9 +89,8 @@ def assess_stream(spark: SparkSession, payload_dir: str, ledger_root: str, rejec
 
 
 def read_stream_ledger(spark: SparkSession, ledger_root: str) -> DataFrame:
-    """All ledger rows written by ``assess_stream`` (batch and dt are partition columns)."""
-    df = spark.read.parquet(ledger_root)
-    return df.select(*[f.name for f in LEDGER_SCHEMA.fields])
+    """All ledger rows written by ``assess_stream``: the batch job's layout."""
+    return ledger.read_ledger(spark, ledger_root)
 
 
 # --- Z3 -----------------------------------------------------------------------------------------
@@ -113,13 +133,30 @@ def latest_state_stream(spark: SparkSession, ledger_dir: str, changes_root: str,
     return w.start()
 
 
+SNAPSHOT = "batch=-1"                 # the folded state stands beside the batches it replaces
+
+
 def read_state(spark: SparkSession, changes_root: str) -> DataFrame | None:
     """Current latest state: the newest change per application (one partial aggregate over the
-    change log, which holds one row per touched application per batch), or None before the
-    first batch."""
-    try:
-        changes = spark.read.parquet(changes_root)
-    except Exception:  # noqa: BLE001 - nothing written yet
+    snapshot and the changes since), or None before the first batch."""
+    if not ledger.path_exists(spark, changes_root):
         return None
-    return ledger.latest_agg(changes.drop("batch"))
-
+    return ledger.latest_agg(spark.read.parquet(changes_root).drop("batch"))
+
+
+def fold_state(spark: SparkSession, changes_root: str, before: int) -> None:
+    """Fold the snapshot and all batches below ``before`` into a new snapshot, so the log does not grow
+    with the stream's age.  Batches from ``before`` on are not touched.  Changes are idempotent (the newest
+    wins), so a fold that died is mended by running it again."""
+    from lendflow.session import materialize
+    root = changes_root.rstrip("/")
+    log = spark.read.parquet(root).filter(F.col("batch") < before)
+    batches = [r[0] for r in log.select("batch").distinct().collect() if r[0] >= 0]       # one row per batch
+    if not batches:
+        return
+    staged = materialize(ledger.latest_agg(log.drop("batch")), "state")
+    staged.write.mode("overwrite").parquet(f"{root}/{SNAPSHOT}")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for b in batches:
+        old = hadoop(f"{root}/batch={b}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)

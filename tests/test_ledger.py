@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from lendflow.operators import dashboard, decisions, ledger
@@ -47,12 +48,11 @@ def test_point_and_newest(spark):
     assert ledger.newest_overall(led).first().event_id == 3
 
 
-def test_hidden_decisions_both_forms(spark):
+def test_hidden_decisions(spark):
     led = _ledger(spark)
     cols = ["application_id", "event_id", "latest_decision", "hidden_decision"]
     a = _rows(ledger.hidden_decisions(led), cols)
-    b = _rows(ledger.hidden_decisions_window(led), cols)
-    assert a == b == [("A", 3, "PENDING_REVIEW", "APPROVED_OVERRIDE")]
+    assert a == [("A", 3, "PENDING_REVIEW", "APPROVED_OVERRIDE")]
 
 
 def test_dashboard_counts_and_queues(spark):
@@ -125,9 +125,30 @@ def test_append_and_reopen(spark, tmp_path):
     path = str(tmp_path / "ledger")
     empty = ledger.ensure_ledger(spark, path)
     assert empty.count() == 0
-    ledger.append(_ledger(spark), path)
-    ledger.append(_ledger(spark).filter(F.col("application_id") == "A"), path)   # append-only
-    assert ledger.read_ledger(spark, path).count() == 11
+    ledger.append(_ledger(spark), path, 1)
+    ledger.append(_ledger(spark).filter(F.col("application_id") == "A"), path, 2)   # append-only
+    ledger.append(_ledger(spark).filter(F.col("application_id") == "A"), path, 2)   # a retry of run 2
+    led = ledger.read_ledger(spark, path)
+    assert led.count() == 11 and led.select("event_id").distinct().count() == 11
+
+
+def test_event_ids_are_unique_over_many_partitions_and_batches(spark):
+    rows = spark.range(0, 1000, 1, 200).withColumn("x", F.col("id"))
+    ids = []
+    for batch in (0, 1):
+        out = ledger.numbered(rows.drop("id"), ledger.run_base(batch)).collect()
+        got = sorted(r.event_id for r in out)
+        assert got == list(range(batch << 32, (batch << 32) + 1000)) and {r.x for r in out} == set(range(1000))
+        ids += got
+    assert len(set(ids)) == 2000
+
+
+def test_only_absence_means_a_new_ledger(spark, tmp_path):
+    broken = tmp_path / "broken" / "batch=0" / "dt=2024-01-01"
+    broken.mkdir(parents=True)
+    (broken / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception, match="(?i)parquet|footer|magic"):
+        ledger.ensure_ledger(spark, str(tmp_path / "broken")).collect()
 
 
 def test_decision_schema_has_no_sql_text():
@@ -136,7 +157,7 @@ def test_decision_schema_has_no_sql_text():
 
 def test_ledger_as_sql_table(spark, tmp_path):
     path = str(tmp_path / "sql_ledger")
-    ledger.append(_ledger(spark), path)
+    ledger.append(_ledger(spark).coalesce(1).orderBy("event_id"), path, 1)
     ledger.create_table(spark, path, "audit_trail_t")
     ledger.create_table(spark, path, "audit_trail_t")            # IF NOT EXISTS: idempotent
     top = spark.sql("SELECT application_id, system_recommendation, underwriter_decision FROM audit_trail_t "
@@ -146,16 +167,16 @@ def test_ledger_as_sql_table(spark, tmp_path):
     spark.sql("DROP TABLE audit_trail_t")
 
 
-def test_compact_one_partition(spark, tmp_path):
-    import os
-    path = str(tmp_path / "ledger_c")
+def test_compact_one_day(spark, tmp_path):
+    path = tmp_path / "ledger_c"
     for i in range(4):                                             # four small appends
-        ledger.append(_ledger(spark).repartition(3), path)
-    before = sorted(map(tuple, ledger.read_ledger(spark, path).collect()))
-    day_dir = os.path.join(path, "dt=2024-01-01")
-    n_before = len([f for f in os.listdir(day_dir) if f.endswith(".parquet")])
-    ledger.compact(spark, path, T0.date(), files=1)
-    n_after = len([f for f in os.listdir(day_dir) if f.endswith(".parquet")])
-    after = sorted(map(tuple, ledger.read_ledger(spark, path).collect()))
-    assert n_before > 1 and n_after == 1
-    assert before == after
+        ledger.append(_ledger(spark).repartition(3), str(path), i)
+    before = sorted(map(tuple, ledger.read_ledger(spark, str(path)).collect()), key=repr)
+
+    def files():
+        return {i: len(list(path.glob(f"batch={i}/dt=2024-01-01/*.parquet"))) for i in range(4)}
+    was = files()
+    ledger.compact(spark, str(path), T0.date(), before=3, files=2)
+    assert files() == {0: 0, 1: 0, 2: 2, 3: was[3]}                # the newest run is left alone
+    ledger.compact(spark, str(path), T0.date(), before=3, files=2)
+    assert sorted(map(tuple, ledger.read_ledger(spark, str(path)).collect()), key=repr) == before

@@ -35,7 +35,7 @@ def test_scan_prunes_columns(spark):
 
 def test_point_lookup_pushes_filter_and_take_ordered(spark, tmp_path):
     path = str(tmp_path / "ledger")
-    ledger.append(D.ledger(spark, SF01), path)
+    ledger.append(D.ledger(spark, SF01), path, 1)
     p = explain(ledger.point(ledger.read_ledger(spark, path), "APP-42"))
     assert "TakeOrderedAndProject" in p
     assert "PushedFilters: [IsNotNull(application_id), EqualTo(application_id,APP-42)]" in p
@@ -77,3 +77,10 @@ def test_stress_grid_is_one_pass_without_join(spark):
 def test_latest_agg_is_partial_aggregate(spark):
     p = explain(ledger.latest_agg(D.ledger(spark, SF01)))
     assert "partial_max_by" in p
+
+
+def test_console_queries_read_narrow_and_once(spark):
+    for q in (Q.dashboard_counts, Q.hidden_decisions, Q.REGISTRY["queue_pending"]):
+        p = explain(q(spark, SF01))
+        assert "props" not in p and "value" not in p.split("ReadSchema", 1)[1].split("\n", 1)[0]
+        assert p.count("ReadSchema") == 1 and "WindowGroupLimit" in p

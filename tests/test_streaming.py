@@ -24,6 +24,10 @@ def test_batch_job_writes_ledger_and_rejects(spark, tmp_path):
     assert len({r.event_id for r in rows.values()}) == 4
     rej = spark.read.parquet(out["rejects_path"]).collect()
     assert [r.application_id for r in rej] == ["APP-ZERO"]
+    # the same run again leaves nothing twice
+    assess.run(spark, raw, out["ledger_path"], out["rejects_path"], dt.datetime(2024, 3, 1))
+    assert ledger.read_ledger(spark, out["ledger_path"]).count() == 4
+    assert spark.read.parquet(out["rejects_path"]).count() == 1
     # a second run appends (ledger is append-only) with fresh event ids
     assess.run(spark, raw, out["ledger_path"], out["rejects_path"], dt.datetime(2024, 3, 2))
     led = ledger.read_ledger(spark, out["ledger_path"])
@@ -119,12 +123,52 @@ def test_stream_without_dedupe_keeps_each_submission_once(spark, tmp_path):
     assert sorted(r.application_id for r in s.collect()) == ["APP-101", "APP-102", "APP-102"]
 
 
-def test_stream_quarantines_malformed_payload(spark, tmp_path):
-    raw = write_payloads(tmp_path / "raw", PERSONAS[:1])
-    (tmp_path / "raw" / "BROKEN.json").write_text('{ "application_id": "APP-900", ')
-    q = stream.assess_stream(spark, raw, str(tmp_path / "sled"), str(tmp_path / "srej"), str(tmp_path / "ckpt"),
-                             dedupe=False)
-    q.awaitTermination(120)
-    assert [r.application_id for r in stream.read_stream_ledger(spark, str(tmp_path / "sled")).collect()] == ["APP-101"]
-    rej = spark.read.parquet(str(tmp_path / "srej")).select("reject_reasons", "_corrupt_record").collect()
-    assert len(rej) == 1 and rej[0].reject_reasons[0] == "malformed_json" and rej[0]._corrupt_record
+def test_every_payload_is_accounted_for(spark, tmp_path):
+    """Default arguments: three malformed files, a repeat, a changed resubmission, and later an old file."""
+    raw = tmp_path / "raw"
+    write_payloads(raw, PERSONAS)
+    for i in range(3):
+        (raw / f"BROKEN-{i}.json").write_text('{ "application_id": "APP-90%d", ' % i)
+    (raw / "APP-102-again.json").write_text(json.dumps(PERSONAS[1]))
+    (raw / "APP-103-changed.json").write_text(json.dumps(dict(PERSONAS[2], requested_loan_amount=1)))
+    where = [str(tmp_path / x) for x in ("led", "rej", "ckpt")]
+    stream.assess_stream(spark, str(raw), *where).awaitTermination(120)
+    old = raw / "APP-OLD.json"
+    old.write_text(json.dumps(dict(PERSONAS[0], application_id="APP-OLD")))
+    os.utime(old, (1_600_000_000, 1_600_000_000))          # years before everything else
+    (raw / "APP-104-late-repeat.json").write_text(json.dumps(PERSONAS[3]))
+    stream.assess_stream(spark, str(raw), *where).awaitTermination(120)
+    led = stream.read_stream_ledger(spark, where[0]).collect()
+    assert sorted(r.application_id for r in led) == ["APP-101", "APP-102", "APP-103", "APP-103", "APP-104", "APP-OLD"]
+    assert len({r.event_id for r in led}) == 6
+    rej = spark.read.option("mergeSchema", True).parquet(where[1]).collect()
+    assert sorted(r.reject_reasons[0] for r in rej) == ["duplicate_submission"] * 2 + ["malformed_json"] * 3
+    assert all(r._corrupt_record for r in rej if r.reject_reasons[0] == "malformed_json")
+    assert len(led) + len(rej) == len(list(raw.glob("*.json")))
+
+
+def test_stream_layout_compacts(spark, tmp_path):
+    raw = tmp_path / "raw"
+    where = [str(tmp_path / x) for x in ("led", "rej", "ckpt")]
+    for i in range(3):
+        write_payloads(raw, [dict(PERSONAS[0], application_id=f"APP-{i}{k}") for k in range(3)])
+        stream.assess_stream(spark, str(raw), *where).awaitTermination(120)
+    rows = sorted(map(tuple, stream.read_stream_ledger(spark, where[0]).collect()))
+    day = rows[0][-1]
+    ledger.compact(spark, where[0], day, before=2, files=2)      # the newest batch may still be written to
+    assert sorted(map(tuple, stream.read_stream_ledger(spark, where[0]).collect())) == rows
+    assert not list((tmp_path / "led" / "batch=0").glob("dt=*")) and list((tmp_path / "led" / "batch=2").glob("dt=*"))
+
+
+def test_state_folds(spark, tmp_path):
+    led_dir, root = str(tmp_path / "in"), str(tmp_path / "state")
+    batch = D.ledger(spark, SF01)
+    for i in range(3):
+        batch.filter(F.col("event_id") % 3 == i).write.mode("append").parquet(led_dir)
+        stream.latest_state_stream(spark, led_dir, root, str(tmp_path / "ckpt")).awaitTermination(120)
+    want = sorted(map(tuple, ledger.latest(batch).collect()))
+    for before in (2, 3):
+        stream.fold_state(spark, root, before)
+        got = stream.read_state(spark, root).select(*batch.columns)
+        assert sorted(map(tuple, got.collect())) == want
+    assert stream.read_state(spark, str(tmp_path / "none")) is None
