@@ -75,34 +75,38 @@ def is_blank(x) -> Column:
 
 
 # ---------------------------------------------------------------------------------------------
-# Structured PII patterns and their replacement tokens, applied in this order.
+# Structured PII patterns and their replacement tokens, applied in this order.  No digit
+# may stand beside a number: a longer number is another thing.  Phones: (ddd) ddd-dddd; Australian
+# (0a) dddd dddd, 0a dddd dddd, 04dd ddd ddd, 1300 / 1800 ddd ddd and 13 dd dd, the first three also with +61.
 PII_PATTERNS = (
     ("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}", "<EMAIL>"),
-    ("CARD", r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}", "<CARD>"),
-    ("PHONE", r"[+]?[0-9]{0,2} ?[(][0-9]{3}[)] ?[0-9]{3}-[0-9]{4}", "<PHONE>"),
+    ("CARD", r"(?<![0-9])[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}(?![0-9])", "<CARD>"),
+    ("PHONE", r"(?<![0-9])(?:(?:[+]?[0-9]{1,2} ?)?[(][0-9]{3}[)] ?[0-9]{3}-[0-9]{4}"
+              r"|(?:[+]?61 ?)?[(]0?[2378][)][ -]?[0-9]{4}[ -]?[0-9]{4}"
+              r"|(?:[+]61 ?|0)[2378][ -]?[0-9]{4}[ -]?[0-9]{4}"
+              r"|(?:[+]61 ?|0)4[0-9]{2}[ -]?[0-9]{3}[ -]?[0-9]{3}"
+              r"|1[38]00[ -]?[0-9]{3}[ -]?[0-9]{3}|13 ?[0-9]{2} ?[0-9]{2})(?![0-9])", "<PHONE>"),
 )
 
 
-# A cheap necessary condition per pattern (a literal every match contains); texts
-# without it skip that regex.
-PII_GATES = {"EMAIL": "@", "PHONE": ")"}
+# A cheap necessary condition per pattern; texts without it skip that regex.
+PII_GATES = {"EMAIL": "@", "CARD": "[0-9]{4}", "PHONE": "[0-9]{2}"}
 
 
 def mask_pii(x) -> Column:
     out = _c(x)
     for name, pattern, token in PII_PATTERNS:
-        replaced = F.regexp_replace(out, pattern, token)
-        gate = PII_GATES.get(name)
-        out = replaced if gate is None else F.when(out.contains(gate), replaced).otherwise(out)
+        out = F.when(out.rlike(PII_GATES[name]), F.regexp_replace(out, pattern, token)).otherwise(out)
     return out
 
 
-def pii_kind(x) -> Column:
-    """Name of the first PII pattern found in the text, else null."""
-    kind = F.lit(None).cast("string")
-    for name, pattern, _ in reversed(PII_PATTERNS):
-        kind = F.when(_c(x).rlike(pattern), F.lit(name)).otherwise(kind)
-    return kind
+def name_pattern(name) -> Column:
+    """Case-insensitive pattern of a name: the whole of it or any of its words, as whole words."""
+    full = F.regexp_replace(F.trim(_c(name)), r"([\\.^$|?*+()\[\]{}])", r"\\$1")
+    words = F.array_join(F.filter(F.split(full, r"\s+"), lambda w: F.length(w) > 1), "|")
+    return F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), full,
+                    F.when(F.length(words) > 0, F.concat(F.lit("|"), words)).otherwise(F.lit("")),
+                    F.lit(r")(?![\p{L}\p{N}])"))
 
 
 # ---------------------------------------------------------------------------------------------

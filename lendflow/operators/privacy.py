@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendflow import params as P
-from lendflow.functions.text import PII_PATTERNS, is_blank, mask_pii
+from lendflow.functions.text import is_blank, mask_pii, name_pattern
 
 
 def _c(x) -> Column:
@@ -21,11 +21,12 @@ def mask_name(name="applicant_name") -> Column:
 
 
 def mask_text(text, name=None) -> Column:
-    """P10: replace the row's known name by ``<PERSON>``, then structured PII by tokens."""
-    out = _c(text)
+    """P10: structured PII by tokens, then the row's known name - whole or any of its words, in any
+    case - by ``<PERSON>``."""
+    out = mask_pii(text)
     if name is not None:
-        out = F.when(is_blank(name), out).otherwise(F.replace(out, _c(name), F.lit(P.MASKED_PERSON)))
-    return mask_pii(out)
+        out = F.when(is_blank(name), out).otherwise(F.regexp_replace(out, name_pattern(name), F.lit(P.MASKED_PERSON)))
+    return out
 
 
 def mask_applications(apps: DataFrame) -> DataFrame:
@@ -48,17 +49,31 @@ def reidentify(rows: DataFrame, directory: DataFrame) -> DataFrame:
     })
 
 
+# What the audit looks for.  Wider than the masking patterns and independent of them: any
+# address sign between two characters, 13 or more and 8 or more digits that only separators interrupt.
+AUDIT_PATTERNS = (
+    ("EMAIL", r"[^ ]@[^ ]"),
+    ("CARD", r"([0-9][ -]?){13}"),
+    ("PHONE", r"([0-9][ ()-]{0,2}){8}"),
+)
+
+
+def _holds_any(text: Column, words: Column) -> Column:
+    return F.exists(words, lambda w: text.contains(w))
+
+
 def leak_audit(rows: DataFrame, directory: DataFrame, text_columns) -> DataFrame:
-    """Per text column, rows that still contain the application's real name or match a PII
-    pattern.  One pass: every (column, kind) check is a ``count_if`` of a single global
+    """Per text column, rows that still look like holding PII (``AUDIT_PATTERNS``) or a word of the
+    application's real name.  One pass: every (column, kind) check is a ``count_if`` of a single global
     aggregate (partial on the map side); only the small result is unpivoted to
     (column_name, leak_kind, n_rows, n_checked)."""
     j = rows.join(directory.select("application_id", "real_name"), "application_id", "left")
+    words = F.filter(F.split(F.lower("real_name"), " "), lambda w: F.length(w) > 2)
     checks = []
     for c in text_columns:
-        for kind, pattern, _ in PII_PATTERNS:
+        for kind, pattern in AUDIT_PATTERNS:
             checks.append((c, kind, F.col(c).rlike(pattern)))
-        checks.append((c, "NAME", ~is_blank("real_name") & F.col(c).contains(F.col("real_name"))))
+        checks.append((c, "NAME", _holds_any(F.lower(F.col(c)), words)))
     aggs = [F.count_if(F.coalesce(cond, F.lit(False))).alias(f"_h{i}") for i, (_, _, cond) in enumerate(checks)]
     tot = j.agg(F.count(F.lit(1)).alias("_n"), *aggs)
     out = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(kind).alias("leak_kind"),

@@ -11,8 +11,7 @@ Conventions that make the two engines agree value for value:
 from __future__ import annotations
 
 from lendflow import params as P
-from lendflow.functions.text import PII_PATTERNS, scope_patterns
-from lendflow.sources.derived import EVENT_DECISIONS, PROBE_PROMPTS
+from lendflow.sources.derived import PROBE_PROMPTS
 
 
 def _q(s: str) -> str:
@@ -125,10 +124,6 @@ ASSESSED = (APPS, metrics_cte(), POLICY)
 
 
 # --- ledger, decisions, directory, completions, chat ---------------------------------------------
-def _case(col: str, pairs) -> str:
-    return "CASE " + " ".join(f"WHEN {col} = {_q(k)} THEN {_q(v)}" for k, v in pairs) + " END"
-
-
 LEDGER = f"""
 led AS (
   SELECT event_id,
@@ -141,7 +136,8 @@ led AS (
     CASE WHEN event_type = 'purchase' THEN 'NONE' ELSE 'Net Serviceability Deficit' END AS policy_breaches,
     CASE WHEN event_type = 'purchase' THEN 'SYSTEM_AUTO_EXECUTION' WHEN event_type = 'view' THEN 'PENDING_REVIEW'
          ELSE 'uw_' || CAST(event_id % 7 AS VARCHAR) END AS underwriter_id,
-    {_case("event_type", EVENT_DECISIONS)} AS underwriter_decision,
+    CASE event_type WHEN 'purchase' THEN 'AUTO_APPROVED' WHEN 'signup' THEN 'APPROVED_OVERRIDE' WHEN 'error' THEN 'DECLINED'
+         WHEN 'view' THEN 'PENDING_REVIEW' WHEN 'click' THEN 'INFO_REQUESTED' END AS underwriter_decision,
     CASE WHEN event_type = 'purchase' THEN {_q(P.AUTO_NOTES)} WHEN event_type = 'view' THEN 'N/A'
          ELSE props END AS underwriter_notes,
     ts AS "timestamp",
@@ -172,9 +168,12 @@ dec AS (
   FROM events WHERE event_type IN ('signup', 'error'))"""
 
 
+# White space as str.strip() knows it.
+_WS = "[\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+
+
 def strip(x: str) -> str:
-    from lendflow.functions.text import STRIP_PATTERN
-    return f"regexp_replace({x}, {_q(STRIP_PATTERN)}, '', 'g')"
+    return f"regexp_replace(regexp_replace({x}, '^{_WS}+', ''), '{_WS}+$', '')"
 
 
 GATE = f"""
@@ -247,10 +246,20 @@ def is_blank(x: str) -> str:
     return f"({x} IS NULL OR length({strip(x)}) = 0)"
 
 
+# This engine has no lookaround: edges are captured and put back, twice, as neighbours share one.
+_NUMBERS = (
+    ("[0-9]{4}(?:[ -]?[0-9]{4}){3}", "<CARD>"),
+    ("(?:[+]?[0-9]{1,2} ?)?[(][0-9]{3}[)] ?[0-9]{3}-[0-9]{4}|(?:[+]?61 ?)?[(]0?[2378][)](?:[ -]?[0-9]{4}){2}"
+     "|(?:[+]61 ?|0)[2378](?:[ -]?[0-9]{4}){2}|(?:[+]61 ?|0)4[0-9]{2}(?:[ -]?[0-9]{3}){2}"
+     "|1[38]00(?:[ -]?[0-9]{3}){2}|13(?: ?[0-9]{2}){2}", "<PHONE>"),
+)
+
+
 def mask_pii(x: str) -> str:
-    out = x
-    for _, pattern, token in PII_PATTERNS:
-        out = f"regexp_replace({out}, {_q(pattern)}, {_q(token)}, 'g')"
+    out = f"regexp_replace({x}, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{{2,}}', '<EMAIL>', 'g')"
+    for pattern, token in _NUMBERS:
+        for _ in range(2):
+            out = f"regexp_replace({out}, '(^|[^0-9])(?:{pattern})([^0-9]|$)', '\\1{token}\\2', 'g')"
     return out
 
 
@@ -259,11 +268,41 @@ def mask_name(x: str) -> str:
 
 
 def mask_text(text: str, name: str) -> str:
-    return mask_pii(f"CASE WHEN {is_blank(name)} THEN {text} ELSE replace({text}, {name}, {_q(P.MASKED_PERSON)}) END")
+    """A name's words are tried after the whole of it, as whole words in any case."""
+    quoted = f"regexp_escape(trim({name}))"
+    words = f"list_filter(string_split(trim({name}), ' '), lambda w: length(w) > 1)"
+    either = f"array_to_string(list_prepend({quoted}, list_transform({words}, lambda w: regexp_escape(w))), '|')"
+    out = mask_pii(text)
+    for _ in range(2):
+        out = (f"regexp_replace({out}, '([^\\pL\\pN]|^)(?:' || {either} || ')([^\\pL\\pN]|$)', "
+               f"'\\1{P.MASKED_PERSON}\\2', 'gi')")
+    return f"CASE WHEN {is_blank(name)} THEN {mask_pii(text)} ELSE {out} END"
+
+
+# The guard's patterns, written out: family, strict and fixed form.
+_L, _R, _IN = r"(^|[^\p{L}\p{N}_])", r"([^\p{L}\p{N}_]|$)", r"[\p{L}\p{N}_]"
+
+
+def _words(*terms: str) -> str:
+    return "|".join(f"{_L}{t}{_R}" for t in terms)
+
+
+_CODE = ("python", "javascript", "java")
+_CODE_MORE = ("bash", "powershell", "sql query", "html", "css")
+_GUARD = {
+    "strict": (("code", _words(*_CODE) + rf"|{_L}c\+\+{_IN}|" + _words(*_CODE_MORE)),
+               ("code_request", _words("write a script", "write code", "generate code", "function to", "while loop", "for loop")),
+               ("jailbreak", _words("ignore previous instructions", "system prompt", "jailbreak", "DAN mode", "bypass")),
+               ("off_topic", _words("poem", "story", "recipe", "joke", "translate to"))),
+    "fixed": (("code", _words(*_CODE, r"c\+\+", *_CODE_MORE)),
+              ("code_request", _words("write a script", "write code", "generate code", "function to", "while loop", "for loop")),
+              ("jailbreak", _words("ignore previous instructions", "system prompt", "jailbreak", "dan mode", "bypass")),
+              ("off_topic", _words("poem", "story", "recipe", "joke", "translate to"))),
+}
 
 
 def scope_family(x: str, mode: str) -> str:
-    parts = " ".join(f"WHEN regexp_matches(lower({x}), {_q(p)}) THEN {_q(n)}" for n, p in scope_patterns(mode))
+    parts = " ".join(f"WHEN regexp_matches(lower({x}), {_q(p)}) THEN {_q(n)}" for n, p in _GUARD[mode])
     return f"CASE {parts} END"
 
 
@@ -390,11 +429,12 @@ FROM lat l LEFT JOIN dir d ON l.application_id = d.application_id""")
     cols = ("raw_notes", "masked_notes", "masked_name")
     checks = []
     for c in cols:
-        for kind, pattern, _ in PII_PATTERNS:
+        for kind, pattern in (("EMAIL", "[^ ]@[^ ]"), ("CARD", "([0-9][ -]?){13}"), ("PHONE", "([0-9][ ()-]{0,2}){8}")):
             checks.append(f"SELECT '{c}' AS column_name, '{kind}' AS leak_kind, "
-                          f"coalesce(regexp_matches({c}, {_q(pattern)}), false) AS hit FROM r")
+                          f"coalesce(regexp_matches({c}, '{pattern}'), false) AS hit FROM r")
         checks.append(f"SELECT '{c}' AS column_name, 'NAME' AS leak_kind, "
-                      f"coalesce(NOT {is_blank('real_name')} AND contains({c}, real_name), false) AS hit FROM r")
+                      f"coalesce(len(list_filter(string_split(lower(real_name), ' '), "
+                      f"lambda w: length(w) > 2 AND contains(lower({c}), w))) > 0, false) AS hit FROM r")
     q["leak_audit"] = with_ctes(APPS, DIRECTORY, f"""
 r AS (SELECT a.application_id, a.applicant_notes AS raw_notes,
              {mask_text("a.applicant_notes", "a.applicant_name")} AS masked_notes,

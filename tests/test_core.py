@@ -229,3 +229,31 @@ def test_broadcast_check_bounds_rows_and_bytes(spark):
     assert fits_broadcast(narrow, max_rows=1000)
     assert not fits_broadcast(narrow, max_rows=999)
     assert not fits_broadcast(wide, max_rows=1000, max_bytes=1 << 20)    # ~10 MB of text
+
+
+def test_masking_holds_for_local_phones_and_name_variants(spark):
+    from lendflow.operators import privacy
+    rows = [
+        ("alex chen called on 0412 345 678; Alex prefers (02) 9999 1234", "Alex Chen",
+         "<PERSON> called on <PHONE>; <PERSON> prefers <PHONE>"),
+        ("CHEN: 1300 123 456, 13 12 34, +61 412 345 678, +61 2 9999 1234 and (123) 456-7890", "Alex Chen",
+         "<PERSON>: <PHONE>, <PHONE>, <PHONE>, <PHONE> and <PHONE>"),
+        ("cards 1234 5678 9012 3456 1234-5678-9012-3456 but not 12345678901234567890", "Al",
+         "cards <CARD> <CARD> but not 12345678901234567890"),
+        ("write to alex.chen@mail.example.com; Alexander is someone else", "Alex Chen",
+         "write to <EMAIL>; Alexander is someone else"),
+        ("a (b) [c] $1 a", "a (b)", "<PERSON> [c] $1 <PERSON>"),
+        ("nobody", None, "nobody"), (None, "Alex", None),
+    ]
+    df = spark.createDataFrame([(t, n) for t, n, _ in rows], "t string, n string")
+    got = [r.m for r in df.select(privacy.mask_text("t", "n").alias("m")).collect()]
+    assert got == [w for _, _, w in rows]
+
+
+def test_audit_sees_what_masking_patterns_do_not_know(spark):
+    from lendflow.operators import privacy
+    rows = spark.createDataFrame([("A", "call 99 88 77 66 please"), ("B", "mrs chen rang"), ("C", "x@y"), ("D", "fine 123")],
+                                 "application_id string, notes string")
+    names = spark.createDataFrame([("B", "Wei Chen")], "application_id string, real_name string")
+    got = {r.leak_kind: r.n_rows for r in privacy.leak_audit(rows, names, ["notes"]).collect()}
+    assert got == {"EMAIL": 1, "CARD": 0, "PHONE": 1, "NAME": 1}
