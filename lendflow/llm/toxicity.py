@@ -28,8 +28,8 @@ from pyspark.sql.window import WindowSpec
 from lendflow.llm.common import mix64, text_slices, word_prefix_hashes, word_spans
 from lendflow.llm.near_dedup import shingle_sets
 
-PER_CLASS = 1000                     # toxic documents in the training sample (and twice as many clean)
-SAMPLE_BYTES = 1 << 24               # text bytes of the training sample, at most
+PER_CLASS = 600                      # toxic documents in the training sample (and twice as many clean)
+SAMPLE_BYTES = 1 << 23               # text bytes of the training sample, at most
 BITS = 20
 PREFIXES = (4, 5, 6)                 # bytes; 0 (the whole word) is always there
 CHUNK = 64                           # words handled in one step of the chain's recursion
@@ -212,9 +212,12 @@ def fit_field(ids: np.ndarray, first: np.ndarray, labels: np.ndarray, bits: int
             curve += np.bincount(column, bend_of, minlength=1 << bits)
         weights[:-1] += step * grad / curve
         weights[-1] += step * slope.sum() / bend.sum()
-        right = after * np.stack([np.ones(len(emit)), np.exp(emit)])
-        pair = before[:, None, :] * np.exp(moves)[:, :, None] * right[None, :, :]
-        got = (pair / pair.sum((0, 1))).sum(2)
+        del grad, curve
+        del through, both, bend
+        after[1] *= np.exp(emit)
+        pair = [[before[i] * after[j] * np.exp(moves[i, j]) for j in (0, 1)] for i in (0, 1)]
+        whole = pair[0][0] + pair[0][1] + pair[1][0] + pair[1][1]
+        got = np.array([[(x / whole).sum() for x in row] for row in pair])
         moves += step * (seen - got - penalty * moves) / (0.25 * np.maximum(seen, got) + penalty)
         moves[0, 0] = 0.0                                   # fixes the scale; the bias covers the rest
     return weights, moves
