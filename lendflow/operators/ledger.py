@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lendflow import params as P
+from lendflow.session import materialize, numbered, path_exists
 from lendflow.sources.schemas import LEDGER_COLUMNS, LEDGER_SCHEMA
 
 LEDGER_NAMES = tuple(LEDGER_SCHEMA.names)
@@ -67,28 +68,6 @@ def run_base(run: int | Column) -> Column:
     return (run if isinstance(run, Column) else F.lit(run)).cast("long") * F.lit(RUN_EVENTS)
 
 
-def numbered(rows: DataFrame, base: int | Column) -> DataFrame:
-    """``rows`` with consecutive event ids from ``base``, however many partitions there are.
-
-    The rows are written once to the shared folder, so both passes over them see the same partitions;
-    the table of partition sizes has one row per partition and stays small."""
-    from lendflow.session import materialize
-    staged = materialize(rows.withColumn("_m", F.monotonically_increasing_id()), "numbered")
-    part, place = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = staged.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    ahead = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    first = sizes.select("_p", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_first"))
-    start = base if isinstance(base, Column) else F.lit(base).cast("long")
-    return (staged.withColumn("_p", part).join(F.broadcast(first), "_p")
-            .withColumn("event_id", start + F.col("_first") + place).drop("_m", "_p", "_first"))
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether there is anything at ``path``; any other fault of the file system is raised."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def ensure_ledger(spark: SparkSession, path: str) -> DataFrame:
     """K1: create the ledger if it does not exist (an empty Parquet table partitioned by run and day)."""
     if not path_exists(spark, path):
@@ -137,7 +116,6 @@ def compact(spark: SparkSession, path: str, day: dt.date, before: int, files: in
     Runs from ``before`` on are not touched, so a stream may go on writing.  The rows are first
     written as a table in the shared folder and the small files are deleted last; event ids are
     unique, so a rewrite that died in between is mended by running it again."""
-    from lendflow.session import materialize
     root = path.rstrip("/")
     part = _ledger_files(spark, root).filter((F.col("dt") == F.lit(day)) & (F.col("batch") < before))
     runs = sorted(r[0] for r in part.select("batch").distinct().collect())         # one row per run

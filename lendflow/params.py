@@ -71,6 +71,8 @@ SCOPE_REFUSAL = (
     "financial ratio analysis, and APRA/ASIC regulatory compliance for this application. "
     "I cannot assist with general programming, coding tasks, or unrelated queries."
 )
+COPILOT_ERROR = "Copilot Error: "
+NO_COMPLETION = "no completion"
 UNKNOWN_SOURCE = "Unknown Source"
 UNKNOWN_PAGE = "Unknown Page"
 

@@ -342,7 +342,7 @@ SCENARIO_VALUES = None  # filled in oracle_sql from queries.SCENARIOS
 
 # --- queries -------------------------------------------------------------------------------------
 def oracle_sql() -> dict[str, str]:
-    from lendflow.plans.queries import ID_STRIDE, KNN_K, LEXICAL_K, POINT_ID, RUN_TS, SCENARIOS
+    from lendflow.plans.queries import KNN_K, LEXICAL_K, POINT_ID, RUN_TS, SCENARIOS
     q: dict[str, str] = {}
     run_ts = f"TIMESTAMP '{RUN_TS.isoformat(sep=' ')}'"
 
@@ -504,6 +504,17 @@ SELECT u.conv_id, u.turn, ({scope_family("u.text", "strict")}) IS NOT NULL AS bl
 FROM chat u LEFT JOIN chat a ON a.role = 'assistant' AND a.conv_id = u.conv_id AND a.turn - 1 = u.turn
 WHERE u.role = 'user'""")
 
+    q["copilot_answers"] = with_ctes(CHAT, f"""
+cc AS (
+  SELECT conv_id, turn - 1 AS turn, (conv_id + turn - 1) % 5 AS m, text FROM conversations
+  WHERE role = 'assistant' AND (conv_id + turn - 1) % 5 <> 4)""", body=f"""
+SELECT u.conv_id, u.turn,
+  CASE WHEN ({scope_family("u.text", "strict")}) IS NOT NULL THEN {_q(P.SCOPE_REFUSAL)}
+       WHEN c.m = 0 THEN 'Copilot Error: DeadlineExceeded: model call timed out'
+       WHEN c.m IS NULL OR c.text IS NULL THEN 'Copilot Error: no completion'
+       ELSE {strip("CASE WHEN c.m = 1 THEN replace(c.text, '. ', chr(10)) ELSE c.text END")} END AS answer
+FROM chat u LEFT JOIN cc c ON u.conv_id = c.conv_id AND u.turn = c.turn WHERE u.role = 'user'""")
+
     q["completion_fallback"] = with_ctes(*ASSESSED, COMPLETIONS, body=f"""
 SELECT a.application_id,
   CASE WHEN c.error IS NOT NULL OR ({flatten("c.blocks", "c.plain")}) IS NULL THEN {_q(P.MEMO_FALLBACK)}
@@ -578,7 +589,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbor_id, score FROM lx_top""
 
     fixed_chunks = f"""
 ch AS (
-  SELECT page * {ID_STRIDE} + chunk_no AS chunk_id, source, page, chunk_no, chunk FROM (
+  SELECT row_number() OVER (ORDER BY page, chunk_no) AS chunk_id, source, page, chunk_no, chunk FROM (
     SELECT source, page, CAST(i AS INTEGER) AS chunk_no,
            substring(content, CAST(i AS BIGINT) * {P.CHUNK_SIZE - P.CHUNK_OVERLAP} + 1, {P.CHUNK_SIZE}) AS chunk
     FROM (SELECT '/regulations/' || source || '.pdf' AS source, doc_id AS page, text AS content,
@@ -587,7 +598,7 @@ ch AS (
   WHERE length(chunk) > 0)"""
     users = f"""
 u AS (
-  SELECT conv_id, turn, text, conv_id * {ID_STRIDE} + turn AS qid, 'APP-' || CAST(conv_id AS VARCHAR) AS application_id,
+  SELECT conv_id, turn, text, row_number() OVER (ORDER BY conv_id, turn) AS qid, 'APP-' || CAST(conv_id AS VARCHAR) AS application_id,
          ({scope_family("text", "strict")}) IS NOT NULL AS blocked
   FROM chat WHERE role = 'user')"""
     cites = citations_cte("cites") + f""",

@@ -20,6 +20,7 @@ from lendflow.operators import (chunking, dashboard, decisions, guard, ledger, m
 from lendflow.operators.knn import knn
 from lendflow.operators.lexical import lexical_topk
 from lendflow.operators.lsh import lsh_knn
+from lendflow.session import materialize, numbered
 from lendflow.sources import derived as D
 from lendflow.sources.payloads import quarantine as split_quarantine, with_notes_default
 
@@ -300,6 +301,15 @@ def guarded_answers(spark, sf_dir):
 
 
 # --- memo ----------------------------------------------------------------------------------------
+@query("copilot_answers")
+def copilot_answers(spark, sf_dir):
+    """P16 + P17 + P22 + P23: every user turn's reply - the refusal, the flattened completion or the error."""
+    c = guard.classify(D.chat(spark, sf_dir))
+    a = memo.copilot_answers(c.filter(~F.col("blocked_strict")), D.chat_completions(spark, sf_dir))
+    refused = c.filter(F.col("blocked_strict")).select("conv_id", "turn", F.lit(P.SCOPE_REFUSAL).alias("answer"))
+    return a.select("conv_id", "turn", "answer").unionByName(refused)
+
+
 @query("completion_fallback")
 def completion_fallback(spark, sf_dir):
     """J4 + P21 + P23: breached applications joined to their completions, with fallback."""
@@ -443,7 +453,12 @@ def copilot_prompts(spark, sf_dir):
 
 
 LEXICAL_K = 3
-ID_STRIDE = 4096   # packs (page, chunk_no) and (conv_id, turn) into one long id
+
+
+def _fixed_chunks(spark, sf_dir):
+    """Fixed-stride chunks of the corpus, written once and numbered in (page, chunk) order."""
+    chunks = chunking.chunk_fixed(D.corpus(spark, sf_dir)).orderBy("page", "chunk_no")
+    return materialize(numbered(chunks, name="chunk_id"), "fixed-chunks")
 
 
 @query("memo_prompts_lexical")
@@ -456,8 +471,8 @@ def memo_prompts_lexical(spark, sf_dir):
                                         fallback=P.SUMMARY_FALLBACK, out="applicant_narrative_summary")
     b = breached.join(summaries.select("application_id", "applicant_narrative_summary"), "application_id", "left")
     b = b.withColumn("qid", F.substring("application_id", len(D.APP_PREFIX) + 1, 20).cast("long"))
-    chunks = chunking.chunk_fixed(D.corpus(spark, sf_dir)).withColumn(
-        "chunk_id", F.col("page") * ID_STRIDE + F.col("chunk_no"))
+    b = materialize(b, "breached")          # feeds the ranking's statistics, its scores and the prompts
+    chunks = _fixed_chunks(spark, sf_dir)
     hits = lexical_topk(b.select("qid", retrieval.query_text().alias("text")), chunks.select("chunk_id", "chunk"),
                         P.RETRIEVAL_K, query_id="qid", query_text="text", doc_id="chunk_id", doc_text="chunk")
     hits = hits.join(chunks.select("chunk_id", "source", "page", F.col("chunk").alias("content")),
@@ -470,16 +485,14 @@ def memo_prompts_lexical(spark, sf_dir):
 def copilot_prompts_lexical(spark, sf_dir):
     """P16 + P17 + P20 + J1 + S10 + R2 + R5 + P24: the copilot flow with lexical retrieval - each
     allowed question ranks the fixed-stride chunks by TF-IDF and cites the best 2."""
-    c = guard.classify(D.chat(spark, sf_dir)).withColumns({
-        "application_id": D.app_id("conv_id"),
-        "qid": F.col("conv_id") * ID_STRIDE + F.col("turn")})
+    c = numbered(guard.classify(D.chat(spark, sf_dir)).orderBy("conv_id", "turn"), name="qid")
+    c = c.withColumn("application_id", D.app_id("conv_id"))
     lat = ledger.latest(D.ledger(spark, sf_dir).select("application_id", "event_id", "timestamp", *PROMPT_COLUMNS))
     lat = lat.drop("event_id", "timestamp")
     j = c.join(lat, "application_id", "left").join(D.directory(spark, sf_dir), "application_id", "left")
     j = j.withColumn("display_name", F.coalesce("real_name", "applicant_name", F.lit(P.UNKNOWN_APPLICANT)))
     allowed = j.filter(~F.col("blocked_strict"))
-    chunks = chunking.chunk_fixed(D.corpus(spark, sf_dir)).withColumn(
-        "chunk_id", F.col("page") * ID_STRIDE + F.col("chunk_no"))
+    chunks = _fixed_chunks(spark, sf_dir)
     hits = lexical_topk(allowed.select("qid", "text"), chunks.select("chunk_id", "chunk"), P.RETRIEVAL_K,
                         query_id="qid", query_text="text", doc_id="chunk_id", doc_text="chunk")
     hits = hits.join(chunks.select("chunk_id", "source", "page", F.col("chunk").alias("content")),

@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def build_session(master: str | None = None, app_name: str = "lendflow",
@@ -74,3 +75,25 @@ def materialize(df, tag: str):
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def numbered(rows: DataFrame, base: int | Column = 0, name: str = "event_id") -> DataFrame:
+    """``rows`` with consecutive ids from ``base``, however many partitions there are.  Sorted rows are
+    numbered in their order, whatever the layout.
+
+    The rows are written once to the shared folder, so both passes over them see the same partitions;
+    the table of partition sizes has one row per partition and stays small."""
+    staged = materialize(rows.withColumn("_m", F.monotonically_increasing_id()), "numbered")
+    part, place = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = staged.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    ahead = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select("_p", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_first"))
+    start = base if isinstance(base, Column) else F.lit(base).cast("long")
+    return (staged.withColumn("_p", part).join(F.broadcast(first), "_p")
+            .withColumn(name, start + F.col("_first") + place).drop("_m", "_p", "_first"))
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at ``path``; any other fault of the file system is raised."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

@@ -242,3 +242,17 @@ def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("role") == "user", F.concat(F.col("text"), F.lit(" "), pick))
         .otherwise(F.col("text")).alias("text"),
     )
+
+
+def chat_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model completions per user turn, standing for the copilot's calls, from the assistant turn after
+    it.  By (conv_id + turn) mod 5: failed (0), a list of text blocks (1, split at sentence ends), a
+    plain string (2, 3); for 4 there is none."""
+    conv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    a = conv.filter(F.col("role") == "assistant").withColumn("turn", F.col("turn") - 1)
+    m = (F.col("conv_id") + F.col("turn")) % 5
+    return a.filter(m != 4).select(
+        "conv_id", "turn",
+        F.when(m == 1, F.transform(F.split("text", r"\. "), lambda x: F.struct(x.alias("text")))).alias("blocks"),
+        F.when(m.isin(2, 3), F.col("text")).alias("plain"),
+        F.when(m == 0, F.lit("DeadlineExceeded: model call timed out")).alias("error"))

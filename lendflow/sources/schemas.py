@@ -55,10 +55,3 @@ DECISION_SCHEMA = T.StructType([
     T.StructField("underwriter_id", T.StringType()),
     T.StructField("event_ts", T.TimestampNTZType()),
 ])
-
-COMPLETION_SCHEMA = T.StructType([
-    T.StructField("application_id", T.StringType()),
-    T.StructField("blocks", T.ArrayType(T.StructType([T.StructField("text", T.StringType())]))),
-    T.StructField("plain", T.StringType()),
-    T.StructField("error", T.StringType()),
-])
