@@ -369,7 +369,7 @@ SELECT application_id,
   {_q(P.AUTO_NOTES)} AS underwriter_notes
 FROM assessed WHERE len(policy_breaches) = 0""")
 
-    q["audit_rows"] = with_ctes(*ASSESSED, body=f"""
+    audit = f"""
 SELECT application_id, {mask_name("applicant_name")} AS applicant_name, system_recommendation, calculated_dti,
   net_monthly_surplus,
   CASE WHEN len(policy_breaches) > 0 THEN array_to_string(policy_breaches, '; ') ELSE 'NONE' END AS policy_breaches,
@@ -377,7 +377,8 @@ SELECT application_id, {mask_name("applicant_name")} AS applicant_name, system_r
   CASE WHEN len(policy_breaches) = 0 THEN '{P.AUTO_APPROVED}' ELSE 'PENDING_REVIEW' END AS underwriter_decision,
   CASE WHEN len(policy_breaches) = 0 THEN {_q(P.AUTO_NOTES)} ELSE 'N/A' END AS underwriter_notes,
   {run_ts} AS "timestamp"
-FROM assessed""")
+FROM assessed"""
+    q["audit_rows"] = with_ctes(*ASSESSED, body=audit)
 
     rep = ("CASE WHEN ({r}) = 0 THEN CAST(requested_loan_amount AS DOUBLE) / CAST({n} AS DOUBLE) ELSE "
            "CAST(requested_loan_amount AS DOUBLE) * (({r}) * pow(CAST(1 AS DOUBLE) + ({r}), CAST({n} AS DOUBLE))) / "
@@ -411,6 +412,28 @@ FROM apps""")
 SELECT application_id, array_to_string(r, ',') AS reject_reasons
 FROM (SELECT application_id, {arr} AS r FROM dirty) WHERE len(r) > 0""")
 
+    fields = ("application_id, applicant_name, gross_annual_income, declared_living_expenses, requested_loan_amount, "
+              "property_valuation, base_interest_rate, existing_debts_monthly, cdr_verified_expenses_monthly, "
+              "applicant_notes")
+    q["submission_split"] = with_ctes(APPS, DIRTY, f"""
+sub AS (
+  SELECT {fields} FROM dirty UNION ALL SELECT {fields} FROM dirty WHERE okey % 50 = 0
+  UNION ALL SELECT * REPLACE (CAST(requested_loan_amount + 1 AS DECIMAL(18,2)) AS requested_loan_amount)
+  FROM (SELECT {fields} FROM dirty WHERE okey % 60 = 0)),
+tagged AS (SELECT *, {arr} AS r FROM sub),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY {fields}) AS rn FROM tagged)""", body="""
+SELECT application_id, CAST(requested_loan_amount AS DOUBLE) AS requested_loan_amount,
+  CASE WHEN len(r) > 0 THEN array_to_string(r, ',') WHEN rn > 1 THEN 'duplicate_submission' ELSE 'ledger' END AS outcome
+FROM ranked""")
+    q["ledger_round_trip"] = with_ctes(*ASSESSED, body=f"""
+SELECT CAST(7 AS BIGINT) * 4294967296 + row_number() OVER (ORDER BY application_id) - 1 AS event_id,
+       'SYSTEM' AS event_type, *
+FROM ({audit})""")
+    q["sql_functions"] = with_ctes(APPS, metrics_cte(), body=f"""
+SELECT application_id, calculated_dti AS dti, dti_status, CAST(applicable_monthly_expense AS DOUBLE) AS expense,
+  round({rep.format(r=base_r, n=360)}, 2) AS repayment
+FROM m""")
+
     q["notes_default"] = with_ctes(APPS, body=f"""
 SELECT application_id, coalesce(applicant_notes, {_q(P.DEFAULT_NOTES)}) AS applicant_notes FROM apps""")
 

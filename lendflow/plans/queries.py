@@ -7,22 +7,23 @@ aliased to the same names as the DuckDB oracle in ``lendflow.plans.oracle``.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendflow import params as P
-from lendflow.functions.metrics import amortised_repayment, flat_metrics, with_metrics
+from lendflow.functions.metrics import amortised_repayment, flat_metrics, register_sql_functions, with_metrics
 from lendflow.functions.text import mask_pii
 from lendflow.operators import (chunking, dashboard, decisions, guard, ledger, memo, policy, portfolio, privacy,
                                 retrieval)
 from lendflow.operators.knn import knn
 from lendflow.operators.lexical import lexical_topk
 from lendflow.operators.lsh import lsh_knn
-from lendflow.session import materialize, numbered
+from lendflow.session import checkpoint_dir, materialize, numbered
 from lendflow.sources import derived as D
-from lendflow.sources.payloads import quarantine as split_quarantine, with_notes_default
+from lendflow.sources.payloads import quarantine as split_quarantine, split_duplicates, with_notes_default
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -165,6 +166,43 @@ def directory_mismatch(spark, sf_dir):
         "application_id", "applicant_name", "real_name")
 
 
+@query("submission_split")
+def submission_split(spark, sf_dir):
+    """S4 + Z2 (batch form): where every submitted payload goes - the ledger, or the rejects and why."""
+    valid, rejected = split_quarantine(D.submissions(spark, sf_dir))
+    first, repeated = split_duplicates(valid)
+    out = first.withColumn("outcome", F.lit("ledger")).select("application_id", "requested_loan_amount", "outcome")
+    for side in (rejected, repeated):
+        out = out.unionByName(side.select("application_id", "requested_loan_amount",
+                                          F.array_join("reject_reasons", ",").alias("outcome")))
+    return out.withColumn("requested_loan_amount", F.col("requested_loan_amount").cast("double"))
+
+
+@query("ledger_round_trip")
+def ledger_round_trip(spark, sf_dir):
+    """K1 + K2 + U2: a run's ledger rows written to an own ledger, written again (a retry) and read back."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/ledgers/{uuid.uuid4().hex}"
+    ledger.ensure_ledger(spark, path)
+    rows = ledger.audit_rows(policy.with_outcome(assessed(spark, sf_dir)), RUN_TS).orderBy("application_id")
+    for _ in range(2):
+        back = ledger.append(rows, path, run=7)
+    return back.select("event_id", *LEDGER_OUT[1:])
+
+
+@query("sql_functions")
+def sql_functions(spark, sf_dir):
+    """The calculators called by name from SQL."""
+    register_sql_functions(spark)
+    D.applications(spark, sf_dir).createOrReplaceTempView("d1_applications")
+    return spark.sql("""
+        SELECT application_id,
+               dti_of(gross_annual_income, requested_loan_amount, existing_debts_monthly) AS dti,
+               dti_status_of(gross_annual_income, requested_loan_amount, existing_debts_monthly) AS dti_status,
+               CAST(applicable_expense_of(declared_living_expenses, cdr_verified_expenses_monthly) AS DOUBLE) AS expense,
+               round(repayment_of(requested_loan_amount, base_interest_rate, 360), 2) AS repayment
+        FROM d1_applications""")
+
+
 # --- ledger --------------------------------------------------------------------------------------
 @query("ledger_latest")
 def ledger_latest(spark, sf_dir):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lendflow import params as P
 from lendflow.functions.metrics import exact_cents
-from lendflow.sources.schemas import MONEY, RATE
+from lendflow.sources.schemas import APP_SCHEMA, MONEY, RATE
 from lendflow.sources.tables import read_table
 
 APP_PREFIX = "APP-"
@@ -93,6 +93,19 @@ def dirty_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
+APP_FIELDS = tuple(APP_SCHEMA.names)
+
+
+def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads as they arrive: the defective applications, every fiftieth sent again unchanged and
+    every sixtieth again with another loan amount (Z2)."""
+    apps = dirty_applications(spark, sf_dir).select(*APP_FIELDS)
+    k = F.substring(F.col("application_id"), len(APP_PREFIX) + 1, 20).cast("long")
+    changed = apps.filter(k % 60 == 0).withColumn(
+        "requested_loan_amount", (F.col("requested_loan_amount") + 1).cast(MONEY))
+    return apps.unionByName(apps.filter(k % 50 == 0)).unionByName(changed)
+
+
 # --- ledger and decisions ------------------------------------------------------------------------
 # How an event type stands for a ledger decision.
 EVENT_DECISIONS = (
