@@ -110,6 +110,10 @@ def occurrences(docs: DataFrame, scheme: Scheme) -> DataFrame:
             gram, ctx, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((place, doc, ctx, gram))
             gram, ctx, doc, place = gram[order], ctx[order], doc[order], place[order]
+            if scheme.across:                              # a document counts once, wherever it repeats itself
+                own = np.ones(len(gram), dtype=bool)
+                own[1:] = (gram[1:] != gram[:-1]) | (ctx[1:] != ctx[:-1]) | (doc[1:] != doc[:-1])
+                gram, ctx, doc, place = gram[own], ctx[own], doc[own], place[own]
             _, _, copy = _earlier_copies(gram, ctx, doc, place, scheme.across)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(gram.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(doc), pa.array(place),
@@ -162,6 +166,10 @@ def classified(found: DataFrame, scheme: Scheme) -> DataFrame:
     return dealt.mapInArrow(run, "doc long, place long, kind int, gram long, ctx long")
 
 
+def pair_keys(gram: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+    return mix64(mix64(gram) ^ ctx)
+
+
 def merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union of the stretches a to b, as maximal ones in order (touching ones join)."""
     if not len(a):
@@ -208,12 +216,23 @@ def marked_documents(docs: DataFrame, scheme: Scheme, finish: Callable) -> DataF
         place, kind, gram, ctx = (spot.field(k).to_numpy() for k in range(4))
         codes, first = scheme.symbols(np.frombuffer(body, dtype=np.uint8), np.array([0, len(body)]))
         total, down = sums(codes)
-        # A row that shares its id with another text has none of the other's anchors.
-        ok = (place >= 0) & (place + scheme.width <= len(codes))
-        place, kind, gram, ctx = place[ok], kind[ok], gram[ok], ctx[ok]
-        a, b = context(place, np.zeros_like(place), np.full_like(place, len(codes)), scheme)
-        ok = (digest(total, down, place, place + scheme.width).view(np.int64) == gram) & (
-            digest(total, down, a, b).view(np.int64) == ctx)
+        end = len(codes)
+        if scheme.across:                                  # every place of the document that has the context
+            at = anchors(total, down, first, scheme)
+            a, b = context(at, np.zeros_like(at), np.full_like(at, end), scheme)
+            known = pair_keys(gram.view(np.uint64), ctx.view(np.uint64))
+            here = pair_keys(digest(total, down, at, at + scheme.width), digest(total, down, a, b))
+            order = np.argsort(known)
+            found = np.minimum(np.searchsorted(known[order], here), len(known) - 1)
+            ok = known[order][found] == here
+            kind, gram = kind[order][found], gram[order][found]
+        else:
+            # A row that shares its id with another text has none of the other's anchors.
+            ok = (place >= 0) & (place + scheme.width <= end)
+            place, kind, gram, ctx = place[ok], kind[ok], gram[ok], ctx[ok]
+            a, b = context(place, np.zeros_like(place), np.full_like(place, end), scheme)
+            ok = (digest(total, down, place, place + scheme.width).view(np.int64) == gram) & (
+                digest(total, down, a, b).view(np.int64) == ctx)
         a, b, kind, gram = a[ok], b[ok], kind[ok], gram[ok]
         marks = merged(a[kind == MARK], b[kind == MARK])
         if (kind == CHECK).any():
