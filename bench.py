@@ -39,6 +39,8 @@ HEADLINE = (
     "stress_grid",            # X2
     "breach_mix",             # X3
     "retrieve_lexical",       # R5
+    "memo_prompts_lexical",   # P11 + P18 + J4 + R2 + R5 + P24
+    "copilot_prompts_lexical",  # P16 + P20 + J1 + R2 + R5 + P24
 )
 
 
@@ -55,7 +57,7 @@ def main() -> None:
                                  "spark.cleaner.periodicGC.interval": "1min"})
     qs = queries()
     names = only or [q for q in HEADLINE if q in qs]
-    times, rows = {}, {}
+    times, rows, spread = {}, {}, {}
     for name in names:
         runs = []
         for i in range(repeat + 1):
@@ -67,6 +69,7 @@ def main() -> None:
             if i:
                 runs.append(dt)
         times[name] = round(statistics.median(runs), 3)
+        spread[name] = [round(min(runs), 3), round(max(runs), 3)]
         rows[name] = qs[name](spark, sf_dir).count()
         # Release what this query left behind (cached blocks, Python-held plan references) so the
         # next query does not pay for it in GC: Spark's cleaner then drops old shuffles/broadcasts.
@@ -92,6 +95,7 @@ def main() -> None:
         "value": round(sum(times.values()), 3),
         "unit": "sec",
         "queries": times,
+        "spread": spread,
         "rows": rows,
         "throughput": thr,
         "sf": os.path.basename(sf_dir.rstrip("/")).replace("sf", ""),
