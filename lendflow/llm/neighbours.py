@@ -129,14 +129,13 @@ def search(table: DataFrame, every: int = 20, top: int = TOP, vec_id: str = "vec
     """
     spark = table.sparkSession
     rows = vectors(table, vec_id, embedding)
-    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()["vec"].to_pylist()
-    out = "query_id long, rank int, vec_id long, score double"
-    if not chosen:
-        return spark.createDataFrame([], out)
-    lengths = [len(v) for v in chosen]
-    dim = max(set(lengths), key=lengths.count)
+    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()["vec"].combine_chunks()
+    if not len(chosen):
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    lengths = chosen.value_lengths().to_numpy()
+    dim = int(np.bincount(lengths).argmax())
     half = (dim + 1) // 2
-    fit = np.array([v for v in chosen if len(v) == dim], dtype=np.float64)
+    fit = matrix(chosen.filter(pa.array(lengths == dim))).astype(np.float64)
     rows = rows.where(F.size("vec") == dim)
     total = rows.count()
     count = int(min(MOST_CENTROIDS, len(fit), max(2, 1 << round(np.log2(max(4.0, np.sqrt(total / 4)))))))
