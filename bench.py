@@ -39,8 +39,6 @@ HEADLINE = (
     "stress_grid",            # X2
     "breach_mix",             # X3
     "retrieve_lexical",       # R5
-    "memo_prompts_lexical",   # P11 + P18 + J4 + R2 + R5 + P24
-    "copilot_prompts_lexical",  # P16 + P20 + J1 + R2 + R5 + P24
 )
 
 
