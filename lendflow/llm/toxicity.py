@@ -29,7 +29,7 @@ from lendflow.llm.common import mix64, text_slices, word_prefix_hashes, word_spa
 from lendflow.llm.near_dedup import shingle_sets
 
 PER_CLASS = 600                      # toxic documents in the training sample (and twice as many clean)
-SAMPLE_BYTES = 1 << 23               # text bytes of the training sample, at most
+SAMPLE_BYTES = 1 << 23               # text bytes of the training sample, at most; a third is for toxic ones
 BITS = 20
 PREFIXES = (4, 5, 6)                 # bytes; 0 (the whole word) is always there
 CHUNK = 64                           # words handled in one step of the chain's recursion
@@ -244,8 +244,9 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS))
 
 
-def _in_hash_order() -> WindowSpec:
-    return Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+def _shortest_first() -> WindowSpec:
+    own = Window.partitionBy(F.col("y") == 1).orderBy("size", "h", "doc_id")
+    return own.rowsBetween(Window.unboundedPreceding, 0)
 
 
 def distinct_rows(table: pa.Table, width: int = 5, tries: int = 8) -> np.ndarray:
@@ -268,8 +269,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     """Train on a bounded sample of the labelled documents whose id's remainder is not the held-out one.
 
     The sample is the first ``per_class`` toxic and ``2 * per_class`` clean labelled ids in the order
-    of a hash, cut where their texts pass ``sample_bytes``; it alone reaches the driver.  Null labels
-    are no labels.  Without a toxic or without a clean document every score is the share of toxic labels.
+    of a hash; it alone reaches the driver.  A third of ``sample_bytes`` is for the texts of the toxic
+    ones and the rest for the clean ones; of a class that needs more, only its longest texts are left out.
+    Null labels are no labels.  If all labels are of one class, or ``docs`` is empty, every score is the
+    share of toxic ones in the sample; if both classes have labels but one has no text in the sample, there
+    is no model (ValueError).
     """
     rows = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("y")).where(
         F.col("y").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
@@ -280,11 +284,17 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
               .unionByName(rows.where("y <> 1").orderBy(*order).limit(2 * per_class)))
     found = (docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body"))
              .join(F.broadcast(chosen), "doc_id")           # at most 3 * per_class ids
-             .select("body", F.octet_length("body").alias("size"), "y", F.xxhash64("doc_id").alias("h"), "doc_id"))
-    upto = F.sum(F.coalesce("size", F.lit(0))).over(_in_hash_order())
-    sample = found.withColumn("upto", upto).where(F.col("upto") <= sample_bytes).select("h", "body", "y").toArrow()
+             .select("body", F.coalesce(F.octet_length("body"), F.lit(0)).alias("size"), "y",
+                     F.xxhash64("doc_id").alias("h"), "doc_id"))
+    room = F.when(F.col("y") == 1, F.lit(sample_bytes // 3)).otherwise(F.lit(sample_bytes - sample_bytes // 3))
+    sample = (found.withColumn("upto", F.sum("size").over(_shortest_first())).where(F.col("upto") <= room)
+              .select("h", "doc_id", "body", "y").toArrow()
+              .sort_by([("h", "ascending"), ("doc_id", "ascending")]).drop_columns("doc_id"))
     y = np.asarray(sample["y"].to_pylist()) == 1
     if y.all() or not y.any():
+        if len(n_all) == 2 and not docs.isEmpty():
+            raise ValueError(f"labels of both classes, but the training sample has {int(y.sum())} toxic and "
+                             f"{int((~y).sum())} clean documents (texts missing or over {sample_bytes} bytes)")
         return Model(np.zeros(1), np.zeros((2, 2)), constant=float(y.mean()) if len(y) else 0.0)
     own = distinct_rows(sample.select(["body"]))            # copies would pass for repeated evidence
     sample, y = sample.filter(pa.array(own)), y[own]

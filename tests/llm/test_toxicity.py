@@ -111,3 +111,24 @@ def test_without_labels(spark, docs, empty):
     for m, want in ((none, 0.0), (clean, 0.0), (toxic, 1.0)):
         assert {r.p for r in toxicity.score(docs, m, out="p").collect()} == {want}
     assert toxicity.fit(empty, spark.createDataFrame([(1, 1)], schema)).constant == 0.0
+
+
+def test_a_long_text_costs_the_sample_only_itself(spark):
+    rows, labels = labelled()
+    schema, budget = "doc_id long, toxic int", 600_000
+    want = toxicity.fit(frame(spark, rows), spark.createDataFrame(labels, schema))
+    ids = spark.range(10 ** 6, 10 ** 6 + 4000).where(toxicity.fold(F.col("id")) != 0)
+    first = ids.orderBy(F.xxhash64("id")).first().id       # before the other ids in the order of the hash
+    for y in (0, 1):
+        more = spark.createDataFrame([*labels, (first, y)], schema)
+        got = toxicity.fit(frame(spark, [*rows, (first, "long " * budget, None, None)]), more, sample_bytes=budget)
+        assert got.constant is None and (got.weights == want.weights).all()
+
+
+def test_both_classes_labelled_but_no_sample_is_an_error(spark):
+    rows, labels = labelled(60)
+    df = spark.createDataFrame(labels, "doc_id long, toxic int")
+    with pytest.raises(ValueError, match="both classes"):
+        toxicity.fit(frame(spark, rows), df, sample_bytes=10)
+    with pytest.raises(ValueError, match="both classes"):
+        toxicity.fit(frame(spark, [(d + 10 ** 6, t, None, None) for d, t, *_ in rows]), df)
