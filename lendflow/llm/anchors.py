@@ -9,7 +9,10 @@ once occurs once.  An anchor's context is the stretch of all runs that hold it.
   are told apart by 64-bit digests of the gram and of the context, first among a task's own rows, so
   thousands of copies reach the shuffle as one row per batch.
 * What remains are anchors with several different contexts.  Only these contexts, one each, are handed
-  to the search for partial repeats (`sharded_contexts`).
+  to the search for partial repeats (`removed`).
+* A gram whose contexts alone would overfill a shard is not searched in one task: every run around it is
+  told apart by two 64-bit digests, and runs meet in an aggregate that keeps the earliest of equal ones
+  (`crowded_repeats`).
 """
 
 from __future__ import annotations
@@ -246,24 +249,91 @@ def marked_documents(docs: DataFrame, scheme: Scheme, finish: Callable) -> DataF
     return stored(joined.mapInArrow(run, schema), "repeat-documents")
 
 
-def removed(marked: DataFrame, scheme: Scheme, search: Callable, finish: Callable, symbol_bytes: int,
-            shard_bytes: int) -> DataFrame:
+def context_bytes(open_docs: DataFrame, finish: Callable, most: int) -> tuple[int, np.ndarray]:
+    """Bytes of all contexts to search, and in order the grams with more than ``most`` bytes of them (so
+    at most one for every ``most`` bytes)."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                grams, sizes = [], []
+                for body, checks in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns), strict=True):
+                    gram, a, b = np.frombuffer(checks, dtype=np.int64).reshape(-1, 3).T
+                    grams.append(gram)
+                    sizes += map(len, finish.cut(body, a, b))
+                gram, which = np.unique(np.concatenate(grams), return_inverse=True)
+                size = np.bincount(which, sizes).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(size)], names=["gram", "size"])
+
+    sizes = open_docs.select("body", "checks").mapInArrow(count, "gram long, size long").groupBy("gram").agg(
+        F.sum("size").alias("size"))
+    total, hot = sizes.agg(F.sum("size"), F.collect_list(F.when(F.col("size") > most, F.col("gram")))).first()
+    return total or 0, np.sort(np.array(hot, dtype=np.int64))
+
+
+def crowded_repeats(open_docs: DataFrame, scheme: Scheme, hot: np.ndarray) -> DataFrame:
+    """(doc_id, found) of the runs around the grams ``hot`` that an earlier run equals.
+
+    Equal runs share an anchor, so all of them are here.  No task holds a gram's runs: the earliest of
+    equal ones is an aggregate, and it is joined back.
+    """
+    span = scheme.span
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                body = batch.column(1)[i].as_py()
+                gram, a, b = np.frombuffer(batch.column(2)[i].as_py(), dtype=np.int64).reshape(-1, 3).T
+                ours = np.isin(gram, hot)
+                if not ours.any():
+                    continue
+                a, b = merged(a[ours], b[ours] - span + 1)             # where the runs start
+                at = np.concatenate([np.arange(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+                codes, _ = scheme.symbols(np.frombuffer(body, dtype=np.uint8), np.array([0, len(body)]))
+                keys = [digest(*sums(c), at, at + span).view(np.int64) for c in (codes, mix64(codes + np.uint64(1)))]
+                yield pa.RecordBatch.from_arrays(
+                    [*map(pa.array, keys), pa.array(np.full(len(at), batch.column(0)[i].as_py())), pa.array(at)],
+                    names=["run", "proof", "doc", "place"])
+
+    found = stored(open_docs.select("doc_id", "body", "checks").mapInArrow(
+        runs, "run long, proof long, doc long, place long"), "crowded-runs")
+    own = F.struct("doc") if scheme.across else F.struct("doc", "place")
+    earliest = (found.groupBy("run", "proof").agg(F.min(own).alias("least"), F.max(own).alias("most"))
+                .where("least < most").select("run", "proof", "least"))
+    later = found.join(earliest, ["run", "proof"]).where(own > F.col("least"))
+    per_doc = later.groupBy("doc").agg(F.collect_set("place").alias("places"))       # bounded by the text
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i in range(batch.num_rows):
+                at = batch.column(1)[i].values.to_numpy()
+                rows.append(packed(np.stack(merged(at, at + span), axis=1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, type=pa.binary())],
+                                             names=["doc_id", "found"])
+
+    return per_doc.mapInArrow(pack, "doc_id long, found binary")
+
+
+def removed(marked: DataFrame, scheme: Scheme, search: Callable, finish: Callable, shard_bytes: int) -> DataFrame:
     """Finish the documents that still have contexts to search.
 
     Contexts are dealt to shards by their gram, so all that can hold a common run around it meet;
-    a shard holds about ``shard_bytes`` of them.  ``cut(body, a, b)`` gives a context's
-    bytes; ``search(contexts)`` takes (doc, place, bytes) columns of a shard and gives (doc, from, to).
+    a shard holds about ``shard_bytes`` of them, and grams with more than that are left to
+    `crowded_repeats`.  ``cut(body, a, b)`` gives a context's bytes; ``search(contexts)`` takes
+    (doc, place, bytes) columns of a shard and gives (doc, from, to).
     """
     open_docs = marked.where("checks is not null")
-    per_context = (2 * scheme.span - scheme.width) * symbol_bytes
-    (size,) = open_docs.agg(F.sum(F.octet_length("checks") / 24)).first()
-    shards = max(1, -(-int((size or 0) * per_context) // shard_bytes))
+    size, hot = context_bytes(open_docs, finish, shard_bytes)
+    shards = max(1, -(-size // shard_bytes))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 body = batch.column(1)[i].as_py()
                 gram, a, b = np.frombuffer(batch.column(2)[i].as_py(), dtype=np.int64).reshape(-1, 3).T
+                if len(hot):
+                    rest = ~np.isin(gram, hot)
+                    gram, a, b = gram[rest], a[rest], b[rest]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(gram.view(np.uint64) % np.uint64(shards), type=pa.uint64()).cast(pa.int64()),
                      pa.array(np.full(len(a), batch.column(0)[i].as_py())), pa.array(a),
@@ -280,8 +350,10 @@ def removed(marked: DataFrame, scheme: Scheme, search: Callable, finish: Callabl
 
     dealt = open_docs.select("doc_id", "body", "checks").mapInArrow(
         contexts, "shard long, doc long, place long, body binary")
-    found = (dealt.groupBy("shard").applyInArrow(run, "doc_id long, found binary")
-             .groupBy("doc_id").agg(F.collect_list("found").alias("found")))       # bounded by the text
+    found = dealt.groupBy("shard").applyInArrow(run, "doc_id long, found binary")
+    if len(hot):
+        found = found.unionByName(crowded_repeats(open_docs, scheme, hot))
+    found = found.groupBy("doc_id").agg(F.collect_list("found").alias("found"))       # bounded by the text
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

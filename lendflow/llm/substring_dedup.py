@@ -22,7 +22,6 @@ from lendflow.llm.common import word_hashes, word_spans
 
 SPAN = 50                            # words of a repeat
 WIDTH = 12                           # words of an anchor's gram
-WORD_BYTES = 7                       # of a context, about
 SHARD_BYTES = 2 << 20
 QUERIES = 1 << 17                    # windows searched at once
 
@@ -195,4 +194,4 @@ def remove_repeated_words(docs: DataFrame, text: str = "text", doc_id: str = "do
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("body"))
     finish = Words()
     marked = marked_documents(named, scheme, finish)
-    return removed(marked, scheme, lambda d, p, b: repeats(d, p, b, span), finish, WORD_BYTES, shard_bytes)
+    return removed(marked, scheme, lambda d, p, b: repeats(d, p, b, span), finish, shard_bytes)

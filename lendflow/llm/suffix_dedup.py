@@ -276,4 +276,4 @@ def remove_repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "do
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("body"))
     finish = Bytes()
     marked = marked_documents(named, scheme, finish)
-    return removed(marked, scheme, lambda d, p, b: repeats(d, p, b, span), finish, 1, shard_bytes)
+    return removed(marked, scheme, lambda d, p, b: repeats(d, p, b, span), finish, shard_bytes)

@@ -6,7 +6,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lendflow.llm import substring_dedup, suffix_dedup
+from pyspark.sql import functions as F
+
+from lendflow.llm import anchors, substring_dedup, suffix_dedup
 from tests.llm.conftest import frame
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -92,6 +94,27 @@ def test_hot_passage(spark):
     assert run(frame(spark, rows), False) == brute(rows, 100, False)
 
 
+@pytest.mark.parametrize("words", [True, False])
+def test_contexts_of_a_hot_gram_do_not_meet_in_one_task(spark, words):
+    rnd = random.Random(3)
+    passage, sides = " ".join("p%d" % i for i in range(80)), ["s%d t%d u%d" % (i, i, i) for i in range(5)]
+    rows = [(i, " ".join("u%d" % rnd.randrange(10 ** 9) for _ in range(40)) + " " + rnd.choice(sides) + " " + passage + " "
+             + rnd.choice(sides) + " tail%d " % i + ("" if i % 7 else passage), None, None) for i in range(500)]
+    span, width, most = (50, 12, 20_000) if words else (100, 40, 8_000)
+    module = substring_dedup if words else suffix_dedup
+
+    def search(doc, place, bodies):
+        assert sum(map(len, bodies)) < 4 * most
+        return module.repeats(doc, place, bodies, span)
+    scheme = anchors.Scheme(span, width, words, substring_dedup.word_codes if words else suffix_dedup.byte_codes)
+    finish = substring_dedup.Words() if words else suffix_dedup.Bytes()
+    named = frame(spark, rows).select("doc_id", F.col("text").alias("body"))
+    marked = anchors.marked_documents(named, scheme, finish)
+    _, hot = anchors.context_bytes(marked.where("checks is not null"), finish, most)
+    got = anchors.removed(marked, scheme, search, finish, most)
+    assert len(hot) and Counter(tuple(r) for r in got.collect()) == brute(rows, span, words)
+
+
 # --- the parts ---------------------------------------------------------------------------------------
 def test_induced_order_and_common_prefixes():
     rnd = np.random.default_rng(0)
