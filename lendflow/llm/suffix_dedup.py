@@ -108,10 +108,10 @@ class Induction:
         if len(seeds) < 2:
             return seeds
         first = seeds[np.argsort(self.text[seeds], kind="stable")]
-        order = np.concatenate([at for at, _ in self.scan(first, None)])[::-1]
         is_seed = np.zeros(len(self.text), dtype=bool)
         is_seed[seeds] = True
-        order = order[is_seed[order]]                       # by substrings up to the next seed
+        # By substrings up to the next seed.
+        order = np.concatenate([at[is_seed[at]] for at, _ in self.scan(first, None)])[::-1]
         follow = np.full(len(self.text), len(self.text) - 1)
         follow[seeds[:-1]] = seeds[1:]
         size = follow[order] - order + 1
@@ -208,6 +208,27 @@ class Induction:
                 least[to[a]] = tail[pick[b - 1] + 1]
 
 
+def whole_groups(blocks: Iterator[tuple[np.ndarray, np.ndarray]],
+                 span: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(suffix, group) of the ordered blocks in pieces of about ``BLOCK`` entries; a group of suffixes with
+    a common prefix of ``span`` is in one piece."""
+    held, size = [], 0
+    for at, lcp in blocks:
+        new = lcp < span
+        size += len(at)
+        starts = np.flatnonzero(new) if size >= BLOCK else new[:0]
+        if len(starts):
+            cut = int(starts[-1])
+            piece, heads = (np.concatenate(x) for x in zip(*held, (at[:cut], new[:cut]), strict=True))
+            if len(piece):
+                yield piece, np.cumsum(heads) - 1
+            at, new, held = at[cut:], new[cut:], []
+            size = len(at)
+        held.append((at, new))
+    piece, heads = (np.concatenate(x) for x in zip(*held, strict=True))
+    yield piece, np.cumsum(heads) - 1
+
+
 def repeats(doc: np.ndarray, place: np.ndarray, bodies: list[bytes], span: int = SPAN,
             budget: int = QUEUE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc, from, to) of every ``span``-byte string in the contexts that an earlier one (smaller doc, or
@@ -218,24 +239,22 @@ def repeats(doc: np.ndarray, place: np.ndarray, bodies: list[bytes], span: int =
     text[-1] = _END
     for a, body in zip(first.tolist(), bodies, strict=False):
         text[a:a + len(body)] = np.frombuffer(body, dtype=np.uint8).astype(np.int16) + 2
-    found, count = [], 0
-    for at, lcp in Induction(text, 258, span, budget).blocks():
-        group = count + np.cumsum(lcp < span)
-        count = int(group[-1])
-        found.append((at, group))
-    at, group = (np.concatenate(x) for x in zip(*found, strict=True))
-    row = np.searchsorted(first, at, side="right") - 1
-    row = np.minimum(row, len(size) - 1)
-    ok = at + span <= first[row] + size[row]                # whole strings of one context
-    ok &= np.bincount(group[ok], minlength=count + 1)[group] > 1
-    at, group, row = at[ok], group[ok], row[ok]
-    who, where = doc[row], place[row] + at - first[row]
-    order = np.lexsort((where, who, group))
-    who, where, group = who[order], where[order], group[order]
-    head = np.maximum.accumulate(np.where(np.append(True, group[1:] != group[:-1])[:len(group)],
-                                          np.arange(len(group)), 0))
-    later = (who != who[head]) | (where != where[head])
-    return who[later], where[later], where[later] + span
+    found = []
+    for at, group in whole_groups(Induction(text, 258, span, budget).blocks(), span):
+        row = np.searchsorted(first, at, side="right") - 1
+        row = np.minimum(row, len(size) - 1)
+        ok = at + span <= first[row] + size[row]            # whole strings of one context
+        ok &= np.bincount(group[ok], minlength=int(group[-1]) + 1)[group] > 1
+        at, group, row = at[ok], group[ok], row[ok]
+        who, where = doc[row], place[row] + at - first[row]
+        order = np.lexsort((where, who, group))
+        who, where, group = who[order], where[order], group[order]
+        head = np.maximum.accumulate(np.where(np.append(True, group[1:] != group[:-1])[:len(group)],
+                                              np.arange(len(group)), 0))
+        later = (who != who[head]) | (where != where[head])
+        found.append((who[later], where[later]))
+    who, where = (np.concatenate(x) for x in zip(*found, strict=True))
+    return who, where, where + span
 
 
 def byte_codes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -145,3 +145,28 @@ def test_index_finds_all_occurrences():
         for e, m, a, b in zip(end.tolist(), matched.tolist(), low.tolist(), high.tolist(), strict=True):
             want = [i for i in range(len(t)) if t[i:i + m] == t[e - m:e]]
             assert sorted(index.order[a:b].tolist()) == want and (m == length or len(want) == 1)
+
+
+def test_groups_are_found_block_by_block(monkeypatch):
+    rnd = random.Random(5)
+    bodies = [bytes(rnd.choice(b"ab") for _ in range(rnd.randint(6, 60))) for _ in range(40)] + [b"a" * 50]
+    doc, place, seen, want = np.arange(len(bodies)), np.zeros(len(bodies), np.int64), set(), set()
+    for d, body in enumerate(bodies):
+        for i in range(len(body) - 5):
+            if body[i:i + 6] in seen:
+                want.add((d, i, i + 6))
+            seen.add(body[i:i + 6])
+    sizes, groups = [], suffix_dedup.whole_groups
+
+    def spied(blocks, span):
+        for at, group in groups(blocks, span):
+            sizes.append((len(at), int(np.bincount(group).max())))
+            yield at, group
+    monkeypatch.setattr(suffix_dedup, "whole_groups", spied)
+    for block in (1, 7, 100, 1 << 20):
+        monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+        sizes.clear()
+        got = list(zip(*(x.tolist() for x in suffix_dedup.repeats(doc, place, bodies, 6)), strict=True))
+        assert len(got) == len(set(got)) and set(got) == want
+        assert sum(n for n, _ in sizes) == sum(map(len, bodies)) + len(bodies) + 1
+        assert len(sizes) > 20 or block > 7
