@@ -249,19 +249,32 @@ def _shortest_first() -> WindowSpec:
     return own.rowsBetween(Window.unboundedPreceding, 0)
 
 
-def distinct_rows(table: pa.Table, width: int = 5, tries: int = 8) -> np.ndarray:
-    """Which rows are no near copies of an earlier one: none of ``tries`` smallest shingle hashes is
-    shared with it."""
-    keep, seen = [], [set() for _ in range(tries)]
+SIMILARITY = 0.8                     # of shingle sets, from which on a row is a near copy
+
+
+def distinct_rows(table: pa.Table, width: int = 5, similarity: float = SIMILARITY) -> np.ndarray:
+    """Which rows are no near copies of an earlier kept one: the Jaccard similarity of their shingle sets
+    is less than ``similarity`` (exact; the table is the training sample)."""
+    sets = []
     for batch in table.combine_chunks().to_batches():
-        for lo, hi, raw, offsets in text_slices(batch, "body"):
+        for _, _, raw, offsets in text_slices(batch, "body"):
             h, at = shingle_sets(raw, offsets, width, True)
-            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                least = [int(mix64(h[a:b] ^ np.uint64(7919 * k)).min()) for k in range(tries)] if b > a else []
-                keep.append(not any(x in s for x, s in zip(least, seen, strict=False)))
-                for x, s in zip(least, seen, strict=False):
-                    s.add(x)
-    return np.array(keep, dtype=bool)
+            sets += np.split(h, at[1:-1])
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    names, codes = np.unique(np.concatenate(sets), return_inverse=True) if sets else (size, size)
+    mine, kept = np.zeros(len(names), dtype=bool), np.zeros(len(codes), dtype=np.int64)
+    owner, keep, used, at = np.zeros(len(codes), dtype=np.int32), np.ones(len(sets), dtype=bool), 0, 0
+    for row, n in enumerate(size.tolist()):
+        own = codes[at:at + n]
+        at += n
+        mine[own] = True
+        both = np.bincount(owner[:used][mine[kept[:used]]], minlength=row)      # shingles shared with each row
+        mine[own] = False
+        keep[row] = not n or not (both >= similarity * (size[:row] + n - both))[both > 0].any()
+        if keep[row]:
+            kept[used:used + n], owner[used:used + n] = own, row
+            used += n
+    return keep
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic",

@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +133,28 @@ def test_both_classes_labelled_but_no_sample_is_an_error(spark):
         toxicity.fit(frame(spark, rows), df, sample_bytes=10)
     with pytest.raises(ValueError, match="both classes"):
         toxicity.fit(frame(spark, [(d + 10 ** 6, t, None, None) for d, t, *_ in rows]), df)
+
+
+def test_only_near_copies_leave_the_sample():
+    rnd = random.Random(4)
+    words = ["w%d" % i for i in range(5000)]
+    notice, rows = [rnd.choice(words) for _ in range(30)], [None, "", None]
+    for i in range(120):
+        text = [rnd.choice(words) for _ in range(70)] + notice                  # one notice in all
+        rows.append(" ".join(text))
+        if i % 4 == 0:
+            text[rnd.randrange(5, 60)] = "changed"                              # 91 of 101 shingles in common
+            rows.append(" ".join(text).upper())
+        if i % 4 == 1:
+            for k in range(3, 70, 8):
+                text[k] = "changed%d" % k
+            rows.append(" ".join(text))
+    sets = [{tuple((r or "").lower().split()[i:i + 5]) for i in range(len((r or "").split()) - 4)} for r in rows]
+    want, kept = [], []
+    for s in sets:
+        want.append(not s or not any(len(s & k) >= 0.8 * len(s | k) for k in kept))
+        if s and want[-1]:
+            kept.append(s)
+    got = toxicity.distinct_rows(pa.table({"body": pa.array(rows)}))
+    assert got.tolist() == want and sum(want) == 3 + 120 + 30
+    assert not len(toxicity.distinct_rows(pa.table({"body": pa.array([], type=pa.string())})))
