@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendflow.llm import (archives, exact_dedup, license_scan, mixing, near_dedup, neighbours, oracle, packing,
-                          substring_dedup, suffix_dedup, toxicity)
+                          periodic_runs, substring_dedup, suffix_dedup, toxicity)
 from lendflow.sources.tables import read_table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +79,18 @@ def op10_archives(spark, sf_dir):
     return archives.round_trip(read_table(spark, sf_dir, "pages"))
 
 
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark, sf_dir):
+    docs = periodic_runs.with_cycles(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    found = periodic_runs.find_runs(docs).withColumn("best", periodic_runs.strongest())
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listing = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listing, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(REGISTRY)
 
