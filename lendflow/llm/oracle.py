@@ -60,3 +60,39 @@ SELECT page_id, n AS payload_bytes, sha1(body) AS payload_digest,
        CASE WHEN n >= 1000 AND holder <> page_id THEN holder END AS refers_to
 FROM g
 """
+
+# Every phrase of one to five words is counted; a part's count is looked up by its text.
+SQL["op12_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+places AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM words),
+sized AS (SELECT *, unnest([1, 2, 3, 4, 5]) AS k FROM places),
+phrases AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM sized WHERE i + k - 1 <= len(ws)),
+counts AS (SELECT lang, k, phrase, count(*) AS f FROM phrases GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, f AS a FROM counts WHERE k >= 2 AND f >= 100),
+inner_phrases AS (
+  SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, a
+  FROM (SELECT *, unnest(range(2, k)) AS m FROM (SELECT *, unnest(range(1, k)) AS i FROM candidates)) WHERE i + m - 1 <= k),
+holders AS (SELECT lang, phrase, max(a) AS longer FROM inner_phrases GROUP BY ALL),
+parts AS (
+  SELECT lang, phrase, a, cut, array_to_string(ws[1:cut], ' ') AS front, array_to_string(ws[cut + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates)),
+cuts AS (
+  SELECT p.lang, p.phrase, p.a, cut, l.f AS l, r.f AS r, n,
+         (1000::HUGEINT * p.a * n) // (l.f::HUGEINT * r.f) AS score
+  FROM parts p JOIN counts l ON l.lang = p.lang AND l.phrase = p.front
+       JOIN counts r ON r.lang = p.lang AND r.phrase = p.rest JOIN totals t ON t.lang = p.lang),
+scored AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+ranked AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank
+  FROM scored s LEFT JOIN holders h ON h.lang = s.lang AND h.phrase = s.phrase
+  WHERE coalesce(longer, 0) < a)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""
