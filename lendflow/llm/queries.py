@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendflow.llm import (archives, collocations, exact_dedup, license_scan, mixing, near_dedup, neighbours, oracle, packing,
+from lendflow.llm import (archives, collocations, exact_dedup, fertility, license_scan, mixing, near_dedup, neighbours, oracle, packing,
                           periodic_runs, substring_dedup, suffix_dedup, toxicity)
 from lendflow.sources.tables import read_table
 
@@ -96,6 +96,11 @@ def op12_collocations(spark, sf_dir):
     return collocations.mine(read_table(spark, sf_dir, "documents", "text", "lang"))
 
 
+@query("op13_fertility")
+def op13_fertility(spark, sf_dir):
+    return fertility.quality(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(REGISTRY)
 
