@@ -21,11 +21,11 @@ from lendflow.sources.payloads import quarantine, read_applications, with_notes_
 
 
 def assess_applications(apps: DataFrame, p=P.DEFAULT_POLICY, index=None, completions: DataFrame | None = None,
-                        k: int = P.RETRIEVAL_K, knn_method: str = "exact") -> tuple[DataFrame, DataFrame]:
+                        k: int = P.RETRIEVAL_K) -> tuple[DataFrame, DataFrame]:
     """(outcome, rejected).
 
-    ``index``: optional (chunks, model) from ``retrieval.open_or_build_index``; breached rows then
-    get ``regulatory_citations`` (``knn_method`` "exact" or "lsh").  ``completions``: optional
+    ``index``: optional (chunks, index) from ``retrieval.open_or_build_index``; breached rows then
+    get ``regulatory_citations``.  ``completions``: optional
     completion table; breached rows then get ``ai_risk_memo`` (fallback text on failure)."""
     valid, rejected = quarantine(apps, p)
     out = policy.with_outcome(policy.assess(privacy.mask_applications(with_notes_default(valid)), p))
@@ -33,9 +33,9 @@ def assess_applications(apps: DataFrame, p=P.DEFAULT_POLICY, index=None, complet
     # Both attachments keep one output row per input row: citations join on the (distinct)
     # query text, null for clean files; completions join on the id (one completion per call).
     if index is not None:
-        chunks, model = index
+        chunks, found = index
         out = out.withColumn("query_text", F.when(breached, retrieval.query_text()))
-        out = retrieval.retrieve_for_texts(out, chunks, model, k=k, method=knn_method).drop("query_text")
+        out = retrieval.retrieve_for_texts(out, chunks, found, k=k).drop("query_text")
     if completions is not None:
         out = memo.attach_completions(out, completions, out="_memo")
         out = out.withColumns({

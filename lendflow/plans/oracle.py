@@ -593,6 +593,10 @@ FROM (SELECT doc_id AS page, text AS content,
       FROM documents)
 WHERE length(substring(content, CAST(i AS BIGINT) * {P.CHUNK_SIZE - P.CHUNK_OVERLAP} + 1, {P.CHUNK_SIZE})) > 0"""
 
+    corpus = "SELECT '/regulations/' || source || '.pdf' AS source, doc_id AS page, text AS content FROM documents"
+    q["chunks_recursive"] = "WITH " + recursive_chunks(corpus) + """
+SELECT page, CAST(chunk_no AS INTEGER) AS chunk_no, chunk FROM ch"""
+
     q["knn_exact"] = knn_sql(KNN_K, body="""
 SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbor_id, round(d, 6) AS distance FROM top""")
 
@@ -676,9 +680,78 @@ SELECT conv_id, turn, blocked,
   CASE WHEN blocked THEN {_q(P.SCOPE_REFUSAL)} END AS reply
 FROM ctx""")
 
+    # The same three flows over recursive chunks and cosine scores.
+    breach_texts = "SELECT okey AS id, array_to_string(policy_breaches, ' ') AS text FROM assessed WHERE len(breach_codes) > 0"
+    rc = recursive_chunks(corpus)
+    cos_memo = lexical_ctes("SELECT chunk_id AS id, chunk AS text FROM ch", breach_texts, P.RETRIEVAL_K, cosine=True)
+    q["retrieve_text"] = with_ctes(*ASSESSED, rc, cos_memo, memo_cites, body="""
+SELECT a.application_id, mc.regulatory_citations
+FROM assessed a LEFT JOIN mc ON a.okey = mc.qid WHERE len(a.breach_codes) > 0""")
+    summary = f"coalesce({mask_text('a.applicant_notes', 'a.applicant_name')}, {_q(P.DEFAULT_NOTES)})"
+    q["memo_prompts"] = with_ctes(*ASSESSED, COMPLETIONS, rc, cos_memo, memo_cites, body=f"""
+SELECT a.application_id, {render_sql(P.SUMMARY_PROMPT_TEMPLATE, {"notes": summary})} AS summary_prompt,
+       {_q(P.MEMO_SYSTEM_PROMPT)} AS system_prompt, {memo_prompt} AS memo_prompt
+FROM assessed a LEFT JOIN comp c ON a.application_id = c.application_id
+     LEFT JOIN mc ON a.okey = mc.qid
+WHERE len(a.breach_codes) > 0""")
+    cos = lexical_ctes("SELECT chunk_id AS id, chunk AS text FROM ch",
+                       "SELECT qid AS id, text FROM u WHERE NOT blocked", P.RETRIEVAL_K, cosine=True)
+    q["copilot_prompts"] = q["copilot_prompts_lexical"].replace(fixed_chunks, rc).replace(lx, cos)
     return q
 
 
+def recursive_chunks(corpus: str) -> str:
+    """CTE ``ch(chunk_id, source, page, chunk_no, chunk)``: the recursive splitter.  Each of the four separators is one
+    level: ``rc_n`` holds the texts a level splits, ``rc_p`` their pieces (the separator stays in front), pieces of full size
+    go on to the next level, and runs of smaller ones are merged.  ``path`` orders what comes from one page.  A merge steps
+    from chunk to chunk over the running lengths of its pieces: a chunk ends before the piece that would pass the size, and
+    the next one begins at the first piece from which no more than the overlap, and no more than fits beside that
+    piece, is left."""
+    size, overlap = P.CHUNK_SIZE, P.CHUNK_OVERLAP
+    seps = [" || ".join(f"chr({ord(c)})" for c in s) for s in P.CHUNK_SEPARATORS]
+    last = len(seps) - 1
+    levels = []
+    for j in range(len(seps)):
+        nodes = (f"SELECT source, page, CAST([] AS BIGINT[]) AS path, content AS body, 0 AS lev FROM ({corpus}) WHERE content <> ''"
+                 if j == 0 else f"SELECT source, page, list_append(path, i) AS path, piece AS body, si + 1 AS lev "
+                                f"FROM rc_p{j - 1} WHERE length(piece) >= {size} AND si < {last}")
+        which = " ".join(f"WHEN lev <= {n} AND contains(body, {s}) THEN {n}" for n, s in enumerate(seps))
+        sep = " ".join(f"WHEN {n} THEN {s}" for n, s in enumerate(seps))
+        levels.append(f"""
+rc_n{j} AS (SELECT *, CASE {which} ELSE {last + 1} END AS si FROM ({nodes})),
+rc_s{j} AS (SELECT source, page, path, si, CASE si {sep} ELSE {seps[last]} END AS sep,
+            string_split(body, CASE si {sep} ELSE {seps[last]} END) AS parts FROM rc_n{j}),
+rc_p{j} AS (SELECT source, page, path, si, i, CASE WHEN i = 1 THEN part ELSE sep || part END AS piece
+            FROM (SELECT *, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS i FROM rc_s{j})
+            WHERE i > 1 OR part <> ''),
+rc_r{j} AS (SELECT *, sum(CASE WHEN length(piece) >= {size} THEN 1 ELSE 0 END) OVER (PARTITION BY page, path ORDER BY i) AS grp
+            FROM rc_p{j}),
+rc_c{j} AS (SELECT *, CAST(sum(length(piece)) OVER (PARTITION BY page, path, grp ORDER BY i) AS BIGINT) AS upto
+            FROM rc_r{j} WHERE length(piece) < {size})""")
+    runs = " UNION ALL ".join(
+        f"SELECT source, page, list_append(path, min(i)) AS path, list(piece ORDER BY i) AS ps, "
+        f"list_prepend(0, list(upto ORDER BY i)) AS pl FROM rc_c{j} GROUP BY source, page, path, grp" for j in range(len(seps)))
+    whole = " UNION ALL ".join(
+        f"SELECT source, page, list_append(path, i) AS path, 0 AS step, piece AS chunk FROM rc_p{j} "
+        f"WHERE length(piece) >= {size} AND si >= {last}" for j in range(len(seps)))
+    chunk = strip("array_to_string(ps[s + 1:e], '')")
+    end = f"len(list_filter(pl, lambda x: x <= pl[{{}} + 1] + {size})) - 1"
+    begin = f"greatest(s, len(list_filter(pl, lambda x: x < pl[e + 1] - least({overlap}, {size} - (pl[e + 2] - pl[e + 1])))))"
+    return ",".join(levels) + f""",
+rc_runs AS ({runs}),
+rc_steps AS (
+  WITH RECURSIVE r AS (
+    SELECT source, page, path, ps, pl, 0 AS step, CAST(0 AS BIGINT) AS s, CAST({end.format(0)} AS BIGINT) AS e FROM rc_runs
+    UNION ALL
+    SELECT source, page, path, ps, pl, step + 1, b, CAST({end.format('b')} AS BIGINT)
+    FROM (SELECT *, CAST(least(e, {begin}) AS BIGINT) AS b FROM r WHERE e < len(ps)))
+  SELECT * FROM r),
+ch AS (
+  SELECT row_number() OVER (ORDER BY source NULLS FIRST, page, path, step) AS chunk_id, source, page,
+         row_number() OVER (PARTITION BY page ORDER BY path, step) - 1 AS chunk_no, chunk
+  FROM (SELECT source, page, path, step, {chunk} AS chunk FROM rc_steps UNION ALL {whole}) WHERE chunk <> '')"""
+
+
 def citations_cte(name: str) -> str:
     """CTE ``name(qid, regulatory_citations)``: the ``lx_top`` hits over chunks ``ch`` rendered as
     citation blocks in rank order, joined by a newline."""
@@ -692,19 +765,24 @@ def citations_cte(name: str) -> str:
   FROM lx_top t JOIN ch ON t.neighbor_id = ch.chunk_id GROUP BY t.query_id)"""
 
 
-def lexical_ctes(docs: str, queries: str, k: int) -> str:
+def lexical_ctes(docs: str, queries: str, k: int, cosine: bool = False) -> str:
     """CTEs ending in ``lx_top(query_id, rank, neighbor_id, score)``: TF-IDF dot products of
     lower-cased terms split on non-letters/digits, idf = ln(N / df), score rounded to 6 places,
-    ranked by score then id.  ``docs`` / ``queries`` are subqueries yielding (id, text)."""
+    ranked by score then id.  ``cosine``: idf = ln((N + 1) / (df + 1)), and documents of unit length.
+    ``docs`` / ``queries`` are subqueries yielding (id, text)."""
     split = "'[^\\pL\\pN]+'"
+    n = "(SELECT n FROM lx_n)"
+    idf = f"ln(({n} + 1) / (CAST(count(*) AS DOUBLE) + 1))" if cosine else f"ln({n} / CAST(count(*) AS DOUBLE))"
+    length = "sqrt(sum(CAST(tf AS DOUBLE) * idf * CAST(tf AS DOUBLE) * idf) OVER (PARTITION BY id))"
+    weight = f"CAST(tf AS DOUBLE) * idf / nullif({length}, 0)" if cosine else "CAST(tf AS DOUBLE) * idf"
     return f"""
 lx_d AS ({docs}),
 lx_q AS ({queries}),
 lx_dt AS (SELECT id, unnest(regexp_split_to_array(lower(text), {split})) AS term FROM lx_d),
 lx_dtf AS (SELECT id, term, count(*) AS tf FROM lx_dt WHERE term <> '' GROUP BY ALL),
 lx_n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM lx_d),
-lx_idf AS (SELECT term, ln((SELECT n FROM lx_n) / CAST(count(*) AS DOUBLE)) AS idf FROM lx_dtf GROUP BY term),
-lx_dw AS (SELECT id, lx_dtf.term, CAST(tf AS DOUBLE) * idf AS w FROM lx_dtf JOIN lx_idf ON lx_dtf.term = lx_idf.term),
+lx_idf AS (SELECT term, {idf} AS idf FROM lx_dtf GROUP BY term),
+lx_dw AS (SELECT id, lx_dtf.term, {weight} AS w FROM lx_dtf JOIN lx_idf ON lx_dtf.term = lx_idf.term),
 lx_qt AS (SELECT id, unnest(regexp_split_to_array(lower(text), {split})) AS term FROM lx_q),
 lx_qtf AS (SELECT id, term, count(*) AS tf FROM lx_qt WHERE term <> '' GROUP BY ALL),
 lx_qw AS (SELECT id, lx_qtf.term, CAST(tf AS DOUBLE) * idf AS w FROM lx_qtf JOIN lx_idf ON lx_qtf.term = lx_idf.term),

@@ -396,7 +396,7 @@ def chunks_fixed(spark, sf_dir):
 
 @query("chunks_recursive")
 def chunks_recursive(spark, sf_dir):
-    """Recursive-separator chunks of every corpus page (Arrow UDF; rows-only check)."""
+    """Recursive-separator chunks of every corpus page (Arrow UDF)."""
     c = chunking.chunk_recursive(D.corpus(spark, sf_dir))
     return c.select("page", "chunk_no", "chunk")
 
@@ -435,11 +435,11 @@ def citations(spark, sf_dir):
 @query("retrieve_text")
 def retrieve_text(spark, sf_dir):
     """R3 + R4 + P11: every breached application's breach text retrieves its 2 best corpus
-    chunks (recursive chunks, TF-IDF vectors, exact k-NN) as citation text (rows-only check)."""
+    chunks (recursive chunks, TF-IDF cosine over an inverted index) as citation text."""
     _, breached = policy.route(assessed(spark, sf_dir))
     q = breached.select("application_id", retrieval.query_text().alias("query_text"))
-    chunks, model = retrieval.build_index(D.corpus(spark, sf_dir))
-    out = retrieval.retrieve_for_texts(q, chunks, model, k=P.RETRIEVAL_K)
+    chunks, index = retrieval.build_index(D.corpus(spark, sf_dir))
+    out = retrieval.retrieve_for_texts(q, chunks, index, k=P.RETRIEVAL_K)
     return out.select("application_id", "regulatory_citations")
 
 
@@ -447,13 +447,13 @@ def retrieve_text(spark, sf_dir):
 def memo_prompts(spark, sf_dir):
     """P11 + P18 + P19 + J4 + R4: for every breached application, the notes-summary prompt and
     the credit-memo prompt (narrative = summary completion or its fallback sentence; citations =
-    the 2 best corpus chunks for the breach text).  Rows-only check."""
+    the 2 best corpus chunks for the breach text)."""
     _, breached = policy.route(assessed(spark, sf_dir))
     summaries = memo.attach_completions(breached.select("application_id"), D.completions(spark, sf_dir),
                                         fallback=P.SUMMARY_FALLBACK, out="applicant_narrative_summary")
     b = breached.join(summaries, "application_id", "left").withColumn("query_text", retrieval.query_text())
-    chunks, model = retrieval.build_index(D.corpus(spark, sf_dir))
-    b = retrieval.retrieve_for_texts(b, chunks, model, k=P.RETRIEVAL_K)
+    chunks, index = retrieval.build_index(D.corpus(spark, sf_dir))
+    b = retrieval.retrieve_for_texts(b, chunks, index, k=P.RETRIEVAL_K)
     return b.select("application_id", memo.summary_prompt().alias("summary_prompt"),
                     F.lit(P.MEMO_SYSTEM_PROMPT).alias("system_prompt"), memo.memo_prompt().alias("memo_prompt"))
 
@@ -470,7 +470,7 @@ def summary_prompts(spark, sf_dir):
 def copilot_prompts(spark, sf_dir):
     """P16 + P17 + P20 + J1 + S10 + T2: every user turn is guarded; allowed questions get the
     copilot prompt (latest ledger row of the conversation's application, directory name, the 2
-    best corpus chunks for the question).  Rows-only check."""
+    best corpus chunks for the question)."""
     c = guard.classify(D.chat(spark, sf_dir)).withColumn("application_id", D.app_id("conv_id"))
     lat = ledger.latest(D.ledger(spark, sf_dir).select("application_id", "event_id", "timestamp", *PROMPT_COLUMNS))
     lat = lat.drop("event_id", "timestamp")
@@ -478,8 +478,8 @@ def copilot_prompts(spark, sf_dir):
     j = c.join(lat, "application_id", "left").join(dirn, "application_id", "left")
     j = j.withColumn("display_name", F.coalesce("real_name", "applicant_name", F.lit(P.UNKNOWN_APPLICANT)))
     allowed = j.filter(~F.col("blocked_strict")).withColumn("query_text", F.col("text"))
-    chunks, model = retrieval.build_index(D.corpus(spark, sf_dir))
-    allowed = retrieval.retrieve_for_texts(allowed, chunks, model, k=P.RETRIEVAL_K)
+    chunks, index = retrieval.build_index(D.corpus(spark, sf_dir))
+    allowed = retrieval.retrieve_for_texts(allowed, chunks, index, k=P.RETRIEVAL_K)
     allowed = allowed.withColumn("question", F.col("text"))
     ok = allowed.select("conv_id", "turn", F.lit(False).alias("blocked"),
                         F.lit(P.COPILOT_SYSTEM_PROMPT).alias("system_prompt"),

@@ -8,7 +8,7 @@ sys.path.insert(0, sys.argv[1])
 from pyspark import TaskContext  # noqa: E402
 
 from lendflow.operators import knn as K  # noqa: E402
-from lendflow.operators import lexical as L  # noqa: E402
+from lendflow.operators import inverted as L  # noqa: E402
 from lendflow.plans.queries import queries  # noqa: E402
 from lendflow.session import build_session, checkpoint_dir  # noqa: E402
 
@@ -32,6 +32,6 @@ def failing(make):
 
 
 K._kernel = failing(K._kernel)
-L._score_block = failing(L._score_block)
+L._search = failing(L._search)
 faulty = {n: sorted(map(tuple, queries()[n](spark, sf).collect())) for n in names}
 print(json.dumps({n: [len(clean[n]), clean[n] == faulty[n]] for n in names}))

@@ -11,7 +11,7 @@ from lendflow.plans.check import compare, duck_connection
 from lendflow.plans.oracle import oracle_sql
 from lendflow.plans.queries import queries
 
-ROWS_ONLY = {"chunks_recursive", "retrieve_text", "knn_lsh", "memo_prompts", "copilot_prompts"}
+ROWS_ONLY = {"knn_lsh"}
 
 
 def _entry():
