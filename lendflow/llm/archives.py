@@ -54,9 +54,12 @@ def arc_record(version: int, name: str, at: int, url: str, page_id: int | None,
 
 
 def clean_url(url: str | None) -> str:
-    """The URL as a header line can hold it: no white space or control characters; null as an own URN."""
+    """The URL as a header line can hold it: no white space or control characters, and not the scheme of a version
+    block; null as an own URN."""
     if not url:
         return "urn:unknown"
+    if url.startswith("filedesc:"):
+        url = f"%{ord(url[0]):02X}{url[1:]}"
     return "".join(c if c.isprintable() and not c.isspace() else f"%{ord(c):02X}" for c in url)
 
 
@@ -272,5 +275,8 @@ def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     records = stored(read_warc(spark, warc), "warc-records")
     targets = (records.where("record_type = 'response'").groupBy("id").agg(F.max("page_id").alias("refers_to"))
                .withColumnRenamed("id", "refers_to_id"))
-    return (records.join(targets, "refers_to_id", "left")
-            .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    # Responses refer to nothing: only revisits are shuffled to their targets.
+    revisits = records.where(F.col("refers_to_id").isNotNull()).join(targets, "refers_to_id", "left")
+    rest = records.where(F.col("refers_to_id").isNull()).withColumn("refers_to", F.lit(None).cast("long"))
+    out = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return revisits.select(*out).unionByName(rest.select(*out))

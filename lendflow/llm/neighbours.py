@@ -2,7 +2,7 @@
 
 Vectors are cut into two halves and each half is quantised on its own, so a pair of centroids is one
 cell of a grid.  A query meets the cells in order of summed distance (here: the negative inner products
-with the two centroids) by a heap over centroid pairs, until the cells hold enough candidates; those are
+with the two centroids) by a heap over tiles of centroid pairs, until the cells hold enough candidates; those are
 ranked by the exact inner product in double precision.
 
 The centroids are fitted on at most ``SAMPLE`` vectors (in order of a hash of the id); every vector is
@@ -31,6 +31,8 @@ LEAST = 5_000                        # and candidates at least
 BLOCK = 4096                         # rows of an index block
 QUERY_BLOCK = 4096
 ROUNDS = 12
+TILE = 8                             # centroid pairs of a half that enter the heap together
+STEP = 256                           # queries compared with a block at a time
 
 
 def vectors(table: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -63,26 +65,29 @@ def nearest(rows: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.argmin((c * c).sum(1) - 2 * (rows.astype(np.float64) @ c.T), axis=1)
 
 
-def visit(near: list[np.ndarray], sizes: np.ndarray, enough: int) -> list[int]:
-    """Cells in order of summed distance until they hold ``enough`` rows: a heap over the grid of the two
-    halves' sorted centroids, where a pair enters when both its predecessors have left."""
+def visit(near: list[np.ndarray], sizes: np.ndarray, enough: int, tile: int = 1) -> list[int]:
+    """Cells in order of summed distance until they hold ``enough`` rows: a heap over the grid of the two halves' sorted
+    centroids, where a tile of ``tile`` x ``tile`` neighbouring pairs, named by its nearest one, enters when both its
+    predecessors have left.  Tiles are taken whole."""
     k = len(near[0])
     order = [np.argsort(x, kind="stable") for x in near]
-    d = [x[o].tolist() for x, o in zip(near, order, strict=True)]
-    grid = sizes.reshape(k, k)[np.ix_(*order)].tolist()
-    names = [o.tolist() for o in order]
-    heap, out_of, cells, held = [(d[0][0] + d[1][0], 0, 0)], [0] * k, [], 0
+    d = [x[o][::tile].tolist() for x, o in zip(near, order, strict=True)]
+    names = order[0][:, None] * k + order[1]
+    n, edge = len(d[0]), np.arange(0, k, tile)
+    held_in = np.add.reduceat(np.add.reduceat(sizes[names], edge, axis=0), edge, axis=1).tolist()
+    heap, out_of, cells, held = [(d[0][0] + d[1][0], 0, 0)], [0] * n, [np.zeros(0, np.int64)], 0
     while heap and held < enough:
         _, i, j = heapq.heappop(heap)
-        out_of[i] = j + 1                                  # pairs of row i that have left
-        if grid[i][j]:
-            cells.append(names[0][i] * k + names[1][j])
-            held += grid[i][j]
-        if j + 1 < k and (i == 0 or out_of[i - 1] > j + 1):
+        out_of[i] = j + 1                                  # tiles of row i that have left
+        if held_in[i][j]:
+            cells.append(names[i * tile:(i + 1) * tile, j * tile:(j + 1) * tile].ravel())
+            held += held_in[i][j]
+        if j + 1 < n and (i == 0 or out_of[i - 1] > j + 1):
             heapq.heappush(heap, (d[0][i] + d[1][j + 1], i, j + 1))
-        if i + 1 < k and (j == 0 or out_of[i + 1] == j):
+        if i + 1 < n and (j == 0 or out_of[i + 1] == j):
             heapq.heappush(heap, (d[0][i + 1] + d[1][j], i + 1, j))
-    return cells
+    found = np.concatenate(cells)
+    return found[sizes[found] > 0].tolist()
 
 
 def layout(sizes: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,20 +105,22 @@ def layout(sizes: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     return first, parts
 
 
-def best(q: np.ndarray, rows: np.ndarray, ids: np.ndarray, own: int, top: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, scores) of the ``top`` rows by inner product, ties to the smaller id.  Scores are
-    summed row by row, so equal vectors get equal scores wherever they stand."""
-    rough = rows @ q
-    rough[ids == own] = -np.inf
-    pick = np.arange(len(ids))
+def best(q: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndarray, seen: np.ndarray,
+         top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of each query's ``top`` rows by inner product among those it has ``seen`` (queries x rows), ties
+    to the smaller id.  Scores are summed row by row, so equal vectors get equal scores wherever they stand."""
+    rough = q @ rows.T
+    rough[~seen | (own[:, None] == ids)] = -np.inf
+    edge = np.full(len(q), -np.inf)
     if len(ids) > top:
-        edge = np.partition(rough, len(ids) - top)[len(ids) - top]
-        slack = 1e-9 * float(np.abs(q).sum()) * float(np.abs(rows).max(initial=0.0))
-        pick = np.flatnonzero(rough >= edge - slack)
-    pick = pick[ids[pick] != own]
-    exact = (rows[pick] * q).sum(1)
-    order = np.lexsort((ids[pick], -exact))[:top]
-    return pick[order], exact[order]
+        edge = np.partition(rough, len(ids) - top, axis=1)[:, len(ids) - top]
+    slack = 1e-9 * np.abs(q).sum(1) * float(np.abs(rows).max(initial=0.0))
+    query, row = np.nonzero((rough >= (edge - slack)[:, None]) & (rough > -np.inf))
+    exact = (rows[row] * q[query]).sum(1)
+    order = np.lexsort((ids[row], -exact, query))
+    query, row, exact = query[order], row[order], exact[order]
+    first = np.arange(len(query)) - np.searchsorted(query, query) < top
+    return query[first], row[first], exact[first]
 
 
 def search(table: DataFrame, every: int = 20, top: int = TOP, vec_id: str = "vec_id", embedding: str = "embedding",
@@ -162,19 +169,24 @@ def search(table: DataFrame, every: int = 20, top: int = TOP, vec_id: str = "vec
         """A query's row for each block it must see, with its cells there."""
         for batch in batches:
             x = matrix(batch.column(1)).astype(np.float64) if batch.num_rows else np.zeros((0, dim))
+            blocks, asks, cells = [], [], []
             for i in range(batch.num_rows):
                 near = [-(books[0] @ x[i, :half]), -(books[1] @ x[i, half:])]
-                cells = np.array(visit(near, sizes, enough), dtype=np.int64)
-                blocks: dict[int, list[int]] = {}
-                for c in cells.tolist():
-                    for b in range(int(first[c]), int(first[c] + parts[c])):
-                        blocks.setdefault(b, []).append(c)
-                n = len(blocks)
+                own = np.sort(np.array(visit(near, sizes, enough, TILE), dtype=np.int64))
+                # A large cell has several blocks, and a block several cells.
+                each = np.repeat(own, parts[own])
+                block = np.repeat(first[own], parts[own]) + np.arange(len(each)) - np.repeat(
+                    np.cumsum(parts[own]) - parts[own], parts[own])
+                order = np.argsort(block, kind="stable")
+                cut = np.flatnonzero(np.diff(block[order], prepend=-1))
+                blocks.append(block[order][cut])
+                asks.append(np.full(len(cut), i))
+                cells += [c.astype(np.int32).tobytes() for c in np.split(each[order], cut[1:])]
+            if blocks:
+                at = pa.array(np.concatenate(asks))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(blocks), type=pa.int64()), pa.array([batch.column(0)[i].as_py()] * n, type=pa.int64()),
-                     pa.array([batch.column(1)[i].as_py()] * n, type=batch.schema.types[1]),
-                     pa.array([np.array(v, dtype=np.int32).tobytes() for v in blocks.values()], type=pa.binary())],
-                    names=["block", "query_id", "query", "cells"])
+                    [pa.array(np.concatenate(blocks)), batch.column(0).take(at), batch.column(1).take(at),
+                     pa.array(cells, type=pa.binary())], names=["block", "query_id", "query", "cells"])
 
     asked = index.where(F.col("vec_id") % every == 0)
     turns = max(1, -(-asked.count() // query_block))
@@ -186,20 +198,20 @@ def search(table: DataFrame, every: int = 20, top: int = TOP, vec_id: str = "vec
                .select("block", "turn", "vec_id", "cell", "vec"))
 
     def compare(key, stock: pa.Table, asks: pa.Table) -> pa.Table:
-        found: list[tuple] = []
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if stock.num_rows and asks.num_rows:
-            stock = stock.sort_by("cell").combine_chunks()
             x = matrix(stock["vec"].combine_chunks()).astype(np.float64)
-            ids, cell = stock["vec_id"].to_numpy(), stock["cell"].to_numpy()
+            ids = stock["vec_id"].to_numpy()
+            names, cell = np.unique(stock["cell"].to_numpy(), return_inverse=True)
             q = matrix(asks["query"].combine_chunks()).astype(np.float64)
-            own = asks["query_id"].to_numpy()
-            for i, cells in enumerate(asks["cells"].to_pylist()):
-                seen = np.isin(cell, np.frombuffer(cells, dtype=np.int32))
-                pick, score = best(q[i], x[seen], ids[seen], int(own[i]), top)
-                found += zip([int(own[i])] * len(pick), ids[seen][pick].tolist(), score.tolist(), strict=True)
-        columns = list(zip(*found, strict=True)) or [(), (), ()]
-        return pa.table([pa.array(c, type=t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()),
-                                                             strict=True)], names=["query_id", "vec_id", "score"])
+            own, cells = asks["query_id"].to_numpy(), asks["cells"].to_pylist()
+            for lo in range(0, len(q), STEP):
+                part = slice(lo, lo + STEP)
+                seen = np.stack([np.isin(names, np.frombuffer(c, dtype=np.int32)) for c in cells[part]])[:, cell]
+                query, row, score = best(q[part], own[part], x, ids, seen, top)
+                found.append((own[part][query], ids[row], score))
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found, strict=True)),
+                                 strict=True)))
 
     scored = (entries.groupBy("block", "turn").cogroup(queries.groupBy("block", "turn"))
               .applyInArrow(compare, "query_id long, vec_id long, score double"))

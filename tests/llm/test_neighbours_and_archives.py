@@ -2,6 +2,8 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from lendflow.llm import archives, neighbours
@@ -60,6 +62,20 @@ def test_recall_with_part_of_the_cells(spark):
     assert hits >= 0.85 * 20 * len(want)
 
 
+def test_recall_of_the_registered_settings(spark, tmp_path):
+    """20,000 vectors without any clusters, the hardest case: parts of the cells, and tiles of them."""
+    x = np.random.default_rng(8).normal(size=(20_000, 32))
+    ids = np.arange(len(x))
+    pq.write_table(pa.table({"vec_id": ids, "embedding": list(x)}), f"{tmp_path}/embeddings.parquet")
+    got = collect(neighbours.search(spark.read.parquet(f"{tmp_path}/embeddings.parquet"), every=100))
+    asked = ids[ids % 100 == 0]
+    near = x[asked] @ x.T
+    near[np.arange(len(asked)), asked] = -np.inf
+    want = np.argsort(-near, axis=1)[:, :20]
+    hits = sum(len(set(w.tolist()) & {v for _, v, _ in got[q]}) for q, w in zip(asked.tolist(), want, strict=True))
+    assert hits >= 0.9 * want.size
+
+
 def test_few_and_no_rows(spark):
     rows = [(0, [1.0, 2.0]), (20, [2.0, 1.0]), (5, [1.0, 1.0])]
     got = collect(neighbours.search(table(spark, rows)))
@@ -153,3 +169,10 @@ def test_warc_fields():
     (revisit, head), = archives.parse_warc(archives.warc_record(header, block, {"id": "<urn:x>", "url": "http://v"}))
     assert revisit["WARC-Refers-To"] == "<urn:x>" and revisit["WARC-Payload-Digest"] == response["WARC-Payload-Digest"]
     assert head == block[:-5]
+
+
+def test_a_page_whose_url_looks_like_a_version_block(spark):
+    rows = [(1, "filedesc://x.arc", "a" * 2000), (2, "http://b", "a" * 2000), (3, "filedesc://y", None)]
+    got = archives.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got) == [
+        (1, 2000, "revisit", 2), (2, 2000, "response", None), (3, 0, "response", None)]
