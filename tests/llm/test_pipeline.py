@@ -81,3 +81,9 @@ def test_empty_tables(spark, tmp_path):
     frame(spark, [], extra=False).withColumn("n_chars", F.lit(0).cast("long")).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_near_copies_stage_keeps_columns_with_dots(spark, corpus):
+    docs = frame(spark, corpus, extra=False).withColumn("x.y", F.lit(1))
+    out = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert out.columns == docs.columns and 0 < out.count() < docs.count()
