@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lendflow import params as P
 from lendflow.functions.text import is_blank, mask_pii, name_pattern
+from lendflow.operators.people import mask_people, people_leaks
 
 
 def _c(x) -> Column:
@@ -23,18 +24,24 @@ def mask_name(name="applicant_name") -> Column:
 def mask_text(text, name=None) -> Column:
     """P10: structured PII by tokens, then the row's known name - whole or any of its words, in any
     case - by ``<PERSON>``."""
-    out = mask_pii(text)
-    if name is not None:
-        out = F.when(is_blank(name), out).otherwise(F.regexp_replace(out, name_pattern(name), F.lit(P.MASKED_PERSON)))
-    return out
+    return mask_pii(text) if name is None else mask_own_name(mask_pii(text), name)
 
 
-def mask_applications(apps: DataFrame) -> DataFrame:
-    """Name and notes masked in place, before anything leaves the job."""
-    return apps.withColumns({
-        "applicant_notes": mask_text("applicant_notes", "applicant_name"),
-        "applicant_name": mask_name("applicant_name"),
-    })
+def mask_own_name(text, name) -> Column:
+    """The row's known name, whole or any of its words, in any case, by ``<PERSON>``."""
+    return F.when(is_blank(name), _c(text)).otherwise(
+        F.regexp_replace(_c(text), name_pattern(name), F.lit(P.MASKED_PERSON)))
+
+
+def mask_applications(apps: DataFrame, directory: DataFrame | None = None) -> DataFrame:
+    """Name and notes masked in place, before anything leaves the job.  With a ``directory`` (``real_name``) the
+    notes lose every name of it too, whoever's it is; that goes before the own name's single words, which
+    would tear other names apart."""
+    masked_name = {"applicant_name": mask_name("applicant_name")}
+    if directory is None:
+        return apps.withColumns({"applicant_notes": mask_text("applicant_notes", "applicant_name"), **masked_name})
+    out = mask_people(apps.withColumn("applicant_notes", mask_text("applicant_notes")), directory, "applicant_notes")
+    return out.withColumns({"applicant_notes": mask_own_name("applicant_notes", "applicant_name"), **masked_name})
 
 
 def reidentify(rows: DataFrame, directory: DataFrame) -> DataFrame:
@@ -63,10 +70,11 @@ def _holds_any(text: Column, words: Column) -> Column:
 
 
 def leak_audit(rows: DataFrame, directory: DataFrame, text_columns) -> DataFrame:
-    """Per text column, rows that still look like holding PII (``AUDIT_PATTERNS``) or a word of the
-    application's real name.  One pass: every (column, kind) check is a ``count_if`` of a single global
+    """Per text column, rows that still look like holding PII (``AUDIT_PATTERNS``), a word of the
+    application's real name (NAME) or any other name of the directory (OTHER_NAME, ``people_leaks``).  Patterns
+    and own names take one pass: every (column, kind) check is a ``count_if`` of a single global
     aggregate (partial on the map side); only the small result is unpivoted to
-    (column_name, leak_kind, n_rows, n_checked)."""
+    (column_name, leak_kind, n_rows, n_checked) and meets the other names' counts."""
     j = rows.join(directory.select("application_id", "real_name"), "application_id", "left")
     words = F.filter(F.split(F.lower("real_name"), " "), lambda w: F.length(w) > 2)
     checks = []
@@ -74,12 +82,16 @@ def leak_audit(rows: DataFrame, directory: DataFrame, text_columns) -> DataFrame
         for kind, pattern in AUDIT_PATTERNS:
             checks.append((c, kind, F.col(c).rlike(pattern)))
         checks.append((c, "NAME", _holds_any(F.lower(F.col(c)), words)))
+        checks.append((c, "OTHER_NAME", F.lit(False)))
     aggs = [F.count_if(F.coalesce(cond, F.lit(False))).alias(f"_h{i}") for i, (_, _, cond) in enumerate(checks)]
     tot = j.agg(F.count(F.lit(1)).alias("_n"), *aggs)
     out = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(kind).alias("leak_kind"),
                              F.col(f"_h{i}").alias("n_rows"), F.col("_n").alias("n_checked"))
                     for i, (c, kind, _) in enumerate(checks)])
-    return tot.select(F.inline(out))
+    others = people_leaks(rows, directory, text_columns).select(
+        "column_name", F.lit("OTHER_NAME").alias("leak_kind"), F.col("n_rows").alias("_others"))
+    return (tot.select(F.inline(out)).join(others, ["column_name", "leak_kind"], "left")
+            .select("column_name", "leak_kind", F.coalesce("_others", "n_rows").alias("n_rows"), "n_checked"))
 
 
 def directory_mismatch(apps: DataFrame, directory: DataFrame) -> DataFrame:

@@ -21,14 +21,15 @@ from lendflow.sources.payloads import quarantine, read_applications, with_notes_
 
 
 def assess_applications(apps: DataFrame, p=P.DEFAULT_POLICY, index=None, completions: DataFrame | None = None,
-                        k: int = P.RETRIEVAL_K) -> tuple[DataFrame, DataFrame]:
+                        k: int = P.RETRIEVAL_K, directory: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(outcome, rejected).
 
     ``index``: optional (chunks, index) from ``retrieval.open_or_build_index``; breached rows then
     get ``regulatory_citations``.  ``completions``: optional
-    completion table; breached rows then get ``ai_risk_memo`` (fallback text on failure)."""
+    completion table; breached rows then get ``ai_risk_memo`` (fallback text on failure).
+    ``directory``: optional names (``real_name``); notes then lose all of them, not the applicant's alone."""
     valid, rejected = quarantine(apps, p)
-    out = policy.with_outcome(policy.assess(privacy.mask_applications(with_notes_default(valid)), p))
+    out = policy.with_outcome(policy.assess(privacy.mask_applications(with_notes_default(valid), directory), p))
     breached = ~policy.is_clean()
     # Both attachments keep one output row per input row: citations join on the (distinct)
     # query text, null for clean files; completions join on the id (one completion per call).
@@ -47,7 +48,7 @@ def assess_applications(apps: DataFrame, p=P.DEFAULT_POLICY, index=None, complet
 
 def run(spark: SparkSession, payload_dir: str, ledger_path: str, rejects_path: str,
         run_ts: dt.datetime | None = None, p=P.DEFAULT_POLICY, index=None, completions=None,
-        run_id: int | None = None) -> dict:
+        run_id: int | None = None, directory: DataFrame | None = None) -> dict:
     """Assess every payload in ``payload_dir`` as one run: its ledger rows go to
     ``<ledger>/batch=<run_id>`` and its quarantined rows to ``<rejects>/batch=<run_id>``.
 
@@ -59,7 +60,7 @@ def run(spark: SparkSession, payload_dir: str, ledger_path: str, rejects_path: s
         run_id = int((run_ts - dt.datetime(1970, 1, 1)).total_seconds())
     apps = read_applications(spark, payload_dir).persist()
     try:
-        out, rejected = assess_applications(apps, p, index, completions)
+        out, rejected = assess_applications(apps, p, index, completions, directory=directory)
         ledger.ensure_ledger(spark, ledger_path)
         ledger.append(ledger.audit_rows(out, run_ts), ledger_path, run_id)
         (rejected.withColumn("rejected_at", ledger.wall_clock(run_ts))
@@ -71,7 +72,7 @@ def run(spark: SparkSession, payload_dir: str, ledger_path: str, rejects_path: s
 
 def main(argv=None) -> None:
     """``python -m lendflow.plans.assess PAYLOADS LEDGER REJECTS [--corpus DIR --index DIR]
-    [--completions PARQUET]``: assess every payload and append to the ledger."""
+    [--completions PARQUET] [--directory PARQUET]``: assess every payload and append to the ledger."""
     import argparse
     import json
 
@@ -83,6 +84,7 @@ def main(argv=None) -> None:
     ap.add_argument("--corpus", help="folder of regulation text exports (pages split by form feeds)")
     ap.add_argument("--index", help="folder of the persisted retrieval index (built if absent)")
     ap.add_argument("--completions", help="parquet table of model completions per application")
+    ap.add_argument("--directory", help="parquet table of names (real_name) that notes must not hold")
     ap.add_argument("--master", default=None)
     a = ap.parse_args(argv)
     spark = build_session(a.master)
@@ -92,7 +94,8 @@ def main(argv=None) -> None:
         corpus = retrieval.read_corpus_dir(spark, a.corpus) if a.corpus else None
         index = retrieval.open_or_build_index(spark, corpus, a.index)
     comps = spark.read.parquet(a.completions) if a.completions else None
-    print(json.dumps(run(spark, a.payloads, a.ledger, a.rejects, index=index, completions=comps)))
+    names = spark.read.parquet(a.directory) if a.directory else None
+    print(json.dumps(run(spark, a.payloads, a.ledger, a.rejects, index=index, completions=comps, directory=names)))
 
 
 if __name__ == "__main__":

@@ -268,15 +268,55 @@ def mask_name(x: str) -> str:
 
 
 def mask_text(text: str, name: str) -> str:
+    return mask_own(mask_pii(text), name)
+
+
+def mask_own(text: str, name: str) -> str:
     """A name's words are tried after the whole of it, as whole words in any case."""
     quoted = f"regexp_escape(trim({name}))"
     words = f"list_filter(string_split(trim({name}), ' '), lambda w: length(w) > 1)"
     either = f"array_to_string(list_prepend({quoted}, list_transform({words}, lambda w: regexp_escape(w))), '|')"
-    out = mask_pii(text)
+    out = text
     for _ in range(2):
         out = (f"regexp_replace({out}, '([^\\pL\\pN]|^)(?:' || {either} || ')([^\\pL\\pN]|$)', "
                f"'\\1{P.MASKED_PERSON}\\2', 'gi')")
-    return f"CASE WHEN {is_blank(name)} THEN {mask_pii(text)} ELSE {out} END"
+    return f"CASE WHEN {is_blank(name)} THEN {text} ELSE {out} END"
+
+
+def people_ctes(view: str, ident: str, text: str, tag: str) -> str:
+    """Occurrences of directory names in a view's texts, every run of words of every name's length compared:
+    ``{tag}_occ`` (ident, j: first word from 1, n, person).  Needs the directory."""
+    return f"""
+{tag}_names AS (
+  SELECT DISTINCT array_to_string(ws, ' ') AS person, len(ws) AS n
+  FROM (SELECT list_transform(regexp_extract_all(real_name, '[\pL\pN]+'), lambda w: lower(w)) AS ws FROM dir) WHERE len(ws) > 0),
+{tag}_words AS (
+  SELECT {ident}, list_transform(regexp_extract_all({text}, '[\pL\pN]+'), lambda w: lower(w)) AS ws FROM {view}),
+{tag}_grams AS (
+  SELECT {ident}, n, unnest(list_transform(generate_series(1, len(ws) - n + 1), lambda j:
+    {{'j': j, 'person': array_to_string(list_slice(ws, j, j + n - 1), ' ')}}), recursive := true)
+  FROM {tag}_words, (SELECT DISTINCT n FROM {tag}_names) WHERE len(ws) >= n),
+{tag}_occ AS (
+  SELECT g.{ident}, g.j, g.n, g.person FROM {tag}_grams g JOIN {tag}_names USING (person, n))"""
+
+
+def masked_ctes(view: str, ident: str, text: str, tag: str) -> str:
+    """``{tag}_masked`` (ident, masked): a word inside an occurrence goes, and the first of a stretch becomes the
+    token; what stands before a word goes with it when one occurrence holds the word before as well."""
+    return people_ctes(view, ident, text, tag) + f""",
+{tag}_cover AS (
+  SELECT {ident}, k, bool_or(k > j) AS tied
+  FROM (SELECT {ident}, j, unnest(generate_series(j, j + n - 1)) AS k FROM {tag}_occ) GROUP BY {ident}, k),
+{tag}_parts AS (
+  SELECT {ident}, unnest(list_transform(generate_series(1, len(ws)), lambda i: {{'k': i, 'w': ws[i], 'gap': gaps[i]}}), recursive := true)
+  FROM (SELECT {ident}, regexp_extract_all({text}, '[\pL\pN]+') AS ws, string_split_regex({text}, '[\pL\pN]+') AS gaps
+        FROM {view} WHERE {ident} IN (SELECT {ident} FROM {tag}_occ))),
+{tag}_joined AS (
+  SELECT {ident}, string_agg(CASE WHEN c.tied THEN '' WHEN c.k IS NOT NULL THEN gap || '{P.MASKED_PERSON}' ELSE gap || w END, '' ORDER BY p.k) AS body
+  FROM {tag}_parts p LEFT JOIN {tag}_cover c USING ({ident}, k) GROUP BY {ident}),
+{tag}_masked AS (
+  SELECT v.{ident}, coalesce(j.body || list_last(string_split_regex(v.{text}, '[\pL\pN]+')), v.{text}) AS masked
+  FROM {view} v LEFT JOIN {tag}_joined j USING ({ident}))"""
 
 
 # The guard's patterns, written out: family, strict and fixed form.
@@ -442,27 +482,46 @@ SELECT application_id, {mask_name("applicant_name")} AS masked_name,
        {mask_text("applicant_notes", "applicant_name")} AS masked_notes
 FROM dirty""")
 
-    q["masked_documents"] = f"SELECT doc_id, {mask_pii('text')} AS masked_text FROM documents"
+    reviewed = """
+named AS (
+  SELECT doc_id, CASE WHEN c_name IS NULL THEN text ELSE text || ' Reviewed by ' ||
+         CASE WHEN doc_id % 2 = 0 THEN upper(c_name) ELSE c_name END || '.' END AS text
+  FROM documents LEFT JOIN customer ON doc_id = c_custkey)"""
+    q["masked_documents"] = with_ctes(DIRECTORY, reviewed, f"""
+pii AS (SELECT doc_id, {mask_pii('text')} AS text FROM named)""", masked_ctes("pii", "doc_id", "text", "d"), body="""
+SELECT doc_id, masked AS masked_text FROM d_masked""")
+    q["people_in_documents"] = with_ctes(DIRECTORY, reviewed, people_ctes("named", "doc_id", "text", "d"), body="""
+SELECT person, CAST(count(DISTINCT doc_id) AS BIGINT) AS n_documents, CAST(count(*) AS BIGINT) AS n_mentions
+FROM d_occ GROUP BY person""")
 
     q["reidentified"] = with_ctes(LEDGER, LATEST, DIRECTORY, body=f"""
 SELECT l.application_id, coalesce(d.real_name, l.applicant_name, {_q(P.UNKNOWN_APPLICANT)}) AS display_name,
        coalesce(d.real_name, {_q(P.UNKNOWN_APPLICANT)}) AS detail_name
 FROM lat l LEFT JOIN dir d ON l.application_id = d.application_id""")
 
-    cols = ("raw_notes", "masked_notes", "masked_name")
-    checks = []
-    for c in cols:
+    cols = ("raw_notes", "own_masked_notes", "masked_notes", "masked_name")
+    checks, found = [], []
+    for i, c in enumerate(cols):
         for kind, pattern in (("EMAIL", "[^ ]@[^ ]"), ("CARD", "([0-9][ -]?){13}"), ("PHONE", "([0-9][ ()-]{0,2}){8}")):
             checks.append(f"SELECT '{c}' AS column_name, '{kind}' AS leak_kind, "
                           f"coalesce(regexp_matches({c}, '{pattern}'), false) AS hit FROM r")
         checks.append(f"SELECT '{c}' AS column_name, 'NAME' AS leak_kind, "
                       f"coalesce(len(list_filter(string_split(lower(real_name), ' '), "
                       f"lambda w: length(w) > 2 AND contains(lower({c}), w))) > 0, false) AS hit FROM r")
+        found.append(people_ctes("r", "application_id", c, f"p{i}"))
+        checks.append(f"SELECT '{c}' AS column_name, 'OTHER_NAME' AS leak_kind, "
+                      f"application_id IN (SELECT o.application_id FROM p{i}_occ o JOIN r o2 USING (application_id) "
+                      f"WHERE NOT contains(' ' || coalesce(o2.own, '') || ' ', ' ' || o.person || ' ')) AS hit FROM r")
     q["leak_audit"] = with_ctes(APPS, DIRECTORY, f"""
-r AS (SELECT a.application_id, a.applicant_notes AS raw_notes,
-             {mask_text("a.applicant_notes", "a.applicant_name")} AS masked_notes,
-             {mask_name("a.applicant_name")} AS masked_name, d.real_name
-      FROM apps a LEFT JOIN dir d ON a.application_id = d.application_id)""", body=f"""
+raw AS (SELECT a.application_id, a.applicant_name,
+               a.applicant_notes || '; guarantor ' || coalesce(g.c_name, 'none') AS notes
+        FROM apps a JOIN orders o ON o.o_orderkey = a.okey LEFT JOIN customer g ON g.c_custkey = o.o_custkey + 1),
+pii AS (SELECT application_id, {mask_pii("notes")} AS notes FROM raw)""", masked_ctes("pii", "application_id", "notes", "m"), f"""
+r AS (SELECT a.application_id, a.notes AS raw_notes, {mask_text("a.notes", "a.applicant_name")} AS own_masked_notes,
+             {mask_own("m.masked", "a.applicant_name")} AS masked_notes,
+             {mask_name("a.applicant_name")} AS masked_name, d.real_name,
+             array_to_string(list_transform(regexp_extract_all(d.real_name, '[\pL\pN]+'), lambda w: lower(w)), ' ') AS own
+      FROM raw a JOIN m_masked m USING (application_id) LEFT JOIN dir d ON a.application_id = d.application_id)""", *found, body=f"""
 SELECT column_name, leak_kind, CAST(count(*) FILTER (WHERE hit) AS BIGINT) AS n_rows, CAST(count(*) AS BIGINT) AS n_checked
 FROM ({' UNION ALL '.join(checks)}) GROUP BY ALL""")
 

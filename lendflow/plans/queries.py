@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lendflow import params as P
 from lendflow.functions.metrics import amortised_repayment, flat_metrics, register_sql_functions, with_metrics
 from lendflow.functions.text import mask_pii
-from lendflow.operators import (chunking, dashboard, decisions, guard, ledger, memo, policy, portfolio, privacy,
+from lendflow.operators import (chunking, dashboard, decisions, guard, ledger, memo, people, policy, portfolio, privacy,
                                 retrieval)
 from lendflow.operators.knn import knn
 from lendflow.operators.lexical import lexical_topk
@@ -137,9 +137,17 @@ def masked_names(spark, sf_dir):
 
 @query("masked_documents")
 def masked_documents(spark, sf_dir):
-    """P10: structured PII masked in whole documents."""
-    d = D.read_table(spark, sf_dir, "documents", "doc_id", "text")
-    return d.select("doc_id", mask_pii("text").alias("masked_text"))
+    """P10: structured PII and every name of the directory masked in whole documents that name customers."""
+    d = D.reviewed_documents(spark, sf_dir).select("doc_id", mask_pii("text").alias("masked_text"))
+    return people.mask_people(d, D.directory(spark, sf_dir), "masked_text")
+
+
+@query("people_in_documents")
+def people_in_documents(spark, sf_dir):
+    """Documents and mentions per directory name that documents hold."""
+    found = people.find_people(D.reviewed_documents(spark, sf_dir), D.directory(spark, sf_dir), "text", ("doc_id",))
+    return found.groupBy("person").agg(F.count_distinct("doc_id").alias("n_documents"),
+                                       F.count(F.lit(1)).alias("n_mentions"))
 
 
 @query("reidentified")
@@ -151,12 +159,16 @@ def reidentified(spark, sf_dir):
 
 @query("leak_audit")
 def leak_audit(spark, sf_dir):
-    """Raw vs masked text columns checked for names and PII patterns."""
-    a = D.applications(spark, sf_dir)
-    rows = a.select("application_id", F.col("applicant_notes").alias("raw_notes"),
-                    privacy.mask_text("applicant_notes", "applicant_name").alias("masked_notes"),
-                    privacy.mask_name("applicant_name").alias("masked_name"))
-    return privacy.leak_audit(rows, D.directory(spark, sf_dir), ["raw_notes", "masked_notes", "masked_name"])
+    """Raw vs masked text columns checked for names (own and other people's) and PII patterns; the notes
+    name a guarantor.  ``own_masked_notes`` went without the directory."""
+    a = D.applications(spark, sf_dir).join(D.guarantors(spark, sf_dir), "application_id", "left")
+    notes = F.concat("applicant_notes", F.lit("; guarantor "), F.coalesce("guarantor", F.lit("none")))
+    a = a.select("application_id", "applicant_name", notes.alias("raw_notes"), notes.alias("applicant_notes"))
+    a = a.withColumn("own_masked_notes", privacy.mask_text("raw_notes", "applicant_name"))
+    rows = privacy.mask_applications(a, D.directory(spark, sf_dir)).withColumnsRenamed(
+        {"applicant_notes": "masked_notes", "applicant_name": "masked_name"})
+    return privacy.leak_audit(rows, D.directory(spark, sf_dir),
+                              ["raw_notes", "own_masked_notes", "masked_notes", "masked_name"])
 
 
 @query("directory_mismatch")

@@ -196,6 +196,25 @@ def directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def guarantors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second persons of applications (application_id, guarantor): the customer after the applicant, by key."""
+    orders = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
+    cust = read_table(spark, sf_dir, "customer", "c_custkey", "c_name")
+    return orders.join(cust, F.col("o_custkey") + 1 == F.col("c_custkey")).select(
+        app_id("o_orderkey").alias("application_id"), F.col("c_name").alias("guarantor"))
+
+
+def reviewed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, those of customers' keys with a closing line that names the customer, in capitals for even ids
+    (id, text)."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    cust = read_table(spark, sf_dir, "customer", "c_custkey", "c_name")
+    named = F.when(F.col("doc_id") % 2 == 0, F.upper("c_name")).otherwise(F.col("c_name"))
+    return docs.join(cust, F.col("doc_id") == F.col("c_custkey"), "left").select(
+        "doc_id", F.when(F.col("c_name").isNull(), F.col("text"))
+        .otherwise(F.concat("text", F.lit(" Reviewed by "), named, F.lit("."))).alias("text"))
+
+
 # --- completions ---------------------------------------------------------------------------------
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model completions per application, standing for the per-row model call.  Three shapes:
