@@ -659,6 +659,12 @@ SELECT page, CAST(chunk_no AS INTEGER) AS chunk_no, chunk FROM ch"""
     q["knn_exact"] = knn_sql(KNN_K, body="""
 SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbor_id, round(d, 6) AS distance FROM top""")
 
+    dot = "list_dot_product(CAST({a}.embedding AS DOUBLE[]), CAST({b}.embedding AS DOUBLE[]))"
+    qc, qq, cc = dot.format(a="q", b="c"), dot.format(a="q", b="q"), dot.format(a="c", b="c")
+    q["knn_pivot"] = q["knn_exact"]
+    q["knn_cosine"] = q["knn_exact"].replace(SQUARED_L2, f"1 - {qc} / sqrt({qq} * {cc})")
+    q["knn_inner"] = q["knn_exact"].replace(SQUARED_L2, f"-{qc}")
+
     q["citations"] = knn_sql(P.RETRIEVAL_K_DEFAULT, body=f"""
 SELECT t.query_id,
   string_agg('[Citation ' || CAST(t.rank AS VARCHAR) || ' - '
@@ -851,13 +857,16 @@ lx_r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 lx_top AS (SELECT * FROM lx_r WHERE rank <= {k})"""
 
 
+SQUARED_L2 = """list_sum(list_transform(range(1, len(q.embedding) + 1),
+                  lambda i: (CAST(q.embedding[i] AS DOUBLE) - CAST(c.embedding[i] AS DOUBLE)) ** 2))"""
+
+
 def knn_sql(k: int, body: str) -> str:
     """Brute-force exact k-NN over embeddings (self excluded), squared L2, ties by id."""
     return f"""
 WITH pairs AS (
   SELECT q.vec_id AS query_id, c.vec_id AS neighbor_id,
-         list_sum(list_transform(range(1, len(q.embedding) + 1),
-                  lambda i: (CAST(q.embedding[i] AS DOUBLE) - CAST(c.embedding[i] AS DOUBLE)) ** 2)) AS d
+         {SQUARED_L2} AS d
   FROM embeddings q, embeddings c WHERE q.vec_id != c.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, neighbor_id) AS rank FROM pairs),
 top AS (SELECT * FROM ranked WHERE rank <= {k})

@@ -21,6 +21,7 @@ from lendflow.operators import (chunking, dashboard, decisions, guard, ledger, m
 from lendflow.operators.knn import knn
 from lendflow.operators.lexical import lexical_topk
 from lendflow.operators.lsh import lsh_knn
+from lendflow.operators.pivots import pivot_knn
 from lendflow.session import checkpoint_dir, materialize, numbered
 from lendflow.sources import derived as D
 from lendflow.sources.payloads import quarantine as split_quarantine, split_duplicates, with_notes_default
@@ -422,6 +423,31 @@ def knn_exact(spark, sf_dir):
     return hits.withColumn("distance", F.round("distance", 6))
 
 
+def _pivot_hits(spark, sf_dir, metric):
+    v = D.vectors(spark, sf_dir)
+    hits = pivot_knn(v, v, KNN_K, query_id="vec_id", query_vec="embedding", corpus_id="vec_id",
+                     corpus_vec="embedding", exclude_self=True, metric=metric)
+    return hits.withColumn("distance", F.round("distance", 6))
+
+
+@query("knn_pivot")
+def knn_pivot(spark, sf_dir):
+    """J2 + T2: the same neighbours as ``knn_exact``, by cells with triangle-inequality bounds."""
+    return _pivot_hits(spark, sf_dir, "l2")
+
+
+@query("knn_cosine")
+def knn_cosine(spark, sf_dir):
+    """Exact 10 nearest other vectors by cosine (distance: one minus it)."""
+    return _pivot_hits(spark, sf_dir, "cosine")
+
+
+@query("knn_inner")
+def knn_inner(spark, sf_dir):
+    """Exact 10 nearest other vectors by inner product (distance: its negative)."""
+    return _pivot_hits(spark, sf_dir, "inner")
+
+
 @query("knn_lsh")
 def knn_lsh(spark, sf_dir):
     """J2 at scale: approximate 10 nearest other vectors by random-projection LSH with exact
