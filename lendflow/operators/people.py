@@ -105,7 +105,7 @@ class NameTrie:
                   .agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit((1 << _BLOCK) - 1))).alias("bitmap")))
         bitmap = np.zeros(1 << (self.bits - 3), np.uint8)
         width = 1 << (_BLOCK - 3)
-        for row in blocks.toLocalIterator():                 # at most 8,192 rows of 4 KB
+        for row in blocks.collect():                         # at most 8,192 rows of 4 KB
             bitmap[row.block * width:(row.block + 1) * width] = np.frombuffer(row.bitmap, np.uint8)
         self.bitmap = spark.sparkContext.broadcast(bitmap)
 
@@ -203,7 +203,8 @@ def mask_people(rows: DataFrame, directory: DataFrame, text: str, name: str = "r
                 trie: NameTrie | None = None) -> DataFrame:
     """``rows`` with each occurrence of a directory name in ``text`` replaced by ``<PERSON>``, overlapping
     ones (those that share a word) by one.  All rows and other columns stay, repeated rows too; null stays null.
-    Structured PII goes first (``mask_pii``): a mail address may hold the words of a name."""
+    Structured PII goes first (``mask_pii``): a mail address may hold the words of a name.  The text is used
+    several times, so a costly expression should be written before (``session.materialize``)."""
     trie = trie or NameTrie(directory, name)
     if not trie.longest:
         return rows

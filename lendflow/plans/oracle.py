@@ -487,7 +487,8 @@ named AS (
   SELECT doc_id, CASE WHEN c_name IS NULL THEN text ELSE text || ' Reviewed by ' ||
          CASE WHEN doc_id % 2 = 0 THEN upper(c_name) ELSE c_name END || '.' END AS text
   FROM documents LEFT JOIN customer ON doc_id = c_custkey)"""
-    q["masked_documents"] = with_ctes(DIRECTORY, reviewed, f"""
+    q["masked_documents"] = f"SELECT doc_id, {mask_pii('text')} AS masked_text FROM documents"
+    q["masked_people"] = with_ctes(DIRECTORY, reviewed, f"""
 pii AS (SELECT doc_id, {mask_pii('text')} AS text FROM named)""", masked_ctes("pii", "doc_id", "text", "d"), body="""
 SELECT doc_id, masked AS masked_text FROM d_masked""")
     q["people_in_documents"] = with_ctes(DIRECTORY, reviewed, people_ctes("named", "doc_id", "text", "d"), body="""
