@@ -180,11 +180,13 @@ def find_people(rows: DataFrame, directory: DataFrame, text: str, keep=(), name:
     return _occurrences(_staged(rows, trie, text), trie, text, *keep)
 
 
-def _rebuilt(pieces: pa.Array, leads: pa.Array, spans: pa.Array) -> pa.Array:
-    """Texts with every stretch of overlapping occurrences replaced; words and what is between them alternate."""
+def _rebuilt(texts: pa.Array, sizes: pa.Array, leads: pa.Array, spans: pa.Array) -> pa.Array:
+    """Texts with every stretch of overlapping occurrences replaced.  ``sizes``: code points of the words and of what is
+    between them, in turn; ``leads``: whether a word comes first."""
     out = []
-    for text, lead, places in zip(pieces, leads, spans):
-        parts, first, new, done = text.as_py(), 0 if lead.as_py() else 1, [], 0
+    for text, size, lead, places in zip(texts, sizes, leads, spans):
+        text, first, new, done = text.as_py(), 0 if lead.as_py() else 1, [], 0
+        ends = np.concatenate(([0], np.cumsum(size.values.to_numpy(zero_copy_only=False))))
         stretches = []
         for place in sorted((p["start"], p["start"] + p["n"]) for p in places.as_py()):
             if stretches and place[0] < stretches[-1][1]:
@@ -192,10 +194,9 @@ def _rebuilt(pieces: pa.Array, leads: pa.Array, spans: pa.Array) -> pa.Array:
             else:
                 stretches.append(list(place))
         for lo, hi in stretches:
-            new += parts[done:first + 2 * lo]
-            new.append(P.MASKED_PERSON)
-            done = first + 2 * hi - 1
-        out.append("".join(new + parts[done:]))
+            new += [text[done:ends[first + 2 * lo]], P.MASKED_PERSON]
+            done = ends[first + 2 * hi - 1]
+        out.append("".join(new) + text[done:])
     return pa.array(out, pa.string())
 
 
@@ -217,7 +218,8 @@ def mask_people(rows: DataFrame, directory: DataFrame, text: str, name: str = "r
         return df.select(*[(new if c == text else F.col(f"row.`{c}`")).alias(c) for c in rows.columns])
 
     pieces = F.regexp_extract_all(old, F.lit(f"{WORD}|{BREAK}"), F.lit(0))
-    masked = F.arrow_udf(_rebuilt, "string")(pieces, old.rlike(f"^{WORD}"), F.col("spans"))
+    sizes = F.transform(pieces, lambda p: F.length(p))
+    masked = F.arrow_udf(_rebuilt, "string")(old, sizes, old.rlike(f"^{WORD}"), F.col("spans"))
     some = staged.where(F.size("places") > 0)
     touched = some.join(spans, F.col("rid") == F.col("hit"))
     chance = some.join(spans, F.col("rid") == F.col("hit"), "left_anti")
