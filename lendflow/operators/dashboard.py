@@ -21,6 +21,17 @@ def counts(latest_rows: DataFrame) -> DataFrame:
     )
 
 
+def counts_of(groups: DataFrame) -> DataFrame:
+    """A1 from counts by decision (underwriter_decision, n): the same row as ``counts``."""
+    d, none = F.col("underwriter_decision"), F.lit(0).cast("long")
+
+    def of(cond):
+        return F.coalesce(F.sum(F.when(cond, F.col("n"))), none)
+
+    return groups.agg(of(F.lit(True)).alias("total"), of(d == P.PENDING_REVIEW).alias("pending"),
+                      of(d.isin(*APPROVED_EXACT)).alias("approved"), of(d == P.DECLINED).alias("declined"))
+
+
 def queue(latest_rows: DataFrame, which: str = "ALL") -> DataFrame:
     """ALL, PENDING (= PENDING_REVIEW), APPROVED (contains "APPROVED"), DECLINED.
     A null decision matches no filter but ALL."""

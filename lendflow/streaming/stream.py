@@ -4,6 +4,7 @@ Z1  payload files land in a directory -> quarantine -> assess -> ledger rows, pe
 Z2  repeated submissions go to the rejects with a reason.
 Z3  decision counts per event-time window with a watermark (the live dashboard).
 Z4  latest state per application kept as a change log that is folded into a snapshot.
+A1  dashboard counts kept as signed changes: a batch costs what it touches, not a pass over the ledger.
 
 Every payload that lands is accounted for: ledger rows + rejects = payloads.  Nothing is dropped by a
 watermark: a file counts when it arrives, however old it is.  Sinks are idempotent by batch id: a
@@ -19,15 +20,17 @@ from pyspark.sql.streaming import StreamingQuery
 from lendflow import params as P
 from lendflow.operators import dashboard, ledger
 from lendflow.plans.assess import assess_applications
-from lendflow.sources.payloads import READ_SCHEMA, quarantine, split_duplicates
+from lendflow.sources.payloads import CORRUPT, DUPLICATE, READ_SCHEMA, reject_reasons, submission_key
 from lendflow.sources.schemas import LEDGER_SCHEMA
+from lendflow.streaming import state
 
 
-def payload_stream(spark: SparkSession, payload_dir: str, max_files: int | None = None) -> DataFrame:
-    """Payload files as a stream (explicit schema, multiLine).  ``submitted_at`` is the file's
+def payload_stream(spark: SparkSession, payload_dir: str, max_files: int | None = None,
+                   multi_line: bool = True) -> DataFrame:
+    """Payload files as a stream (explicit schema; ``multi_line``: one object per file).  ``submitted_at`` is the file's
     modification time and ``payload_file`` its path.  The source would ignore files more than a week
     older than the newest it has seen; ten years take in backfilled ones."""
-    r = spark.readStream.schema(READ_SCHEMA).option("multiLine", True).option("maxFileAge", "3650d")
+    r = spark.readStream.schema(READ_SCHEMA).option("multiLine", multi_line).option("maxFileAge", "3650d")
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
     df = r.json(payload_dir)
@@ -39,40 +42,30 @@ def _batch_dir(root: str, batch_id: int) -> str:
     return f"{root.rstrip('/')}/batch={batch_id}"
 
 
-def seen_submissions(spark: SparkSession, keys_root: str, batch_id: int, days: int) -> DataFrame | None:
-    """Keys of submissions that earlier batches took within ``days`` (of arrival), or None."""
-    if not ledger.path_exists(spark, keys_root):
-        return None
-    keys = spark.read.schema("submission_key string, arrived_at timestamp, batch long").parquet(keys_root)
-    return keys.filter((F.col("batch") < batch_id)
-                       & (F.col("arrived_at") >= F.current_timestamp() - F.expr(f"INTERVAL {days} DAYS")))
-
-
 def assess_stream(spark: SparkSession, payload_dir: str, ledger_root: str, rejects_root: str,
                   checkpoint: str, p=P.DEFAULT_POLICY, once: bool = True, dedupe: bool = True,
                   repeat_days: int = 30, max_files: int | None = 10_000, index=None,
-                  completions: DataFrame | None = None) -> StreamingQuery:
+                  completions: DataFrame | None = None, multi_line: bool = True) -> StreamingQuery:
     """Z1 + Z2: every micro-batch of at most ``max_files`` payloads is assessed with the batch plan.
 
-    A batch is quarantined first (S4).  Of the valid rows, a submission that repeats one of the same
-    batch or of a batch of the last ``repeat_days`` goes to the rejects as well.  The rest is assessed
-    (with ``index`` and ``completions`` as in the batch job) and written under
-    ``<ledger>/batch=<id>/dt=...``; ids are ``batch id * 2^32`` plus the row's number."""
-    src = payload_stream(spark, payload_dir, max_files)
-    keys_root = f"{rejects_root.rstrip('/')}_submission_keys"
+    Rows are quarantined first (S4).  Of the valid rows, a submission that repeats one of the same
+    batch, or one taken in the last ``repeat_days`` (keyed state with a time to live: a batch reads the
+    state of its own keys only), goes to the rejects as well.  The rest is assessed (with ``index`` and
+    ``completions`` as in the batch job) and written under ``<ledger>/batch=<id>/dt=...``; ids are
+    ``batch id * 2^32`` plus the row's number.  ``multi_line``: one object per file, else one per line."""
+    src = payload_stream(spark, payload_dir, max_files, multi_line)
+    src = src.withColumn("reject_reasons", reject_reasons(src, p))
+    if dedupe:
+        key = F.when(F.size("reject_reasons") == 0, submission_key())
+        src = state.mark_repeats(src, key, "submitted_at", "payload_file", repeat_days)
+        src = src.withColumn("reject_reasons", F.when(F.col("repeated"), F.array(F.lit(DUPLICATE)))
+                             .otherwise(F.col("reject_reasons"))).drop("repeated")
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
         batch = batch.persist()
         try:
-            valid, rejected = quarantine(batch, p)
-            if dedupe:
-                seen = seen_submissions(session, keys_root, batch_id, repeat_days)
-                valid, repeated = split_duplicates(valid, seen, ["submitted_at", "payload_file"])
-                rejected = rejected.unionByName(repeated, allowMissingColumns=True)
-                (valid.select("submission_key", F.current_timestamp().alias("arrived_at"))
-                 .write.mode("overwrite").parquet(_batch_dir(keys_root, batch_id)))
-                valid = valid.drop("submission_key")
+            valid = batch.filter(F.size("reject_reasons") == 0).drop("reject_reasons", CORRUPT)
+            rejected = batch.filter(F.size("reject_reasons") > 0)
             # submitted_at rides along through the assessment: no join back by id
             out, none = assess_applications(valid, p, index, completions)
             ts = F.coalesce(F.col("submitted_at"), F.current_timestamp()).cast("timestamp_ntz")
@@ -85,7 +78,7 @@ def assess_stream(spark: SparkSession, payload_dir: str, ledger_root: str, rejec
 
     w = src.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if once else w.trigger(processingTime="30 seconds")
-    return w.start()
+    return state.start(w, spark)
 
 
 def read_stream_ledger(spark: SparkSession, ledger_root: str) -> DataFrame:
@@ -160,3 +153,28 @@ def fold_state(spark: SparkSession, changes_root: str, before: int) -> None:
     for b in batches:
         old = hadoop(f"{root}/batch={b}")
         old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+
+# --- A1, live -----------------------------------------------------------------------------------
+COUNT_GROUPS = ("system_recommendation", "underwriter_decision")
+
+
+def live_counts_stream(spark: SparkSession, ledger_dir: str, counts_root: str, checkpoint: str,
+                       once: bool = True) -> StreamingQuery:
+    """Each batch's changes of the counts by recommendation and decision go to ``<counts_root>/batch=<id>``, one row
+    per group it touched.  A retried batch starts from the same state and overwrites the same rows."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        moved = batch.groupBy(*COUNT_GROUPS).agg(F.sum("n").alias("n")).filter("n <> 0")
+        moved.coalesce(1).write.mode("overwrite").parquet(_batch_dir(counts_root, batch_id))
+
+    w = (state.count_changes(ledger_stream(spark, ledger_dir), *COUNT_GROUPS).writeStream
+         .foreachBatch(write).option("checkpointLocation", checkpoint))
+    w = w.trigger(availableNow=True) if once else w.trigger(processingTime="30 seconds")
+    return state.start(w, spark)
+
+
+def read_counts(spark: SparkSession, counts_root: str) -> DataFrame:
+    """Applications by recommendation and decision of their newest row (recommendation, decision, n)."""
+    columns = ", ".join(f"{g} string" for g in COUNT_GROUPS)
+    return (spark.read.schema(f"{columns}, n long, batch long").parquet(counts_root)
+            .groupBy(*COUNT_GROUPS).agg(F.sum("n").alias("n")).filter("n <> 0"))
