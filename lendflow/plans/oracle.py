@@ -465,6 +465,8 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY {fields}) AS rn FROM tagged
 SELECT application_id, CAST(requested_loan_amount AS DOUBLE) AS requested_loan_amount,
   CASE WHEN len(r) > 0 THEN array_to_string(r, ',') WHEN rn > 1 THEN 'duplicate_submission' ELSE 'ledger' END AS outcome
 FROM ranked""")
+    q["stream_submissions"] = f"""
+SELECT application_id, outcome, CAST(count(*) AS BIGINT) AS n FROM ({q["submission_split"]}) GROUP BY ALL"""
     q["ledger_round_trip"] = with_ctes(*ASSESSED, body=f"""
 SELECT CAST(7 AS BIGINT) * 4294967296 + row_number() OVER (ORDER BY application_id) - 1 AS event_id,
        'SYSTEM' AS event_type, *
@@ -545,6 +547,7 @@ SELECT CAST(count(*) AS BIGINT) AS total,
        CAST(count(*) FILTER (WHERE underwriter_decision IN ('APPROVED_OVERRIDE', 'AUTO_APPROVED')) AS BIGINT) AS approved,
        CAST(count(*) FILTER (WHERE underwriter_decision = 'DECLINED') AS BIGINT) AS declined
 FROM lat""")
+    q["live_counts"] = q["dashboard_counts"]
     for name, cond in (("pending", "underwriter_decision = 'PENDING_REVIEW'"),
                        ("approved", "contains(underwriter_decision, 'APPROVED')"),
                        ("declined", "underwriter_decision = 'DECLINED'")):

@@ -25,6 +25,7 @@ from lendflow.operators.pivots import pivot_knn
 from lendflow.session import checkpoint_dir, materialize, numbered
 from lendflow.sources import derived as D
 from lendflow.sources.payloads import quarantine as split_quarantine, split_duplicates, with_notes_default
+from lendflow.streaming import stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -200,6 +201,34 @@ def submission_split(spark, sf_dir):
     return out.withColumn("requested_loan_amount", F.col("requested_loan_amount").cast("double"))
 
 
+@query("stream_submissions")
+def stream_submissions(spark, sf_dir):
+    """S1 + S4 + Z1 + Z2: submissions written as JSON payloads in two rounds, each assessed as a stream on the state the
+    round before left; how many of an application's payloads went where."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
+    raw, led, rejects, state = (f"{root}/{x}" for x in ("raw", "ledger", "rejects", "state"))
+    sent = D.submissions(spark, sf_dir).withColumn("_round", F.pmod(F.xxhash64("application_id", F.monotonically_increasing_id()), F.lit(2)))
+    sent = materialize(sent, "sent")
+    for i in range(2):
+        sent.where(F.col("_round") == i).drop("_round").write.mode("append").json(raw)
+        stream.finish(stream.assess_stream(spark, raw, led, rejects, state, multi_line=False))
+    landed = ledger.read_ledger(spark, led).select("application_id", F.lit("ledger").alias("outcome"))
+    refused = (spark.read.schema("application_id string, reject_reasons array<string>").parquet(rejects)
+               .select("application_id", F.array_join("reject_reasons", ",").alias("outcome")))
+    return landed.unionByName(refused).groupBy("application_id", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("live_counts")
+def live_counts(spark, sf_dir):
+    """A1 + Z4: the ledger arrives in two rounds; the dashboard's counts from the signed changes of both."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
+    rows, counts = D.ledger(spark, sf_dir), f"{root}/counts"
+    for i in range(2):
+        rows.where(F.col("event_id") % 2 == i).write.mode("append").parquet(f"{root}/ledger")
+        stream.finish(stream.live_counts_stream(spark, f"{root}/ledger", counts, f"{root}/state"))
+    return dashboard.counts_of(stream.read_counts(spark, counts))
+
+
 @query("ledger_round_trip")
 def ledger_round_trip(spark, sf_dir):
     """K1 + K2 + U2: a run's ledger rows written to an own ledger, written again (a retry) and read back."""

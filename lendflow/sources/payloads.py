@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lendflow import params as P
+from lendflow.session import materialize
 from lendflow.sources.schemas import APP_SCHEMA
 
 CORRUPT = "_corrupt_record"
@@ -74,19 +75,14 @@ def submission_key() -> F.Column:
     return F.sha2(F.to_json(F.struct(*APP_SCHEMA.names)), 256)
 
 
-def split_duplicates(valid: DataFrame, seen: DataFrame | None = None, order=()):
-    """(first, repeated): the first row (by ``order``) of each submission that ``seen`` (column
-    submission_key) does not hold, and the rest with reject_reasons.  first + repeated = input; a changed
-    resubmission of an application is not a repeat."""
-    keyed = valid.withColumn("submission_key", submission_key())
-    rank = F.row_number().over(Window.partitionBy("submission_key").orderBy(*order or ["submission_key"]))
-    keyed = keyed.withColumn("_rank", rank)
-    if seen is None:
-        keyed = keyed.withColumn("_seen", F.lit(False))
-    else:
-        known = seen.select("submission_key").distinct().withColumn("_seen", F.lit(True))
-        keyed = keyed.join(known, "submission_key", "left")
-    repeat = (F.col("_rank") > 1) | F.coalesce("_seen", F.lit(False))
-    first = keyed.filter(~repeat).drop("_rank", "_seen")
-    repeated = keyed.filter(repeat).drop("_rank", "_seen").withColumn("reject_reasons", F.array(F.lit(DUPLICATE)))
-    return first, repeated
+def split_duplicates(valid: DataFrame, order=()):
+    """(first, repeated): the first row (by ``order``) of each submission, and the rest with reject_reasons.
+    first + repeated = input; a changed resubmission of an application is not a repeat.
+
+    Rows are numbered and written once.  The first of a submission is a partial aggregate, and rows meet the firsts by
+    their number, so a payload sent a million times is neither sorted nor gathered in one task."""
+    keyed = materialize(valid.withColumn("submission_key", submission_key())
+                        .withColumn("_row", F.monotonically_increasing_id()), "submissions")
+    first = keyed.groupBy("submission_key").agg(F.min_by("_row", F.struct(*order, "_row")).alias("_row")).select("_row")
+    repeated = keyed.join(first, "_row", "left_anti").withColumn("reject_reasons", F.array(F.lit(DUPLICATE)))
+    return keyed.join(first, "_row", "left_semi").drop("_row"), repeated.drop("_row")

@@ -81,6 +81,11 @@ def assess_stream(spark: SparkSession, payload_dir: str, ledger_root: str, rejec
     return state.start(w, spark)
 
 
+def finish(started: StreamingQuery) -> None:
+    """Waits for a stream that reads what is there; its fault is raised."""
+    started.awaitTermination()
+
+
 def read_stream_ledger(spark: SparkSession, ledger_root: str) -> DataFrame:
     """All ledger rows written by ``assess_stream``: the batch job's layout."""
     return ledger.read_ledger(spark, ledger_root)
