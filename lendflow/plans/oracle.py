@@ -382,7 +382,7 @@ SCENARIO_VALUES = None  # filled in oracle_sql from queries.SCENARIOS
 
 # --- queries -------------------------------------------------------------------------------------
 def oracle_sql() -> dict[str, str]:
-    from lendflow.plans.queries import KNN_K, LEXICAL_K, POINT_ID, RUN_TS, SCENARIOS
+    from lendflow.plans.queries import KNN_K, LEXICAL_K, POINT_ID, RUN_TS, SCENARIOS, SURFACE
     q: dict[str, str] = {}
     run_ts = f"TIMESTAMP '{RUN_TS.isoformat(sep=' ')}'"
 
@@ -616,9 +616,10 @@ SELECT application_id, {render_sql(P.SUMMARY_PROMPT_TEMPLATE, {"notes": notes})}
     q["cdr_expenses"] = with_ctes(APPS, body="""
 SELECT application_id, CAST(cdr_verified_expenses_monthly AS DOUBLE) AS cdr_verified_expenses_monthly FROM apps""")
 
-    values = ", ".join(f"({sid}, CAST({b} AS DOUBLE), CAST({lim} AS DOUBLE))" for sid, b, lim in SCENARIOS)
     p = P.DEFAULT_POLICY
-    q["stress_grid"] = with_ctes(APPS, f"""
+    for name, scenarios in (("stress_grid", SCENARIOS), ("stress_surface", SURFACE)):
+        values = ", ".join(f"({sid}, CAST({b} AS DOUBLE), CAST({lim} AS DOUBLE))" for sid, b, lim in scenarios)
+        q[name] = with_ctes(APPS, f"""
 sc(scenario_id, buffer, dti_limit) AS (VALUES {values}),
 x AS (
   SELECT sc.scenario_id, sc.buffer, sc.dti_limit,

@@ -428,6 +428,16 @@ def stress_grid(spark, sf_dir):
     return portfolio.stress_grid(D.applications(spark, sf_dir), SCENARIOS)
 
 
+# 50 buffers by 40 ceilings.
+SURFACE = tuple((i + 1, (i // 40) / 1000, 2.0 + (i % 40) / 4) for i in range(2000))
+
+
+@query("stress_surface")
+def stress_surface(spark, sf_dir):
+    """Breach counts of 2,000 stress scenarios by dominance counting."""
+    return portfolio.stress_surface(D.applications(spark, sf_dir), SURFACE)
+
+
 @query("breach_mix")
 def breach_mix(spark, sf_dir):
     """Breach codes by segment with rollup subtotals."""
