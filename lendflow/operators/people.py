@@ -162,8 +162,9 @@ def _occurrences(staged: DataFrame, trie: NameTrie, text: str, *keep: str) -> Da
         F.array_join(F.slice(ws, p["start"] + 1, p["n"]), " ").alias("person"))))[0]
     places = materialize(staged.where(F.size("places") > 0)
                          .select("rid", *[F.col(f"row.`{c}`").alias(c) for c in keep], F.inline(marked)), "places")
-    real = (places.select("person").distinct().join(trie.names.select("person"), "person", "left_semi")
-            .select("person", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
+    real = (places.select("person").distinct().join(trie.names.select("person").hint("merge"), "person", "left_semi")
+            .select("person", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+            .hint("merge"))                                  # Spark's estimate leaves the salts out: never broadcast
     return (places.withColumn("salt", F.pmod("rid", F.lit(SALTS)).cast("int"))
             .join(real, ["person", "salt"], "left_semi").drop("salt"))
 

@@ -119,3 +119,11 @@ def test_other_people_leave_notes_and_the_audit_sees_them(spark):
     found = {(r.column_name, r.leak_kind): (r.n_rows, r.n_checked)
              for r in privacy.leak_audit(rows, names, ["raw", "blank"]).collect()}
     assert found["raw", "OTHER_NAME"] == (2, 4) and found["blank", "OTHER_NAME"] == (0, 4)
+
+
+def test_no_part_of_the_directory_is_broadcast(spark):
+    names = [f"Customer#{i:09d}" for i in range(50)]
+    rows = spark.createDataFrame([(i, f"seen by {n}") for i, n in enumerate(names)], "id long, t string")
+    found = people.find_people(rows, _directory(spark, names), "t", ("id",))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 50
