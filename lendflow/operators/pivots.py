@@ -25,7 +25,7 @@ from lendflow.session import materialize
 MAX_PIVOTS = 256
 SLACK = 1e-9                 # of the largest distance: what rounding may take from a bound
 METRICS = ("l2", "cosine", "inner")
-_STEP = 1 << 22              # numbers in the work array of the plane bounds
+_STEP = 1 << 20              # numbers in the work array of the plane bounds
 
 
 def _squares(vec) -> F.Column:
