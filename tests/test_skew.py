@@ -102,3 +102,48 @@ def test_decision_burst_on_one_application(spark):
     passed, _ = decisions.gate(burst, led)
     first = passed.filter(F.col("application_id") == pend).orderBy("event_ts", "decision_id").first()
     assert rows[0].decision_id == first.decision_id               # the earliest valid one
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exact_join_ships_each_row_once(spark, monkeypatch):
+    from lendflow.operators import knn as module
+    rng = np.random.default_rng(8)
+    v = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rng.normal(size=(90, 4)))], "id long, vec array<double>")
+    met, meet = [], module.meet
+    monkeypatch.setattr(module, "meet", lambda *x: met.append(meet(*x)) or met[-1])
+    few = knn(v, v, 4, query_id="id", exclude_self=True).collect()
+    many = knn(v, v, 4, query_id="id", exclude_self=True, block_rows=7).collect()
+    assert sorted(many) == sorted(few) and len(few) == 360
+    assert all("CartesianProduct" in _plan(m) and "hashpartitioning" not in _plan(m) for m in met)
+
+
+def test_kernel_memory_does_not_follow_the_block_or_its_ties():
+    import tracemalloc
+    from lendflow.operators.knn import _topk_block
+    X = np.ones((2048, 64))
+    X[:200] = np.random.default_rng(1).normal(size=(200, 64))
+    ids = np.arange(len(X))
+    tracemalloc.start()
+    got = _topk_block(ids, X, ids, X, 3, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 3 * len(X) and list(got[got.query_id == 500].neighbor_id) == [200, 201, 202]
+    assert peak < 100 << 20, peak
+
+
+def test_hot_lsh_bucket_is_sent_a_bounded_number_of_times(spark):
+    from lendflow.operators import lsh
+    v = spark.createDataFrame([(i, [1.0, 2.0, float(i % 3)]) for i in range(400)], "id long, vec array<double>")
+    sent = []
+    asked, lsh.best_of = lsh.best_of, lambda *x: sent.append(x) or asked(*x)
+    try:
+        hits = lsh_knn(v, v, 3, query_id="id", corpus_id="id", exclude_self=True, bucket_length=100.0, block_rows=10)
+    finally:
+        lsh.best_of = asked
+    assert sent and "FlatMapCoGroups" not in _plan(hits)
+    got = {(r.query_id, r.rank): (r.neighbor_id, r.distance) for r in hits.collect()}
+    want = {(r.query_id, r.rank): (r.neighbor_id, r.distance) for r in knn(v, v, 3, query_id="id", exclude_self=True).collect()}
+    assert got == want and len(got) == 1200
