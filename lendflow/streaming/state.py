@@ -1,8 +1,8 @@
 """Keyed state with a time to live: submissions already taken (Z2) and counts that follow each change (A1).
 
-Both processors see one key at a time and hold one row of it, however many rows a batch brings.  Rows that cannot
-matter to a key's state leave before the shuffle: within an Arrow batch only the leading row of a key goes to it, so
-a key with a third of all rows costs its task one row per Arrow batch.  State lives in RocksDB, versioned by batch: a
+The processors hold one row of a key, however many rows a batch brings: the counts see one key at a time, the
+submissions a cell of keys.  Rows that cannot matter to a key's state leave before the shuffle: within an Arrow batch
+only the leading row of a key goes to it, so a key with a third of all rows costs its task one row per Arrow batch.  State lives in RocksDB, versioned by batch: a
 batch that is tried again starts from the state the batch before it left.
 """
 
@@ -20,6 +20,12 @@ from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulP
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DAY_MS = 86_400_000
 LEADS = -1
+CELLS = 1 << 15                      # groups that the keys taken are kept in
+MOST_LISTS = 64                      # entries of a cell's list before they become one
+
+# Rows as text and back without loss.
+_EXACT = {"mode": "FAILFAST", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+          "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "maxStringLen": str(2**31 - 1)}
 
 
 def start(writer: DataStreamWriter, spark: SparkSession) -> StreamingQuery:
@@ -61,51 +67,90 @@ def leading(key: Column, order: list[Column], newest: bool = False) -> Column:
 
 # --- Z2: submissions already taken --------------------------------------------------------------------
 class FirstSubmission(StatefulProcessor):
-    """Tells the first row of a key from its repeats; the key is forgotten ``days`` after it was taken."""
+    """Tells the first row of a key from its repeats, a cell of keys at a time; a key is forgotten ``days`` after it
+    was taken.  A call of the state store costs far more than a key, so a cell's keys share its calls: what a batch
+    takes is one entry of the cell's list, 40 bytes a key (digest, and until when it is known)."""
+
+    ENTRY = np.dtype([("digest", "V32"), ("until", "<i8")])
 
     def __init__(self, days: float):
-        self.days = days
+        self.ttl = int(days * DAY_MS)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.taken = handle.getValueState("taken", "yes boolean", int(self.days * DAY_MS))
+        self.taken = handle.getListState("taken_keys", "entries binary", self.ttl)
+
+    def _known(self, now: int) -> tuple[np.ndarray, int]:
+        """The entries that still hold, and how many list entries they came from."""
+        lists = [entries for (entries,) in self.taken.get()]
+        known = np.frombuffer(b"".join(lists), self.ENTRY)
+        return known[known["until"] > now], len(lists)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        known, first = self.taken.exists(), None
-        for row in rows:
-            if row.place != LEADS or known:
-                yield Row(row=row.row, repeated=row.keyed)
-            elif first is None or (row.at, row.nth) < (first.at, first.nth):
+        now = timerValues.getCurrentProcessingTimeInMs()
+        marked, entries, lists, known, firsts = Row("row", "repeated"), None, 0, set(), {}
+        for row, lead, _ in rows:
+            if not lead:
+                yield marked(row, lead is not None)
+                continue
+            if entries is None:
+                entries, lists = self._known(now)
+                known = set(entries["digest"].tolist())
+            digest, order = lead[:32], lead[32:]
+            first = firsts.get(digest)
+            if digest in known:
+                yield marked(row, True)
+            elif first is None or order < first[0]:
                 if first is not None:
-                    yield Row(row=first.row, repeated=True)
-                first = row
+                    yield marked(first[1], True)
+                firsts[digest] = order, row
             else:
-                yield Row(row=row.row, repeated=True)
-        if first is not None:
-            self.taken.update((True,))
-            yield Row(row=first.row, repeated=False)
+                yield marked(row, True)
+        if firsts:
+            new = np.zeros(len(firsts), self.ENTRY)
+            new["digest"] = np.frombuffer(b"".join(firsts), "V32")
+            new["until"] = now + self.ttl
+            if lists < MOST_LISTS:
+                self.taken.appendValue((new.tobytes(),))
+            else:                                    # many small batches: their entries become one
+                self.taken.put([(np.concatenate([entries, new]).tobytes(),)])
+        for _, row in firsts.values():
+            yield marked(row, False)
 
     def close(self) -> None:
         pass
 
 
-def mark_repeats(stream: DataFrame, key: Column, at: str, nth: str, days: float) -> DataFrame:
+def mark_repeats(stream: DataFrame, key: Column, at: str, nth: str, days: float, cells: int = CELLS) -> DataFrame:
     """The rows of a stream with ``repeated``: whether an earlier row (by the timestamp ``at``, then ``nth``) of the
     batch, or any row taken by a batch of the last ``days``, has the same key.  Rows with a null key are never
-    repeats and keep no state.  No row is dropped."""
+    repeats and keep no state.  No row is dropped.
+
+    Keys are kept in ``cells`` groups, by hash.  A batch reads the cells of its own keys: a stream that keeps some
+    hundred million keys or more in small batches wants more cells (fixed for the life of its checkpoint)."""
     names = stream.columns
+    types = [T.LongType() if isinstance(f.dataType, T.TimestampType) else f.dataType for f in stream.schema]
     zoned = [f.name for f in stream.schema if isinstance(f.dataType, T.TimestampType)]
-    # Times travel as microseconds: Python would read them in its own zone.
-    packed = F.struct(*[(F.unix_micros(f"`{c}`") if c in zoned else F.col(f"`{c}`")).alias(c) for c in names])
-    rows = stream.select(packed.alias("row"), key.alias("key"), F.coalesce(F.unix_micros(at), F.lit(0)).alias("at"),
+    # A row travels as one string, its times as microseconds, and its key and order as one: Python takes it apart
+    # value by value otherwise.
+    packed = F.struct(*[(F.unix_micros(f"`{c}`") if c in zoned else F.col(f"`{c}`")).alias(f"c{i}")
+                        for i, c in enumerate(names)])
+    rows = stream.select(F.to_json(packed, _EXACT).alias("row"), key.cast("string").alias("key"),
+                         F.coalesce(F.unix_micros(at), F.lit(0)).alias("at"),
                          F.coalesce(F.col(nth).cast("string"), F.lit("")).alias("nth"))
     rows = rows.withColumn("place", leading(F.col("key"), [F.col("at"), F.col("nth")]))
-    spread = F.concat_ws(" ", F.lit(""), "nth", "place")                # rows that need no state go anywhere
-    rows = rows.select("row", "at", "nth", "place", F.col("key").isNotNull().alias("keyed"),
-                       F.when(F.col("place") == LEADS, F.col("key").cast("string")).otherwise(spread).alias("state_key"))
-    out = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("repeated", T.BooleanType())])
-    marked = rows.groupBy("state_key").transformWithState(FirstSubmission(days), out, "append", "ProcessingTime")
-    return marked.select(*[(F.timestamp_micros(F.col(f"row.`{c}`")) if c in zoned else F.col(f"row.`{c}`")).alias(c)
-                           for c in names], "repeated")
+    leads = F.col("place") == LEADS
+    at_bytes = F.unhex(F.lpad(F.hex(F.col("at").bitwiseXOR(F.lit(-1 << 63))), 16, "0"))        # in the order of ``at``
+    lead = F.when(leads, F.concat(F.unhex(F.sha2("key", 256)), at_bytes, F.encode("nth", "UTF-8"))).when(
+        F.col("key").isNotNull(), F.lit(b""))
+    spread = F.xxhash64("nth", "place")                                 # rows that need no state go anywhere
+    rows = rows.select("row", lead.alias("lead"),
+                       F.pmod(F.when(leads, F.xxhash64("key")).otherwise(spread), F.lit(cells)).alias("cell"))
+    out = T.StructType([T.StructField("row", T.StringType()), T.StructField("repeated", T.BooleanType())])
+    marked = rows.groupBy("cell").transformWithState(FirstSubmission(days), out, "append", "ProcessingTime")
+    schema = T.StructType([T.StructField(f"c{i}", t) for i, t in enumerate(types)])
+    marked = marked.select(F.from_json("row", schema, _EXACT).alias("row"), "repeated")
+    return marked.select(*[(F.timestamp_micros(F.col(f"row.c{i}")) if c in zoned else F.col(f"row.c{i}")).alias(c)
+                           for i, c in enumerate(names)], "repeated")
 
 
 # --- A1: counts that follow each change -----------------------------------------------------------------

@@ -2,8 +2,11 @@
 
 import datetime as dt
 import time
+from decimal import Decimal as D
+from types import SimpleNamespace
 
 import pyarrow as pa
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lendflow.operators import dashboard, ledger
@@ -63,6 +66,73 @@ def test_a_key_is_forgotten(spark, tmp_path):
     assert seen == [False, False]
 
 
+class _Cell:
+    """One cell's list as a handle and a state of it; counts the calls."""
+
+    def __init__(self):
+        self.entries, self.calls = [], 0
+
+    def getListState(self, name, schema, ttl):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return iter(list(self.entries))
+
+    def appendValue(self, value):
+        self.calls += 1
+        self.entries.append(value)
+
+    def put(self, values):
+        self.calls += 1
+        self.entries = list(values)
+
+
+def test_keys_of_a_cell_share_the_calls_of_the_state_store():
+    cell, days = _Cell(), 1000 / state.DAY_MS
+    first = state.FirstSubmission(days)
+    first.init(cell)
+    rows = Row("row", "lead", "cell")
+
+    def batch(now, *marks):
+        leads = [rows(f"{k}/{order}", bytes([k]) + bytes(31) + order.encode(), 0) for k, order in marks]
+        clock = SimpleNamespace(getCurrentProcessingTimeInMs=lambda: now)
+        return sorted(r.row for r in first.handleInputRows((0,), iter(leads), clock) if not r.repeated)
+
+    assert batch(0, *[(k, o) for k in range(200) for o in "ba"]) == sorted(f"{k}/a" for k in range(200))
+    assert cell.calls == 2                                           # one read, one write: not some for every key
+    for i in range(2 * state.MOST_LISTS):                            # many small batches: the list stays short
+        assert batch(1 + i, (200, "x"), (3, "x"), (100, "y")) == (["200/x"] if i == 0 else [])
+        assert batch(1 + i, (201 + i % 50, "x")) == ([f"{201 + i}/x"] if i < 50 else [])
+    for i in range(2 * state.MOST_LISTS):
+        batch(2000 * (i + 1), (i, "z"))
+    assert len(cell.entries) <= state.MOST_LISTS
+    assert all(len(e) // 40 <= 2 for (e,) in cell.entries[1:])
+    now = 4000 * state.MOST_LISTS
+    assert batch(now + 999, (127, "q"), (1, "q")) == ["1/q"] and batch(now + 1000, (127, "q"), (1, "q")) == ["127/q"]
+
+
+def test_rows_keep_their_values(spark, tmp_path):
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    schema = ("k string, at timestamp, n timestamp_ntz, d decimal(18,2), r decimal(9,6), x double, big bigint, b boolean, "
+              "day date, raw binary, list array<string>, `_corrupt_record` string, `_CORRUPT_record2` string")
+    late = T0 + dt.timedelta(microseconds=123456)
+    rows = [("a", late, late, D("9999999999999999.99"), D("0.063500"), 0.1, 2**63 - 1, True, T0.date(), b"\x00\xff",
+             ["x", None, ""], '{ "a": "\\u00e9\n\u2028 \u20ac" ', ""),
+            ("a", None, None, None, None, float("inf"), None, None, None, None, None, None, None),
+            (None, T0, T0, D("-0.10"), D("-0.030000"), -0.0, -2**63, False, T0.date(), b"", [], "\t\x00", "null")]
+    df = spark.createDataFrame(rows, schema)
+    df.write.parquet(src)
+    marked = state.mark_repeats(spark.readStream.schema(schema).parquet(src), F.col("k"), "at", "d", 30, cells=1)
+    assert [(f.name, f.dataType) for f in marked.schema][:-1] == [(f.name, f.dataType) for f in df.schema]
+    state.start(marked.writeStream.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(out)).option(
+        "checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True), spark).awaitTermination(100)
+    got = spark.read.parquet(out)
+    assert sorted(map(str, got.drop("repeated").collect())) == sorted(map(str, df.collect()))
+    assert sorted(str((r.k, r.at is None, r.repeated)) for r in got.collect()) == [
+        "('a', False, True)", "('a', True, False)", "(None, False, False)"]
+
+
 def _event(i, app, day, decision, recommendation="R"):
     ts = None if day is None else T0 + dt.timedelta(days=day)
     return (i, "SYSTEM", app, "p", recommendation, 1.0, 1.0, "NONE", "u", decision, "n", ts, None)
