@@ -24,7 +24,8 @@ from lendflow.session import materialize
 WORD, BREAK = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]+"
 MIN_BITS, MAX_BITS = 15, 28              # powers of two
 BITS_PER_STATE = 16
-SALTS = 32                               # parts that the places of one name are spread over
+SALTS = 32                               # parts that the places of a frequent name are spread over
+FREQUENT, MOST_FREQUENT = 1 << 14, 1000  # a name with so many places, and one in so many of all places, is frequent
 
 _BLOCK = 15                              # 2^15 bits to a row of Spark's bitmap aggregate
 _STEP, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -154,49 +155,76 @@ def _staged(rows: DataFrame, trie: NameTrie, text: str) -> DataFrame:
                                    trie.spans(f"`{text}`").alias("places")), "people")
 
 
-def _occurrences(staged: DataFrame, trie: NameTrie, text: str, *keep: str) -> DataFrame:
-    """(rid, start, n, person) and the kept columns of every occurrence of a name."""
+def _salts(persons: DataFrame) -> tuple[Column, Column]:
+    """For the columns person and rid the part that a place goes to, and the parts that its name goes to: one, but for
+    the frequent names (at most ``MOST_FREQUENT``, found by their counts)."""
+    total = persons.agg(F.coalesce(F.sum("places"), F.lit(0))).first()[0]
+    frequent = persons.where(F.col("places") > max(FREQUENT, total // MOST_FREQUENT))
+    names = [r[0] for r in frequent.select(F.xxhash64("person")).collect()]
+    spread = F.xxhash64("person").isin(names) if names else F.lit(False)
+    return (F.when(spread, F.pmod("rid", F.lit(SALTS)).cast("int")).otherwise(0),
+            F.when(spread, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+
+
+def _occurrences(staged: DataFrame, trie: NameTrie, text: str, *keep: str, wanted: Column | None = None) -> DataFrame:
+    """(rid, start, n, person) and the kept columns of every occurrence of a name, of those ``wanted`` (a condition on
+    these columns) only."""
     # The outer transform binds the words once for all places of a text.
     marked = F.transform(F.array(words(f"row.`{text}`")), lambda ws: F.transform("places", lambda p: F.struct(
         p["start"].alias("start"), p["n"].alias("n"),
         F.array_join(F.slice(ws, p["start"] + 1, p["n"]), " ").alias("person"))))[0]
-    places = materialize(staged.where(F.size("places") > 0)
-                         .select("rid", *[F.col(f"row.`{c}`").alias(c) for c in keep], F.inline(marked)), "places")
-    real = (places.select("person").distinct().join(trie.names.select("person").hint("merge"), "person", "left_semi")
-            .select("person", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    places = (staged.where(F.size("places") > 0)
+              .select("rid", *[F.col(f"row.`{c}`").alias(c) for c in keep], F.inline(marked)))
+    places = materialize(places if wanted is None else places.where(wanted), "places")
+    persons = materialize(places.groupBy("person").agg(F.count(F.lit(1)).alias("places")), "persons")
+    part, parts = _salts(persons)
+    real = (persons.join(trie.names.select("person").hint("merge"), "person", "left_semi")
+            .select("person", F.explode(parts).alias("salt"))
             .hint("merge"))                                  # Spark's estimate leaves the salts out: never broadcast
-    return (places.withColumn("salt", F.pmod("rid", F.lit(SALTS)).cast("int"))
-            .join(real, ["person", "salt"], "left_semi").drop("salt"))
+    return places.withColumn("salt", part).join(real, ["person", "salt"], "left_semi").drop("salt")
 
 
 def find_people(rows: DataFrame, directory: DataFrame, text: str, keep=(), name: str = "real_name",
-                trie: NameTrie | None = None) -> DataFrame:
+                trie: NameTrie | None = None, wanted: Column | None = None) -> DataFrame:
     """Every occurrence of every directory name in ``text``: (rid, the columns of ``keep``, start, n, person),
     start and n in words, rid a number of the row.  Overlapping occurrences all count.  Null and empty texts and
-    names without a word give none; a name that stands twice in the directory is one name."""
+    names without a word give none; a name that stands twice in the directory is one name.  ``wanted``, a condition on
+    the columns of the result, leaves out others before they meet the names."""
     trie = trie or NameTrie(directory, name)
     if not trie.longest:
         return rows.limit(0).select(F.lit(0).cast("long").alias("rid"), *[f"`{c}`" for c in keep],
                                     F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit("").alias("person"))
-    return _occurrences(_staged(rows, trie, text), trie, text, *keep)
+    return _occurrences(_staged(rows, trie, text), trie, text, *keep, wanted=wanted)
 
 
 def _rebuilt(texts: pa.Array, sizes: pa.Array, leads: pa.Array, spans: pa.Array) -> pa.Array:
     """Texts with every stretch of overlapping occurrences replaced.  ``sizes``: code points of the words and of what is
     between them, in turn; ``leads``: whether a word comes first."""
+    if not len(texts):
+        return pa.array([], pa.string())
+
+    def flat(lists):
+        return lists.to_numpy(zero_copy_only=False).astype(np.int64)
+
+    base = np.concatenate(([0], np.cumsum(flat(sizes.value_lengths()))))            # the first piece of each text
+    ahead = np.concatenate(([0], np.cumsum(flat(sizes.flatten()))))                 # code points before each piece
+    text_of = np.repeat(np.arange(len(texts)), flat(spans.value_lengths()))
+    marks = spans.flatten()
+    lo = (base[:-1] + 1 - flat(leads))[text_of] + 2 * flat(marks.field("start"))    # pieces of an occurrence: lo up to hi
+    hi = lo + 2 * flat(marks.field("n")) - 1
+    order = np.argsort(lo, kind="stable")
+    lo, hi, text_of = lo[order], np.maximum.accumulate(hi[order]), text_of[order]
+    first = np.flatnonzero(np.concatenate(([True], lo[1:] >= hi[:-1])) if len(lo) else np.zeros(0, bool))
+    text_of, lo, hi = text_of[first], lo[first], hi[np.append(first[1:], len(hi)) - 1]
+    start = ahead[base[text_of]]
+    lows, highs = (ahead[lo] - start).tolist(), (ahead[hi] - start).tolist()
+    stretches = np.searchsorted(text_of, np.arange(len(texts) + 1)).tolist()
     out = []
-    for text, size, lead, places in zip(texts, sizes, leads, spans):
-        text, first, new, done = text.as_py(), 0 if lead.as_py() else 1, [], 0
-        ends = np.concatenate(([0], np.cumsum(size.values.to_numpy(zero_copy_only=False))))
-        stretches = []
-        for place in sorted((p["start"], p["start"] + p["n"]) for p in places.as_py()):
-            if stretches and place[0] < stretches[-1][1]:
-                stretches[-1][1] = max(stretches[-1][1], place[1])
-            else:
-                stretches.append(list(place))
-        for lo, hi in stretches:
-            new += [text[done:ends[first + 2 * lo]], P.MASKED_PERSON]
-            done = ends[first + 2 * hi - 1]
+    for text, i, j in zip(texts.to_pylist(), stretches, stretches[1:]):
+        new, done = [], 0
+        for k in range(i, j):
+            new += (text[done:lows[k]], P.MASKED_PERSON)
+            done = highs[k]
         out.append("".join(new) + text[done:])
     return pa.array(out, pa.string())
 
@@ -227,14 +255,19 @@ def mask_people(rows: DataFrame, directory: DataFrame, text: str, name: str = "r
     return back(staged.where(F.size("places") == 0), old).union(back(chance, old)).union(back(touched, masked))
 
 
-def people_leaks(rows: DataFrame, directory: DataFrame, text_columns, name: str = "real_name") -> DataFrame:
+def people_leaks(rows: DataFrame, directory: DataFrame, text_columns, name: str = "real_name",
+                 own: str | None = None) -> DataFrame:
     """(column_name, n_rows): per text column the rows (``application_id`` tells whose) that hold a directory
-    name which is no part of the application's own.  Columns without such a row are absent."""
-    own = directory.select("application_id", person_key(f"`{name}`").alias("own"))
-    stacked = (rows.join(own, "application_id", "left")
-               .select("own", F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("text"))
-                                                 for c in text_columns]))))
-    found = find_people(stacked, directory, "text", ("column_name", "own"), name)
+    name which is no part of the application's own (the column ``own`` of the rows, when they have met the directory
+    already).  Columns without such a row are absent."""
+    if own is None:
+        own = "_own"
+        rows = rows.join(directory.select("application_id", F.col(f"`{name}`").alias(own)), "application_id", "left")
+    stacked = (rows.select(person_key(f"`{own}`").alias("own"),
+                           *[F.col(f"`{c}`").alias(f"_t{i}") for i, c in enumerate(text_columns)])
+               .select("own", F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"_t{i}").alias("text"))
+                                                 for i, c in enumerate(text_columns)]))))
     spaced = [F.concat(F.lit(" "), F.coalesce(c, F.lit("")), F.lit(" ")) for c in (F.col("own"), F.col("person"))]
-    return (found.where(~F.contains(*spaced)).select("column_name", "rid").distinct()
+    found = find_people(stacked, directory, "text", ("column_name", "own"), name, wanted=~F.contains(*spaced))
+    return (found.select("column_name", "rid").distinct()
             .groupBy("column_name").agg(F.count(F.lit(1)).alias("n_rows")))

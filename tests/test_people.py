@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from lendflow.functions.text import mask_pii
 from lendflow.operators import people, privacy
 
 SEED_WORDS = ["ann", "lee", "van", "der", "berg", "wei", "chen", "7", "o", "maria", "da", "silva", "zoë", "li"]
@@ -127,3 +128,60 @@ def test_no_part_of_the_directory_is_broadcast(spark):
     found = people.find_people(rows, _directory(spark, names), "t", ("id",))
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.count() == 50
+
+
+def test_only_frequent_names_are_spread(spark, monkeypatch):
+    # One name at most places, others once or twice: the frequent one alone is in 32 parts, with the same result.
+    names = [f"Customer#{i:09d}" for i in range(300)]
+    rows = spark.createDataFrame([(i, f"customer 000000007, {names[i % 300]}") for i in range(600)], "id long, t string")
+
+    def found():
+        return people.find_people(rows, _directory(spark, names), "t", ("id",))
+    want = sorted(map(tuple, found().drop("rid").collect()))
+    assert len(want) == 1200
+    monkeypatch.setattr(people, "FREQUENT", 100)
+    assert sorted(map(tuple, found().drop("rid").collect())) == want
+    persons = spark.createDataFrame([("a", 101, 40), ("b", 100, 40), ("c", 1, 7)], "person string, places long, rid long")
+    part, parts = people._salts(persons)
+    assert [tuple(r) for r in persons.select("person", part, F.size(parts)).collect()] == [("a", 8, 32), ("b", 0, 1), ("c", 0, 1)]
+    monkeypatch.setattr(people, "MOST_FREQUENT", 1)                # more than all places: none
+    assert [r[0] for r in persons.select(F.size(people._salts(persons)[1])).collect()] == [1, 1, 1]
+
+
+def test_the_audit_masks_and_joins_its_rows_once(spark):
+    """Rows of the audit are read twice; what made them runs once."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(x):
+        calls.add(1)
+        return x
+    rows = spark.createDataFrame([(f"A{i}", "by Ann Lee") for i in range(20)], "application_id string, raw string")
+    rows = rows.withColumn("notes", seen.asNondeterministic()("raw"))
+    names = _directory(spark, ["Ann Lee", "Wei Chen"])
+    got = {(r.column_name, r.leak_kind): r.n_rows for r in privacy.leak_audit(rows, names, ["raw", "notes"]).collect()}
+    assert got["notes", "OTHER_NAME"] == got["raw", "OTHER_NAME"] == 19 and got["notes", "NAME"] == 1
+    assert calls.value == 20
+
+
+PLAIN_PII = (("<EMAIL>", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}"),
+             ("<CARD>", r"(?<![0-9])[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}(?![0-9])"),
+             ("<PHONE>", r"(?<![0-9])(?:(?:[+]?[0-9]{1,2} ?)?[(][0-9]{3}[)] ?[0-9]{3}-[0-9]{4}"
+                         r"|(?:[+]?61 ?)?[(]0?[2378][)][ -]?[0-9]{4}[ -]?[0-9]{4}"
+                         r"|(?:[+]61 ?|0)[2378][ -]?[0-9]{4}[ -]?[0-9]{4}"
+                         r"|(?:[+]61 ?|0)4[0-9]{2}[ -]?[0-9]{3}[ -]?[0-9]{3}"
+                         r"|1[38]00[ -]?[0-9]{3}[ -]?[0-9]{3}|13 ?[0-9]{2} ?[0-9]{2})(?![0-9])"))
+
+
+def test_the_quicker_patterns_mask_what_the_plain_ones_do(spark):
+    rng = random.Random(7)
+    bits = ["a", "b.c", "x_y", "@", "@d.co", ".com", "1", "13", "1300", "0412", "345", "678", "(02)", "(555) ", "-", " ", "+61 ",
+            "4111", "1234", "é", "%", "a@b.co1x@d.com", "\n", "12 34", "61", "555-1234"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 14))) for _ in range(20_000)] + [None, ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("masked", mask_pii("t"))
+    plain = F.col("t")
+    for token, pattern in PLAIN_PII:
+        plain = F.regexp_replace(plain, pattern, token)
+    both = rows.withColumn("plain", plain).collect()
+    assert [r.masked for r in both] == [r.plain for r in both]
+    assert all(sum(token in (r.plain or "") for r in both) > 100 for token, _ in PLAIN_PII)
