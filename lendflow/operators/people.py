@@ -48,7 +48,7 @@ def person_key(x) -> Column:
 
 
 def _hashes(x) -> Column:
-    return F.transform(words(x), lambda w: F.xxhash64(w))
+    return F.transform(F.regexp_extract_all(_c(x), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(F.lower(w)))
 
 
 # --- the trie as a bitmap -----------------------------------------------------------------------------
