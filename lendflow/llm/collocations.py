@@ -13,7 +13,7 @@ is left whose bound reaches the threshold, nothing unexpanded can enter the list
 
 Two passes read the texts: one counts the words, one codes them (digests of the frequent words in order, a 0
 for each border of a piece and for each rarer word, which no candidate holds).  All later ones read the codes.  Their
-tasks emit one row per distinct phrase of a slice, summed before and after the shuffle, so a phrase held by a
+tasks emit one row per distinct phrase of some slices, summed before and after the shuffle, so a phrase held by a
 third of all rows costs a task one row.  Which phrases are frequent travels to the tasks as a bitmap of at
 most ``MOST_BITS`` bits; a bit set by another phrase only lets more be counted.  Words and phrases are told
 apart by 64-bit digests that begin with their language; two frequent ones under one digest raise an error.
@@ -38,6 +38,7 @@ SHARES = (1 / 8, 1.0)              # of a language's words that begin a phrase,
 MOST_BITS = 1 << 28
 STEP = 16                            # histogram cells a doubling
 SLICE_CODES = 1 << 18
+HELD_ROWS = 1 << 19                  # counts of slices that a task sums before they leave it
 
 _PIECE = np.zeros(256, dtype=bool)
 _PIECE[list(b".,;:!?\x0a\x0b\x0c\x0d")] = True
@@ -82,13 +83,36 @@ def _named(langs: list[str], codes: np.ndarray) -> pa.Array:
     return pa.DictionaryArray.from_arrays(pa.array(codes, pa.int32()), pa.array(langs, pa.string())).cast(pa.string())
 
 
-def _over_texts(docs: DataFrame, schema: str, work: Callable[..., pa.RecordBatch]) -> DataFrame:
+def _summed(counts: Iterator[pa.RecordBatch], most: int = HELD_ROWS) -> Iterator[pa.RecordBatch]:
+    """The rows of all slices of a task with equal ones (but for ``f``, the last column) summed, some ``most`` at a
+    time: a row costs more once it has left Python."""
+    def total(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        keys = held[0].schema.names[:-1]
+        sums = pa.Table.from_batches(held).group_by(keys, use_threads=False).aggregate([("f", "sum")])
+        return sums.select([*keys, "f_sum"]).rename_columns([*keys, "f"]).combine_chunks().to_batches()
+
+    held, rows = [], 0
+    for batch in counts:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < most:
+            continue
+        held = total(held)
+        rows = sum(b.num_rows for b in held)
+        if rows > most // 2:
+            yield from held
+            held, rows = [], 0
+    if held:
+        yield from total(held)
+
+
+def _over_texts(docs: DataFrame, schema: str, work: Callable[..., pa.RecordBatch], after=iter) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, raw, offsets in text_slices(batch, "body"):
                 coded = pc.dictionary_encode(batch.column("lang").slice(lo, hi - lo))
                 yield work(raw, offsets, coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False))
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lambda batches: after(run(batches)), schema)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -100,7 +124,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             [_named(langs, lang_of[row[first]]), pa.array(keys.view(np.int64)),
              _gathered(raw, starts[first], ends[first]).cast(pa.string()), pa.array(count.astype(np.int64))],
             names=["lang", "key", "word", "f"])
-    return _over_texts(docs, WORDS, work).groupBy("lang", "key", "word").agg(F.sum("f").alias("f"))
+    return _over_texts(docs, WORDS, work, _summed).groupBy("lang", "key", "word").agg(F.sum("f").alias("f"))
 
 
 def coded(docs: DataFrame, words_in: Members) -> DataFrame:
@@ -175,7 +199,7 @@ class Members:
         return (bit & 1).astype(bool)
 
 
-def _over_codes(codes: DataFrame, schema: str, work: Callable[[Codes], pa.RecordBatch]) -> DataFrame:
+def _over_codes(codes: DataFrame, schema: str, work: Callable[[Codes], pa.RecordBatch], after=iter) -> DataFrame:
     """``work`` on texts of about ``SLICE_CODES`` codes at a time (a longer text: alone)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,7 +212,7 @@ def _over_codes(codes: DataFrame, schema: str, work: Callable[[Codes], pa.Record
                 hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + SLICE_CODES, side="right")) - 1)
                 yield work(Codes(body[offsets[lo]:offsets[hi]], offsets[lo:hi] - offsets[lo], names, lang_of[lo:hi]))
                 lo = hi
-    return codes.mapInArrow(run, schema)
+    return codes.mapInArrow(lambda batches: after(run(batches)), schema)
 
 
 def _tally(codes: DataFrame, chosen: Callable[[Codes], Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
@@ -198,7 +222,7 @@ def _tally(codes: DataFrame, chosen: Callable[[Codes], Iterator[tuple[np.ndarray
         unique, first, count = np.unique(keys, return_index=True, return_counts=True)
         return pa.RecordBatch.from_arrays([part.lang(at[first]), pa.array(unique.view(np.int64)),
                                            pa.array(count.astype(np.int64))], names=["lang", "key", "f"])
-    return _over_codes(codes, COUNTS, work).groupBy("lang", "key").agg(F.sum("f").alias("f"))
+    return _over_codes(codes, COUNTS, work, _summed).groupBy("lang", "key").agg(F.sum("f").alias("f"))
 
 
 def grown(codes: DataFrame, sizes: tuple[int, ...], starts_in: Members, prefixes_in: Members | None) -> DataFrame:

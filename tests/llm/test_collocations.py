@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from conftest import SF01
@@ -117,3 +118,22 @@ def test_empty_tables_and_clashing_names(spark, docs, empty, corpus):
 def test_query_equals_its_sql(spark):
     r = compare(spark, SF01, "op12_collocations", op12_collocations, SQL["op12_collocations"], duck_connection(SF01))
     assert r["status"] == "ok", r
+
+
+def test_slices_of_a_task_are_summed_before_they_leave_it():
+    rng, want, batches = random.Random(3), Counter(), []
+    for _ in range(60):
+        rows = Counter((rng.choice([None, "en", "de"]), rng.randint(0, 40)) for _ in range(50))
+        want.update(rows)
+        batches.append(pa.RecordBatch.from_pydict({"lang": [k[0] for k in rows], "key": [k[1] for k in rows],
+                                                   "f": list(rows.values())}))
+    for most, at_most in ((1, 60 * 50), (200, 60 * 50 // 2), (10_000, len(want))):
+        out, got = list(collocations._summed(iter(batches), most)), Counter()
+        assert all(b.schema == batches[0].schema for b in out) and sum(b.num_rows for b in out) <= at_most
+        for b in out:
+            for r in b.to_pylist():
+                got[r["lang"], r["key"]] += r["f"]
+        assert got == want
+    assert list(collocations._summed(iter([]))) == []
+    empty = batches[0].slice(0, 0)
+    assert sum(b.num_rows for b in collocations._summed(iter([empty, empty]))) == 0
