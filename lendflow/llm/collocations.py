@@ -12,7 +12,8 @@ prefix is frequent, its last word is frequent and its first word is on the front
 is left whose bound reaches the threshold, nothing unexpanded can enter the list, nor tie with its end.
 
 Two passes read the texts: one counts the words, one codes them (digests of the frequent words in order, a 0
-for each border of a piece and for each rarer word, which no candidate holds).  All later ones read the codes.  Their
+for each border of a piece and for each rarer word, which no candidate holds).  All later ones read the codes, cut at
+borders into short rows: Arrow takes rows by their number, on both sides of a worker's pipe.  Their
 tasks emit one row per distinct phrase of some slices, summed before and after the shuffle, so a phrase held by a
 third of all rows costs a task one row.  Which phrases are frequent travels to the tasks as a bitmap of at
 most ``MOST_BITS`` bits; a bit set by another phrase only lets more be counted.  Words and phrases are told
@@ -37,8 +38,10 @@ NO_LANG = "und"
 SHARES = (1 / 8, 1.0)              # of a language's words that begin a phrase, by round
 MOST_BITS = 1 << 28
 STEP = 16                            # histogram cells a doubling
+ROW_CODES = 1 << 7                   # codes in a row, or a little more: up to its next border
 SLICE_CODES = 1 << 18
 HELD_ROWS = 1 << 19                  # counts of slices that a task sums before they leave it
+OUT_ROWS = 1 << 15                   # rows that leave a task at a time
 
 _PIECE = np.zeros(256, dtype=bool)
 _PIECE[list(b".,;:!?\x0a\x0b\x0c\x0d")] = True
@@ -98,6 +101,7 @@ def _summed(counts: Iterator[pa.RecordBatch], most: int = HELD_ROWS) -> Iterator
         if rows < most:
             continue
         held = total(held)
+        pa.default_memory_pool().release_unused()
         rows = sum(b.num_rows for b in held)
         if rows > most // 2:
             yield from held
@@ -106,13 +110,22 @@ def _summed(counts: Iterator[pa.RecordBatch], most: int = HELD_ROWS) -> Iterator
         yield from total(held)
 
 
+def _handed_on(out: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``out`` by at most ``OUT_ROWS`` rows.  A worker lives on after its task: it keeps no freed memory."""
+    for batch in out:
+        for lo in range(0, batch.num_rows, OUT_ROWS):
+            yield batch.slice(lo, OUT_ROWS)
+    batch = None
+    pa.default_memory_pool().release_unused()
+
+
 def _over_texts(docs: DataFrame, schema: str, work: Callable[..., pa.RecordBatch], after=iter) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, raw, offsets in text_slices(batch, "body"):
                 coded = pc.dictionary_encode(batch.column("lang").slice(lo, hi - lo))
                 yield work(raw, offsets, coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False))
-    return docs.mapInArrow(lambda batches: after(run(batches)), schema)
+    return docs.mapInArrow(lambda batches: _handed_on(after(run(batches))), schema)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -128,7 +141,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def coded(docs: DataFrame, words_in: Members) -> DataFrame:
-    """(lang, codes) of every text that holds a frequent word: their digests, and single 0s for what lies between."""
+    """(lang, codes) of every text that holds a frequent word: their digests, and single 0s for what lies between.  A
+    long text has several rows; each begins with a 0."""
     def work(raw, offsets, langs, lang_of):
         words, starts, _, row, first = _digests(raw, offsets, langs, lang_of)
         n = len(words)
@@ -142,15 +156,19 @@ def coded(docs: DataFrame, words_in: Members) -> DataFrame:
         codes = np.zeros(int(size.sum()), np.uint64)
         codes[at] = words[kept]
         filled = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(kept, first)]
-        rows = np.flatnonzero(np.diff(filled))
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([filled[rows], filled[-1:]]), pa.int32()),
+        border = np.flatnonzero(codes == 0)
+        text = np.searchsorted(filled, border, side="right") - 1
+        block = (border - filled[text]) // ROW_CODES
+        cut = np.ones(len(border), dtype=bool)
+        cut[1:] = (text[1:] != text[:-1]) | (block[1:] != block[:-1])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(border[cut], len(codes)), pa.int32()),
                                          pa.array(codes.view(np.int64)))
-        return pa.RecordBatch.from_arrays([_named(langs, lang_of[rows]), lists], names=["lang", "codes"])
+        return pa.RecordBatch.from_arrays([_named(langs, lang_of[text[cut]]), lists], names=["lang", "codes"])
     return _over_texts(docs, CODES, work)
 
 
 class Codes:
-    """The codes of some texts in one row; every text begins with a 0."""
+    """The codes of some rows after one another; every row begins with a 0."""
 
     def __init__(self, codes: np.ndarray, first: np.ndarray, langs: list[str], lang_of: np.ndarray):
         self.word, self.first, self.langs, self.lang_of = codes, first, langs, lang_of
@@ -182,14 +200,15 @@ class Members:
 
     @classmethod
     def of(cls, rows: DataFrame, key: str = "key") -> Members:
-        """The bitmap is filled by an aggregate, block by block; its bytes are what reaches the driver."""
+        """The bitmap is filled by an aggregate, block by block; its bytes, at most ``MOST_BITS`` / 8, are what reaches the
+        driver, by one job (an iterator would take a job a partition)."""
         count = rows.count()
         size = min(MOST_BITS, max(1 << 15, 1 << (16 * count - 1).bit_length()))
         place = F.col(key).bitwiseAND(F.lit(size - 1)) + 1
         blocks = (rows.select(F.bitmap_bucket_number(place).alias("b"), F.bitmap_bit_position(place).alias("p"))
                   .groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")))
         bits = np.zeros(size // 8, np.uint8)
-        for b, block in blocks.toLocalIterator():
+        for b, block in blocks.collect():
             bits[(b - 1) * 4096:b * 4096] = np.frombuffer(block, np.uint8)
         return cls(bits)
 
@@ -200,7 +219,7 @@ class Members:
 
 
 def _over_codes(codes: DataFrame, schema: str, work: Callable[[Codes], pa.RecordBatch], after=iter) -> DataFrame:
-    """``work`` on texts of about ``SLICE_CODES`` codes at a time (a longer text: alone)."""
+    """``work`` on rows of about ``SLICE_CODES`` codes at a time (a longer row: alone)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists, langs = batch.column("codes"), pc.dictionary_encode(batch.column("lang"))
@@ -212,7 +231,7 @@ def _over_codes(codes: DataFrame, schema: str, work: Callable[[Codes], pa.Record
                 hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + SLICE_CODES, side="right")) - 1)
                 yield work(Codes(body[offsets[lo]:offsets[hi]], offsets[lo:hi] - offsets[lo], names, lang_of[lo:hi]))
                 lo = hi
-    return codes.mapInArrow(lambda batches: after(run(batches)), schema)
+    return codes.mapInArrow(lambda batches: _handed_on(after(run(batches))), schema)
 
 
 def _tally(codes: DataFrame, chosen: Callable[[Codes], Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
@@ -272,7 +291,7 @@ def described(codes: DataFrame, most: int, members: Members, starts_in: Members)
             order = np.argsort(keys, kind="stable")
             at, keys = at[order], keys[order]
             cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            before = signed[at - 1]                          # a text begins with a border
+            before = signed[at - 1]                          # a row begins with a border
             after = np.where(part.room[at] == size, 0, signed[np.minimum(at + size, len(signed) - 1)])
             one = at[cut]
             for column, values in zip(columns, (

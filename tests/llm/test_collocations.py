@@ -115,11 +115,37 @@ def test_empty_tables_and_clashing_names(spark, docs, empty, corpus):
     assert sorted(tuple(r) for r in got.collect()) == brute([r[1:3] for r in corpus], 3, 5, 2000)
 
 
+def test_codes_stand_in_short_rows(spark):
+    """A long text has many rows, cut between its pieces: a batch of them stays small, and the answer is the same."""
+    rnd = random.Random(11)
+    def prose(pieces):
+        return ". ".join(" ".join(rnd.choice("a b c d e rare%d" % rnd.randrange(10**6)) if rnd.random() < 0.1 else rnd.choice("abcde")
+                                  for _ in range(rnd.randrange(1, 12))) for _ in range(pieces))
+    rows = [(1, prose(3000), "en", None), (2, prose(2), "fr", None), (3, "a", "en", None), (4, prose(900), None, None)]
+    docs = frame(spark, rows).selectExpr("coalesce(lang, 'und') AS lang", "text AS body").coalesce(1)
+    words = collocations.word_counts(docs).where("f >= 20")
+    codes = [(r.lang, r.codes) for r in collocations.coded(docs, collocations.Members.of(words)).collect()]
+    assert all(c[0] == 0 and len(c) <= collocations.ROW_CODES + 24 for _, c in codes)
+    assert {x for x, _ in codes} == {"en", "und"}               # the French text has no frequent word
+    occurrences = Counter((lang, key) for lang, c in codes for key in c if key)
+    assert {k: f for k, f in occurrences.items() if f >= 20} == {(r.lang, r.key): r.f for r in words.collect()}
+    assert mined(spark, rows, least=20, top=50) == brute([r[1:3] for r in rows], 20, 5, 50)
+
+
 def test_query_equals_its_sql(spark):
     r = compare(spark, SF01, "op12_collocations", op12_collocations, SQL["op12_collocations"], duck_connection(SF01))
     assert r["status"] == "ok", r
 
 
+def test_rows_leave_a_task_by_small_batches():
+    rows = 2 * collocations.OUT_ROWS + 5
+    batches = [pa.RecordBatch.from_pydict({"key": list(range(lo, hi)), "codes": [[k] for k in range(lo, hi)]})
+               for lo, hi in ((0, rows), (rows, rows + 1), (rows + 1, rows + 1))]
+    out = list(collocations._handed_on(iter(batches)))
+    assert max(b.num_rows for b in out) == collocations.OUT_ROWS
+    assert [r for b in out for r in b.to_pylist()] == [{"key": k, "codes": [k]} for k in range(rows + 1)]
+
+
 def test_slices_of_a_task_are_summed_before_they_leave_it():
     rng, want, batches = random.Random(3), Counter(), []
     for _ in range(60):
