@@ -8,8 +8,9 @@ bound does not exceed that.  Results equal ``knn``; how much is left out depends
 clustered vectors, none of vectors that are all about equally far apart.
 
 Other metrics become distances first (``metric_space``).  To the driver come only the pivots (at most
-``MAX_PIVOTS``) and one row of radii and counts per cell.  A cell is met in sub-blocks of ``block_rows`` rows, so a cell
-that holds most of the corpus is many tasks; queries are cut likewise.
+``MAX_PIVOTS``) and one row of radii and counts per cell.  Cells, and queries by the cell that seems nearest, are cut into
+blocks of ``block_rows`` rows, each written once as a row.  Blocks meet in a Cartesian product that reads both sides again, and only
+where a query of the one asks for the cell of the other: no vector is copied for every cell it meets.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendflow.operators.knn import KNN_SCHEMA, _kernel, top_k
+from lendflow.operators.knn import KNN_SCHEMA, best_of, meet, n_blocks, top_k
 from lendflow.session import materialize
 
 MAX_PIVOTS = 256
@@ -133,20 +134,20 @@ def _others(cells: _Cells):
 
 
 # --- join ---------------------------------------------------------------------------------------------
-def _meet(asked: DataFrame, rows: DataFrame, k: int, exclude_self: bool, block_rows: int) -> DataFrame:
-    """k best rows of each (query, cell) asked for, by sub-blocks of either side."""
-    nq = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias("nq"))
-    nc = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias("nc"))
-    sizes = nq.join(nc, "cell")
-    q = asked.join(sizes, "cell").select(
-        F.col("id").alias("qid"), "vec", "cell", F.pmod(F.xxhash64("id"), F.col("nq")).alias("qs"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("nc") - 1)).alias("cs"))
-    c = rows.join(sizes, "cell").select(
-        F.col("id").alias("cid"), "vec", "cell", F.pmod(F.xxhash64("id"), F.col("nc")).alias("cs"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq") - 1)).alias("qs"))
-    keys = ["cell", "qs", "cs"]
-    return (q.groupBy(*keys).cogroup(c.groupBy(*keys))
-            .applyInPandas(_kernel(k, exclude_self), schema=KNN_SCHEMA))
+def _block(cell, counts: dict[int, int], block_rows: int) -> F.Column:
+    """A row's block among those of its ``cell``, which holds so many rows: a hash of the id."""
+    blocks = F.array(*[F.lit(n_blocks(counts.get(i, 0), block_rows)) for i in range(max(counts, default=0) + 1)])
+    return F.pmod(F.xxhash64("id"), F.element_at(blocks, cell + 1))
+
+
+def _meet(asked: DataFrame, blocks: DataFrame, counts: dict[int, int], k: int, exclude_self: bool, block_rows: int) -> DataFrame:
+    """k best rows of the cells each query asks for.  ``asked``: (id, vec, home, want) and, if known, the bound."""
+    entry = F.struct("id", "vec", "want", *[c for c in ("bound",) if c in asked.columns])
+    home = F.col("home")[0]
+    rows = asked.where("size(want) > 0 AND size(home) > 0").groupBy(F.concat_ws(" ", home, _block(home, counts, block_rows)).alias("qb"))
+    rows = materialize(rows.agg(F.collect_list(entry).alias("q"), F.array_distinct(F.flatten(F.collect_list("want"))).alias("cells")), "query-blocks")
+    pairs = meet(rows, blocks, blocks.count()).where(F.array_contains("cells", F.col("cell")))
+    return pairs.select("qb", "q", "cell", "c").mapInArrow(best_of(k, exclude_self), KNN_SCHEMA)
 
 
 def pivot_search(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "query_id", query_vec: str = "vec",
@@ -177,15 +178,18 @@ def pivot_search(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str
     stats = rows.groupBy("cell").agg(F.min("d").alias("near"), F.max("d").alias("far"), F.count(F.lit(1)).alias("n"))
     cells = _Cells(points, stats.collect())
     asked = materialize(q.withColumn("home", F.arrow_udf(_homes(cells, k + int(exclude_self)), "array<int>")("vec")), "asked")
-    first = asked.select("id", "vec", F.explode("home").alias("cell"))
-    near = materialize(top_k(_meet(first, rows, k, exclude_self, block_rows), k), "near")
+    held = {i: int(n) for i, n in enumerate(cells.size)}
+    blocks = rows.groupBy("cell", _block(F.col("cell"), held, block_rows).alias("b")).agg(F.collect_list(F.struct("id", "vec")).alias("c"))
+    blocks = materialize(blocks.drop("b"), "cell-blocks")
+    homes = {r.home: r.n for r in asked.where("size(home) > 0").groupBy(F.col("home")[0].alias("home")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    first = asked.withColumn("want", F.col("home"))
+    near = materialize(top_k(_meet(first, blocks, homes, k, exclude_self, block_rows), k), "near")
     # A query that found fewer than k rows has no bound: it meets every cell.
     bound = near.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("distance").alias("bound"))
     rest = asked.join(bound, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
-    second = materialize(rest.withColumn("more", F.arrow_udf(_others(cells), "array<int>")("vec", "bound", "home"))
-                         .select("id", "vec", F.explode("more").alias("cell")), "more")
-    found = near.select("query_id", "neighbor_id", "distance").unionByName(_meet(second, rows, k, exclude_self, block_rows))
-    met = (first.select("cell").unionAll(second.select("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("q"))
+    second = materialize(rest.withColumn("want", F.arrow_udf(_others(cells), "array<int>")("vec", "bound", "home")), "more")
+    found = near.select("query_id", "neighbor_id", "distance").unionByName(_meet(second, blocks, homes, k, exclude_self, block_rows))
+    met = (first.select(F.explode("want").alias("cell")).unionAll(second.select(F.explode("want").alias("cell"))).groupBy("cell").agg(F.count(F.lit(1)).alias("q"))
            .join(stats.select("cell", "n"), "cell").select((F.col("q") * F.col("n")).alias("met"), F.lit(0).cast("long").alias("asked")))
     every = asked.select(F.lit(0).cast("long").alias("met"), F.lit(1).cast("long").alias("asked"))
     pairs = met.unionByName(every).agg(

@@ -66,3 +66,31 @@ def test_few_rows_and_none(spark):
     assert pivot_knn(df.limit(0), df, 2, query_id="id", metric="inner").collect() == []
     with pytest.raises(ValueError):
         pivot_knn(df, df, 2, query_id="id", metric="manhattan")
+
+
+@pytest.mark.parametrize("metric", ["cosine", "inner"])
+def test_vectors_are_not_copied_for_every_cell(spark, monkeypatch, metric):
+    """Each round writes a query once, whatever the number of cells and blocks it meets, and blocks meet without a shuffle."""
+    from lendflow.operators import pivots as module
+    X = np.random.default_rng(6).normal(size=(150, 6))
+    df = _frame(spark, X)
+    written, write, met, meet = [], module.materialize, [], module.meet
+    monkeypatch.setattr(module, "materialize", lambda d, tag: written.append((tag, write(d, tag))) or written[-1][1])
+    monkeypatch.setattr(module, "meet", lambda *x: met.append(meet(*x)) or met[-1])
+    hits = pivot_knn(df, df, 4, query_id="id", exclude_self=True, metric=metric, pivots=20, block_rows=5)
+    _same(hits, _brute(X, X, 4, metric, True))
+    rows = {"query-blocks": "q", "cell-blocks": "c"}
+    assert [t.selectExpr(f"sum(size({rows[tag]}))").first()[0] for tag, t in written if tag in rows] == [150] * 3
+    plans = [m._jdf.queryExecution().executedPlan().toString() for m in met]
+    assert len(plans) == 2 and all("CartesianProduct" in p and "hashpartitioning" not in p for p in plans)
+
+
+def test_bounds_of_a_block_lose_no_neighbour():
+    from lendflow.operators.knn import _nearest
+    rng = np.random.default_rng(9)
+    Q, C = rng.integers(0, 3, (40, 3)).astype(float), rng.integers(0, 3, (300, 3)).astype(float)
+    ids = np.arange(300)
+    want = _nearest(np.arange(40), Q, ids, C, 5, True)
+    kth = want[2].reshape(40, 5)[:, 4]
+    for bound in (kth, kth + 0.5, np.where(np.arange(40) % 2, kth, np.inf)):
+        assert all((a == b).all() for a, b in zip(want, _nearest(np.arange(40), Q, ids, C, 5, True, bound), strict=True))
